@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language, pieces
-from .common import documents, fold
+from . import exact_dedup, language, mixing, near_dedup, pieces, quality_rules
+from .common import documents, fold, labels
 
 #: The vocabulary of op 5; the file's place is a parameter of the operator.
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -20,6 +20,14 @@ def piece_model() -> str:
     return public_tokenizers.path(PIECE_MODEL)
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.decide(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.components(documents(spark, sf_dir), width=2)
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(documents(spark, sf_dir), piece_model())
 
@@ -30,6 +38,11 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.annotate(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality_rules.apply(docs, quality_rules.train(docs, labels(spark, sf_dir)))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(documents(spark, sf_dir))
 
@@ -51,8 +64,11 @@ WINDOW w AS (PARTITION BY norm ORDER BY len DESC, doc_id NULLS LAST)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_mixing": op3_mixing,
+        "op4_near_dedup": op4_near_dedup,
         "op5_sentencepiece": op5_sentencepiece,
         "op6_language": op6_language,
+        "op8_quality_rules": op8_quality_rules,
         "op9_exact_dedup": op9_exact_dedup,
     }
 
