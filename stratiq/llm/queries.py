@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language, mixing, near_dedup, pieces, quality_rules
+from . import exact_dedup, language, mixing, near_dedup, pieces, quality_rules, site_quality, token_counts, toxicity
 from .common import documents, fold, labels
 
 #: The vocabulary of op 5; the file's place is a parameter of the operator.
@@ -20,6 +20,16 @@ def piece_model() -> str:
     return public_tokenizers.path(PIECE_MODEL)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    machine = toxicity.fit(docs, labels(spark, sf_dir).filter(fold("doc_id", 5) != 0))
+    return toxicity.annotate(docs.withColumn("held_out", fold("doc_id", 5) == 0), machine).select("doc_id", "held_out", "score", "predicted")
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(documents(spark, sf_dir).select("doc_id", "text"), piece_model()).select("doc_id", "n_pretokens", "n_tokens")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.decide(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -38,6 +48,11 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.annotate(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op7_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The source is the host; its languages are the paths.
+    return site_quality.score(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return quality_rules.apply(docs, quality_rules.train(docs, labels(spark, sf_dir)))
@@ -64,10 +79,13 @@ WINDOW w AS (PARTITION BY norm ORDER BY len DESC, doc_id NULLS LAST)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
+        "op2_token_counts": op2_token_counts,
         "op3_mixing": op3_mixing,
         "op4_near_dedup": op4_near_dedup,
         "op5_sentencepiece": op5_sentencepiece,
         "op6_language": op6_language,
+        "op7_site_quality": op7_site_quality,
         "op8_quality_rules": op8_quality_rules,
         "op9_exact_dedup": op9_exact_dedup,
     }
