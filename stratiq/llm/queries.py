@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language, mixing, near_dedup, pieces, quality_rules, site_quality, token_counts, toxicity
+from . import exact_dedup, language, mixing, near_dedup, pieces, quality_rules, site_quality, suffix_dedup, token_counts, toxicity
 from .common import documents, fold, labels
 
 #: The vocabulary of op 5; the file's place is a parameter of the operator.
@@ -62,6 +62,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(documents(spark, sf_dir))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(documents(spark, sf_dir))
+
+
 OP9_SQL = r"""
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS len,
@@ -88,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_site_quality": op7_site_quality,
         "op8_quality_rules": op8_quality_rules,
         "op9_exact_dedup": op9_exact_dedup,
+        "op10_suffix_dedup": op10_suffix_dedup,
     }
 
 
