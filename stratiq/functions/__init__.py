@@ -1,0 +1 @@
+"""Column expressions: pure functions from columns to columns, no Python on the data path."""

@@ -1,9 +1,14 @@
 """Registered queries of the library and their SQL twins."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from . import cleaning, grids, learned, models_sql, places, selection, series, zones  # noqa: F401  each registers its queries
+from .registry import QUERIES, TWINS, Query
 
 
-def oracle_sql() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(TWINS)

@@ -1,0 +1 @@
+"""Readers, writers, the artefact registry and scratch tables."""
