@@ -169,3 +169,54 @@ def running_median(df: DataFrame, by: Sequence[str], order: str, value: str, hal
     """Median of a window of 2 half + 1 rows, cut off at the ends."""
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(-half, half)
     return df.withColumn("running_median", F.percentile(value, F.lit(0.5)).over(w))
+
+
+def crop(grid: DataFrame, rows: tuple[int, int], cols: tuple[int, int]) -> DataFrame:
+    """Cells of a closed range of rows and columns; both bounds reach the scan."""
+    return grid.filter(F.col("row").between(*rows) & F.col("col").between(*cols))
+
+
+def resample_nearest(grid: DataFrame, z: str, factor: float) -> DataFrame:
+    """A grid ``factor`` times as fine (whole) from the cell that holds each new cell's middle."""
+    span = F.sequence(F.lit(0), F.lit(int(factor) - 1))
+    fine = grid.withColumn("_r", F.explode(span)).withColumn("_c", F.explode(span))
+    return fine.select((F.col("row") * int(factor) + F.col("_r")).alias("row"), (F.col("col") * int(factor) + F.col("_c")).alias("col"), z)
+
+
+def resample_bilinear(grid: DataFrame, z: str, targets: DataFrame) -> DataFrame:
+    """Values at fractional places (id, y, x) from the four cells around, by distance; null where one is missing.
+
+    Each place asks for four cells: an equi-join, and one group of four rows.
+    """
+    corner = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r in (0, 1) for c in (0, 1)])
+    asked = targets.withColumn("_k", F.explode(corner)).withColumn("_fy", F.col("y") - F.floor("y")).withColumn("_fx", F.col("x") - F.floor("x"))
+    share = F.when(F.col("_k.r") == 0, 1 - F.col("_fy")).otherwise(F.col("_fy")) * F.when(F.col("_k.c") == 0, 1 - F.col("_fx")).otherwise(F.col("_fx"))
+    asked = asked.select("id", (F.floor("y") + F.col("_k.r")).alias("row"), (F.floor("x") + F.col("_k.c")).alias("col"), share.alias("_w"))
+    found = asked.join(grid.select("row", "col", z), ["row", "col"], "left").groupBy("id")
+    return found.agg(F.when(F.count(z) == 4, F.sum(F.col("_w") * F.col(z))).alias(z))
+
+
+def least_cloud(scenes: DataFrame, by: Sequence[str], value: str, cloud: str, key: str) -> DataFrame:
+    """For each cell the value of the scene of least cloud (the smallest key of ties)."""
+    return scenes.groupBy(*by).agg(F.min_by(value, F.struct(cloud, key)).alias(value), F.min(cloud).alias(cloud))
+
+
+def fill_sinks(grid: DataFrame, z: str, rounds: int = 1000) -> DataFrame:
+    """Lowest level from which each cell drains over the edge: z, or the lowest pass on its way out.
+
+    Levels start unbounded inside and at z on the edge, and fall to the largest
+    of z and the lowest neighbour until nothing changes; ValueError if that
+    takes more than ``rounds`` rounds.
+    """
+    cells = grid.select("row", "col", z)
+    count = halo(cells, [z], 1).groupBy("row", "col").agg(F.count(F.lit(1)).alias("_n"))
+    start = cells.join(count, ["row", "col"]).withColumn("level", F.when(F.col("_n") < 9, F.col(z)).otherwise(F.lit(float("inf")))).drop("_n")
+    level = saved(start, "fill")
+    for _ in range(rounds):
+        low = halo(level.select("row", "col", "level"), ["level"], 1).groupBy("row", "col").agg(F.min("level").alias("_low"))
+        after = saved(level.join(low, ["row", "col"]).select("row", "col", z, F.col("level").alias("_old"), F.least("level", F.greatest(z, "_low")).alias("level")), "fill")
+        done = after.filter("_old <> level").isEmpty()
+        level = after.select("row", "col", z, "level")
+        if done:
+            return level
+    raise ValueError(f"not settled after {rounds} rounds")

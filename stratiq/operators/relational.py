@@ -6,6 +6,7 @@ windows without a partition: those would bring all rows into one task.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -146,3 +147,24 @@ def panels(df: DataFrame, by: str, label: str, **aggregates: Column) -> DataFram
 def product_without(tables: Sequence[DataFrame], baseline: Column) -> DataFrame:
     """All combinations of small parameter tables, less the baseline."""
     return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), tables).filter(~baseline)
+
+
+def sample_rows(df: DataFrame, n: int, draw: Column, key: str) -> DataFrame:
+    """n rows by a deterministic draw, ties by key."""
+    return df.orderBy(draw, F.col(key)).limit(n)
+
+
+def pad_last(df: DataFrame, by: Sequence[str], order: str, value: str) -> DataFrame:
+    """Nulls filled with the last value before them in their group."""
+    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn(value, F.last(value, True).over(w))
+
+
+def rename_by(df: DataFrame, table: dict[str, str], strip: str | None = None) -> DataFrame:
+    """Columns renamed by a table, and a pattern stripped from all names."""
+    out = df.withColumnsRenamed(table)
+    return out.toDF(*[re.sub(strip, "", c) for c in out.columns]) if strip else out
+
+
+def columns_like(df: DataFrame, pattern: str) -> list[str]:
+    return [c for c in df.columns if re.search(pattern, c)]

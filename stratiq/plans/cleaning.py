@@ -200,3 +200,20 @@ def regex_filter(spark, sf_dir):
 @query(twin("SELECT s.*, t.cut FROM v_seg s, (SELECT quantile_cont(area, 0.75) AS cut FROM v_seg) t WHERE area >= cut"))
 def quantile_threshold_filter(spark, sf_dir):
     return R.with_totals(v_seg(spark, sf_dir), cut=F.percentile("area", F.lit(0.75))).filter("area >= cut")
+
+
+@query("SELECT c_custkey FROM customer ORDER BY (c_custkey * 7919) % 10007, c_custkey LIMIT 100")
+def sample_rows(spark, sf_dir):
+    return R.sample_rows(table(spark, sf_dir, "customer"), 100, (F.col("c_custkey") * 7919) % 10007, "c_custkey").select("c_custkey")
+
+
+@query(twin("SELECT station, ts, last_value(ws IGNORE NULLS) OVER (PARTITION BY station ORDER BY ts ROWS UNBOUNDED PRECEDING) AS ws FROM v_ts"))
+def pad_last(spark, sf_dir):
+    return R.pad_last(v_ts(spark, sf_dir).select("station", "ts", "ws"), ["station"], "ts", "ws")
+
+
+@query("SELECT event_id AS id, value AS cloud, asset, '/scene/' || CAST(event_id AS VARCHAR) || '/' || asset AS href FROM events, (VALUES ('red'), ('nir')) a(asset) WHERE value < 5")
+def scene_assets(spark, sf_dir):
+    link = lambda name: F.concat(F.lit("/scene/"), F.col("event_id").cast("string"), F.lit(f"/{name}"))
+    items = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("datetime"), F.col("value").alias("cloud"), F.create_map(F.lit("red"), link("red"), F.lit("nir"), link("nir")).alias("assets"))
+    return stations.scenes(items, 5.0).select("id", "cloud", "asset", "href")

@@ -177,3 +177,36 @@ def rasterize_majority(spark, sf_dir):
     """Cells that a segment covers by half or more."""
     return v_cell(spark, sf_dir).filter("w >= 0.5").groupBy("segment_id").agg(F.count(F.lit(1)).alias("cells"), F.max("price").alias("top"))
 
+
+
+@query(twin("SELECT row, col, z FROM v_grid WHERE row BETWEEN 5 AND 12 AND col BETWEEN 20 AND 60"))
+def crop_extent(spark, sf_dir):
+    return raster.crop(v_grid(spark, sf_dir), (5, 12), (20, 60)).select("row", "col", "z")
+
+
+@query(twin("SELECT row * 2 + r AS row, col * 2 + c AS col, z FROM v_grid, (VALUES (0), (1)) x(r), (VALUES (0), (1)) y(c)"))
+def resample_nearest(spark, sf_dir):
+    return raster.resample_nearest(v_grid(spark, sf_dir), "z", 2)
+
+
+@query(twin(
+    "SELECT t.id, round(CASE WHEN count(g.z) = 4 THEN sum(g.z * (CASE WHEN r = 0 THEN 1 - fy ELSE fy END) * (CASE WHEN c = 0 THEN 1 - fx ELSE fx END)) END + 3e-8, 4) AS z FROM "
+    "(SELECT id, y, x, y - floor(y) AS fy, x - floor(x) AS fx FROM (SELECT id, y / 1000e0 AS y, x / 101e0 AS x FROM v_pt)) t CROSS JOIN (VALUES (0), (1)) a(r) CROSS JOIN (VALUES (0), (1)) b(c) LEFT JOIN v_grid g ON g.row = CAST(floor(y) AS BIGINT) + r AND g.col = CAST(floor(x) AS BIGINT) + c GROUP BY t.id"
+))
+def resample_bilinear(spark, sf_dir):
+    from .views import v_pt
+
+    places = v_pt(spark, sf_dir).select("id", (F.col("y") / 1000).alias("y"), (F.col("x") / 101).alias("x"))
+    return raster.resample_bilinear(v_grid(spark, sf_dir), "z", places).select("id", F.round(F.col("z") + 3e-8, 4).alias("z"))
+
+
+@query("SELECT cell, value, cloud FROM (SELECT l_suppkey AS cell, l_extendedprice AS value, l_discount AS cloud, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_discount, l_orderkey, l_extendedprice) AS r FROM lineitem) WHERE r = 1")
+def least_cloud_mosaic(spark, sf_dir):
+    scenes = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("cell"), F.col("l_extendedprice").alias("value"), F.col("l_discount").alias("cloud"), F.struct("l_orderkey", "l_extendedprice").alias("key"))
+    return raster.least_cloud(scenes, ["cell"], "value", "cloud", "key")
+
+
+@query()
+def sink_fill(spark, sf_dir):
+    """The first ten rows of the grid, the stated basin; a test checks levels against a flood from the edge."""
+    return raster.fill_sinks(v_grid(spark, sf_dir).filter("row < 10").select("row", "col", "z"), "z")

@@ -197,3 +197,24 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2
     assert spark.read.parquet(str(tmp_path / "tiles")).filter("t = 'a'").count() == 1
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 2
+
+
+def test_sinks_fill_to_the_lowest_pass(spark):
+    import heapq
+
+    z = {(r, c): float((r * 37 + c * 61) % 23) for r in range(8) for c in range(9)}
+    level, heap = {}, []
+    for (r, c), v in z.items():
+        if r in (0, 7) or c in (0, 8):
+            level[r, c] = v
+            heapq.heappush(heap, (v, r, c))
+    while heap:
+        v, r, c = heapq.heappop(heap)
+        for dr in (-1, 0, 1):
+            for dc in (-1, 0, 1):
+                n = (r + dr, c + dc)
+                if n in z and n not in level:
+                    level[n] = max(z[n], v)
+                    heapq.heappush(heap, (level[n], *n))
+    df = spark.createDataFrame([(r, c, v) for (r, c), v in z.items()], "row long, col long, z double")
+    assert {(r["row"], r["col"]): r["level"] for r in raster.fill_sinks(df, "z").collect()} == level
