@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import pandas as pd
@@ -47,15 +48,37 @@ def within_distance(points: DataFrame, key: str, d: float, x: str = "x", y: str
     return at.join(near, ["_bx", "_by"]).filter("a < b").withColumn("distance", gap).filter(F.col("distance") <= d).select("a", "b", "distance")
 
 
-def thin(points: DataFrame, key: str, order: Sequence[str], d: float, x: str = "x", y: str = "y") -> DataFrame:
+def _thinned(pdf: pd.DataFrame, d: float) -> pd.DataFrame:
+    """The sequential rule over one table in order; kept points are found by square of side d."""
+    squares: dict[tuple[int, int], list[tuple[float, float]]] = {}
+    stay = []
+    for x, y in zip(pdf["_x"], pdf["_y"], strict=True):
+        i, j = int(x // d), int(y // d)
+        near = (p for a in (i - 1, i, i + 1) for b in (j - 1, j, j + 1) for p in squares.get((a, b), ()))
+        free = all(math.hypot(x - px, y - py) > d for px, py in near)
+        stay.append(free)
+        if free:
+            squares.setdefault((i, j), []).append((x, y))
+    return pdf.loc[stay, ["_id"]]
+
+
+def thin(points: DataFrame, key: str, order: Sequence[str], d: float, x: str = "x", y: str = "y", few: int = 20_000) -> DataFrame:
     """Greedy thinning: in order, a point stays if no point that stays before it is within d.
 
-    Rounds over the pairs within d: a point without an undecided earlier
-    neighbour is decided; each round is written out.  The result equals the
-    sequential one, whatever the number of rounds.
+    Up to ``few`` points, as a choice of sites has, go through the sequential
+    rule in one task.  More are decided in rounds over the pairs within d: a
+    point without an undecided earlier neighbour is decided; each round is
+    written out.  Both give the same result.
     """
     from stratiq.sources.scratch import saved
 
+    points = saved(points, "thin-points")
+    if points.limit(few + 1).count() <= few:
+        rank = F.row_number().over(Window.partitionBy("_all").orderBy(*order, key))
+        rows = points.select(F.lit(0).alias("_all"), *{c: F.col(c) for c in [*order, key]}.values(), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+        ranked = rows.select("_all", rank.alias("_rank"), F.col(key).alias("_id"), "_x", "_y")
+        kept = ranked.groupBy("_all").applyInPandas(lambda pdf: _thinned(pdf.sort_values("_rank"), d), f"_id {dict(points.dtypes)[key]}")
+        return points.join(kept, F.col(key) == F.col("_id"), "left_semi")
     ranked = points.select(F.col(key).alias("id"), F.struct(*order, F.col(key).alias("_key")).alias("rank"))
     pairs = within_distance(points, key, d, x, y)
     both = pairs.select("a", "b").union(pairs.select("b", "a"))

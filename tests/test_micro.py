@@ -71,14 +71,15 @@ def test_thinning_keeps_in_order(spark):
     assert sorted(r["id"] for r in G.thin(df, "id", ["id"], 5.0).collect()) == [1, 3]
 
 
-def test_thinning_equals_the_sequential_rule(spark):
+@pytest.mark.parametrize("few", [0, 1000])
+def test_thinning_equals_the_sequential_rule(spark, few):
     points = [(i, float(i * 7919 % 1000), float(i * 104729 % 1000)) for i in range(300)]
     kept = []
     for i, x, y in points:
         if all(math.hypot(x - a, y - b) > 60 for _, a, b in kept):
             kept.append((i, x, y))
     df = spark.createDataFrame(points, "id long, x double, y double")
-    assert sorted(r["id"] for r in G.thin(df, "id", ["id"], 60.0).collect()) == [k[0] for k in kept]
+    assert sorted(r["id"] for r in G.thin(df, "id", ["id"], 60.0, few=few).collect()) == [k[0] for k in kept]
 
 
 @pytest.mark.parametrize(("votes", "k"), [((6, 6, 9, 40), 6), ((5, 7, 9), 7)])
