@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import WORD
+from .common import WORD, text_batches
 
 MARK = "▁"
 WORDS = re.compile(WORD)
@@ -57,17 +58,18 @@ def vocabulary(model_file: str) -> tuple[dict[str, float], float]:
 
 
 class Trie:
-    """Nodes as (children, forward score, tokens)."""
+    """Edges as one table from (node, character) to node; each node's forward score and tokens in arrays."""
 
     def __init__(self, scores: dict[str, float], byte_score: float, most_nodes: int):
-        self.scores, self.byte_score, self.most = scores, byte_score, most_nodes
-        self.longest = max(map(len, scores), default=1)
+        # Every end of a piece, with the piece's score or None: once a string isn't among them, no longer piece ends so.
+        self.ends: dict[str, float | None] = {p[i:]: None for p in scores for i in range(1, len(p))}
+        self.ends.update(scores)
+        self.byte_score, self.most = byte_score, most_nodes
         self.clear()
 
     def clear(self) -> None:
-        self.children: list[dict[str, int]] = [{}]
-        self.forward: list[float] = [0.0]
-        self.tokens: list[int] = [0]
+        self.edges: dict[int, int] = {}
+        self.forward, self.tokens = array("d", [0.0]), array("q", [0])
         self.terminal: dict[str, int] = {}
 
     def count(self, token: str) -> int:
@@ -78,23 +80,25 @@ class Trie:
     def _insert(self, token: str) -> int:
         if len(self.forward) > self.most:
             self.clear()
-        node, path = 0, [0]
-        scores, forward, tokens = self.scores, self.forward, self.tokens
+        node, path, edges, ends, forward, tokens = 0, [0], self.edges, self.ends, self.forward, self.tokens
         for end, char in enumerate(token, 1):
-            below = self.children[node].get(char)
+            edge = node << 21 | ord(char)
+            below = edges.get(edge)
             if below is None:
                 width = len(char.encode("utf-8", "surrogatepass"))
-                best = (forward[node] + width * self.byte_score, -tokens[node] - width)
-                for start in range(max(0, end - self.longest), end):
-                    if (score := scores.get(token[start:end])) is not None:
+                best, fewest = forward[node] + width * self.byte_score, tokens[node] + width
+                for start in range(end - 1, -1, -1):
+                    score = ends.get(token[start:end], False)
+                    if score is False:
+                        break
+                    if score is not None:
                         at = path[start]
-                        way = (forward[at] + score, -tokens[at] - 1)
-                        if way > best:
-                            best = way
-                below = self.children[node][char] = len(forward)
-                self.children.append({})
-                forward.append(best[0])
-                tokens.append(-best[1])
+                        way, n = forward[at] + score, tokens[at] + 1
+                        if way > best or way == best and n < fewest:
+                            best, fewest = way, n
+                below = edges[edge] = len(forward)
+                forward.append(best)
+                tokens.append(fewest)
             node = below
             path.append(node)
         if len(token) <= 64:
@@ -102,7 +106,7 @@ class Trie:
         return tokens[node]
 
 
-def count(docs: DataFrame, model_file: str, text_col: str = "text", most_nodes: int = 400_000) -> DataFrame:
+def count(docs: DataFrame, model_file: str, text_col: str = "text", most_nodes: int = 1_000_000) -> DataFrame:
     """The input with n_pretokens and n_tokens (long)."""
     if clash := {"n_pretokens", "n_tokens"} & set(docs.columns):
         raise ValueError(f"the input already has {sorted(clash)}")
@@ -126,4 +130,4 @@ def count(docs: DataFrame, model_file: str, text_col: str = "text", most_nodes:
                 sums[i] = total
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(words), pa.array(sums)], names=[*batch.schema.names, "n_pretokens", "n_tokens"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("n_pretokens", T.LongType()), T.StructField("n_tokens", T.LongType())]))
+    return text_batches(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("n_pretokens", T.LongType()), T.StructField("n_tokens", T.LongType())]))
