@@ -60,3 +60,11 @@ def dropped(df: DataFrame) -> None:
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def text_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``, with at most ``rows`` rows to an Arrow batch in its session: batches of whole texts stay far below Arrow's 2 GB."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= rows:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df

@@ -16,7 +16,7 @@ Defined results
 * Rows without a language do not train.  If no row trains, every text is ``und``.
 * Equal posteriors go to the language first in code point order.
 * Repeated rows give equal results; an empty table gives an empty result.
-* Further columns are ignored by ``predict`` and kept by ``annotate``.
+* Further columns are ignored by ``fit`` and kept by ``annotate``.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import text_batches
+
 LETTER = re.compile(r"[^\W\d_]")
 BITS = 16
 MULT = np.uint32(2654435761)
@@ -39,19 +41,16 @@ STEP = np.uint32(0x9E3779B1)
 BLOCK = 1 << 20
 
 
-def buckets(text: str, bits: int = BITS) -> np.ndarray:
-    """Buckets of all 1-, 2- and 3-grams of the lower-cased text."""
-    code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+def buckets(text: str, bits: int = BITS) -> Iterator[np.ndarray]:
+    """Buckets of all 1-, 2- and 3-grams of the lower-cased text, a block of characters at a time."""
+    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     shift = np.uint32(32 - bits)
-    one = (code + np.uint32(1)) * MULT
-    out = [one >> shift]
-    if len(code) > 1:
+    for start in range(0, len(codes), BLOCK):
+        back = min(2, start)  # characters of the block before, for the grams that end in this one
+        one = (codes[start - back : start + BLOCK] + np.uint32(1)) * MULT
         two = (one[:-1] ^ (one[:-1] >> np.uint32(15))) * STEP + one[1:]
-        out.append((two * MULT) >> shift)
-        if len(code) > 2:
-            three = (two[:-1] ^ (two[:-1] >> np.uint32(13))) * STEP + one[2:]
-            out.append((three * MULT) >> shift)
-    return np.concatenate(out)
+        three = (two[:-1] ^ (two[:-1] >> np.uint32(13))) * STEP + one[2:]
+        yield np.concatenate([one[back:] >> shift, (two[max(0, back - 1) :] * MULT) >> shift, (three * MULT) >> shift])
 
 
 @dataclass(frozen=True)
@@ -64,8 +63,7 @@ class Model:
         if not self.languages or not LETTER.search(text):
             return "und", 0.0
         sums = np.zeros(len(self.languages))
-        for start in range(0, len(text), BLOCK):  # blocks overlap by two, so that no 3-gram is lost
-            grams = buckets(text[max(0, start - 2) : start + BLOCK])
+        for grams in buckets(text):
             sums += self.logs[grams].sum(axis=0, dtype=np.float64)
         best = int(sums.argmax())
         return self.languages[best], float(1 / np.exp(sums - sums[best]).sum())
@@ -91,14 +89,14 @@ def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         seen = False
         for batch in batches:
             for lang, text in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
-                for start in range(0, len(text), BLOCK):
-                    total[place[lang]] += np.bincount(buckets(text[max(0, start - 2) : start + BLOCK], bits), minlength=1 << bits)
+                for grams in buckets(text, bits):
+                    total[place[lang]] += np.bincount(grams, minlength=1 << bits)
                     seen = True
         if seen:
             at, bucket = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(bucket, pa.int32()), pa.array(total[at, bucket], pa.int64())], names=["lang", "bucket", "n"])
 
-    summed = sample.mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    summed = text_batches(sample).mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     table = np.full((1 << bits, len(languages)), 0.5)
     table[summed["bucket"].to_numpy(), summed["lang"].to_numpy()] += summed["n"].to_numpy()
     return Model(languages, np.log(table / table.sum(axis=0)).astype(np.float32))
@@ -118,4 +116,4 @@ def annotate(docs: DataFrame, model: Model, text_col: str = "text", lang_out: st
                 added = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, lang_out, score_out])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())]))
+    return text_batches(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())]))

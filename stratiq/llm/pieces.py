@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import text_batches
+
 MARK = "▁"
 LONG = 64
 CHUNKS = re.compile(f"{MARK}+[^{MARK}]*")
@@ -122,7 +124,7 @@ def encode(
                 columns = [*batch.columns, *(pa.array(out[n], t) for n, t, _ in added)]
                 yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *out])
 
-    return docs.mapInArrow(run, schema)
+    return text_batches(docs).mapInArrow(run, schema)
 
 
 def decode(docs: DataFrame, model_file: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -135,7 +137,7 @@ def decode(docs: DataFrame, model_file: str, ids_col: str = "ids", out_col: str
             texts = [model.decode(x.as_py() or []) for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out_col])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out_col, T.StringType())]))
+    return text_batches(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out_col, T.StringType())]))
 
 
 def digest(docs: DataFrame, model_file: str) -> DataFrame:

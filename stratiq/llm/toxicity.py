@@ -38,6 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import text_batches
+
 BITS, FACTORS = 24, 8
 EDGES = b".,;:!?\"'()[]{}*#$%&|<>-_/\\"
 
@@ -145,7 +147,7 @@ def fit(
             found = [table.of(x.as_py()) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["_id", "_y", "_terms"])
 
-    got = texts.mapInArrow(run, "_id long, _y int, _terms array<int>").toArrow().sort_by("_id")
+    got = text_batches(texts).mapInArrow(run, "_id long, _y int, _terms array<int>").toArrow().sort_by("_id")
     rows = [x.values.to_numpy(zero_copy_only=False) for x in got["_terms"].combine_chunks()] if got.num_rows else []
     if not rows:
         return _constant(bits, -50.0)
@@ -169,4 +171,4 @@ def annotate(docs: DataFrame, machine: Machine, text_col: str = "text", threshol
                 added = [pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "score", "predicted"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return text_batches(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))

@@ -268,8 +268,11 @@ def test_language_blocks_lose_no_gram(monkeypatch):
     text = "".join(random.Random(5).choice("abcdé日") for _ in range(997))
     model = language.Model(["p", "q"], np.random.default_rng(1).normal(size=(1 << language.BITS, 2)).astype(np.float32) / 50)
     whole = model.score(text)
-    monkeypatch.setattr(language, "BLOCK", 10_000)
-    assert model.score(text) == whole
+    grams = np.sort(np.concatenate(list(language.buckets(text))))
+    for block in (1, 2, 3, 10, 500):
+        monkeypatch.setattr(language, "BLOCK", block)
+        assert (np.sort(np.concatenate(list(language.buckets(text)))) == grams).all()
+        assert model.score(text) == (whole[0], pytest.approx(whole[1]))
 
 
 # 8
