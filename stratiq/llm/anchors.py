@@ -64,16 +64,22 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - size)], x[width - size :]) if width > size else x
 
 
-def segments(text: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, Sums]:
-    """First window, last window and anchor hash of each segment, and the text's sums."""
+def segments(text: np.ndarray, owner: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, Sums]:
+    """Segments of texts laid end to end: first window, last window, anchor hash; and the sums.
+
+    ``owner`` numbers the text of each byte; no window crosses texts.
+    """
     sums = Sums(text)
-    at = np.arange(len(text) - gram + 1)
-    grams = sums.of(at, at + gram)
-    keys = (grams & ~PLACE) | at.astype(np.uint64)
-    anchor = (_least(keys, window - gram + 1) & PLACE).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-    last = np.concatenate([first[1:] - 1, [len(anchor) - 1]])
-    return first, last, grams[anchor[first]], sums
+    n = len(text) - gram + 1
+    grams = (sums.sums[gram:] - sums.sums[:-gram]) * DOWN[:n]
+    grams ^= grams >> np.uint64(32)
+    grams *= np.uint64(0xD6E8FEB86659FD93)
+    keys = (grams & ~PLACE) | np.arange(n, dtype=np.uint64)
+    least = _least(keys, window - gram + 1)
+    start = np.flatnonzero(owner[: len(least)] == owner[window - 1 :])
+    anchor = (least[start] & PLACE).astype(np.int64)
+    new = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(anchor) else anchor
+    return start[new], start[np.append(new[1:], len(start)) - 1] if len(new) else new, mixed(grams[anchor[new]]), sums
 
 
 def pieces(n: int, window: int) -> list[tuple[int, int]]:

@@ -10,9 +10,9 @@ the corpus (smaller id, or same text and earlier start) is removed.
    earliest are removed at once (first within each task, before the shuffle);
    an anchor with one segment needs no more; the rest are fetched as bytes.
 3. Buckets of such segments, about ``BUCKET`` bytes with whole anchors, get a
-   suffix array and its Burrows-Wheeler transform.  From the intervals of single
-   characters, breadth first, each level puts a character in front of the
-   strings of the level below: the LF mapping carries an interval of a string to
+   suffix array and its Burrows-Wheeler transform.  From the intervals of the
+   strings that the array's sort has last ranked (shorter than a window), breadth
+   first, each level puts a character in front of the strings of the level below: the LF mapping carries an interval of a string to
    the intervals of all its extensions, so that a boundary between neighbours
    gets its common prefix length at the level at which it first shows.  Lengths
    appear in increasing order and the expansion stops at ``window``; neighbours
@@ -50,10 +50,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import anchors
-from .common import saved, shuffle_parts
+from .common import saved, shuffle_parts, text_batches
 
 GRAM = 32
-BUCKET = 1 << 19
+BUCKET = 1 << 18
 HOT = 4096
 #: Segments that a task combines at a time.
 HELD = 2_000_000
@@ -61,10 +61,6 @@ LAST = (1 << 63) - 1
 MARKS = "_kind int, _doc long, _text_key long, _start int, _end int, _anchor long"
 
 
-def _bytes(text: str | None) -> np.ndarray:
-    return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-
-
 def _order(*keys: np.ndarray) -> np.ndarray:
     return np.lexsort(keys[::-1])
 
@@ -90,25 +86,40 @@ def _merged(doc: np.ndarray, key: np.ndarray, start: np.ndarray, end: np.ndarray
     return doc[first], key[first], start[first], np.maximum.reduceat(end, first) if len(first) else end
 
 
+def _runs(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """A column of strings without nulls as bytes laid end to end, in parts of about ``anchors.PIECE``: bytes, their row, and each row's start and place in its text."""
+    width = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offsets = np.frombuffer(column.buffers()[1], width)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    raw = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
+    row = 0
+    while row < len(column):
+        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + anchors.PIECE, "right")) - 1)
+        rows = np.arange(row, stop)
+        yield raw[offsets[row] : offsets[stop]], np.repeat(rows, np.diff(offsets[row : stop + 1])), offsets[row:stop] - offsets[row], rows
+        row = stop
+
+
 def _segments(batch: pa.RecordBatch, window: int, hot: np.ndarray | None) -> list[np.ndarray]:
     """Columns anchor, context (hash and length), doc, text key, start of the batch's segments."""
-    parts: list[list[np.ndarray]] = [[] for _ in range(5)]
-    for doc, key, text in zip(*(batch.column(i) for i in range(3)), strict=True):
-        raw = _bytes(text.as_py())
+    parts: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(5)]
+    docs, keys = (batch.column(i).to_numpy() for i in (0, 1))
+    for raw, owner, begins, rows in _runs(batch.column(2)):
         for low, high in anchors.pieces(len(raw), window):
-            first, last, anchor, sums = anchors.segments(raw[low:high], window, GRAM)
+            first, last, anchor, sums = anchors.segments(raw[low:high], owner[low:high], window, GRAM)
             end = last + window
             context = sums.of(first, end)
             if hot is not None and len(hot) and (on := np.isin(anchor, hot)).any():
-                lone = np.concatenate([np.arange(a, b + 1) for a, b in zip(first[on], last[on], strict=True)])
+                lengths = last[on] - first[on] + 1
+                lone = np.repeat(first[on] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
                 whole = sums.of(lone, lone + window)
                 edges = sums.of(lone, lone + GRAM) * np.uint64(3) + sums.of(lone + window - GRAM, lone + window)
                 first, end = np.concatenate([first[~on], lone]), np.concatenate([end[~on], lone + window])
                 anchor, context = np.concatenate([anchor[~on], whole]), np.concatenate([context[~on], anchors.mixed(edges)])
             context = (context & ~np.uint64(0xFF)) | (end - first).astype(np.uint64)
-            for part, values in zip(parts, (anchor.view(np.int64), context.view(np.int64), np.full(len(first), doc.as_py()), np.full(len(first), key.as_py()), first + low), strict=True):
+            at = owner[first + low]
+            for part, values in zip(parts, (anchor.view(np.int64), context.view(np.int64), docs[at], keys[at], first + low - begins[at - rows[0]]), strict=True):
                 part.append(values)
-    return [np.concatenate(p) if p else np.zeros(0, np.int64) for p in parts]
+    return [np.concatenate(p) for p in parts]
 
 
 def _marks(kind: np.ndarray | int, doc, key, start, end, anchor) -> pa.RecordBatch:
@@ -119,10 +130,20 @@ def _marks(kind: np.ndarray | int, doc, key, start, end, anchor) -> pa.RecordBat
     )
 
 
+def _together(anchor: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """An order that puts rows of equal anchor and context together: by one hash of both."""
+    return np.argsort(anchors.mixed(anchor.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + context.view(np.uint64)))
+
+
 def _earliest(anchor, context, doc, key, start) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An order by anchor, context and place; in it, the first row of each context, and later rows at another place."""
-    at = _order(anchor, context, doc, key, start)
+    """An order by anchor and context, and then by place; in it, the first row of each context, and later rows at another place."""
+    at = _together(anchor, context)
     first = _changes(anchor[at], context[at])
+    several = ~first
+    several[:-1] |= ~first[1:]
+    rows = np.flatnonzero(several)
+    inner = at[rows]
+    at[rows] = inner[_order(np.cumsum(first)[rows], doc[inner], key[inner], start[inner])]
     later = ~first & _changes(doc[at], key[at], start[at])
     return at, first, later
 
@@ -133,7 +154,7 @@ def _hot_anchors(texts: DataFrame, window: int) -> np.ndarray:
 
         def counted() -> pa.RecordBatch:
             both = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
-            at = _order(*both)
+            at = _together(*both)
             anchor = both[0][at][_changes(both[0][at], both[1][at])]
             found, n = np.unique(anchor, return_counts=True)
             often = n >= 16  # fewer in a task can't add up: a task holds thousands of texts
@@ -194,62 +215,73 @@ def _dealt(texts: DataFrame, window: int, hot: np.ndarray) -> DataFrame:
         gone = _merged(doc[b], key[b], start[b].astype(np.int64), start[b] + (context[b] & 0xFF))
         yield _marks(1, *gone, np.zeros(len(gone[0]), np.int64))
         a = at[first]
-        new = _changes(anchor[a])
-        several = np.repeat(np.diff(np.append(np.flatnonzero(new), len(a))) > 1, np.diff(np.append(np.flatnonzero(new), len(a))))
-        a = a[several]
+        _, place, n = np.unique(anchor[a], return_inverse=True, return_counts=True)
+        a = a[n[place] > 1]
         yield _marks(2, doc[a], key[a], start[a], start[a] + (context[a] & 0xFF), anchor[a])
 
     rows = texts.mapInArrow(combine, "_anchor long, _context long, _doc long, _text_key long, _start int, _end int")
     return rows.repartition(shuffle_parts(texts.sparkSession), "_anchor").mapInArrow(compare, MARKS)
 
 
-def suffix_array(text: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
-    """Starts of all suffixes, ordered by their first ``depth`` bytes; ``left`` is what each has left in its segment."""
+def suffix_array(text: np.ndarray, left: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Starts of all suffixes, ordered by their first ``depth`` bytes; ``left`` is what each has left in its segment.
+
+    Also the ranks by a shorter prefix, from which the order was made, and its length.
+    """
     n = len(text)
     size, key = 7, np.zeros(n, np.int64)
     for i in range(size):
         key <<= 9
         key[: n - i] |= np.where(left[: n - i] > i, text[i:].astype(np.int64) + 1, 0)
+    bits = np.uint64(n + 1).item().bit_length()
     while True:
-        order = np.argsort(key, kind="stable")
-        ranks = np.empty(n, np.int64)
-        ranks[order] = np.cumsum(_changes(key[order]))
+        order = np.argsort(key)
         if size >= depth:
-            return order
-        key = ranks * (n + 1)
-        key[: n - size] += np.where(left[: n - size] > size, ranks[size:], 0)
-        size *= 2
+            return order, ranks, before
+        ranks, before = np.empty(n, np.int64), size
+        ranks[order] = np.cumsum(_changes(key[order]))
+        key = ranks.copy()
+        times = 63 // bits  # ranks that fit one key
+        for i in range(1, times):
+            key <<= bits
+            if (shift := i * size) < n:
+                key[: n - shift] |= np.where(left[: n - shift] > shift, ranks[shift:], 0)
+        size *= times
 
 
 def repeated(text: np.ndarray, left: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts in suffix order that share ``window`` bytes with the start before or behind them, and their interval's number."""
-    sa = suffix_array(text, left, window + 1)
+    sa, ranks, known = suffix_array(text, left, window + 1)
     n = len(sa)
-    place = np.empty(n, np.int64)
-    place[sa] = np.arange(n)
+    place = np.empty(n, np.int32)
+    place[sa] = np.arange(n, dtype=np.int32)
     # The BWT's byte at x stands in front of suffix sa[x]; LF sends x to the suffix that begins with it.
     inside = np.zeros(n, bool)
     inside[1:] = left[:-1] > 1
     x = np.flatnonzero(inside[sa])
     lf = place[sa[x] - 1]
-    back = np.full(n, -1, np.int64)
+    back = np.full(n, -1, np.int32)
     back[lf] = x
-    rest, head = left[sa], text[sa]
+    # The intervals of strings of the length by which the sort last ranked begin the expansion.
+    rest, head = left[sa], ranks[sa]
     same = np.zeros(n, bool)  # y and y - 1 share a prefix of the level's length
-    same[1:] = head[1:] == head[:-1]
+    same[1:] = (head[1:] == head[:-1]) & (np.minimum(rest[1:], rest[:-1]) >= known)
     y = np.flatnonzero(same)
-    for level in range(1, window):
-        interval = np.cumsum(~same)
-        y = y[(rest[y] > level) & (rest[y - 1] > level)]
-        y = y[interval[back[y]] == interval[back[y - 1]]]
-        same[:] = False
-        same[y] = True
-        if not len(y):
-            break
+    # For each neighbouring pair that still agrees: where it comes from, and the levels that both can reach.
+    one, two, reach = back[y], back[y - 1], np.minimum(rest[y], rest[y - 1])
+    interval = np.cumsum(~same, dtype=np.int32)
+    for level in range(known, window):
+        agree = (interval[one] == interval[two]) & (reach > level)
+        if not agree.all():
+            same[y[~agree]] = False
+            y, one, two, reach = y[agree], one[agree], two[agree], reach[agree]
+            if not len(y):
+                break
+            interval = np.cumsum(~same, dtype=np.int32)
     member = same.copy()
     member[:-1] |= same[1:]
     at = np.flatnonzero(member)
-    return sa[at], np.cumsum(~same)[at]
+    return sa[at], interval[at] if len(y) else at
 
 
 def _bucket(doc: np.ndarray, key: np.ndarray, start: np.ndarray, text: np.ndarray, lengths: np.ndarray, window: int) -> pa.RecordBatch:
@@ -289,7 +321,8 @@ def _compared(texts: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
 
         def flat(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
             data = batch.column(4)
-            offsets = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64)
+            width = np.int64 if pa.types.is_large_binary(data.type) else np.int32
+            offsets = np.frombuffer(data.buffers()[1], width)[data.offset : data.offset + len(data) + 1].astype(np.int64)
             raw = np.frombuffer(data.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
             return (*(batch.column(i).to_numpy() for i in range(4)), np.diff(offsets), raw)
 
@@ -331,7 +364,7 @@ def _compared(texts: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    return docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST)).alias("_doc"), F.xxhash64(text).alias("_text_key"), text.alias("_text"), *more)
+    return text_batches(docs).select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST)).alias("_doc"), F.xxhash64(text).alias("_text_key"), text.alias("_text"), *more)
 
 
 def ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 100) -> DataFrame:
