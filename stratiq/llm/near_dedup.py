@@ -5,17 +5,22 @@ permutation; coordinate k of the signature is the smallest value that a second
 permutation, shifted by k places, gives to them.  Shifting makes the k-th
 coordinates of one shingle a run of neighbouring values, so that a signature is
 the minimum over runs.  Coordinates are banded; documents that share a band are
-candidates, and a candidate pair is linked only if the full sets of shingles,
-as strings, reach the threshold.  Groups are the connected components of links.
-
-Work follows the size of the buckets, not its square: texts with equal sets are
-one class from the start.  In each bucket all classes are first compared with
-the bucket's smallest id; then, in buckets that still hold several components,
-with the smallest id of every other component; then the pairs that are left
-between different components.  After that, any two classes that share a band
-are in one component or were compared: no link between candidates is lost.
-Bucket members are never gathered: hubs are minima (partial aggregates) and
-pairs come from joins on the band, which Spark splits where a band is hot.
+candidates, and a candidate pair is linked only if the full sets of shingles
+reach the threshold.  Groups are the connected components of links.
+
+Texts with equal sets are one class from the start.  Within a bucket nothing is
+paired with everything.  Each class is compared with the bucket's smallest id,
+its hub h, and keeps what differs from it, D(x) = x xor h.  Two classes that are
+linked to h are in one component.  For the others, with m = |h - x| and
+n = |x - h|, the overlap of two classes is |h| - m(x) - m(y) + |D(x) and D(y)|,
+so a link between x and y is a wanted overlap of their differences, t(x, y).
+Such overlaps are found by prefix filtering: of differences in a common order,
+rarest first, two that overlap in t places agree within their first |D| - t + 1.
+Classes that merely resemble the same hub have few differences in common, hence
+no pair, and classes that the hubs' links have joined already need none; pairs come from joins on (hub, difference), which Spark splits where
+one is hot.  No link between classes that share a band is lost.
+
+Sets are compared as 64-bit hashes of shingles.
 
 With 40 bands of 6 a pair at similarity 0.8 shares no band with probability
 5e-6, and less above.
@@ -43,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved
+from .common import saved, text_batches
 
 BANDS, ROWS = 40, 6
 CIRCLE = 1 << 20
@@ -53,14 +58,6 @@ NAMELESS = 1 << 62
 FEW_IDS = 1_000_000
 
 
-def shingles(text: str | None, width: int) -> set[tuple[bytes, ...]]:
-    """The text's set of shingles, in full."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: ASCII only
-    if len(words) < width:
-        return {tuple(words)} if words else set()
-    return set(zip(*(words[i:] for i in range(width)), strict=False))
-
-
 class _Hashes(dict):
     """64-bit hashes of words, for at most a million of them at a time."""
 
@@ -132,52 +129,92 @@ def _signatures(docs: DataFrame, width: int, bands: int, rows: int, seed: int) -
                     [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["_id", "_n", "_set", "_bands"]
                 )
 
-    return docs.mapInArrow(run, "_id long, _n long, _set binary, _bands array<long>")
+    return text_batches(docs).mapInArrow(run, "_id long, _n long, _set binary, _bands array<long>")
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (_a, _b) whose full sets reach the threshold."""
+def _compared(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (_a, _b): sizes _na, _nb of their sets, _m missing from b, _n new in b, the differences _d, and _linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _Hashes()
+        of = lambda text: hashed((text.as_py() or "").encode("utf-8", "surrogatepass").lower().split(), table, width)
+        last: tuple[int | None, np.ndarray] = None, np.zeros(0, np.uint64)
         for batch in batches:
-            left, right = [], []
-            last: tuple[int | None, set] = None, set()
-            for a, b, x, y in zip(*(batch.column(i) for i in range(4)), strict=True):
-                a, b = a.as_py(), b.as_py()
-                if last[0] != b:
-                    last = b, shingles(y.as_py(), width)
-                p, q = shingles(x.as_py(), width), last[1]
-                both = len(p & q)
-                if 100 * both >= percent * (len(p) + len(q) - both):
-                    left.append(a)
-                    right.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["_a", "_b"])
+            out: list[list] = [[] for _ in range(6)]
+            for a, x, y in zip(*(batch.column(i) for i in (0, 2, 3)), strict=True):
+                if last[0] != a.as_py():
+                    last = a.as_py(), of(x)
+                h, z = last[1], of(y)
+                both = len(np.intersect1d(h, z, assume_unique=True))
+                row = len(h), len(z), len(h) - both, len(z) - both, np.setxor1d(h, z, assume_unique=True).view(np.int64), 100 * both >= percent * (len(h) + len(z) - both)
+                for column, value in zip(out, row, strict=True):
+                    column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, k) for v, k in zip(out, kinds, strict=True))], names=["_a", "_b", "_na", "_nb", "_m", "_n", "_d", "_linked"])
 
     one = texts.select(F.col("_id").alias("_a"), F.col("_text").alias("_x"))
     two = texts.select(F.col("_id").alias("_b"), F.col("_text").alias("_y"))
-    # The second join's sort leaves equal _b together, whose sets are then made once.
-    full = pairs.join(one, "_a").join(two, "_b").select("_a", "_b", "_x", "_y")
-    return full.mapInArrow(run, "_a long, _b long").distinct()
-
-
-def connected(edges: DataFrame) -> DataFrame:
-    """_id, _label (the component's smallest id) for every id on an edge (_a, _b)."""
-    both = saved(edges.union(edges.select("_b", "_a")).distinct(), "near-edges")
-    labels = saved(both.groupBy("_a").agg(F.least(F.col("_a"), F.min("_b")).alias("_label")).withColumnRenamed("_a", "_id"), "near-labels")
+    full = pairs.join(two, "_b").join(one, "_a").select("_a", "_b", "_x", "_y")
+    return text_batches(full).mapInArrow(run, "_a long, _b long, _na long, _nb long, _m long, _n long, _d array<long>, _linked boolean")
+
+
+def _beside_hubs(star: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Links (_a, _b) between two classes of one hub of which one, at least, is not linked to it, across the components so far."""
+    r = percent / (100 + percent)
+    lone = star.filter(~F.col("_linked")).select("_a").distinct()
+    # e(x) + e(y) is the wanted overlap t; e <= c for those linked to the hub, e >= -c for all.
+    c = (0.5 - r) * F.col("_na")
+    members = saved(star.join(lone, "_a", "left_semi").withColumn("_c", c).withColumn("_e", (1 - r) * F.col("_m") + r * F.col("_n") - F.col("_c")).withColumn("_size", F.size("_d")), "near-members")
+    named = members.join(labels.withColumnRenamed("_id", "_b"), "_b", "left").withColumn("_label", F.coalesce("_label", "_b"))
+    each = members.select("_a", "_b", F.explode("_d").alias("_x"))
+    times = each.groupBy("_a", "_x").agg(F.count(F.lit(1)).alias("_times"))
+    order = each.join(times, ["_a", "_x"]).groupBy("_a", "_b").agg(F.sort_array(F.collect_list(F.struct("_times", "_x"))).alias("_order"))
+    ranked = saved(named.select("_a", "_b", "_e", "_c", "_size", "_linked", "_label").join(order, ["_a", "_b"]), "near-order")
+    far = (F.col("_e") - F.col("_c")) / (1 - r)  # no feasible partner wants less of x
+    near = F.greatest(far, F.col("_e") + F.col("_c"))  # nor of y, given that x is not linked to the hub
+
+    def prefix(rows: DataFrame, least, name: str) -> DataFrame:
+        length = F.greatest(F.lit(0), F.col("_size") - F.greatest(F.lit(1), F.ceil(least - 1e-9)) + 1).cast("int")
+        rows = rows.filter(F.col("_size") > 0).select("_a", "_b", "_e", "_size", "_linked", "_label", F.posexplode(F.slice("_order", F.lit(1), length)).alias("_at", "_p"))
+        rows = rows.filter("_p._times > 1").withColumn("_rest", F.col("_size") - F.col("_at"))
+        return rows.select("_a", F.col("_p._x").alias("_x"), *[F.col(f"_{k}").alias(f"{name}_{k}") for k in ("b", "e", "rest", "linked", "label")])
+
+    x, y = prefix(ranked.filter(~F.col("_linked")), far, "x"), prefix(ranked, near, "y")
+    other = F.col("y_linked") | (F.col("x_b") < F.col("y_b"))
+    # At the first place in which two agree, both have the wanted overlap still ahead.
+    ahead = F.least("x_rest", "y_rest") >= F.col("x_e") + F.col("y_e") - 1e-9
+    found = x.join(y, ["_a", "_x"]).filter((F.col("x_label") != F.col("y_label")) & other & ahead).select("_a", "x_b", "y_b").distinct()
+    side = lambda name: members.select("_a", F.col("_b").alias(f"{name}_b"), F.col("_d").alias(f"{name}_d"), F.col("_m").alias(f"{name}_m"), F.col("_nb").alias(f"{name}_n"), *(["_na"] if name == "x" else []))
+    full = found.join(side("x"), ["_a", "x_b"]).join(side("y"), ["_a", "y_b"])
+    both = F.col("_na") - F.col("x_m") - F.col("y_m") + F.size(F.array_intersect("x_d", "y_d"))
+    return full.filter(100 * both >= percent * (F.col("x_n") + F.col("y_n") - both)).select(F.least("x_b", "y_b").alias("_a"), F.greatest("x_b", "y_b").alias("_b")).distinct()
+
+
+def connected(links: DataFrame) -> DataFrame:
+    """_id, _label (the component's smallest id) for every id on a link (_a, _b), _a < _b.
+
+    An id keeps the link to its smallest neighbour; its other links are replaced
+    by links of that neighbour.  Ids that are nobody's smaller end then hang on
+    one link each and wait for its label, and the rounds run over the few others.
+    """
+    parents = saved(links.groupBy("_b").agg(F.min("_a").alias("_p")), "near-parents")
+    hubs = links.select(F.col("_a").alias("_b")).distinct()
+    across = links.join(parents, "_b").filter("_a <> _p").select(F.least("_a", "_p").alias("_u"), F.greatest("_a", "_p").alias("_v"))
+    above = parents.join(hubs, "_b", "left_semi").select(F.col("_p").alias("_u"), F.col("_b").alias("_v"))
+    edges = across.union(above).distinct()
+    both = saved(edges.union(edges.select("_v", "_u")).union(hubs.select("_b", "_b")), "near-edges")
+    labels = saved(both.groupBy("_u").agg(F.min("_v").alias("_label")).select(F.col("_u").alias("_id"), "_label"), "near-labels")
     while True:
-        heard = both.join(labels.withColumnRenamed("_id", "_b"), "_b").groupBy("_a").agg(F.min("_label").alias("_heard"))
-        near = labels.join(heard.withColumnRenamed("_a", "_id"), "_id").select("_id", F.col("_label").alias("_old"), F.least("_label", "_heard").alias("_near"))
+        heard = both.join(labels.withColumnRenamed("_id", "_v"), "_v").groupBy("_u").agg(F.min("_label").alias("_heard"))
+        near = labels.join(heard.withColumnRenamed("_u", "_id"), "_id").select("_id", F.col("_label").alias("_old"), F.least("_label", "_heard").alias("_near"))
         # A label is an id of the same component: its own label is as good or better.
         jump = labels.select(F.col("_id").alias("_near"), F.col("_label").alias("_far"))
         after = saved(near.join(jump, "_near").select("_id", "_old", F.least("_near", "_far").alias("_label")), "near-labels")
         labels = after.select("_id", "_label")
         if after.filter("_old <> _label").isEmpty():
-            return labels
-
-
-def _similar_size(a: str, b: str, percent: int):
-    """Sets reach the threshold only if the smaller has that share of the larger."""
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+            break
+    rest = parents.join(hubs, "_b", "left_anti").join(labels.withColumnRenamed("_id", "_p"), "_p").select(F.col("_b").alias("_id"), "_label")
+    return saved(labels.union(rest), "near-labels")
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, bands: int, rows: int, seed: int) -> DataFrame:
@@ -186,13 +223,13 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
     signs = saved(_signatures(plain, width, bands, rows, seed), "near-signs")
     full = F.col("_n") > 0
     nameless = F.lit(NAMELESS) + F.pmod(F.xxhash64("_set"), F.lit(1 << 61))
-    reps = saved(signs.filter(full).groupBy("_set").agg(F.min("_id").alias("_rep"), F.first("_bands").alias("_bands"), F.first("_n").alias("_n")).withColumn("_rep", F.coalesce("_rep", nameless)), "near-reps")
-    members = reps.select("_rep", "_n", F.explode("_bands").alias("_key"))
-    shared = members.groupBy("_key").agg(F.min("_rep").alias("_hub"), F.max("_rep").alias("_far"), F.min_by("_n", "_rep").alias("_hub_n")).filter("_hub < _far")
-    buckets = saved(members.join(shared.select("_key", "_hub", "_hub_n"), "_key"), "near-buckets")
-    pairs = saved(buckets.filter((F.col("_rep") != F.col("_hub")) & _similar_size("_n", "_hub_n", percent)).select(F.col("_hub").alias("_a"), F.col("_rep").alias("_b")).distinct(), "near-pairs")
+    reps = saved(signs.filter(full).groupBy("_set").agg(F.min("_id").alias("_rep"), F.first("_bands").alias("_bands")).withColumn("_rep", F.coalesce("_rep", nameless)), "near-reps")
+    members = reps.select("_rep", F.explode("_bands").alias("_key"))
+    shared = members.groupBy("_key").agg(F.min("_rep").alias("_hub"), F.max("_rep").alias("_far")).filter("_hub < _far")
+    pairs = members.join(shared.select("_key", "_hub"), "_key").filter("_rep <> _hub").select(F.col("_hub").alias("_a"), F.col("_rep").alias("_b")).distinct()
+    pairs = saved(pairs, "near-pairs")
 
-    wanted = saved(buckets.select(F.col("_rep").alias("_id")).distinct(), "near-wanted")
+    wanted = saved(pairs.select(F.col("_a").alias("_id")).union(pairs.select("_b")).distinct(), "near-wanted")
     wanted = F.broadcast(wanted) if wanted.count() <= FEW_IDS else wanted
     texts = saved(plain.filter("_id is not null").join(wanted, "_id").select("_id", "_text"), "near-texts")
     if reps.filter(F.col("_rep") >= NAMELESS).limit(1).count():
@@ -200,28 +237,12 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
         signs_of = _signatures(plain.filter("_id is null").select(F.xxhash64("_text").alias("_id"), "_text"), width, bands, rows, seed)
         by_text = signs_of.select(F.col("_id").alias("_hash"), nameless.alias("_id")).distinct()
         texts = texts.unionByName(plain.filter("_id is null").select(F.xxhash64("_text").alias("_hash"), "_text").dropDuplicates(["_hash"]).join(by_text, "_hash").select("_id", "_text"))
-    edges = saved(_linked(pairs, texts, width, percent), "near-links")
-    tested = pairs
-    labels = connected(edges)
-    for last in (False, True):
-        now = buckets.join(labels.withColumnRenamed("_id", "_rep"), "_rep", "left").select("_key", "_rep", "_n", F.coalesce("_label", "_rep").alias("_label"))
-        mixed = now.groupBy("_key").agg(F.min("_label").alias("_low"), F.max("_label").alias("_high")).filter("_low < _high").select("_key")
-        open_ = saved(now.join(mixed, "_key"), "near-open")
-        if open_.isEmpty():
-            break
-        other = open_ if last else open_.groupBy("_key", "_label").agg(F.min("_rep").alias("_rep"), F.min_by("_n", "_rep").alias("_n"))
-        if not last:
-            other = saved(other, "near-hubs")
-        other = other.select("_key", F.col("_rep").alias("_rep2"), F.col("_n").alias("_n2"), F.col("_label").alias("_label2"))
-        ahead = F.col("_rep") < F.col("_rep2") if last else F.lit(True)
-        more = open_.join(other, "_key").filter(ahead & (F.col("_label") != F.col("_label2")) & _similar_size("_n", "_n2", percent))
-        more = more.select(F.least("_rep", "_rep2").alias("_a"), F.greatest("_rep", "_rep2").alias("_b")).distinct()
-        pairs = saved(more.join(tested, ["_a", "_b"], "left_anti"), "near-pairs")
-        tested = tested.union(pairs)
-        new = saved(_linked(pairs, texts, width, percent), "near-links")
-        if not new.isEmpty():
-            edges = edges.union(new)
-            labels = connected(edges)
+    star = saved(_compared(pairs, texts, width, percent), "near-star")
+    links = star.filter("_linked").select("_a", "_b")
+    labels = connected(links)
+    if not star.filter(~F.col("_linked")).isEmpty():
+        more = saved(_beside_hubs(star, labels, percent), "near-links")
+        labels = labels if more.isEmpty() else connected(links.union(more))
     groups = reps.select("_set", "_rep").join(labels.withColumnRenamed("_id", "_rep"), "_rep", "left").select("_set", F.coalesce("_label", "_rep").alias("_label"))
     groups = saved(groups, "near-groups")
     return signs.select("_id", "_n", "_set").join(groups, ["_set"], "left").select("_id", "_n", F.when(full, F.col("_label")).alias("_label"))
