@@ -11,9 +11,11 @@ half of (the squared sum of factors less the sum of squares).
 
 Fitting uses at most about ``sample_rows`` labelled rows, chosen by a hash of
 the id; their terms are hashed in Spark tasks and the driver sees only bucket
-numbers.  Buckets found in fewer than ``least_rows`` sampled rows, or whose rows
-are toxic about as often as any (by less than ``least_z`` standard deviations),
-have no part in the model: their weights would be noise that long texts add up.
+numbers.  A bucket is in the model if ``least_rows`` sampled rows have it and either
+its rows are toxic more or less often than any (by ``least_z`` standard
+deviations), or it is in a pair whose rows are toxic more or less often than
+those of each of the two (:func:`_paired`).  Weights of the others would be
+noise that long texts add up.
 Every text is scored whole, in numpy, a batch at a time.
 
 Defined results
@@ -89,7 +91,53 @@ def _constant(bits: int, bias: float) -> Machine:
     return Machine(bits, bias, np.zeros(0, np.int32), np.zeros(0), np.zeros((0, FACTORS)))
 
 
-def _train(rows: list[np.ndarray], y: np.ndarray, bits: int, least_rows: int, least_z: float, epochs: int, rate: float, decay: float, seed: int) -> Machine:
+#: Into so many parts the terms are dealt for the screening of pairs.
+PARTS = 48
+
+
+def _pairs(part: int, flat: np.ndarray, starts: np.ndarray, y: np.ndarray, count: int, least_rows: int, chance: float) -> tuple[int, list[tuple[int, int, float]]]:
+    """Pairs tested whose first term is of this part, and those that pass for as many tests: terms, bound."""
+    row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    seen, toxic = np.bincount(flat, minlength=count), np.bincount(flat, y[row], count)
+    share = toxic / np.maximum(seen, 1)
+    order = np.argsort(flat, kind="stable")
+    holders = np.split(order, np.cumsum(seen)[:-1])
+    tested, found = 0, []
+    for a in range(part, count, PARTS):
+        # Rows are sorted: what comes after a, so that each pair is met once.
+        ahead = lambda at: np.bincount(np.concatenate([flat[i + 1 : starts[row[i] + 1]] for i in at] or [flat[:0]]), minlength=count)
+        n = ahead(holders[a])
+        b = np.flatnonzero(n >= least_rows)
+        tested += len(b)
+        n = n[b]
+        q = ahead(holders[a][y[row[holders[a]]] == 1])[b] / np.maximum(n, 1)
+        p = np.clip(q, np.minimum(share[a], share[b]), np.maximum(share[a], share[b])).clip(1e-6, 1 - 1e-6)
+        bound = n * (q * np.log(np.maximum(q, 1e-12) / p) + (1 - q) * np.log(np.maximum(1 - q, 1e-12) / (1 - p)))
+        far = bound > np.log(max(1, tested) / chance)
+        found += [(a, int(k), float(x)) for k, x in zip(b[far], bound[far], strict=True)]
+    return tested, found
+
+
+def _paired(rows: list[np.ndarray], y: np.ndarray, count: int, least_rows: int, spread=map, chance: float = 0.01) -> np.ndarray:
+    """Which of ``count`` terms are in a pair that is toxic more often than either term, or less often than either.
+
+    The rows with both terms number n, a share q of them toxic; p is the share
+    of the term nearer to q.  By Chernoff's bound, q is by chance with
+    probability exp(-n KL(q, p)) at most: times the pairs that are tested, that
+    must be below ``chance``.
+    """
+    starts = np.cumsum([0, *map(len, rows)])
+    flat = np.concatenate(rows)
+    parts = list(spread(lambda part: _pairs(part, flat, starts, y, count, least_rows, chance), range(PARTS)))
+    least = np.log(max(1, sum(tested for tested, _ in parts)) / chance)
+    out = np.zeros(count, bool)
+    for a, b, bound in (x for _, found in parts for x in found):
+        if bound > least:
+            out[[a, b]] = True
+    return out
+
+
+def _train(rows: list[np.ndarray], y: np.ndarray, bits: int, least_rows: int, least_z: float, epochs: int, rate: float, decay: float, seed: int, spread=map) -> Machine:
     """Mini-batch AdaGrad on the logistic loss, the two classes weighted to the same total."""
     draw = np.random.default_rng(seed)
     buckets, at = np.unique(np.concatenate(rows), return_inverse=True)
@@ -97,7 +145,11 @@ def _train(rows: list[np.ndarray], y: np.ndarray, bits: int, least_rows: int, le
     seen, toxic = np.bincount(at, minlength=len(buckets)), np.bincount(at, np.repeat(y, lengths), len(buckets))
     share = np.clip(y.mean(), 1e-6, 1 - 1e-6)
     z = (toxic - seen * share) / np.sqrt(seen * share * (1 - share))
-    live = buckets[(seen >= least_rows) & (np.abs(z) >= least_z)]
+    common = seen >= least_rows
+    kept = [np.searchsorted(buckets[common], t[np.isin(t, buckets[common])]) for t in rows]
+    paired = np.zeros(len(buckets), bool)
+    paired[common] = _paired(kept, y, int(common.sum()), least_rows, spread)
+    live = buckets[common & ((np.abs(z) >= least_z) | paired)]
     rows = [np.searchsorted(live, t[np.isin(t, live)]) for t in rows]
     cost = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
     w, v = np.zeros(len(live)), draw.normal(0, 0.01, (len(live), FACTORS))
@@ -151,7 +203,8 @@ def fit(
     rows = [x.values.to_numpy(zero_copy_only=False) for x in got["_terms"].combine_chunks()] if got.num_rows else []
     if not rows:
         return _constant(bits, -50.0)
-    return _train(rows, got["_y"].to_numpy().astype(float), bits, least_rows, least_z, epochs, rate, decay, seed)
+    spread = lambda f, parts: docs.sparkSession.sparkContext.parallelize(parts, len(parts)).map(f).collect()
+    return _train(rows, got["_y"].to_numpy().astype(float), bits, least_rows, least_z, epochs, rate, decay, seed, spread)
 
 
 def annotate(docs: DataFrame, machine: Machine, text_col: str = "text", threshold: float = 0.5) -> DataFrame:

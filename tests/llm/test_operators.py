@@ -353,6 +353,24 @@ def test_factorization_learns_a_pair():
     assert only.max() < 0.5 < both[0]
 
 
+def test_factorization_keeps_a_pair_of_neutral_terms():
+    """Toxic where both terms meet or neither does: each alone is near neutral, below 4 standard deviations."""
+    draw = np.random.default_rng(1)
+    rows, y = [], []
+    for _ in range(4000):
+        a, b = draw.random(2) < 0.5
+        rows.append(np.array(sorted({*([1] if a else []), *([2] if b else []), *draw.integers(10, 400, 20).tolist()}), np.int32))
+        y.append(float(a == b))
+    y = np.array(y)
+    for k in (1, 2):
+        has = np.array([k in t for t in rows])
+        assert abs(y[has].sum() - has.sum() * y.mean()) < 4 * np.sqrt(has.sum() * y.mean() * (1 - y.mean()))
+    machine = toxicity._train(rows, y, 24, 10, 4.0, 60, 0.3, 1e-5, 3)
+    assert machine.buckets.tolist() == [1, 2]
+    one, two, both, none = machine.score([np.array([0]), np.array([1]), np.array([0, 1]), np.array([], int)])
+    assert max(one, two) < 0.5 < min(both, none)
+
+
 # 7
 
 
