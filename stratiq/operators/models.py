@@ -54,9 +54,21 @@ def pca_scores(df: DataFrame, features: Sequence[str], n: int) -> DataFrame:
     return out.withColumn("origin_dist", F.sqrt(sum((F.col(f"pc{i + 1}") ** 2 for i in range(n)), F.lit(0.0)))).drop("_v", "_pc", "_a", *z)
 
 
+def evaluation_sample(df: DataFrame, key: str, least: int = 2000, share: float = 0.2) -> DataFrame:
+    """max(least, share of the rows) rows, those of the smallest hashes of the key; all if there are no more."""
+    rows = df.withColumn("_h", F.pmod(F.xxhash64(key, F.lit("k-sample")), F.lit(1 << 52)).cast("double"))
+    count = rows.count()
+    want = max(least, int(np.ceil(share * count)))
+    if count <= want:
+        return df
+    cut = rows.approxQuantile("_h", [want / count], 0.0)[0]
+    return rows.filter(F.col("_h") <= cut).drop("_h")
+
+
 def k_report(df: DataFrame, key: str, features: Sequence[str], ks: Sequence[int], boots: int = 2, seed: int = 1) -> DataFrame:
     """Indices for each k on an evaluation sample that the caller has drawn, their z-scores, and the composite score."""
     rows = saved(df.select(key, *features), "k-sample")
+    count = rows.count()
     found = []
     for k in ks:
         whole, cost = kmeans(rows, features, k, restarts=1, seed=seed)
@@ -68,7 +80,7 @@ def k_report(df: DataFrame, key: str, features: Sequence[str], ks: Sequence[int]
             both = again.select(key, "_again").join(whole.select(key, "stratum"), key)
             stable.append(cluster_jaccard(both, "stratum", "_again").agg(F.avg("jaccard")).first()[0])
         one = lambda t: float(t.first()[0] or 0.0)
-        found.append((int(k), one(silhouette(whole, key, "stratum", features)), one(calinski_harabasz(whole, "stratum", features)), one(davies_bouldin(whole, "stratum", features)), float(cost), float(np.mean(stable))))
+        found.append((int(k), one(silhouette(whole, key, "stratum", features, sample=count)), one(calinski_harabasz(whole, "stratum", features)), one(davies_bouldin(whole, "stratum", features)), float(cost), float(np.mean(stable))))
     table = pd.DataFrame(found, columns=["k", "silhouette", "ch", "db", "wss", "stability"])
     z = lambda c: (table[c] - table[c].mean()) / (table[c].std() or 1.0)
     table["score"] = z("silhouette") + z("ch") - z("db") - 0.5 * z("wss") + 2 * z("stability")

@@ -52,7 +52,7 @@ def meanshift_labels(spark, sf_dir):
 
 @query()
 def choose_k_report(spark, sf_dir):
-    return M.k_report(v_dist(spark, sf_dir).orderBy("segment_id").limit(2000), "segment_id", [f"d_{c}" for c in DOMAINS], [3, 5])
+    return M.k_report(M.evaluation_sample(v_dist(spark, sf_dir), "segment_id"), "segment_id", [f"d_{c}" for c in DOMAINS], [3, 5])
 
 
 @query()

@@ -219,3 +219,17 @@ def test_sinks_fill_to_the_lowest_pass(spark):
                     heapq.heappush(heap, (level[n], *n))
     df = spark.createDataFrame([(r, c, v) for (r, c), v in z.items()], "row long, col long, z double")
     assert {(r["row"], r["col"]): r["level"] for r in raster.fill_sinks(df, "z").collect()} == level
+
+
+def test_evaluation_sample_is_a_fifth_of_all_ids(spark):
+    for n, want in ((1500, 1500), (3000, 2000), (20000, 4000)):
+        ids = [r["id"] for r in M.evaluation_sample(spark.range(n), "id").collect()]
+        assert abs(len(ids) - want) <= 1 and len(set(ids)) == len(ids)
+        assert abs(sum(ids) / len(ids) - n / 2) < 0.05 * n
+
+
+def test_k_report_takes_the_silhouette_of_all_rows(spark):
+    """The first 500 ids are one far group; the rest are two: a prefix of ids sees a single cluster, silhouette 0."""
+    rows = [(i, (0.0 if i < 500 else 100.0 if i < 750 else 200.0) + i % 5) for i in range(1000)]
+    got = M.k_report(spark.createDataFrame(rows, "id long, x double"), "id", ["x"], [3]).first()
+    assert got["silhouette"] > 0.9
