@@ -1,4 +1,8 @@
-"""What the training-data operators share: table access, word rules, scratch tables."""
+"""What the training-data operators share: table access, word rules, samples, scratch tables, joins on hot keys.
+
+Batches of whole texts need no setting: Spark ends an Arrow batch at
+``spark.sql.execution.arrow.maxBytesPerBatch``, 64 MB unless set otherwise.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +14,8 @@ from pyspark.sql import functions as F
 #: ASCII white space, as the class body of a regular expression.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
+#: Tables of up to so many rows of a few numbers each may be broadcast.
+FEW_ROWS = 1_000_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,34 +32,67 @@ def fold(id_col: Column | str, folds: int) -> Column:
     return F.crc32(F.encode(F.coalesce(col.cast("string"), F.lit("")), "UTF-8")) % folds
 
 
+def drawn(key: Column | str, seed: str, share: Column | float) -> Column:
+    """True for about ``share`` of the keys, chosen by a hash; shares down to 2^-52 count."""
+    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 52)) < F.lit(float(1 << 52)) * (F.lit(share) if isinstance(share, float) else share)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for tables between jobs.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset,
-    as in local tests, a folder of our own is chosen and recorded there.
+    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset in
+    a session of one local process, as in tests, a folder of our own is chosen.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "/tmp/checkpoints/stratiq"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return "/tmp/checkpoints/stratiq"
+
 
+def saved(df: DataFrame, name: str, into: list[str] | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: this cuts lineage and survives lost executors.
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: this cuts lineage and survives lost executors."""
+    The path is appended to ``into``, for :func:`removed`.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if into is not None:
+        into.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def text_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """``df``, with at most ``rows`` rows to an Arrow batch in its session: batches of whole texts stay far below Arrow's 2 GB."""
-    conf = df.sparkSession.conf
-    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= rows:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df
+def hot_keys(counts: DataFrame, n: str = "_n", share: int = 500, least: int = 64, most: int = 100_000) -> DataFrame:
+    """Of ``counts`` (a row for each key, with its rows ``n``) the keys that would fill a task: over 1/share of all rows, or over ``most``.
+
+    They number at most share + rows / most.
+    """
+    limit = counts.agg(F.least(F.greatest(F.sum(n) / F.lit(share), F.lit(float(least))), F.lit(float(most))).alias("_limit"))
+    return counts.join(F.broadcast(limit), F.col(n) > F.col("_limit")).drop("_limit")
+
+
+def looked_up(rows: DataFrame, key: str, table: DataFrame, value: str, scratch: list[str] | None = None) -> DataFrame:
+    """``rows`` with ``value`` from a table that has each ``key`` at most once; rows without a match go.
+
+    Keys that many rows share meet their value by broadcast, the others by shuffle.
+    """
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    hot = saved(hot_keys(counts).select(key).join(table.select(key, value), key), "hot-values", scratch)
+    if hot.isEmpty():
+        return rows.join(table.select(key, value), key)
+    near = rows.join(F.broadcast(hot), key)
+    far = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.select(key, value), key)
+    return near.unionByName(far)
