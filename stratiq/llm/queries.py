@@ -31,7 +31,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.decide(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.decide(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "shards")
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
