@@ -21,8 +21,8 @@ Every text is scored whole, in numpy, a batch at a time.
 Defined results
 ---------------
 * Null, empty and wordless texts get the logistic of the bias.
-* Labels other than 0 and 1, and null labels, do not train.  Without labelled
-  rows every score is 0.
+* Labels other than 0 and 1, and null labels, do not train.  An id with labels
+  that differ counts as toxic.  Without labelled rows every score is 0.
 * Repeated rows give equal results; an empty table gives an empty result.
 * Further columns are ignored by ``fit`` and kept by ``annotate``; ValueError is
   raised if the input already has a column named like an output.
@@ -40,7 +40,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_batches
+from .common import drawn
+
 
 BITS, FACTORS = 24, 8
 EDGES = b".,;:!?\"'()[]{}*#$%&|<>-_/\\"
@@ -185,12 +186,11 @@ def fit(
     bits: int = BITS, least_rows: int = 10, least_z: float = 4.0, epochs: int = 60, rate: float = 0.3, decay: float = 1e-5, seed: int = 3,
 ) -> Machine:
     """Learn from about ``sample_rows`` of the labelled rows given."""
-    marked = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).dropDuplicates(["_id"])
+    marked = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
     count = marked.count()
     if not count:
         return _constant(bits, -50.0)
-    draw = F.pmod(F.xxhash64("_id", F.lit("toxicity")), F.lit(1_000_000))
-    sample = marked.filter(draw < F.lit(int(min(1.0, sample_rows / count) * 1_000_000)))
+    sample = marked.filter(drawn("_id", "toxicity", sample_rows / count))
     texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text")).join(F.broadcast(sample), "_id").select("_id", "_y", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +199,7 @@ def fit(
             found = [table.of(x.as_py()) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["_id", "_y", "_terms"])
 
-    got = text_batches(texts).mapInArrow(run, "_id long, _y int, _terms array<int>").toArrow().sort_by("_id")
+    got = texts.mapInArrow(run, "_id long, _y int, _terms array<int>").toArrow().sort_by("_id")
     rows = [x.values.to_numpy(zero_copy_only=False) for x in got["_terms"].combine_chunks()] if got.num_rows else []
     if not rows:
         return _constant(bits, -50.0)
@@ -224,4 +224,4 @@ def annotate(docs: DataFrame, machine: Machine, text_col: str = "text", threshol
                 added = [pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "score", "predicted"])
 
-    return text_batches(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
