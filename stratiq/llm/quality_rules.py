@@ -16,7 +16,8 @@ Defined results
 * Null text counts as empty: all statistics 0, base_failed true, kept false.
 * With no labelled rows, or no rule that holds on the pruning part, the list is
   empty and every text that passes the base rule is kept.
-* Labels other than 0 and 1, and null labels, do not train.
+* Labels other than 0 and 1, and null labels, do not train.  An id with labels
+  that differ counts as poor.
 * Repeated rows give equal results; an empty table gives an empty result.
 * Further columns are ignored, whatever their names.
 * Windows of words are compared by a 64-bit hash within their own text.
@@ -30,7 +31,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, saved
+from .common import SPACE, WORD, drawn, saved
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -169,12 +170,11 @@ def base_failed() -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 20_000, **options) -> list[Rule]:
     """Rules from at most about ``sample_rows`` labelled rows, whole texts."""
-    marked = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label")).dropDuplicates(["_id"])
+    marked = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_label"))
     count = marked.count()
     if not count:
         return []
-    draw = F.pmod(F.xxhash64("_id", F.lit("rules")), F.lit(1_000_000))
-    sample = marked.filter(draw < F.lit(int(min(1.0, sample_rows / count) * 1_000_000))).withColumn("_part", F.pmod(F.xxhash64("_id", F.lit("parts")), F.lit(3)))
+    sample = marked.filter(drawn("_id", "rules", sample_rows / count)).withColumn("_part", F.pmod(F.xxhash64("_id", F.lit("parts")), F.lit(3)))
     texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text")).join(F.broadcast(sample), "_id")
     stats = saved(statistics(texts, "_text", ["_label", "_part"]), "rules-sample")
     return learn(stats.filter(~base_failed()), "_label", **options)
