@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved, text_batches
+from .common import saved
 
 BANDS, ROWS = 40, 6
 CIRCLE = 1 << 20
@@ -129,7 +129,7 @@ def _signatures(docs: DataFrame, width: int, bands: int, rows: int, seed: int) -
                     [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["_id", "_n", "_set", "_bands"]
                 )
 
-    return text_batches(docs).mapInArrow(run, "_id long, _n long, _set binary, _bands array<long>")
+    return docs.mapInArrow(run, "_id long, _n long, _set binary, _bands array<long>")
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -155,7 +155,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     one = texts.select(F.col("_id").alias("_a"), F.col("_text").alias("_x"))
     two = texts.select(F.col("_id").alias("_b"), F.col("_text").alias("_y"))
     full = pairs.join(two, "_b").join(one, "_a").select("_a", "_b", "_x", "_y")
-    return text_batches(full).mapInArrow(run, "_a long, _b long, _na long, _nb long, _m long, _n long, _d array<long>, _linked boolean")
+    return full.mapInArrow(run, "_a long, _b long, _na long, _nb long, _m long, _n long, _d array<long>, _linked boolean")
 
 
 def _beside_hubs(star: DataFrame, labels: DataFrame, percent: int) -> DataFrame:

@@ -145,46 +145,85 @@ def test_near_dedup_null_ids_and_columns(spark, docs, empty):
 # 3
 
 
-def test_targets():
-    assert mixing.targets([100, 100, 100]) == pytest.approx([50, 100, 150])
-    assert mixing.targets([1000, 1000, 10]) == pytest.approx([660, 1320, 30])
-    assert mixing.targets([]) == [] and mixing.targets([0, 0]) == [0, 0]
+def targets(sizes, weights=(1, 2, 3), most=3):
+    """Rounds of sharing: what a source can't take goes to the others by weight."""
+    want, open_ = [0.0] * len(sizes), set(range(len(sizes)))
+    while open_:
+        left = sum(sizes) - sum(want[i] for i in range(len(sizes)) if i not in open_)
+        level = left / sum(weights[i % len(weights)] for i in open_)
+        over = {i for i in open_ if level * weights[i % len(weights)] > most * sizes[i]}
+        for i in over or open_:
+            want[i] = min(most * sizes[i], level * weights[i % len(weights)])
+        if not over:
+            break
+        open_ -= over
+    return want
+
+
+def test_targets(spark):
+    for sizes in ([100, 100, 100], [1000, 1000, 10], [0, 0], [5, 0, 7, 900, 20, 20, 3], []):
+        names = ["B", "a", "b", "c", "d", "e", None][: len(sizes)]
+        got = mixing.targets(spark.createDataFrame(list(zip(names, sizes, sizes, strict=True)), "_source string, _n long, _docs long"), (1, 2, 3), 3).orderBy("_s").collect()
+        assert [r["_source"] for r in got] == names and [r["_target"] for r in got] == pytest.approx(targets(sizes))
 
 
 def test_split_tree_is_exact():
     quotas = np.array([7, 0, 100, 13])
-    shares = mixing.split_tree(quotas, 5, 1)
-    assert (shares.sum(axis=0) == quotas).all() and (shares >= 0).all() and np.ptp(shares.sum(axis=1)) <= 1
-    assert (shares == mixing.split_tree(quotas, 5, 1)).all()
+    shares = mixing.even(int(quotas.sum()), 5)
+    found = mixing.split_tree(quotas, shares, (1,))
+    assert (found.sum(axis=0) == quotas).all() and (found.sum(axis=1) == shares).all() and (found >= 0).all() and np.ptp(shares) <= 1
+    assert (found == mixing.split_tree(quotas, shares, (1,))).all()
 
 
-def test_mixing(spark):
+@pytest.mark.parametrize("group, few", [(4096, 2000), (2, 1)])
+def test_mixing(spark, monkeypatch, group, few):
+    monkeypatch.setattr(mixing, "GROUP", group)
+    monkeypatch.setattr(mixing, "FEW_SOURCES", few)
     draw = random.Random(2)
-    rows = [(i, " ".join(["w"] * draw.randrange(1, 60)), ["a", "b", "B", None][min(3, draw.randrange(6))]) for i in range(1200)] + [(5000, None, "a"), (5001, "", None)]
+    rows = [(i, " ".join(["w"] * draw.randrange(1, 60)), ["a", "b", "B", None][min(3, draw.randrange(6))]) for i in range(1200)] + [(5000, None, "a"), (5001, "", None), (5002, "w", "small"), (5003, "", "small"), (5004, None, "none")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = mixing.decide(df, block_docs=64).collect()
     size = {r[0]: len(WORD.findall(r[1] or "")) for r in rows}
     sources = sorted({r[2] for r in rows if r[2]}) + [None]
     total = {s: sum(size[r[0]] for r in rows if r[2] == s) for s in sources}
-    want = dict(zip(sources, mixing.targets([total[s] for s in sources]), strict=True))
+    want = dict(zip(sources, targets([total[s] for s in sources]), strict=True))
     taken = defaultdict(int)
     assert len(got) == len(rows)
     for r in got:
         assert (r["size"], r["source_size"]) == (size[r["doc_id"]], total[r["source"]]) and r["target"] == pytest.approx(want[r["source"]])
-        assert 0 <= r["taken"] <= 3 * r["size"] and all(0 <= s < 64 for s in r["shards"])
+        assert len(r["shards"]) <= 3 and r["taken"] == len(r["shards"]) * r["size"] and all(0 <= s < 64 for s in r["shards"])
         taken[r["source"]] += r["taken"]
     for s in sources:
         assert abs(taken[s] - want[s]) <= 30
     assert bag(mixing.decide(df, block_docs=64), "doc_id", "taken") == Counter((r["doc_id"], r["taken"]) for r in got)
     mixed = mixing.mix(df, block_docs=64)
-    assert mixed.columns == df.columns and mixed.count() == sum(len(r["shards"]) for r in got)
+    assert mixed.columns == df.columns and Counter(r["doc_id"] for r in mixed.collect()) == Counter({r["doc_id"]: len(r["shards"]) for r in got if r["shards"]})
+
+
+def test_mixing_shards_are_the_trees_runs(spark):
+    """Of whole blocks, each shard holds as many of each source as the tree gives it, in runs that meet no other's."""
+    rows = [(i, "one two three", "abc"[i % 3]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.decide(df, block_docs=20, shards=7).collect()
+    planned = mixing._planned(df, "doc_id", "text", "source", (1, 2, 3), 3, 7, 7, 20, False).select("_id", "_source", "_k", "_block", "_passes", "_cuts", "_shards").collect()
+    assert {r["_id"]: list(r["_shards"]) for r in planned} == {r["doc_id"]: list(r["shards"]) for r in got}
+    cuts = {r["_source"]: list(r["_cuts"]) for r in planned}
+    for source, ends in cuts.items():
+        held = defaultdict(set)
+        for r in planned:
+            if r["_source"] == source:
+                for t, shard in enumerate(r["_shards"]):
+                    held[shard].add(t * r["_k"] + r["_block"])
+        starts = [0, *ends[:-1]]
+        for shard, (a, b) in enumerate(zip(starts, ends, strict=True)):
+            assert held[shard] <= set(range(a, b)) and len(set(range(a, b)) - held[shard]) <= 1  # a last block may give nothing
+    sums = [sum(c[k] - (c[k - 1] if k else 0) for c in cuts.values()) for k in range(7)]
+    assert max(sums) - min(sums) <= 1  # quotas are dealt evenly
 
 
 def test_mixing_edges(docs, empty):
     assert mixing.decide(empty).count() == 0 and mixing.mix(empty).count() == 0
     assert mixing.decide(docs).count() == docs.count() and mixing.mix(docs).columns == docs.columns
-    with pytest.raises(ValueError, match="sources"):
-        mixing.decide(docs, max_sources=1)
 
 
 # 5 and 2
@@ -248,31 +287,75 @@ def test_token_counts_equal_a_unigram_library():
         assert trie.count(word) == len(library.encode(word).ids), word
 
 
+def test_token_counts_bounds_memory():
+    """Long pre-tokens never enter the trie; counts are those of the trie."""
+    scores, byte = token_counts.vocabulary(piece_model())
+    wide, narrow = token_counts.Trie(scores, byte, 1_000_000), token_counts.Trie(scores, byte, 300, 40)
+    draw = random.Random(7)
+    for n in (1, 39, 40, 41, 200, 900):
+        word = "▁" + "".join(draw.choice("theanding日é") for _ in range(n))
+        assert narrow.count(word) == wide.count(word)
+        assert len(narrow.forward) <= 300
+    long = "".join(draw.choice("theanding") for _ in range(1_000_000))
+    total, nodes = narrow.count("▁" + long), len(narrow.forward)
+    assert 100_000 < total < 1_000_000 and nodes <= 300
+
+
 # 6
 
 
+def brute_languages(rows, texts, bits=language.BITS):
+    """Posteriors by counting n-grams one at a time."""
+
+    def each(text):
+        codes = [(ord(c) + 1) * 2654435761 % 2**32 for c in text.lower()]
+        two = [(((a ^ a >> 15) * 0x9E3779B1) + b) % 2**32 for a, b in zip(codes, codes[1:], strict=False)]
+        three = [(((a ^ a >> 13) * 0x9E3779B1) + b) % 2**32 for a, b in zip(two, codes[2:], strict=False)]
+        return [x >> 32 - bits for x in [*codes, *(x * 2654435761 % 2**32 for x in two), *(x * 2654435761 % 2**32 for x in three)]]
+
+    names = sorted({lang for _, lang in rows})
+    counts = {k: Counter(g for t, lang in rows if lang == k for g in each(t)) for k in names}
+    whole = {k: sum(c.values()) + 0.5 * 2**bits for k, c in counts.items()}
+    out = []
+    for text in texts:
+        logs = [np.log(sum(lang == k for _, lang in rows) / len(rows)) + sum(np.log((counts[k][g] + 0.5) / whole[k]) for g in each(text)) for k in names]
+        out.append((names[int(np.argmax(logs))], 1 / np.exp(np.array(logs) - max(logs)).sum()))
+    return out
+
+
 def test_language(spark, empty, docs):
     words = {"aa": "alba casa mare luna".split(), "bb": "xyth qorr zemm vulp".split()}
     draw = random.Random(3)
-    rows = [(i, " ".join(draw.choice(words[k]) for _ in range(12)), k) for i in range(200) for k in ["aa" if i % 2 else "bb"]]
-    df = spark.createDataFrame(rows + [(900, None, "aa"), (901, "123 !!", "bb"), (902, "", None), (903, "casa " * 3000, None)], "doc_id long, text string, lang string")
-    model = language.fit(df.filter("doc_id % 4 <> 2"))
+    rows = [(i, " ".join(draw.choice(words[k]) for _ in range(12)), k) for i in range(200) for k in ["aa" if i % 3 else "bb"]]
+    more = [(900, None, "aa"), (901, "123 !!", "bb"), (902, "", None), (903, "casa " * 3000, None), (904, "½ ²³ Ⅷ ① _", None), (905, "casa xyth", None), (906, "A", None)]
+    df = spark.createDataFrame(rows + rows[:9] + more, "doc_id long, text string, lang string").repartition(3)
+    train = df.filter("doc_id % 4 <> 2")
+    model = language.fit(train)
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.annotate(df.drop("lang"), model).collect()}
     assert all(got[r[0]][0] == r[2] for r in rows) and all(0 <= s <= 1 for _, s in got.values())
-    assert got[900] == got[901] == got[902] == ("und", 0.0) and got[903][0] == "aa"
+    assert got[900] == got[901] == got[902] == got[904] == ("und", 0.0) and got[903][0] == "aa"
+    texts = {r[0]: r[1] for r in rows + more}
+    asked = [i for i in got if got[i][0] != "und"]
+    want = brute_languages([(r["text"], r["lang"]) for r in train.collect() if r["text"] and r["lang"]], [texts[i] for i in asked])
+    assert [got[i][0] for i in asked] == [x[0] for x in want] and [got[i][1] for i in asked] == pytest.approx([x[1] for x in want], abs=1e-4)
     nothing = language.fit(empty)
     assert {r["lang_pred"] for r in language.annotate(docs.drop("score"), nothing).collect()} == {"und"}
+    for clash in ("score", "lang_pred"):
+        with pytest.raises(ValueError, match="already"):
+            language.annotate(spark.createDataFrame([("x", 1.0)], f"text string, {clash} double"), model)
 
 
 def test_language_blocks_lose_no_gram(monkeypatch):
-    text = "".join(random.Random(5).choice("abcdé日") for _ in range(997))
-    model = language.Model(["p", "q"], np.random.default_rng(1).normal(size=(1 << language.BITS, 2)).astype(np.float32) / 50)
-    whole = model.score(text)
-    grams = np.sort(np.concatenate(list(language.buckets(text))))
+    draw = random.Random(5)
+    texts = ["".join(draw.choice("abcdé日") for _ in range(n)) for n in (997, 1, 2, 0, 3, 50)]
+    model = language.Model(["p", "q"], np.random.default_rng(1).normal(size=(1 << language.BITS, 2)).astype(np.float32) / 50, np.log([0.3, 0.7]))
+    whole = model.score(texts)
+    single = [model.score([t]) for t in texts]
+    assert whole[0] == [x[0][0] for x in single] and whole[1] == pytest.approx([x[1][0] for x in single])
     for block in (1, 2, 3, 10, 500):
         monkeypatch.setattr(language, "BLOCK", block)
-        assert (np.sort(np.concatenate(list(language.buckets(text)))) == grams).all()
-        assert model.score(text) == (whole[0], pytest.approx(whole[1]))
+        found = model.score(texts)
+        assert found[0] == whole[0] and found[1] == pytest.approx(whole[1])
 
 
 # 8

@@ -8,10 +8,9 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from stratiq.llm import mixing
 from stratiq.llm.queries import piece_model
 
-from .test_operators import SPACE, WORD, brute_components
+from .test_operators import SPACE, WORD, brute_components, targets
 
 DATA = "/root/testdata/sf0.001"
 
@@ -45,7 +44,7 @@ def test_stages(stages):
 
     size = {i: len(WORD.findall(t)) for i, t in zip(apart.doc_id, apart.text, strict=True)}
     sources = sorted(set(apart.source))
-    want = mixing.targets([sum(size[i] for i in apart.doc_id[apart.source == s]) for s in sources])
+    want = targets([sum(size[i] for i in apart.doc_id[apart.source == s]) for s in sources])
     times = Counter(mixed.doc_id)
     assert set(times) <= set(apart.doc_id) and max(times.values()) <= 3
     for s, target in zip(sources, want, strict=True):
