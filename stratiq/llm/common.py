@@ -78,21 +78,23 @@ def shuffle_parts(spark: SparkSession) -> int:
 def hot_keys(counts: DataFrame, n: str = "_n", share: int = 500, least: int = 64, most: int = 100_000) -> DataFrame:
     """Of ``counts`` (a row for each key, with its rows ``n``) the keys that would fill a task: over 1/share of all rows, or over ``most``.
 
-    They number at most share + rows / most.
+    They number at most share + rows / most.  ``_parts`` says into how many parts of that size a key falls.
     """
     limit = counts.agg(F.least(F.greatest(F.sum(n) / F.lit(share), F.lit(float(least))), F.lit(float(most))).alias("_limit"))
-    return counts.join(F.broadcast(limit), F.col(n) > F.col("_limit")).drop("_limit")
+    return counts.join(F.broadcast(limit), F.col(n) > F.col("_limit")).withColumn("_parts", F.ceil(F.col(n) / F.col("_limit")).cast("int")).drop("_limit")
 
 
-def looked_up(rows: DataFrame, key: str, table: DataFrame, value: str, scratch: list[str] | None = None) -> DataFrame:
+def looked_up(rows: DataFrame, key: str, table: DataFrame, value: str, counts: DataFrame | None = None, scratch: list[str] | None = None) -> DataFrame:
     """``rows`` with ``value`` from a table that has each ``key`` at most once; rows without a match go.
 
-    Keys that many rows share meet their value by broadcast, the others by shuffle.
+    Keys that many rows share meet their value by broadcast, the others by
+    shuffle.  ``counts``: the rows of each key as ``_n``, where they are known.
     """
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    hot = saved(hot_keys(counts).select(key).join(table.select(key, value), key), "hot-values", scratch)
+    counts = counts if counts is not None else rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    table = table.select(key, value)
+    hot = saved(hot_keys(counts.select(key, "_n")).select(key).join(table, key), "hot-values", scratch)
     if hot.isEmpty():
-        return rows.join(table.select(key, value), key)
+        return rows.join(table, key)
     near = rows.join(F.broadcast(hot), key)
-    far = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.select(key, value), key)
+    far = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table, key)
     return near.unionByName(far)

@@ -7,13 +7,14 @@ and names the row that stays.
 
 Splitters carry a short prefix, a 64-bit digest and a salt in place of whole
 texts: what the sample brings to the driver is then at most about 60 bytes a
-row, while equal texts still agree on all three and so meet in one run.
+row, while equal texts still agree on all three and so meet in one run.  The
+columns of the sort are written once; the sample and the sort read them.
 
 A text held by very many rows would fill one partition.  Digests are counted
-first (partial aggregates, 16 bytes a row); the few that hold more than
-1/``hot_share`` of the rows, fewer than ``hot_share`` by construction, get
-``salts`` sorted runs each.  A second content sort over the runs' survivors,
-at most ``hot_share * salts`` rows, joins those runs.
+first (partial aggregates, 16 bytes a row); one that holds more than
+1/``hot_share`` of the rows, or more than ``hot_rows``, is dealt to sorted runs
+of about that many rows, row by row and whatever the ids.  A second content sort
+over the runs' survivors, one for each run of a hot text, joins those runs.
 
 Defined results
 ---------------
@@ -30,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, saved, shuffle_parts
+from .common import FEW_ROWS, SPACE, hot_keys, saved, shuffle_parts
 
 PREFIX = 32
 
@@ -40,20 +41,14 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), f"[{SPACE}]+", "")
 
 
-def _hot(keys: DataFrame, hot_share: int) -> DataFrame:
-    """Digests of more than 1/hot_share of the rows: fewer than hot_share of them."""
-    counts = keys.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n"))
-    total = keys.agg(F.greatest(F.count(F.lit(1)) / F.lit(hot_share), F.lit(64.0)).alias("_least"))
-    return counts.join(F.broadcast(total), F.col("_n") > F.col("_least")).select("_digest", F.lit(True).alias("_hot"))
-
-
-def _content_sorted(rows: DataFrame, parts: int) -> DataFrame:
-    """Range-partition by content, sort, and compare neighbours: adds _rank, _size, _best."""
+def _content_sorted(rows: DataFrame, parts: int, content: Column) -> DataFrame:
+    """Range-partition by content, sort, and compare neighbours: adds _norm (the content), _rank, _size, _best."""
     run = Window.partitionBy("_prefix", "_digest", "_salt", "_norm")
     best = run.orderBy(F.col("_len").desc(), F.col("_id").asc_nulls_last())
     whole = best.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return (
         rows.repartitionByRange(parts, "_prefix", "_digest", "_salt")
+        .withColumn("_norm", content)
         .withColumn("_rank", F.row_number().over(best))
         .withColumn("_size", F.sum("_n").over(whole))
         .withColumn("_best", F.first("_id").over(whole))
@@ -61,51 +56,53 @@ def _content_sorted(rows: DataFrame, parts: int) -> DataFrame:
     )
 
 
-def decide(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_share: int = 200, salts: int = 64, carry: list[str] | None = None
-) -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, text_sha256, and the columns in ``carry``."""
-    carry = carry or []
+def _decided(docs: DataFrame, id_col: str, text_col: str, hot_share: int, hot_rows: int, keep: bool) -> DataFrame:
+    """_id, _row (the input row, with ``keep``), _keep, _size, _kept, _sha."""
     parts = shuffle_parts(docs.sparkSession)
     text = F.col(f"`{text_col}`")
-    carried = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)]) if carry else F.lit(None).cast("int")
-    rows = docs.select(
-        F.col(f"`{id_col}`").alias("_id"), normalised(text).alias("_norm"), F.length(F.coalesce(text, F.lit(""))).alias("_len"), carried.alias("_row")
-    ).withColumn("_digest", F.xxhash64("_norm"))
-    hot = saved(_hot(rows.select("_digest"), hot_share), "exact-hot")
-    keyed = (
-        rows.join(F.broadcast(hot), "_digest", "left")
-        .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("_id"), F.lit(salts))).otherwise(F.lit(0)))
-        .withColumn("_prefix", F.substring("_norm", 1, PREFIX))
-        .withColumn("_n", F.lit(1).cast("long"))
-    )
-    runs = _content_sorted(keyed, parts).select(
-        "_id", "_row", "_len", "_digest", "_prefix", "_salt", "_hot", "_rank", "_size", "_best", "_best_len", F.sha2(F.encode("_norm", "UTF-8"), 256).alias("_sha"),
+    norm = normalised(text)
+    # A row that is kept whole holds its text, from which the content is made again behind the shuffle.
+    body = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if keep else [F.lit(None).cast("int").alias("_row"), norm.alias("_norm")]
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), *body, F.length(F.coalesce(text, F.lit(""))).alias("_len"), F.xxhash64(norm).alias("_digest"), F.substring(norm, 1, PREFIX).alias("_prefix"))
+    rows = saved(rows, "exact-rows")
+    counts = rows.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n"))
+    hot = saved(hot_keys(counts, share=hot_share, most=hot_rows).select("_digest", "_parts"), "exact-hot")
+    deal = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("_parts"))
+    keyed = rows.withColumn("_hash", F.col("_digest")).join(F.broadcast(hot.withColumnRenamed("_digest", "_hash")), "_hash", "left").drop("_hash")
+    keyed = keyed.withColumn("_salt", F.coalesce(deal, F.lit(0)).cast("int")).withColumn("_hot", F.col("_parts").isNotNull()).drop("_parts").withColumn("_n", F.lit(1).cast("long"))
+    runs = _content_sorted(keyed, parts, normalised(F.col(f"_row.`{text_col}`")) if keep else F.col("_norm")).select(
+        "_id", "_row", "_digest", "_prefix", "_salt", "_hot", "_rank", "_size", "_best", "_best_len",
+        F.sha2(F.encode("_norm", "UTF-8"), 256).alias("_sha"),
         # Survivors of hot runs carry their text to the second sort.
         F.when(F.col("_hot") & (F.col("_rank") == 1), F.col("_norm")).alias("_norm"),
-    )
+    )
     runs = saved(runs, "exact-runs")
     survivors = runs.filter(F.col("_hot") & (F.col("_rank") == 1)).select(
-        "_digest", "_prefix", "_norm", F.col("_salt").alias("_run"), F.lit(0).alias("_salt"), F.col("_best").alias("_id"), F.col("_best_len").alias("_len"), F.col("_size").alias("_n")
-    )
-    # At most hot_share * salts rows, one for each run of a hot text.
-    joined = _content_sorted(survivors, min(parts, hot_share)).select(
+        "_digest", "_prefix", "_norm", F.col("_salt").alias("_run"), F.lit(0).alias("_salt"), F.col("_best").alias("_id"), F.col("_best_len").alias("_len"), F.col("_size").alias("_n"),
+    )
+    joined = _content_sorted(survivors, min(parts, hot_share), F.col("_norm")).select(
         "_digest", F.col("_run").alias("_salt"), F.sha2(F.encode("_norm", "UTF-8"), 256).alias("_sha"),
         F.col("_best").alias("_all_best"), F.col("_size").alias("_all_size"), (F.col("_rank") == 1).alias("_first_run"),
-    )
-    out = runs.drop("_norm").join(F.broadcast(joined), ["_digest", "_salt", "_sha"], "left")
+    )
+    joined = saved(joined, "exact-joined")
+    few = joined.limit(FEW_ROWS + 1).count() <= FEW_ROWS
+    out = runs.drop("_norm").join(F.broadcast(joined) if few else joined, ["_digest", "_salt", "_sha"], "left")
     return out.select(
-        F.col("_id").alias(id_col),
-        F.when(F.col("_first_run").isNull(), F.col("_best")).otherwise(F.col("_all_best")).alias("keep_id"),
-        F.coalesce("_all_size", "_size").alias("group_size"),
-        ((F.col("_rank") == 1) & F.coalesce("_first_run", F.lit(True))).alias("kept"),
-        F.col("_sha").alias("text_sha256"),
-        *[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(carry)],
-    )
+        "_id", "_row",
+        F.when(F.col("_first_run").isNull(), F.col("_best")).otherwise(F.col("_all_best")).alias("_keep"),
+        F.coalesce("_all_size", "_size").alias("_size"),
+        ((F.col("_rank") == 1) & F.coalesce("_first_run", F.lit(True))).alias("_kept"),
+        "_sha",
+    )
+
+
+def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_share: int = 200, hot_rows: int = 200_000) -> DataFrame:
+    """One row per input row: id, keep_id, group_size, kept, text_sha256."""
+    found = _decided(docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t")), "i", "t", hot_share, hot_rows, False)
+    return found.select(F.col("_id").alias(id_col), F.col("_keep").alias("keep_id"), F.col("_size").alias("group_size"), F.col("_kept").alias("kept"), F.col("_sha").alias("text_sha256"))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_share: int = 200, hot_rows: int = 200_000) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    columns = docs.columns
-    carried = docs.select(F.col(f"`{id_col}`").alias("_i"), F.col(f"`{text_col}`").alias("_t"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_all"))
-    return decide(carried, "_i", "_t", carry=["_all"]).filter("kept").select(*[F.col(f"_all.`{c}`").alias(c) for c in columns])
+    found = _decided(docs, id_col, text_col, hot_share, hot_rows, True).filter("_kept")
+    return found.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
