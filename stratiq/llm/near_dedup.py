@@ -17,8 +17,12 @@ so a link between x and y is a wanted overlap of their differences, t(x, y).
 Such overlaps are found by prefix filtering: of differences in a common order,
 rarest first, two that overlap in t places agree within their first |D| - t + 1.
 Classes that merely resemble the same hub have few differences in common, hence
-no pair, and classes that the hubs' links have joined already need none; pairs come from joins on (hub, difference), which Spark splits where
-one is hot.  No link between classes that share a band is lost.
+no pair, and classes that the hubs' links have joined already need none; pairs
+come from joins on (hub, difference), which Spark splits where one is hot.  No
+link between classes that share a band is lost.
+
+Hot keys: a hub's pairs meet its text in parts of ``PAIRS``; hubs, bands, sets
+and labels that very many rows share are looked up by broadcast (``looked_up``).
 
 Sets are compared as 64-bit hashes of shingles.
 
@@ -30,6 +34,7 @@ Defined results
 * Words are split at ASCII white space, A-Z lower-cased.  With fewer words than
   a shingle has, the whole sequence is the one shingle.
 * Null text and text without words: n_shingles 0, linked with nothing.
+* Ids are integers, or text that Spark casts to one.
 * Rows of one id are one document: they share its component.
 * Null id: the row joins the component of its links, and component_id is null
   where nothing else is reachable; such a row is kept.
@@ -48,14 +53,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved
+from .common import FEW_ROWS, looked_up, removed, saved
 
 BANDS, ROWS = 40, 6
 CIRCLE = 1 << 20
 #: Ids without a document id lie above all others.
 NAMELESS = 1 << 62
-#: Ids up to this number, 8 bytes each, may be broadcast.
-FEW_IDS = 1_000_000
+#: Pairs of one hub that meet its text in one task.
+PAIRS = 256
 
 
 class _Hashes(dict):
@@ -105,7 +110,7 @@ class Circulant:
 
 
 def _signatures(docs: DataFrame, width: int, bands: int, rows: int, seed: int) -> DataFrame:
-    """_id, _n, _set (digest of the set), _bands (hashes that contain the band's number)."""
+    """_id, _key, _n, _set (digest of the set), _bands (hashes that contain the band's number).  ``docs``: _id, _text, _key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -126,13 +131,13 @@ def _signatures(docs: DataFrame, width: int, bands: int, rows: int, seed: int) -
                     else:
                         keys.append([])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["_id", "_n", "_set", "_bands"]
+                    [batch.column(0), batch.column(2), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["_id", "_key", "_n", "_set", "_bands"]
                 )
 
-    return docs.mapInArrow(run, "_id long, _n long, _set binary, _bands array<long>")
+    return docs.mapInArrow(run, "_id long, _key long, _n long, _set binary, _bands array<long>")
 
 
-def _compared(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _compared(pairs: DataFrame, texts: DataFrame, width: int, percent: int, scratch: list[str]) -> DataFrame:
     """Pairs (_a, _b): sizes _na, _nb of their sets, _m missing from b, _n new in b, the differences _d, and _linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,22 +159,26 @@ def _compared(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
 
     one = texts.select(F.col("_id").alias("_a"), F.col("_text").alias("_x"))
     two = texts.select(F.col("_id").alias("_b"), F.col("_text").alias("_y"))
-    full = pairs.join(two, "_b").join(one, "_a").select("_a", "_b", "_x", "_y")
+    # A hub's pairs are dealt to parts of PAIRS, each of which gets the hub's text.
+    sizes = saved(pairs.groupBy("_a").agg(F.count(F.lit(1)).alias("_n")).withColumn("_parts", F.ceil(F.col("_n") / PAIRS).cast("int")), "near-sizes", scratch)
+    dealt = looked_up(pairs, "_a", sizes, "_parts", sizes, scratch).withColumn("_part", F.pmod(F.xxhash64("_b"), F.col("_parts")).cast("int")).drop("_parts")
+    one = one.join(sizes, "_a").select("_a", "_x", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    full = dealt.join(two, "_b").join(one, ["_a", "_part"]).select("_a", "_b", "_x", "_y")
     return full.mapInArrow(run, "_a long, _b long, _na long, _nb long, _m long, _n long, _d array<long>, _linked boolean")
 
 
-def _beside_hubs(star: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _beside_hubs(star: DataFrame, labels: DataFrame, percent: int, scratch: list[str]) -> DataFrame:
     """Links (_a, _b) between two classes of one hub of which one, at least, is not linked to it, across the components so far."""
     r = percent / (100 + percent)
-    lone = star.filter(~F.col("_linked")).select("_a").distinct()
+    lone = saved(star.filter(~F.col("_linked")).select("_a", F.lit(True).alias("_lone")).distinct(), "near-lone", scratch)
     # e(x) + e(y) is the wanted overlap t; e <= c for those linked to the hub, e >= -c for all.
     c = (0.5 - r) * F.col("_na")
-    members = saved(star.join(lone, "_a", "left_semi").withColumn("_c", c).withColumn("_e", (1 - r) * F.col("_m") + r * F.col("_n") - F.col("_c")).withColumn("_size", F.size("_d")), "near-members")
+    members = saved(looked_up(star, "_a", lone, "_lone", None, scratch).drop("_lone").withColumn("_c", c).withColumn("_e", (1 - r) * F.col("_m") + r * F.col("_n") - F.col("_c")).withColumn("_size", F.size("_d")), "near-members", scratch)
     named = members.join(labels.withColumnRenamed("_id", "_b"), "_b", "left").withColumn("_label", F.coalesce("_label", "_b"))
     each = members.select("_a", "_b", F.explode("_d").alias("_x"))
     times = each.groupBy("_a", "_x").agg(F.count(F.lit(1)).alias("_times"))
     order = each.join(times, ["_a", "_x"]).groupBy("_a", "_b").agg(F.sort_array(F.collect_list(F.struct("_times", "_x"))).alias("_order"))
-    ranked = saved(named.select("_a", "_b", "_e", "_c", "_size", "_linked", "_label").join(order, ["_a", "_b"]), "near-order")
+    ranked = saved(named.select("_a", "_b", "_e", "_c", "_size", "_linked", "_label").join(order, ["_a", "_b"]), "near-order", scratch)
     far = (F.col("_e") - F.col("_c")) / (1 - r)  # no feasible partner wants less of x
     near = F.greatest(far, F.col("_e") + F.col("_c"))  # nor of y, given that x is not linked to the hub
 
@@ -190,74 +199,90 @@ def _beside_hubs(star: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     return full.filter(100 * both >= percent * (F.col("x_n") + F.col("y_n") - both)).select(F.least("x_b", "y_b").alias("_a"), F.greatest("x_b", "y_b").alias("_b")).distinct()
 
 
-def connected(links: DataFrame) -> DataFrame:
+def connected(links: DataFrame, scratch: list[str] | None = None) -> DataFrame:
     """_id, _label (the component's smallest id) for every id on a link (_a, _b), _a < _b.
 
     An id keeps the link to its smallest neighbour; its other links are replaced
     by links of that neighbour.  Ids that are nobody's smaller end then hang on
     one link each and wait for its label, and the rounds run over the few others.
+    Ids with very many links, and labels of very large components, meet the others
+    by broadcast (``looked_up``).
     """
-    parents = saved(links.groupBy("_b").agg(F.min("_a").alias("_p")), "near-parents")
-    hubs = links.select(F.col("_a").alias("_b")).distinct()
+    parents = saved(links.groupBy("_b").agg(F.min("_a").alias("_p")), "near-parents", scratch)
+    hubs = saved(links.select(F.col("_a").alias("_b")).distinct(), "near-hubs", scratch)
     across = links.join(parents, "_b").filter("_a <> _p").select(F.least("_a", "_p").alias("_u"), F.greatest("_a", "_p").alias("_v"))
     above = parents.join(hubs, "_b", "left_semi").select(F.col("_p").alias("_u"), F.col("_b").alias("_v"))
     edges = across.union(above).distinct()
-    both = saved(edges.union(edges.select("_v", "_u")).union(hubs.select("_b", "_b")), "near-edges")
-    labels = saved(both.groupBy("_u").agg(F.min("_v").alias("_label")).select(F.col("_u").alias("_id"), "_label"), "near-labels")
+    both = saved(edges.union(edges.select("_v", "_u")).union(hubs.select("_b", "_b")), "near-edges", scratch)
+    degrees = saved(both.groupBy("_v").agg(F.count(F.lit(1)).alias("_n")), "near-degrees", scratch)
+    labels = saved(both.groupBy("_u").agg(F.min("_v").alias("_label")).select(F.col("_u").alias("_id"), "_label"), "near-labels", scratch)
     while True:
-        heard = both.join(labels.withColumnRenamed("_id", "_v"), "_v").groupBy("_u").agg(F.min("_label").alias("_heard"))
-        near = labels.join(heard.withColumnRenamed("_u", "_id"), "_id").select("_id", F.col("_label").alias("_old"), F.least("_label", "_heard").alias("_near"))
+        heard = looked_up(both, "_v", labels.withColumnRenamed("_id", "_v"), "_label", degrees, scratch).groupBy("_u").agg(F.min("_label").alias("_heard"))
+        near = saved(labels.join(heard.withColumnRenamed("_u", "_id"), "_id").select("_id", F.col("_label").alias("_old"), F.least("_label", "_heard").alias("_near")), "near-heard", scratch)
         # A label is an id of the same component: its own label is as good or better.
         jump = labels.select(F.col("_id").alias("_near"), F.col("_label").alias("_far"))
-        after = saved(near.join(jump, "_near").select("_id", "_old", F.least("_near", "_far").alias("_label")), "near-labels")
+        after = saved(looked_up(near, "_near", jump, "_far", None, scratch).select("_id", "_old", F.least("_near", "_far").alias("_label")), "near-labels", scratch)
         labels = after.select("_id", "_label")
         if after.filter("_old <> _label").isEmpty():
             break
-    rest = parents.join(hubs, "_b", "left_anti").join(labels.withColumnRenamed("_id", "_p"), "_p").select(F.col("_b").alias("_id"), "_label")
-    return saved(labels.union(rest), "near-labels")
+    rest = looked_up(parents.join(hubs, "_b", "left_anti"), "_p", labels.withColumnRenamed("_id", "_p"), "_label", None, scratch).select(F.col("_b").alias("_id"), "_label")
+    return saved(labels.union(rest), "near-labels", scratch)
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, bands: int, rows: int, seed: int) -> DataFrame:
-    """_id, _n, _rep (smallest id with the same set), _label (smallest id of the component) for every row."""
-    plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
+    """_id, _key (hash of the text where the id is null), _n, _label (smallest id of the component; null without words) for every row."""
+    scratch: list[str] = []
+    plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text")).withColumn("_key", F.when(F.col("_id").isNull(), F.xxhash64("_text")))
     signs = saved(_signatures(plain, width, bands, rows, seed), "near-signs")
     full = F.col("_n") > 0
     nameless = F.lit(NAMELESS) + F.pmod(F.xxhash64("_set"), F.lit(1 << 61))
-    reps = saved(signs.filter(full).groupBy("_set").agg(F.min("_id").alias("_rep"), F.first("_bands").alias("_bands")).withColumn("_rep", F.coalesce("_rep", nameless)), "near-reps")
+    reps = signs.filter(full).groupBy("_set").agg(F.min("_id").alias("_rep"), F.first("_bands").alias("_bands"), F.count(F.lit(1)).alias("_rows"))
+    reps = saved(reps.withColumn("_rep", F.coalesce("_rep", nameless)), "near-reps", scratch)
     members = reps.select("_rep", F.explode("_bands").alias("_key"))
-    shared = members.groupBy("_key").agg(F.min("_rep").alias("_hub"), F.max("_rep").alias("_far")).filter("_hub < _far")
-    pairs = members.join(shared.select("_key", "_hub"), "_key").filter("_rep <> _hub").select(F.col("_hub").alias("_a"), F.col("_rep").alias("_b")).distinct()
-    pairs = saved(pairs, "near-pairs")
-
-    wanted = saved(pairs.select(F.col("_a").alias("_id")).union(pairs.select("_b")).distinct(), "near-wanted")
-    wanted = F.broadcast(wanted) if wanted.count() <= FEW_IDS else wanted
-    texts = saved(plain.filter("_id is not null").join(wanted, "_id").select("_id", "_text"), "near-texts")
+    shared = members.groupBy("_key").agg(F.min("_rep").alias("_hub"), F.max("_rep").alias("_far"), F.count(F.lit(1)).alias("_n")).filter("_hub < _far")
+    shared = saved(shared.drop("_far"), "near-shared", scratch)
+    pairs = looked_up(members, "_key", shared, "_hub", shared, scratch).filter("_rep <> _hub").select(F.col("_hub").alias("_a"), F.col("_rep").alias("_b")).distinct()
+    pairs = saved(pairs, "near-pairs", scratch)
+
+    wanted = saved(pairs.select(F.col("_a").alias("_id")).union(pairs.select("_b")).distinct(), "near-wanted", scratch)
+    wanted = F.broadcast(wanted) if wanted.count() <= FEW_ROWS else wanted
+    texts = saved(plain.filter("_id is not null").join(wanted, "_id").select("_id", "_text"), "near-texts", scratch)
     if reps.filter(F.col("_rep") >= NAMELESS).limit(1).count():
         # Texts without id are named by their set; few, if any.
-        signs_of = _signatures(plain.filter("_id is null").select(F.xxhash64("_text").alias("_id"), "_text"), width, bands, rows, seed)
-        by_text = signs_of.select(F.col("_id").alias("_hash"), nameless.alias("_id")).distinct()
-        texts = texts.unionByName(plain.filter("_id is null").select(F.xxhash64("_text").alias("_hash"), "_text").dropDuplicates(["_hash"]).join(by_text, "_hash").select("_id", "_text"))
-    star = saved(_compared(pairs, texts, width, percent), "near-star")
+        by_text = signs.filter("_id is null").select("_key", nameless.alias("_id")).distinct()
+        texts = texts.unionByName(plain.filter("_id is null").select("_key", "_text").dropDuplicates(["_key"]).join(by_text, "_key").select("_id", "_text"))
+    star = saved(_compared(pairs, texts, width, percent, scratch), "near-star", scratch)
     links = star.filter("_linked").select("_a", "_b")
-    labels = connected(links)
+    labels = connected(links, scratch)
     if not star.filter(~F.col("_linked")).isEmpty():
-        more = saved(_beside_hubs(star, labels, percent), "near-links")
-        labels = labels if more.isEmpty() else connected(links.union(more))
-    groups = reps.select("_set", "_rep").join(labels.withColumnRenamed("_id", "_rep"), "_rep", "left").select("_set", F.coalesce("_label", "_rep").alias("_label"))
+        more = saved(_beside_hubs(star, labels, percent, scratch), "near-links", scratch)
+        labels = labels if more.isEmpty() else connected(links.union(more), scratch)
+    groups = reps.join(labels.withColumnRenamed("_id", "_rep"), "_rep", "left").select("_set", F.coalesce("_label", "_rep").alias("_label"), F.col("_rows").alias("_n"))
     groups = saved(groups, "near-groups")
-    return signs.select("_id", "_n", "_set").join(groups, ["_set"], "left").select("_id", "_n", F.when(full, F.col("_label")).alias("_label"))
+    named = looked_up(signs.filter(full).select("_id", "_key", F.col("_n").alias("_size"), "_set"), "_set", groups, "_label", groups)
+    removed(docs.sparkSession, scratch)
+    return named.select("_id", "_key", F.col("_size").alias("_n"), "_label").unionByName(signs.filter(~full).select("_id", "_key", "_n", F.lit(None).cast("long").alias("_label")))
+
+
+def _kept(found: DataFrame) -> DataFrame:
+    """The classes with _component and _kept."""
+    label = F.when(F.col("_label") < NAMELESS, F.col("_label"))
+    named = found.withColumn("_component", F.when(F.col("_n") > 0, label).otherwise(F.col("_id")))
+    return named.withColumn("_kept", F.coalesce(F.col("_id") == F.col("_component"), F.col("_component").isNull()))
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, seed: int = 11) -> DataFrame:
     """One row per input row: id, n_shingles, component_id, kept."""
-    found = _classes(docs, id_col, text_col, width, percent, bands, rows, seed)
-    label = F.when(F.col("_label") < NAMELESS, F.col("_label"))
-    named = found.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.when(F.col("_n") > 0, label).otherwise(F.col("_id")).alias("component_id"))
-    return named.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.col("component_id").isNull()))
+    found = _kept(_classes(docs, id_col, text_col, width, percent, bands, rows, seed))
+    return found.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.col("_component").alias("component_id"), F.col("_kept").alias("kept"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay, one document of each component, with all their columns."""
-    gone = saved(components(docs, id_col, text_col, width, percent).filter(~F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_gone")).distinct(), "near-gone")
-    gone = F.broadcast(gone) if gone.count() <= FEW_IDS else gone
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+    gone = saved(_kept(_classes(docs, id_col, text_col, width, percent, BANDS, ROWS, 11)).filter("not _kept").select(F.col("_id").alias("_gone"), F.col("_key").alias("_gone_key")).distinct(), "near-gone")
+    named = gone.filter("_gone is not null").select("_gone")
+    named = F.broadcast(named) if named.limit(FEW_ROWS + 1).count() <= FEW_ROWS else named
+    out = docs.join(named, F.col(f"`{id_col}`").cast("long") == F.col("_gone"), "left_anti")
+    if (nameless := gone.filter("_gone is null")).isEmpty():
+        return out
+    return out.join(nameless, F.col(f"`{id_col}`").isNull() & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("_gone_key")), "left_anti")
