@@ -6,25 +6,31 @@ the corpus (smaller id, or same text and earlier start) is removed.
 1. A window names an anchor by its bytes alone (see ``anchors``); the windows of
    one anchor in a text form a segment of under two windows' length.  Equal
    windows have equal anchors, so only segments with one anchor need comparing.
-2. Segments are dealt by anchor, as hashes.  Of equal segments all but the
-   earliest are removed at once (first within each task, before the shuffle);
-   an anchor with one segment needs no more; the rest are fetched as bytes.
+2. Segments are dealt by anchor, as hashes, and sorted by Spark.  Of equal
+   segments all but the earliest are removed at once (first within each task,
+   before the shuffle); an anchor with one segment needs no more; the rest are
+   fetched as bytes.  The sorted rows are read as a stream: a task holds one
+   Arrow batch and one row.
 3. Buckets of such segments, about ``BUCKET`` bytes with whole anchors, get a
    suffix array and its Burrows-Wheeler transform.  From the intervals of the
-   strings that the array's sort has last ranked (shorter than a window), breadth
-   first, each level puts a character in front of the strings of the level below: the LF mapping carries an interval of a string to
-   the intervals of all its extensions, so that a boundary between neighbours
-   gets its common prefix length at the level at which it first shows.  Lengths
+   strings that the array's sort has ranked first (``RANKED`` bytes), breadth
+   first, each level puts a character in front of the strings of the level
+   below: the LF mapping carries an interval of a string to the intervals of all
+   its extensions, so that a boundary between neighbours gets its common prefix
+   length at the level at which it first shows.  Lengths
    appear in increasing order and the expansion stops at ``window``; neighbours
    without a boundary by then share a whole window.  Of each such interval all
    starts but the earliest are removed.
 4. Removed ranges meet their text again and are merged.
 
 An anchor with very many different segments (a common line in ever new
-surroundings; more than ``HOT`` and more than one in a million of all) would
-make one large group.  A first pass finds such anchors from counts; their
-windows are dealt one by one, by a hash of the whole window, and equal ones are
-settled in step 2.  The hot anchors are at most a million numbers.
+surroundings) would make one large group.  A first pass finds such anchors: of
+each anchor the different segments in a sixteenth of all (chosen by the hash of
+the segment, so alike in every task) are counted without loss; an anchor with
+over ``HOT`` segments is expected to have ``HOT`` / 16 there.  Missing one
+would cost a larger bucket and no result.  Windows of hot anchors are dealt one
+by one, by a hash of the whole window, and equal ones are settled in step 2.  At
+most ``MOST_HOT`` anchors are hot, 8 bytes each in the broadcast: the commonest.
 
 Segments are compared by 120 bits of hash in step 2 and byte by byte in step 3.
 
@@ -54,7 +60,12 @@ from .common import saved, shuffle_parts
 
 GRAM = 32
 BUCKET = 1 << 18
-HOT = 4096
+#: Different segments from which an anchor is hot, and the number of such anchors at most.
+HOT, MOST_HOT = 1024, 4_000_000
+#: Of so many segments one is counted to find them.
+SAMPLED = 16
+#: Bytes of the strings from which the expansion starts.
+RANKED = 7
 #: Segments that a task combines at a time.
 HELD = 2_000_000
 LAST = (1 << 63) - 1
@@ -150,29 +161,21 @@ def _earliest(anchor, context, doc, key, start) -> tuple[np.ndarray, np.ndarray,
 
 def _hot_anchors(texts: DataFrame, window: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-
-        def counted() -> pa.RecordBatch:
-            both = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
-            at = _together(*both)
-            anchor = both[0][at][_changes(both[0][at], both[1][at])]
-            found, n = np.unique(anchor, return_counts=True)
-            often = n >= 16  # fewer in a task can't add up: a task holds thousands of texts
-            return pa.RecordBatch.from_arrays([pa.array(np.append(found[often], 0)), pa.array(np.append(n[often], len(anchor))), pa.array(np.append(np.ones(often.sum(), bool), False))], names=["_anchor", "_n", "_real"])
-
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
-                held.append(_segments(batch.slice(start, 512), window, None)[:2])
-                if sum(len(x[0]) for x in held) > HELD:
-                    yield counted()
-                    held = []
-        if held:
-            yield counted()
+                anchor, context = _segments(batch.slice(start, 512), window, None)[:2]
+                chosen = anchors.mixed(context.view(np.uint64)) % np.uint64(SAMPLED) == 0
+                anchor, context = anchor[chosen], context[chosen]
+                at = _together(anchor, context)
+                at = at[_changes(anchor[at], context[at])]
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[at]), pa.array(context[at])], names=["_anchor", "_context"])
 
-    sums = saved(texts.mapInArrow(run, "_anchor long, _n long, _real boolean").groupBy("_anchor", "_real").agg(F.sum("_n").alias("_n")), "suffix-hot")
-    total = sums.filter("not _real").agg(F.sum("_n")).first()[0] or 0
-    often = sums.filter(F.col("_real") & (F.col("_n") > max(HOT, total // 1_000_000))).select("_anchor").toArrow()  # at most a million
-    return np.sort(often["_anchor"].to_numpy()).view(np.uint64)
+    seen = texts.mapInArrow(run, "_anchor long, _context long").distinct()
+    counts = saved(seen.groupBy("_anchor").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max(1, HOT // SAMPLED)), "suffix-hot")
+    found = counts.count()
+    if found > MOST_HOT:
+        counts = counts.filter(F.col("_n") > counts.agg(F.percentile_approx("_n", 1 - MOST_HOT / found, 100_000)).first()[0])
+    return np.sort(counts.select("_anchor").toArrow()["_anchor"].to_numpy()).view(np.uint64)  # at most MOST_HOT numbers
 
 
 def _dealt(texts: DataFrame, window: int, hot: np.ndarray) -> DataFrame:
@@ -202,34 +205,44 @@ def _dealt(texts: DataFrame, window: int, hot: np.ndarray) -> DataFrame:
             yield from settled()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = list(batches)
-        if not found:
-            return
-        table = pa.Table.from_batches(found)
-        anchor, context, doc, key, start, end = (table.column(i).to_numpy() for i in range(6))
-        ready = end >= 0
-        yield _marks(1, doc[ready], key[ready], start[ready], end[ready], np.zeros(ready.sum(), np.int64))
-        anchor, context, doc, key, start = (x[~ready] for x in (anchor, context, doc, key, start))
-        at, first, later = _earliest(anchor, context, doc, key, start)
-        b = at[later]
-        gone = _merged(doc[b], key[b], start[b].astype(np.int64), start[b] + (context[b] & 0xFF))
-        yield _marks(1, *gone, np.zeros(len(gone[0]), np.int64))
-        a = at[first]
-        _, place, n = np.unique(anchor[a], return_inverse=True, return_counts=True)
-        a = a[n[place] > 1]
-        yield _marks(2, doc[a], key[a], start[a], start[a] + (context[a] & 0xFF), anchor[a])
+        """Sorted rows, whose last one is kept from batch to batch, and the first segment of the last anchor while it has no other."""
+        before = pending = [np.zeros(0, np.int64)] * 5
+        several: np.ndarray = np.zeros(0, np.int64)  # the last anchor, if it has several segments
+        for batch in batches:
+            *row, end = (batch.column(i).to_numpy().astype(np.int64) for i in range(6))
+            ready = end >= 0
+            yield _marks(1, row[2][ready], row[3][ready], row[4][ready], end[ready], np.zeros(ready.sum(), np.int64))
+            row = [x[~ready] for x in row]
+            if not len(row[0]):
+                continue
+            have = len(before[0])
+            first, place = (_changes(*[np.concatenate([before[k], row[k]]) for k in keys])[have:] for keys in ((0, 1), (2, 3, 4)))
+            before = [x[-1:] for x in row]
+            _, context, doc, key, start = (x[~first & place] for x in row)
+            gone = _merged(doc, key, start, start + (context & 0xFF))
+            yield _marks(1, *gone, np.zeros(len(gone[0]), np.int64))
+            anchor, context, doc, key, start = new = [np.concatenate([p, x[first]]) for p, x in zip(pending, row, strict=True)]
+            if not len(anchor):
+                continue
+            group = np.cumsum(_changes(anchor)) - 1
+            size = np.bincount(group)
+            wanted = (size[group] > 1) | np.isin(anchor, several)
+            yield _marks(2, doc[wanted], key[wanted], start[wanted], start[wanted] + (context[wanted] & 0xFF), anchor[wanted])
+            several = anchor[-1:] if wanted[-1] else anchor[:0]
+            pending = [x[:0] if wanted[-1] else x[-1:] for x in new]
 
     rows = texts.mapInArrow(combine, "_anchor long, _context long, _doc long, _text_key long, _start int, _end int")
-    return rows.repartition(shuffle_parts(texts.sparkSession), "_anchor").mapInArrow(compare, MARKS)
+    dealt = rows.repartition(shuffle_parts(texts.sparkSession), "_anchor")
+    return dealt.sortWithinPartitions("_anchor", "_context", "_doc", "_text_key", "_start").mapInArrow(compare, MARKS)
 
 
-def suffix_array(text: np.ndarray, left: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, int]:
+def suffix_array(text: np.ndarray, left: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts of all suffixes, ordered by their first ``depth`` bytes; ``left`` is what each has left in its segment.
 
-    Also the ranks by a shorter prefix, from which the order was made, and its length.
+    Also their ranks by the first ``RANKED`` bytes alone.
     """
     n = len(text)
-    size, key = 7, np.zeros(n, np.int64)
+    size, key, known = RANKED, np.zeros(n, np.int64), None
     for i in range(size):
         key <<= 9
         key[: n - i] |= np.where(left[: n - i] > i, text[i:].astype(np.int64) + 1, 0)
@@ -237,9 +250,10 @@ def suffix_array(text: np.ndarray, left: np.ndarray, depth: int) -> tuple[np.nda
     while True:
         order = np.argsort(key)
         if size >= depth:
-            return order, ranks, before
-        ranks, before = np.empty(n, np.int64), size
+            return order, known
+        ranks = np.empty(n, np.int64)
         ranks[order] = np.cumsum(_changes(key[order]))
+        known = ranks if known is None else known
         key = ranks.copy()
         times = 63 // bits  # ranks that fit one key
         for i in range(1, times):
@@ -251,7 +265,7 @@ def suffix_array(text: np.ndarray, left: np.ndarray, depth: int) -> tuple[np.nda
 
 def repeated(text: np.ndarray, left: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts in suffix order that share ``window`` bytes with the start before or behind them, and their interval's number."""
-    sa, ranks, known = suffix_array(text, left, window + 1)
+    sa, ranks = suffix_array(text, left, window + 1)
     n = len(sa)
     place = np.empty(n, np.int32)
     place[sa] = np.arange(n, dtype=np.int32)
@@ -262,15 +276,15 @@ def repeated(text: np.ndarray, left: np.ndarray, window: int) -> tuple[np.ndarra
     lf = place[sa[x] - 1]
     back = np.full(n, -1, np.int32)
     back[lf] = x
-    # The intervals of strings of the length by which the sort last ranked begin the expansion.
+    # The intervals of strings of RANKED bytes begin the expansion.
     rest, head = left[sa], ranks[sa]
     same = np.zeros(n, bool)  # y and y - 1 share a prefix of the level's length
-    same[1:] = (head[1:] == head[:-1]) & (np.minimum(rest[1:], rest[:-1]) >= known)
+    same[1:] = (head[1:] == head[:-1]) & (np.minimum(rest[1:], rest[:-1]) >= RANKED)
     y = np.flatnonzero(same)
     # For each neighbouring pair that still agrees: where it comes from, and the levels that both can reach.
     one, two, reach = back[y], back[y - 1], np.minimum(rest[y], rest[y - 1])
     interval = np.cumsum(~same, dtype=np.int32)
-    for level in range(known, window):
+    for level in range(RANKED, window):
         agree = (interval[one] == interval[two]) & (reach > level)
         if not agree.all():
             same[y[~agree]] = False
