@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import random
 import re
@@ -12,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stratiq.llm import exact_dedup, language, mixing, near_dedup, pieces, quality_rules, site_quality, suffix_dedup, token_counts, toxicity
+from stratiq.llm import common, exact_dedup, language, mixing, near_dedup, pieces, quality_rules, site_quality, suffix_dedup, token_counts, toxicity
 from stratiq.llm.queries import piece_model
 
 SCHEMA = "doc_id long, text string, lang string, source string, _row string, score double"
@@ -74,10 +75,15 @@ def test_exact_dedup(docs, rows):
 
 
 def test_exact_dedup_splits_hot_texts(spark):
-    df = spark.createDataFrame([(i, "same  text" if i % 3 else f"own {i}") for i in range(600)], "doc_id long, text string")
-    got = exact_dedup.decide(df, hot_share=4, salts=8)
-    assert got.filter("kept").count() == 201
-    assert got.filter("group_size = 400 and keep_id = 1").count() == 400
+    """A hot text is split row by row, also where its rows share an id or have none."""
+    rows = [(i, "same  text" if i % 3 else f"own {i}") for i in range(600)] + [(7, "same text")] * 300 + [(None, "sametext")] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for options in ({"hot_share": 4}, {"hot_rows": 70}):
+        got = exact_dedup.decide(df, **options)
+        assert got.filter("kept").count() == 201
+        assert got.filter("group_size = 1000 and keep_id = 1").count() == 1000
+        kept = exact_dedup.deduplicate(df, **options)
+        assert Counter(r["doc_id"] for r in kept.collect()) == Counter([1, *range(0, 600, 3)])
 
 
 def test_exact_dedup_keeps_columns(docs, empty):
@@ -138,10 +144,20 @@ def test_near_dedup_beside_the_hub(spark):
 def test_near_dedup_null_ids_and_columns(spark, docs, empty):
     df = spark.createDataFrame([(None, "a b c d e f g"), (3, "A b c d e f g"), (None, "lone words here"), (4, None)], "doc_id long, text string")
     assert bag(near_dedup.components(df, width=2), "doc_id", "component_id", "kept") == Counter({(None, 3, False): 1, (3, 3, True): 1, (None, None, True): 1, (4, 4, True): 1})
+    assert bag(near_dedup.deduplicate(df, width=2), "doc_id", "text") == Counter({(3, "A b c d e f g"): 1, (None, "lone words here"): 1, (4, None): 1})
     assert near_dedup.components(empty).count() == 0
     assert near_dedup.deduplicate(docs).columns == docs.columns
 
 
+def test_near_dedup_splits_hot_keys(spark, docs, rows, monkeypatch):
+    """The same groups where every second key is looked up by broadcast and hubs are cut to parts of two pairs."""
+    monkeypatch.setattr(common, "hot_keys", functools.partial(common.hot_keys, least=1, most=1))
+    monkeypatch.setattr(near_dedup, "PAIRS", 2)
+    got = near_dedup.components(docs, width=2).collect()
+    assert len(got) == len(rows) + 2
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == brute_components(rows, 2)
+
+
 # 3
 
 
@@ -514,6 +530,18 @@ def test_suffix_dedup_hot_anchor(spark, monkeypatch):
     assert {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.digest(df).collect()} == brute_ranges(rows)
 
 
+def test_suffix_dedup_streams_small_batches(spark, docs, rows):
+    """Groups that run over the ends of Arrow batches."""
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(conf)
+    try:
+        for size in ("1", "3"):
+            spark.conf.set(conf, size)
+            assert {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.digest(docs).collect()} == brute_ranges(rows)
+    finally:
+        spark.conf.set(conf, was)
+
+
 def test_suffix_dedup_keeps_bytes_and_columns(docs):
     out = suffix_dedup.clean(docs)
     assert out.schema["_row"].dataType == docs.schema
