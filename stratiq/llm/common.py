@@ -84,17 +84,17 @@ def hot_keys(counts: DataFrame, n: str = "_n", share: int = 500, least: int = 64
     return counts.join(F.broadcast(limit), F.col(n) > F.col("_limit")).withColumn("_parts", F.ceil(F.col(n) / F.col("_limit")).cast("int")).drop("_limit")
 
 
-def looked_up(rows: DataFrame, key: str, table: DataFrame, value: str, counts: DataFrame | None = None, scratch: list[str] | None = None) -> DataFrame:
-    """``rows`` with ``value`` from a table that has each ``key`` at most once; rows without a match go.
+def looked_up(rows: DataFrame, key: str, table: DataFrame, value: str, counts: DataFrame | None = None, scratch: list[str] | None = None, how: str = "inner") -> DataFrame:
+    """``rows`` with ``value`` from a table that has each ``key`` at most once; rows without a match go, or with ``how="left"`` get null.
 
-    Keys that many rows share meet their value by broadcast, the others by
+    No key is null.  Keys that many rows share meet their value by broadcast, the others by
     shuffle.  ``counts``: the rows of each key as ``_n``, where they are known.
     """
     counts = counts if counts is not None else rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     table = table.select(key, value)
-    hot = saved(hot_keys(counts.select(key, "_n")).select(key).join(table, key), "hot-values", scratch)
+    hot = saved(hot_keys(counts.select(key, "_n")).select(key).join(table, key, how), "hot-values", scratch)
     if hot.isEmpty():
-        return rows.join(table, key)
+        return rows.join(table, key, how)
     near = rows.join(F.broadcast(hot), key)
-    far = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table, key)
+    far = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table, key, how)
     return near.unionByName(far)
