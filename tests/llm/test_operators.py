@@ -473,16 +473,65 @@ def test_factorization_keeps_a_pair_of_neutral_terms():
 # 7
 
 
-def test_site_quality_shrinks(spark, empty):
-    rows = [(i, "plain words in a row " * 4, "big" if i < 300 else ("bad" if i < 400 else "new"), "p") for i in range(410)] + [(999, None, None, None)]
+def brute_priors(rows, labels):
+    """Posteriors of each row's path with the row's own label left out.  ``rows``: id, host, path."""
+    y = dict(labels)
+    mean = (sum(y[i] for i, _, _ in rows if i in y) + 1) / (sum(i in y for i, _, _ in rows) + 2)
+
+    def sums(key):
+        out = defaultdict(lambda: [0, 0])
+        for r in rows:
+            if r[0] in y:
+                out[key(r)][0] += y[r[0]]
+                out[key(r)][1] += 1
+        return out
+
+    def worth(groups, parent):
+        big = [(g, n, parent[s]) for s, (g, n) in groups.items() if n > 1]
+        return site_quality.strength(sum(n for _, n, _ in big), sum(n * n for _, n, _ in big), sum(n * (g / n - p) ** 2 for g, n, p in big), len(big), mean)
+
+    hosts, paths = sums(lambda r: r[1]), sums(lambda r: r[1:])
+    m = worth(hosts, {s: mean for s in hosts})
+    above = {s: (g + m * mean) / (n + m) for s, (g, n) in hosts.items()}
+    k = worth(paths, {s: above[s[0]] for s in paths})
+    out = {}
+    for r in rows:
+        own, own_n = y.get(r[0], 0), int(r[0] in y)
+        (hg, hn), (pg, pn) = hosts[r[1]], paths[r[1:]]
+        out[r[0]] = (pg - own + k * (hg - own + m * mean) / (hn - own_n + m)) / (pn - own_n + k)
+    return out
+
+
+@pytest.mark.parametrize("few", [200_000, 1])
+def test_site_quality_priors(spark, monkeypatch, few):
+    monkeypatch.setattr(site_quality, "FEW_SITES", few)
+    monkeypatch.setattr(common, "hot_keys", functools.partial(common.hot_keys, least=1, most=40))
+    draw = random.Random(5)
+    rows = [(i, "plain words in a row " * 4, draw.choice(("a", "b", "b=1:c", None)), draw.choice(("p", "q", None))) for i in range(300)] + [(999, None, None, "new")]
+    labels = [(i, int(draw.random() < (0.9 if rows[i][2] == "a" else 0.3))) for i in range(0, 300, 2)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
-    labels = spark.createDataFrame([(i, int(i < 300)) for i in range(0, 400, 2)] + [(400, 0)], "doc_id long, quality int")
-    prior = {r["doc_id"]: r["site_prior"] for r in site_quality.score(df, labels).collect()}
-    mean = (150 + 1) / (201 + 2)
-    assert prior[1] > 0.9 > mean > prior[301] and prior[301] < prior[401] < mean and prior[999] == pytest.approx(mean)
+    marks = spark.createDataFrame([*labels, (None, 1), (1, None), (3, 7)], "doc_id long, quality int")
+    got = {r["doc_id"]: r["site_prior"] for r in site_quality.score(df, marks).collect()}
+    want = brute_priors([(r[0], r[2], r[3]) for r in rows], labels)
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in want)
+
+
+def test_site_quality_edges(spark, empty):
+    df = spark.createDataFrame([(1, "a b", "s", "p"), (2, None, None, None), (None, "", "s", "p")], "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(1, 1), (1, 0)], "doc_id long, quality int")
     none = site_quality.score(df, labels.limit(0)).collect()
     assert {r["score"] for r in none} == {0.5} and all(r["kept"] for r in none)
-    assert site_quality.score(empty, labels).count() == 0
+    assert len(site_quality.score(df, labels).collect()) == 3 and site_quality.score(empty, labels).count() == 0
+
+
+def test_site_quality_reads_words(spark):
+    """Texts of one shape and one site that differ in their words alone."""
+    draw = random.Random(2)
+    good, poor = "amber basil cedar delta".split(), "embra lisab redac taled".split()
+    rows = [(i, " ".join(draw.choice(good if i % 2 else poor) for _ in range(20)), "s", "p") for i in range(400)]
+    labels = [(i, i % 2) for i in range(300)]
+    got = site_quality.score(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    assert np.mean([r["kept"] == bool(r["doc_id"] % 2) for r in got]) > 0.95  # the bin in the middle holds both
 
 
 def test_site_quality_separates_shapes(spark):
