@@ -13,10 +13,11 @@ of over ``LONG`` characters are not kept.  Both bounds affect memory only.
 Defined results
 ---------------
 * Null text counts as empty: begin and end ids alone, decoded to "".
-* Texts of any length are encoded whole; ties and repeated rows are encoded
+* Texts of any length are encoded whole (the library takes about 80 bytes a
+  character for a chunk, so memory bounds chunks without a space, not texts); ties and repeated rows are encoded
   one by one and give equal results; an empty table gives an empty result.
-* Further columns pass through, whatever their names; ``encode`` raises
-  ValueError if one has the name of an output column.
+* Further columns pass through, whatever their names; ``encode`` and ``decode``
+  raise ValueError if one has the name of an output column.
 """
 
 from __future__ import annotations
@@ -128,6 +129,8 @@ def encode(
 
 def decode(docs: DataFrame, model_file: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Add the text of an array of ids, as the library decodes it; null ids decode to ""."""
+    if out_col in docs.columns:
+        raise ValueError(f"the input already has {out_col}")
     at = docs.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
