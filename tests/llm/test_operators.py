@@ -261,6 +261,8 @@ def test_pieces_equal_the_library(docs, rows, empty):
 def test_pieces_decode_round_trip(docs):
     both = pieces.decode(pieces.encode(docs.select("doc_id", "text"), piece_model(), decoded=False), piece_model())
     assert all(r["decoded"] == (r["text"] or "") for r in both.collect())
+    with pytest.raises(ValueError, match="already"):
+        pieces.decode(both, piece_model())
 
 
 def test_pieces_any_text():
@@ -452,6 +454,44 @@ def test_factorization_learns_a_pair():
     assert only.max() < 0.5 < both[0]
 
 
+def test_factorization_scores_are_sums_over_pairs():
+    """Scores against a loop over terms and pairs of terms."""
+    draw = np.random.default_rng(2)
+    machine = toxicity.Machine(24, -0.3, np.arange(30, dtype=np.int32), draw.normal(size=30), draw.normal(0, 0.3, (30, toxicity.FACTORS)))
+    texts = [np.sort(draw.choice(30, n, replace=False)) for n in (0, 1, 2, 5, 20, 30)]
+    for terms, score in zip(texts, machine.score(texts), strict=True):
+        margin = -0.3 + sum(machine.weights[i] for i in terms) + sum(float(machine.factors[i] @ machine.factors[j]) for i in terms for j in terms if i < j)
+        assert score == pytest.approx(1 / (1 + np.exp(-margin)))
+
+
+def test_factorization_needs_its_factors():
+    """Toxic where one of two terms stands alone: with the factors zeroed, held-out texts can't be told apart."""
+    draw = np.random.default_rng(3)
+    rows, y = [], []
+    for _ in range(6000):
+        a, b = draw.random(2) < 0.5
+        rows.append(np.array(sorted({*([1] if a else []), *([2] if b else []), *draw.integers(10, 400, 20).tolist()}), np.int32))
+        y.append(float(a != b))
+    y = np.array(y)
+    machine = toxicity._train(rows[:4000], y[:4000], 24, 10, 4.0, 60, 0.3, 1e-5, 3)
+    places = {int(b): i for i, b in enumerate(machine.buckets)}
+    held = [np.array([places[k] for k in t.tolist() if k in places], int) for t in rows[4000:]]
+    right = np.mean((machine.score(held) >= 0.5) == y[4000:])
+    machine.factors[:] = 0
+    assert right > 0.99 and np.mean((machine.score(held) >= 0.5) == y[4000:]) < 0.8
+
+
+def test_toxicity_repeated_rows_and_conflicting_labels(spark):
+    rows = [(i, f"w{i % 7} " + ("vile" if i % 2 else "calm")) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = [(i, i % 2) for i in range(400)]
+    labels, more = (spark.createDataFrame(m, "doc_id long, toxic int") for m in (marks, marks + [(i, 0) for i in range(400)] + [(None, 1), (3, None)]))
+    one, two = toxicity.fit(df, labels), toxicity.fit(df, more)
+    assert one.buckets.tolist() == two.buckets.tolist() and one.weights == pytest.approx(two.weights)
+    got = toxicity.annotate(df.union(df), one).collect()
+    assert len({(r["doc_id"], r["score"]) for r in got}) == 400 and all(r["predicted"] == r["doc_id"] % 2 for r in got)
+
+
 def test_factorization_keeps_a_pair_of_neutral_terms():
     """Toxic where both terms meet or neither does: each alone is near neutral, below 4 standard deviations."""
     draw = np.random.default_rng(1)
