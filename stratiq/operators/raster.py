@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratiq.sources.scratch import dropped, saved
 
+from .relational import quantiles, with_totals
+
 
 def block(df: DataFrame, k: int, row: str = "row", col: str = "col") -> tuple[Column, Column]:
     return F.floor(F.col(row) / k).alias("block_row"), F.floor(F.col(col) / k).alias("block_col")
@@ -32,23 +37,89 @@ def halo(grid: DataFrame, values: Sequence[str], radius: int) -> DataFrame:
     return spread.select((F.col("row") - F.col("dr")).alias("row"), (F.col("col") - F.col("dc")).alias("col"), "dr", "dc", *values)
 
 
+def focal_sums(grid: DataFrame, z: str, radius: int) -> DataFrame:
+    """row, col, focal_sum, focal_n of the square of 2 radius + 1 cells around each cell.
+
+    Running sums along rows, then along columns: two exchanges of one row per
+    place, whatever the radius.  Places without a cell, within the grid's columns,
+    are filled in for the sums and count nothing.
+    """
+    along = lambda by, order: Window.partitionBy(by).orderBy(order).rangeBetween(-radius, radius)
+    line = Window.partitionBy("row").orderBy("col")
+    rows = with_totals(grid.select("row", "col", F.col(z).alias("_z")), _first=F.min("col"), _last=F.max("col"))
+    start = F.when(F.lag("col").over(line).isNull(), F.col("_first")).otherwise(F.col("col"))
+    stop = F.coalesce(F.lead("col").over(line) - 1, F.col("_last"))
+    places = rows.withColumn("_at", F.sequence(start, stop)).withColumn("_at", F.explode("_at"))
+    places = places.select("row", F.col("_at").alias("col"), (F.col("_at") == F.col("col")).alias("_real"), F.when(F.col("_at") == F.col("col"), F.col("_z")).alias("_z"))
+    sums = places.select("row", "col", "_real", F.sum("_z").over(along("row", "col")).alias("_s"), F.count("_z").over(along("row", "col")).alias("_n"))
+    out = sums.select("row", "col", "_real", F.sum("_s").over(along("col", "row")).alias("focal_sum"), F.sum("_n").over(along("col", "row")).alias("focal_n"))
+    return out.filter("_real").drop("_real")
+
+
 def focal_deviation(grid: DataFrame, z: str, radius: int) -> DataFrame:
     """Topographic position: the cell less the mean of its square neighbourhood, itself included."""
-    near = halo(grid.select("row", "col", z), [z], radius).groupBy("row", "col").agg(F.avg(z).alias("focal_mean"))
+    near = focal_sums(grid, z, radius).withColumn("focal_mean", F.col("focal_sum") / F.col("focal_n")).drop("focal_sum", "focal_n")
     return grid.join(near, ["row", "col"]).withColumn("deviation", F.col(z) - F.col("focal_mean"))
 
 
+#: Names of the nine cells, by rows from the north-west.
+NINE = ("nw", "n", "ne", "w", "c", "e", "sw", "s", "se")
+
+
+def nine(grid: DataFrame, z: str) -> DataFrame:
+    """row, col, near: the 3 by 3 neighbourhood as an array in the order of ``NINE`` (null where a cell is missing).
+
+    Neighbours are found along rows, then along columns: two exchanges.
+    """
+
+    def beside(df: DataFrame, by: str, at: str, value: str) -> tuple[Column, Column]:
+        w = Window.partitionBy(by).orderBy(at)
+        before = F.when(F.lag(at).over(w) == F.col(at) - 1, F.lag(value).over(w))
+        after = F.when(F.lead(at).over(w) == F.col(at) + 1, F.lead(value).over(w))
+        return before, after
+
+    west, east = beside(grid, "row", "col", z)
+    rows = grid.select("row", "col", F.struct(west.alias("w"), F.col(z).alias("c"), east.alias("e")).alias("_t"))
+    north, south = beside(rows, "col", "row", "_t")
+    three = rows.select("row", "col", north.alias("_n"), "_t", south.alias("_s"))
+    return three.select("row", "col", F.array(*[F.col(f"{line}.{k}") for line in ("_n", "_t", "_s") for k in ("w", "c", "e")]).alias("near"))
+
+
 def slope_aspect(grid: DataFrame, z: str, size: float) -> DataFrame:
-    """Slope and aspect (degrees) of inner cells from the four neighbours' central differences."""
-    near = halo(grid.select("row", "col", z), [z], 1)
-    at = lambda r, c: F.max(F.when((F.col("dr") == r) & (F.col("dc") == c), F.col(z)))
-    wide = near.groupBy("row", "col").agg(at(0, 0).alias("_z"), at(0, 1).alias("_e"), at(0, -1).alias("_w"), at(1, 0).alias("_s"), at(-1, 0).alias("_n"))
-    wide = wide.filter("_z is not null and _e is not null and _w is not null and _s is not null and _n is not null")
-    dx, dy = (F.col("_e") - F.col("_w")) / (2 * size), (F.col("_n") - F.col("_s")) / (2 * size)
+    """Slope and aspect (degrees) of inner cells from the four neighbours' central differences, as the nine-cell fit has them too."""
+    at = {k: F.col("near")[i] for i, k in enumerate(NINE)}
+    wide = nine(grid.select("row", "col", z), z).filter(F.forall(F.array(*[at[k] for k in "nescw"]), lambda x: x.isNotNull()))
+    dx, dy = (at["e"] - at["w"]) / (2 * size), (at["n"] - at["s"]) / (2 * size)
     aspect = F.degrees(F.atan2(-dx, -dy))
     return wide.select("row", "col", F.degrees(F.atan(F.sqrt(dx * dx + dy * dy))).alias("slope"), F.when(aspect < 0, aspect + 360).otherwise(aspect).alias("aspect"))
 
 
+def curvatures(grid: DataFrame, z: str, size: float) -> DataFrame:
+    """Ten curvatures of cells with all nine neighbours, from the second-order fit of Zevenbergen and Thorne (1987).
+
+    With p, q the first and r, t, s the second derivatives (xx, yy, xy):
+    general, profile, plan, tangential, longitudinal, cross-sectional, minimal,
+    maximal, total, rotor; null where a flat cell leaves them undefined.
+    """
+    wide = nine(grid.select("row", "col", z), z).filter(F.forall("near", lambda x: x.isNotNull()))
+    at = {k: F.col("near")[i] for i, k in enumerate(NINE)}
+    p, q = (at["e"] - at["w"]) / (2 * size), (at["n"] - at["s"]) / (2 * size)
+    r, t = (at["e"] - 2 * at["c"] + at["w"]) / size**2, (at["n"] - 2 * at["c"] + at["s"]) / size**2
+    s = (at["ne"] - at["nw"] - at["se"] + at["sw"]) / (4 * size**2)
+    fit = wide.select("row", "col", F.struct(p.alias("p"), q.alias("q"), r.alias("r"), s.alias("s"), t.alias("t")).alias("fit"))
+    p, q, r, s, t = (F.col(f"fit.{c}") for c in "pqrst")
+    steep = p * p + q * q
+    flat = F.nullif(steep, F.lit(0.0))
+    down, across = p * p * r + 2 * p * q * s + q * q * t, q * q * r - 2 * p * q * s + p * p * t
+    mean, half = -(r + t) / 2, F.sqrt(((r - t) / 2) ** 2 + s * s)
+    found = {
+        "general": -(r + t), "profile": -down / (flat * (1 + steep) ** 1.5), "plan": -across / flat**1.5, "tangential": -across / (flat * F.sqrt(1 + steep)),
+        "longitudinal": -down / flat, "cross": -across / flat, "minimal": mean - half, "maximal": mean + half,
+        "total": r * r + 2 * s * s + t * t, "rotor": ((p * p - q * q) * s - p * q * (r - t)) / flat**1.5,
+    }
+    return fit.select("row", "col", *[c.alias(n) for n, c in found.items()])
+
+
 def mosaic(tiles: Sequence[DataFrame], z: str) -> DataFrame:
     """Overlapping tiles as one grid: the lowest (terrain) and the highest (surface) value of each cell."""
     from .relational import union_fill
@@ -68,9 +139,9 @@ def label_sizes(cells: DataFrame, label: str) -> DataFrame:
 
 def size_stats(sizes: DataFrame, n: str = "n", probs: Sequence[float] = (0, 0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1)) -> DataFrame:
     """Labels, quantiles of their sizes, and shares of labels under 2, 5, 10 and 20 cells."""
-    q = [F.percentile(n, F.lit(float(p))).alias(f"q{round(100 * p):03d}") for p in probs]
+    found = zip(probs, quantiles(sizes, n, probs), strict=True)
     under = [F.avg(F.when(F.col(n) < t, 1.0).otherwise(0.0)).alias(f"under_{t}") for t in (2, 5, 10, 20)]
-    return sizes.agg(F.count(F.lit(1)).alias("labels"), *q, *under)
+    return sizes.agg(F.count(F.lit(1)).alias("labels"), *[F.lit(x).cast("double").alias(f"q{round(100 * p):03d}") for p, x in found], *under)
 
 
 def mask_small(cells: DataFrame, label: str, least: int) -> DataFrame:
@@ -115,13 +186,20 @@ def flow_edges(grid: DataFrame, z: str, width: int) -> DataFrame:
 
 
 def flow_accumulation(cells: DataFrame, edges: DataFrame, node: str = "id") -> DataFrame:
-    """Cells that drain through each cell, itself included: mass moves along all edges, a round at a time."""
+    """Cells that drain through each cell, itself included: mass moves along all edges, a round at a time.
+
+    On a network without cycles the mass is gone after as many rounds as there
+    are cells on the longest way; if it isn't, ValueError.
+    """
+    most = cells.count()
     moving = saved(cells.select(F.col(node).alias("id"), F.lit(1).cast("long").alias("m")), "flow")
     total = moving
     while True:
         after = saved(moving.join(edges, moving["id"] == edges["src"]).groupBy("dst").agg(F.sum("m").alias("m")).withColumnRenamed("dst", "id"), "flow")
         if after.isEmpty():
             break
+        if (most := most - 1) < 0:
+            raise ValueError("the network has a cycle")
         total, moving = saved(total.union(after).groupBy("id").agg(F.sum("m").alias("m")), "flow-sum"), after
     return total.select(F.col("id").alias(node), F.col("m").alias("accumulation"))
 
@@ -141,9 +219,10 @@ def steps_downstream(edges: DataFrame, outlets: DataFrame, node: str = "id") ->
 def strahler(edges: DataFrame) -> DataFrame:
     """Stream order of an acyclic network (src flows to dst): a source is 1; the highest inflow, plus 1 if two share it.
 
-    Each round settles the nodes whose inflows are all settled.
+    Each round settles the nodes whose inflows are all settled.  Nodes on a cycle,
+    and those behind it, never settle: ValueError.
     """
-    nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    nodes = saved(edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct(), "order-nodes")
     waits = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("need"))
     done = saved(nodes.join(waits, nodes["id"] == waits["dst"], "left_anti").select("id", F.lit(1).alias("strahler")), "orders")
     while True:
@@ -152,23 +231,35 @@ def strahler(edges: DataFrame) -> DataFrame:
         ready = top.join(waits, "dst").filter("have = need").select(F.col("dst").alias("id"), (F.col("t.strahler") + F.when(F.col("t.n") >= 2, 1).otherwise(0)).alias("strahler"))
         new = saved(ready.join(done.select("id"), "id", "left_anti"), "orders-new")
         if new.isEmpty():
+            if done.count() < nodes.count():
+                raise ValueError("the network has a cycle")
             return done
         done = saved(done.union(new), "orders")
 
 
-def per_pixel_mean(cube: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
-    return cube.groupBy(*by).agg(F.avg(value).alias("mean"))
-
-
 def second_difference(df: DataFrame, by: Sequence[str], order: str, value: str) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(order)
     return df.withColumn("second_difference", F.lead(value, 2).over(w) - 2 * F.lead(value, 1).over(w) + F.col(value))
 
 
 def running_median(df: DataFrame, by: Sequence[str], order: str, value: str, half: int) -> DataFrame:
-    """Median of a window of 2 half + 1 rows, cut off at the ends."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(-half, half)
-    return df.withColumn("running_median", F.percentile(value, F.lit(0.5)).over(w))
+    """Median of 2 half + 1 rows around each row.
+
+    Near an end the window shrinks evenly on both sides.  The first value is the
+    median of itself, the second smoothed one, and the line through the second
+    and third at the place before the first (Tukey's end rule), the last alike.
+    """
+    whole = Window.partitionBy(*by).orderBy(order)
+    near = F.collect_list(F.col(value).cast("double")).over(whole.rowsBetween(-half, half))
+    place, size = F.row_number().over(whole), F.count(F.lit(1)).over(Window.partitionBy(*by))
+    rows = df.withColumns({"_near": near, "_at": place, "_n": size})
+    reach = F.least(F.lit(half), F.col("_at") - 1, F.col("_n") - F.col("_at"))
+    first = F.col("_at") - F.greatest(F.lit(1), F.col("_at") - half) - reach + 1
+    rows = rows.withColumn("_y", F.element_at(F.sort_array(F.slice("_near", first, 2 * reach + 1)), (reach + 1).cast("int")))
+    ahead, behind = (lambda k: F.lead("_y", k).over(whole)), (lambda k: F.lag("_y", k).over(whole))
+    end = lambda f: F.element_at(F.sort_array(F.array(F.col("_y"), f(1), 3 * f(1) - 2 * f(2))), 2)
+    ruled = F.when((F.col("_at") == 1) & (F.col("_n") > 2), end(ahead)).when((F.col("_at") == F.col("_n")) & (F.col("_n") > 2), end(behind)).otherwise(F.col("_y"))
+    return rows.withColumn("running_median", ruled).drop("_near", "_at", "_n", "_y")
 
 
 def crop(grid: DataFrame, rows: tuple[int, int], cols: tuple[int, int]) -> DataFrame:
@@ -201,22 +292,64 @@ def least_cloud(scenes: DataFrame, by: Sequence[str], value: str, cloud: str, ke
     return scenes.groupBy(*by).agg(F.min_by(value, F.struct(cloud, key)).alias(value), F.min(cloud).alias(cloud))
 
 
-def fill_sinks(grid: DataFrame, z: str, rounds: int = 1000) -> DataFrame:
-    """Lowest level from which each cell drains over the edge: z, or the lowest pass on its way out.
+def _flood(z: np.ndarray, level: np.ndarray, slope: float) -> np.ndarray:
+    """Priority flood of one tile with a ring of one cell around it: levels from the seeds, those that are finite.
 
-    Levels start unbounded inside and at z on the edge, and fall to the largest
-    of z and the lowest neighbour until nothing changes; ValueError if that
-    takes more than ``rounds`` rounds.
+    A cell's level is at least its height (nan: missing), and a cell that drains
+    over a neighbour lies ``slope`` times their distance above that one's level.
+    """
+    out = level.copy()
+    queue = [(out[i, j], i, j) for i, j in zip(*np.nonzero(np.isfinite(out)), strict=True)]
+    heapq.heapify(queue)
+    while queue:
+        here, i, j = heapq.heappop(queue)
+        if here > out[i, j]:
+            continue
+        for a in range(max(0, i - 1), min(len(z), i + 2)):
+            for b in range(max(0, j - 1), min(z.shape[1], j + 2)):
+                if np.isnan(z[a, b]):
+                    continue
+                up = max(z[a, b], here + slope * (1.4142135623730951 if a != i and b != j else 1.0)) if slope else max(z[a, b], here)
+                if up < out[a, b]:
+                    out[a, b] = up
+                    heapq.heappush(queue, (up, a, b))
+    return out
+
+
+def fill_sinks(grid: DataFrame, z: str, slope: float = 0.0, tile: int = 128) -> DataFrame:
+    """row, col, z, level: the lowest level from which each cell drains over the edge.
+
+    ``slope`` is the least rise for a step of one cell on the way out.  Cells with
+    a missing neighbour are the edge, at their own height.  Tiles of ``tile``
+    cells a side, each with its neighbours' border cells around it, are flooded
+    on their own, in rounds that are written out, until no level falls: as many
+    rounds as the ways out cross tiles, not cells.
     """
-    cells = grid.select("row", "col", z)
-    count = halo(cells, [z], 1).groupBy("row", "col").agg(F.count(F.lit(1)).alias("_n"))
-    start = cells.join(count, ["row", "col"]).withColumn("level", F.when(F.col("_n") < 9, F.col(z)).otherwise(F.lit(float("inf")))).drop("_n")
+    cells = grid.select("row", "col", F.col(z).cast("double").alias("_z"))
+    around = nine(cells, "_z")
+    edge, own = F.exists("near", lambda x: x.isNull()), F.col("near")[NINE.index("c")]
+    start = around.select("row", "col", own.alias("_z"), F.when(edge, own).otherwise(F.lit(float("inf"))).alias("level"))
     level = saved(start, "fill")
-    for _ in range(rounds):
-        low = halo(level.select("row", "col", "level"), ["level"], 1).groupBy("row", "col").agg(F.min("level").alias("_low"))
-        after = saved(level.join(low, ["row", "col"]).select("row", "col", z, F.col("level").alias("_old"), F.least("level", F.greatest(z, "_low")).alias("level")), "fill")
+    inside = lambda c: F.pmod(F.col(c), F.lit(tile))
+    # A border cell goes to the tiles beside it as well.
+    steps = lambda c: F.filter(F.array(F.lit(0), F.when(inside(c) == 0, -1), F.when(inside(c) == tile - 1, 1)), lambda x: x.isNotNull())
+
+    def flood(pdf: pd.DataFrame) -> pd.DataFrame:
+        i0, j0 = int(pdf["_ti"].iloc[0]) * tile - 1, int(pdf["_tj"].iloc[0]) * tile - 1
+        high, old = np.full((tile + 2, tile + 2), np.nan), np.full((tile + 2, tile + 2), np.inf)
+        i, j = pdf["row"].to_numpy() - i0, pdf["col"].to_numpy() - j0
+        high[i, j], old[i, j] = pdf["_z"], pdf["level"]
+        new = _flood(high, old, slope)
+        own = (pdf["_si"] == 0).to_numpy() & (pdf["_sj"] == 0).to_numpy()
+        return pd.DataFrame({"row": pdf["row"][own], "col": pdf["col"][own], "_z": pdf["_z"][own], "_old": pdf["level"][own], "level": new[i, j][own]})
+
+    kind = dict(level.dtypes)
+    while True:
+        spread = level.withColumn("_si", F.explode(steps("row"))).withColumn("_sj", F.explode(steps("col")))
+        spread = spread.withColumn("_ti", F.floor(F.col("row") / tile) + F.col("_si")).withColumn("_tj", F.floor(F.col("col") / tile) + F.col("_sj"))
+        after = saved(spread.groupBy("_ti", "_tj").applyInPandas(flood, f"row {kind['row']}, col {kind['col']}, _z double, _old double, level double"), "fill")
         done = after.filter("_old <> level").isEmpty()
-        level = after.select("row", "col", z, "level")
+        dropped(level)
+        level = after.drop("_old")
         if done:
-            return level
-    raise ValueError(f"not settled after {rounds} rounds")
+            return level.withColumnRenamed("_z", z)

@@ -14,6 +14,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratiq.functions.numeric import all_finite, bin_right_closed, col, tertile
+from stratiq.sources.scratch import dropped, saved
+
+#: Rows of a few numbers each up to which a table may be broadcast.
+FEW_ROWS = 1_000_000
+
+
+def small(df: DataFrame, rows: int = FEW_ROWS) -> DataFrame:
+    """``df`` marked for a broadcast if it has at most so many rows; as it is otherwise, for Spark to join by shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def with_totals(df: DataFrame, **totals: Column) -> DataFrame:
@@ -85,19 +94,54 @@ def unit_range(df: DataFrame, columns: Sequence[str], suffix: str = "_n") -> Dat
     return out.withColumns({f"{c}{suffix}": (F.col(c) - F.col(f"_lo_{c}")) / F.nullif(F.col(f"_hi_{c}") - F.col(f"_lo_{c}"), F.lit(0.0)) for c in columns}).drop(*totals)
 
 
+def quantiles(df: DataFrame, column: str, probs: Sequence[float]) -> list[float | None]:
+    """Exact quantiles with linear interpolation, in the order given; null without values.
+
+    Distinct values are counted, range-partitioned and sorted; from the number
+    of rows in each partition follows which partitions hold the wanted ranks, and
+    a running sum within these finds their values.  No task sees more than one
+    range of values, and the driver one number for each range.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull()).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    # Written out, so that both passes see the same ranges.
+    counts = saved(counts.repartitionByRange(parts, "v").withColumn("part", F.spark_partition_id()), "quantiles")
+    sizes = sorted((r["part"], r["n"]) for r in counts.groupBy("part").agg(F.sum("n").alias("n")).collect())
+    total = sum(n for _, n in sizes)
+    if not total:
+        dropped(counts)
+        return [None] * len(probs)
+    places = [p * (total - 1) for p in probs]
+    wanted = {}
+    for rank in {int(x) for x in places} | {min(total - 1, int(x) + 1) for x in places}:
+        before = 0
+        for part, n in sizes:
+            if rank < before + n:
+                wanted[rank] = (part, rank - before)
+                break
+            before += n
+    upto = F.sum("n").over(Window.partitionBy("part").orderBy("v"))
+    held = counts.filter(F.col("part").isin(*{part for part, _ in wanted.values()})).withColumn("upto", upto)
+    row = held.agg(*[F.min(F.when((F.col("part") == part) & (F.col("upto") > at), F.col("v"))).alias(str(rank)) for rank, (part, at) in wanted.items()]).first()
+    dropped(counts)
+    return [(int(x) + 1 - x) * row[str(int(x))] + (x - int(x)) * row[str(min(total - 1, int(x) + 1))] for x in places]
+
+
 def quantile_bins(df: DataFrame, column: str, bins: int, out: str = "bin") -> DataFrame:
     """Bins between distinct exact quantiles, closed on the right, the lowest value included."""
-    cuts = F.array_sort(F.array_distinct(F.percentile(column, F.array(*[F.lit(i / bins) for i in range(bins + 1)]))))
-    return with_totals(df, _cuts=cuts).withColumn(out, bin_right_closed(column, "_cuts")).drop("_cuts")
+    cuts = sorted({x for x in quantiles(df, column, [round(i / bins, 15) for i in range(bins + 1)]) if x is not None})
+    return df.withColumn("_cuts", F.array(*map(F.lit, cuts)).cast("array<double>")).withColumn(out, bin_right_closed(column, "_cuts")).drop("_cuts")
 
 
 def tertile_tokens(df: DataFrame, columns: dict[str, str], prefix: str, out: str = "label") -> DataFrame:
     """A token 1 to 3 for each column and a label such as ``prefix_elev-1_slope-3``; columns: name to short name."""
-    third = lambda c: F.percentile(c, F.array(F.lit(1 / 3), F.lit(2 / 3)))
-    rows = with_totals(df, **{f"_t_{c}": third(c) for c in columns})
-    rows = rows.withColumns({f"{s}_bin": tertile(c, F.col(f"_t_{c}")[0], F.col(f"_t_{c}")[1]) for c, s in columns.items()})
+    bins = {}
+    for c, short in columns.items():
+        low, high = quantiles(df, c, [1 / 3, 2 / 3])
+        bins[f"{short}_bin"] = tertile(c, F.lit(low).cast("double"), F.lit(high).cast("double"))
+    rows = df.withColumns(bins)
     tokens = [F.concat(F.lit(f"{s}-"), F.col(f"{s}_bin").cast("string")) for s in columns.values()]
-    return rows.withColumn(out, F.concat_ws("_", F.lit(prefix), *tokens)).drop(*[f"_t_{c}" for c in columns])
+    return rows.withColumn(out, F.concat_ws("_", F.lit(prefix), *tokens))
 
 
 def row_ids(df: DataFrame, key: str, out: str = "id") -> DataFrame:
@@ -133,9 +177,8 @@ def union_fill(tables: Sequence[DataFrame]) -> DataFrame:
 
 
 def lookup(df: DataFrame, table: DataFrame, on: str, value: str) -> DataFrame:
-    """A value from a dimension table, the first for each key, null if there is none."""
-    one = table.groupBy(on).agg(F.min(value).alias(value))
-    return df.join(F.broadcast(one), on, "left")
+    """A value from a dimension table, the first for each key, null if there is none.  Spark broadcasts the table if it proves small."""
+    return df.join(table.groupBy(on).agg(F.min(value).alias(value)), on, "left")
 
 
 def panels(df: DataFrame, by: str, label: str, **aggregates: Column) -> DataFrame:

@@ -9,15 +9,23 @@ from pyspark.sql import functions as F
 
 from stratiq.functions.numeric import div
 
+from .relational import small
+
 
 def zonal(df: DataFrame, by: str, bands: Sequence[str], quantiles: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
-    """band__mean, sd (population), min, max, cv and quantiles for each segment and band, one aggregation."""
+    """band__mean, sd (population), min, max, cv and quantiles for each segment and band, one aggregation.
+
+    All quantiles of a band come from one map of its values.
+    """
     aggs: list[Column] = []
+    shown: list[Column | str] = [by]
     for b in bands:
         aggs += [F.avg(b).alias(f"{b}__mean"), F.stddev_pop(b).alias(f"{b}__sd"), F.min(b).alias(f"{b}__min"), F.max(b).alias(f"{b}__max")]
-        aggs += [div(F.stddev_pop(b), F.avg(b)).alias(f"{b}__cv")]
-        aggs += [F.percentile(b, F.lit(q)).alias(f"{b}__q{round(100 * q):02d}") for q in quantiles]
-    return df.groupBy(by).agg(*aggs)
+        shown += [f"{b}__{k}" for k in ("mean", "sd", "min", "max")] + [div(f"{b}__sd", f"{b}__mean").alias(f"{b}__cv")]
+        if quantiles:
+            aggs.append(F.percentile(b, F.array(*[F.lit(float(q)) for q in quantiles])).alias(f"{b}__q"))
+            shown += [F.col(f"{b}__q")[i].alias(f"{b}__q{round(100 * q):02d}") for i, q in enumerate(quantiles)]
+    return df.groupBy(by).agg(*aggs).select(*shown)
 
 
 def zonal_weighted(df: DataFrame, by: str, bands: Sequence[str], weight: str) -> DataFrame:
@@ -105,16 +113,17 @@ def cove(pairs: DataFrame, by: str, a: str, b: str) -> DataFrame:
     return n.withColumn("p", F.col("_n") / F.sum("_n").over(Window.partitionBy(by))).drop("_n")
 
 
-def jensen_shannon(signatures: DataFrame, by: str, keys: Sequence[str], p: str) -> DataFrame:
-    """Divergence (natural log) of every pair of tiles, from the classes that each has: a pair without a common class is at ln 2.
+def jensen_shannon(queries: DataFrame, signatures: DataFrame, by: str, keys: Sequence[str], p: str, block: int = 64) -> DataFrame:
+    """a, b, js: the divergence (natural log) of every query from every other signature; ln 2 where they have no class in common.
 
-    sum over common classes of ((p+q) ln(...)) only needs equi-joined classes:
-    JS = ln 2 + 1/2 sum over common (p ln(p/(p+q)) + q ln(q/(p+q))), the other
-    classes' terms being 0.
+    JS = ln 2 + 1/2 sum over common classes of (p ln(p / (p + q)) + q ln(q / (p + q))),
+    the other classes' terms being 0.  Each signature is one map; the queries, a
+    stated set, meet all signatures in blocks of ``block`` queries.
     """
-    x = signatures.select(F.col(by).alias("a"), *keys, F.col(p).alias("_p"))
-    y = signatures.select(F.col(by).alias("b"), *keys, F.col(p).alias("_q"))
-    s = F.col("_p") + F.col("_q")
-    # JS = 1/2 sum p ln(2p/(p+q)) + 1/2 sum q ln(2q/(p+q)); where q = 0 the first sum's term is p ln 2.
-    common = x.join(y, list(keys)).filter("a < b").groupBy("a", "b").agg(F.sum(0.5 * (F.col("_p") * F.ln(F.col("_p") / s) + F.col("_q") * F.ln(F.col("_q") / s))).alias("_c"))
-    return common.select("a", "b", (F.lit(0.6931471805599453) + F.col("_c")).alias("js"))
+    one = lambda df, name: df.select(F.col(by).alias(name), F.struct(*keys).cast("string").alias("_k"), F.col(p).alias("_p")).groupBy(name).agg(F.map_from_entries(F.collect_list(F.struct("_k", "_p"))).alias("_m"))
+    asked = one(queries, "a").groupBy(F.pmod(F.xxhash64("a"), F.lit(max(1, queries.select(by).distinct().count() // block))).alias("_block")).agg(F.collect_list(F.struct("a", F.col("_m").alias("m"))).alias("_q"))
+    pairs = one(signatures, "b").crossJoin(small(asked.drop("_block"), 10_000)).select("b", "_m", F.explode("_q").alias("_q")).filter(F.col("_q.a") != F.col("b"))
+    # Terms of common classes, in the order of the query's map.
+    terms = F.transform(F.filter(F.map_entries("_q.m"), lambda e: F.map_contains_key("_m", e["key"])), lambda e: F.struct(e["value"].alias("p"), F.element_at("_m", e["key"]).alias("q")))
+    sums = F.aggregate(terms, F.lit(0.0), lambda a, t: a + 0.5 * (t["p"] * F.ln(t["p"] / (t["p"] + t["q"])) + t["q"] * F.ln(t["q"] / (t["p"] + t["q"]))))
+    return pairs.select(F.col("_q.a").alias("a"), "b", (F.lit(0.6931471805599453) + sums).alias("js"))

@@ -12,7 +12,7 @@ from stratiq.operators.temporal import in_days
 from stratiq.sources import stations
 
 from .registry import query
-from .views import table, twin, v_cell, v_feat, v_grid, v_seg, v_ts
+from .views import table, twin, v_cell, v_feat, v_grid, v_seg, v_ts, whole
 
 
 @query("SELECT lpad(CAST(user_id AS VARCHAR), 5, '0') AS station_id, ts, CASE WHEN event_id % 97 = 0 THEN NULL ELSE value END AS ws, event_id FROM events WHERE event_type <> 'none'")
@@ -104,10 +104,10 @@ def utm_zone(spark, sf_dir):
     return c.select("c_custkey", circular.utm_epsg("lon", "lat").alias("epsg"))
 
 
-@query(twin("SELECT s.segment_id, s.stratum, round(f.price + 3e-8, 6) AS price FROM v_seg s LEFT JOIN (SELECT * FROM v_feat WHERE segment_id % 3 <> 0) f ON s.segment_id = f.segment_id"))
+@query(twin("SELECT s.segment_id, s.stratum, f.price FROM v_seg s LEFT JOIN (SELECT * FROM v_feat WHERE segment_id % 3 <> 0) f ON s.segment_id = f.segment_id"))
 def join_left_attach(spark, sf_dir):
     f = v_feat(spark, sf_dir).filter("segment_id % 3 <> 0")
-    return R.attach(v_seg(spark, sf_dir), f, "segment_id").select("segment_id", "stratum", r6(F.col("price") + 3e-8).alias("price"))
+    return R.attach(v_seg(spark, sf_dir), f, "segment_id").select("segment_id", "stratum", "price")
 
 
 @query("SELECT o_orderkey, c_name, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey")
@@ -134,14 +134,14 @@ def fold_complement_anti(spark, sf_dir):
 
 
 @query(twin(
-    "SELECT s.segment_id, s.stratum, round(a.price + 3e-8, 6) AS price, round(b.price, 6) AS price__dup, b.n FROM v_seg s LEFT JOIN (SELECT segment_id, avg(price) AS price FROM v_cell GROUP BY segment_id) a ON s.segment_id = a.segment_id "
+    "SELECT s.segment_id, s.stratum, a.price, b.price AS price__dup, b.n FROM v_seg s LEFT JOIN (SELECT segment_id, avg(round(price * 100)) / 100 AS price FROM v_cell GROUP BY segment_id) a ON s.segment_id = a.segment_id "
     "LEFT JOIN (SELECT segment_id, max(price) AS price, count(*) AS n FROM v_cell WHERE cls = 'A' GROUP BY segment_id) b ON s.segment_id = b.segment_id"
 ))
 def attrstack_join(spark, sf_dir):
     c = v_cell(spark, sf_dir)
-    a = c.groupBy("segment_id").agg(F.avg("price").alias("price"))
+    a = c.groupBy("segment_id").agg((F.avg(whole("price")) / 100).alias("price"))
     b = c.filter("cls = 'A'").groupBy("segment_id").agg(F.max("price").alias("price"), F.count(F.lit(1)).alias("n"))
-    return R.attach_all(v_seg(spark, sf_dir), [a, b], "segment_id").select("segment_id", "stratum", r6(F.col("price") + 3e-8).alias("price"), r6("price__dup").alias("price__dup"), "n")
+    return R.attach_all(v_seg(spark, sf_dir), [a, b], "segment_id").select("segment_id", "stratum", "price", "price__dup", "n")
 
 
 @query("SELECT a, b, c FROM (VALUES (1), (2), (3)) x(a), (VALUES (10), (20), (30)) y(b), (VALUES (5), (6)) z(c) WHERE NOT (a = 2 AND b = 20 AND c = 5)")
@@ -199,7 +199,8 @@ def regex_filter(spark, sf_dir):
 
 @query(twin("SELECT s.*, t.cut FROM v_seg s, (SELECT quantile_cont(area, 0.75) AS cut FROM v_seg) t WHERE area >= cut"))
 def quantile_threshold_filter(spark, sf_dir):
-    return R.with_totals(v_seg(spark, sf_dir), cut=F.percentile("area", F.lit(0.75))).filter("area >= cut")
+    s = v_seg(spark, sf_dir)
+    return s.withColumn("cut", F.lit(R.quantiles(s, "area", [0.75])[0])).filter("area >= cut")
 
 
 @query("SELECT c_custkey FROM customer ORDER BY (c_custkey * 7919) % 10007, c_custkey LIMIT 100")

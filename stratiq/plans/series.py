@@ -10,7 +10,7 @@ from stratiq.functions.spectral import mask_classes
 from stratiq.operators import relational as R, temporal as T
 
 from .registry import query
-from .views import table, twin, v_ts
+from .views import table, twin, v_ts, whole
 
 _WD = "degrees(atan2(avg(sin(radians(wd))), avg(cos(radians(wd)))))"
 
@@ -91,13 +91,13 @@ def southness(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", (r6(circular.southness((F.col("c_custkey") * 13 % 360).cast("double"))) + 0.0).alias("southness"))
 
 
-@query("SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS date, count(*) AS n_scenes, round(avg(o_totalprice) + 3e-8, 4) AS mean_cloud FROM orders GROUP BY 1, 2")
+@query("SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS date, count(*) AS n_scenes, avg(round(o_totalprice * 100)) / 100 AS mean_cloud FROM orders GROUP BY 1, 2")
 def agg_day_stats(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    return o.groupBy(F.year("o_orderdate").alias("year"), F.to_date("o_orderdate").cast("string").alias("date")).agg(F.count(F.lit(1)).alias("n_scenes"), F.round(F.avg("o_totalprice") + 3e-8, 4).alias("mean_cloud"))
+    return o.groupBy(F.year("o_orderdate").alias("year"), F.to_date("o_orderdate").cast("string").alias("date")).agg(F.count(F.lit(1)).alias("n_scenes"), (F.avg(whole("o_totalprice")) / 100).alias("mean_cloud"))
 
 
-@query("SELECT year, date, mean_cloud FROM (SELECT *, row_number() OVER (PARTITION BY year ORDER BY mean_cloud, date) AS r FROM (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS date, round(avg(o_totalprice) + 3e-8, 4) AS mean_cloud FROM orders GROUP BY 1, 2)) WHERE r = 1")
+@query("SELECT year, date, mean_cloud FROM (SELECT *, row_number() OVER (PARTITION BY year ORDER BY mean_cloud, date) AS r FROM (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS date, avg(round(o_totalprice * 100)) / 100 AS mean_cloud FROM orders GROUP BY 1, 2)) WHERE r = 1")
 def best_day_per_period(spark, sf_dir):
     return R.top_n(agg_day_stats(spark, sf_dir), 1, ["year"], [F.col("mean_cloud"), F.col("date")]).select("year", "date", "mean_cloud")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Common table expressions with the same columns as the functions below.
@@ -13,7 +13,7 @@ SQL = {
     "v_ts": "SELECT user_id AS station, ts, CASE WHEN event_id % 97 = 0 THEN NULL ELSE value END AS ws, CAST((event_id * 37) % 360 AS DOUBLE) AS wd FROM events",
     "v_pt": "SELECT c_custkey AS id, (c_custkey * 7919) % 10000 AS x, (c_custkey * 104729) % 10000 AS y, c_mktsegment AS grp FROM customer",
     "v_rect": "SELECT n_nationkey AS rect_id, (n_nationkey % 5) * 2000 AS x0, CAST(floor(n_nationkey / 5e0) AS INTEGER) * 2000 AS y0, (n_nationkey % 5) * 2000 + 2000 AS x1, CAST(floor(n_nationkey / 5e0) AS INTEGER) * 2000 + 2000 AS y1 FROM nation",
-    "v_feat": "SELECT segment_id, avg(price) AS price, avg(disc) AS disc, avg(tax) AS tax, avg(w) AS w, avg(CAST(ord AS DOUBLE)) AS ord FROM v_cell GROUP BY segment_id",
+    "v_feat": "SELECT segment_id, avg(round(price * 100)) / 100 AS price, avg(round(disc * 100)) / 100 AS disc, avg(round(tax * 100)) / 100 AS tax, avg(round(w * 50)) / 50 AS w, avg(CAST(ord AS DOUBLE)) AS ord FROM v_cell GROUP BY segment_id",
     "v_dist": "SELECT f.segment_id, " + ", ".join(f"round(abs((f.{c} - g.m_{c}) / g.s_{c}), 9) AS d_{c}" for c in ("price", "disc", "tax", "w", "ord")) + " FROM v_feat f, (SELECT " + ", ".join(f"avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}" for c in ("price", "disc", "tax", "w", "ord")) + " FROM v_feat) g",
     "v_site": "SELECT s.*, " + ", ".join(f"d.d_{c}" for c in ("price", "disc", "tax", "w", "ord")) + " FROM v_seg s LEFT JOIN v_dist d ON s.segment_id = d.segment_id",
     "v_vec": "SELECT vec_id, label, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(8)) + " FROM embeddings",
@@ -75,8 +75,18 @@ def v_rect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(k.alias("rect_id"), x.alias("x0"), y.alias("y0"), (x + 2000).alias("x1"), (y + 2000).alias("y1"))
 
 
+#: Steps of the columns that are whole numbers of something: cents, hundredths, fiftieths.
+STEPS = {"price": 100, "disc": 100, "tax": 100, "w": 50, "ord": 1}
+
+
+def whole(column: str, steps: int = 100) -> Column:
+    """The column as a whole number of its steps: sums of such numbers are exact, in whatever order they are added."""
+    return F.round(F.col(column).cast("double") * steps)
+
+
 def v_feat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return v_cell(spark, sf_dir).groupBy("segment_id").agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in DOMAINS])
+    """Means from exact sums."""
+    return v_cell(spark, sf_dir).groupBy("segment_id").agg(*[(F.avg(whole(c, n)) / n).alias(c) for c, n in STEPS.items()])
 
 
 def v_dist(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,29 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stratiq.functions.numeric import bin_right_closed, cases, r6, row_argmax
+from stratiq.functions.numeric import cases, r6, row_argmax
 from stratiq.operators import raster, relational as R, signatures as S
 
 from .registry import query
-from .views import DOMAINS, table, twin, v_cell, v_dist, v_feat, v_grid, v_seg, v_site
+from .views import DOMAINS, table, twin, whole, v_cell, v_dist, v_feat, v_grid, v_seg, v_site
 
 BANDS = ("price", "disc", "tax")
-#: Added before rounding: means of cents are often exact ties, which engines round differently.
-NUDGE = 3e-8
+#: Bands in whole hundredths, so that means and quantiles are exact and need no rounding.
 _STATS = ", ".join(
-    f"round(avg({b}) + {NUDGE}, 6) AS {b}__mean, round(stddev_pop({b}) + {NUDGE}, 6) AS {b}__sd, round(min({b}) + {NUDGE}, 6) AS {b}__min, round(max({b}) + {NUDGE}, 6) AS {b}__max, round(stddev_pop({b}) / nullif(avg({b}), 0) + {NUDGE}, 6) AS {b}__cv, "
-    + ", ".join(f"round(quantile_cont({b}, {q}) + {NUDGE}, 6) AS {b}__q{round(100 * q):02d}" for q in (0.25, 0.5, 0.75))
+    f"avg({b}) / 100 AS {b}__mean, round(stddev_pop({b}) / 100, 6) AS {b}__sd, min({b}) / 100 AS {b}__min, max({b}) / 100 AS {b}__max, round(stddev_pop({b}) / nullif(avg({b}), 0), 6) AS {b}__cv, "
+    + ", ".join(f"quantile_cont({b}, {q}) / 100 AS {b}__q{round(100 * q):02d}" for q in (0.25, 0.5, 0.75))
     for b in BANDS
 )
 
 
-def _rounded(df, *keys, nudge=0.0):
-    return df.select(*keys, *[r6(F.col(c) + nudge).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes if c not in keys])
+def _rounded(df, *keys):
+    return df.select(*keys, *[r6(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes if c not in keys])
 
 
-@query(twin(f"SELECT segment_id, {_STATS} FROM v_cell GROUP BY segment_id"))
+@query(twin(f"SELECT segment_id, {_STATS} FROM (SELECT segment_id, {', '.join(f'round({b} * 100) AS {b}' for b in BANDS)} FROM v_cell) GROUP BY segment_id"))
 def zonal_stats(spark, sf_dir):
-    return _rounded(S.zonal(v_cell(spark, sf_dir), "segment_id", BANDS), "segment_id", nudge=NUDGE)
+    cells = v_cell(spark, sf_dir).select("segment_id", *[whole(b).alias(b) for b in BANDS])
+    out = S.zonal(cells, "segment_id", BANDS)
+    shown = {"sd": lambda c: r6(c / 100), "cv": r6}
+    return out.select("segment_id", *[shown.get(c.split("__")[1], lambda c: c / 100)(F.col(c)).alias(c) for c in out.columns if c != "segment_id"])
 
 
 @query(twin("SELECT segment_id, round(sum(w * price) / sum(w), 6) AS price__mean, round(sqrt(greatest(sum(w * price * price) / sum(w) - (sum(w * price) / sum(w)) * (sum(w * price) / sum(w)), 0e0)), 2) AS price__sd FROM v_cell GROUP BY segment_id"))
@@ -40,9 +42,9 @@ def zonal_weighted_quantile(spark, sf_dir):
     return S.weighted_quantile(v_cell(spark, sf_dir).withColumn("n", F.round(F.col("w") * 50)), "segment_id", "price", "n", 0.5)
 
 
-@query(twin("SELECT segment_id, round(avg(price) + 3e-8, 6) AS price, round(avg(disc) + 3e-8, 6) AS disc, round(avg(tax) + 3e-8, 6) AS tax, round(avg(w) + 3e-8, 6) AS w, round(avg(ord) + 3e-8, 6) AS ord FROM v_cell GROUP BY segment_id"))
+@query(twin("SELECT segment_id, price, disc, tax, w, ord FROM v_feat"))
 def zonal_mean(spark, sf_dir):
-    return _rounded(v_feat(spark, sf_dir), "segment_id", nudge=NUDGE)
+    return v_feat(spark, sf_dir)
 
 
 _MODE = "SELECT segment_id, cls AS mode, round(n / t, 6) AS mode_share FROM (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY n DESC, cls) AS r, sum(n) OVER (PARTITION BY segment_id) AS t FROM (SELECT segment_id, cls, sum(round(w * 50)) AS n FROM v_cell GROUP BY segment_id, cls)) WHERE r = 1"
@@ -78,9 +80,10 @@ def class_fractions_pivot(spark, sf_dir):
 _SHARE = "SELECT segment_id, {c}, sum(w) / sum(sum(w)) OVER (PARTITION BY segment_id) AS share FROM v_cell GROUP BY segment_id, {c}"
 
 
-@query(twin("SELECT segment_id, cls, round(share, 6) AS share FROM s", s=_SHARE.format(c="cls")))
+@query(twin("SELECT segment_id, cls, sum(n) / sum(sum(n)) OVER (PARTITION BY segment_id) AS share FROM (SELECT segment_id, cls, round(w * 50) AS n FROM v_cell) GROUP BY segment_id, cls"))
 def class_shares_long(spark, sf_dir):
-    return _rounded(S.composition(v_cell(spark, sf_dir), "segment_id", "cls", "w"), "segment_id", "cls")
+    """Weights in whole fiftieths: a share is one division of exact sums."""
+    return S.composition(v_cell(spark, sf_dir).withColumn("n", whole("w", 50)), "segment_id", "cls", "n")
 
 
 _CLASS = "CASE WHEN ord IN (1, 2) THEN 'a' WHEN ord IN (3, 4) THEN 'b' WHEN ord = 5 THEN 'c' END"
@@ -103,7 +106,8 @@ def dominant_class_purity(spark, sf_dir):
 
 @query(twin("SELECT d.segment_id, d.class FROM d JOIN v_seg s ON d.segment_id = s.segment_id, (SELECT quantile_cont(area, 0.05) AS cut FROM v_seg) q WHERE area >= cut AND round(purity, 9) >= 0.66e0", s=_SHARE.format(c="ord"), d=_DOMINANT))
 def purity_gate(spark, sf_dir):
-    seg = R.with_totals(v_seg(spark, sf_dir), cut=F.percentile("area", F.lit(0.05))).filter("area >= cut")
+    seg = v_seg(spark, sf_dir)
+    seg = seg.filter(F.col("area") >= R.quantiles(seg, "area", [0.05])[0])
     return _dominant(spark, sf_dir).filter(F.round("purity", 9) >= 0.66).join(seg.select("segment_id"), "segment_id").select("segment_id", "class")
 
 
@@ -157,10 +161,15 @@ def cove_signature(spark, sf_dir):
     return _rounded(S.cove(_pairs(spark, sf_dir), "tile", "a", "b"), "tile", "low", "high")
 
 
-@query(twin("SELECT x.tile AS a, y.tile AS b, round(ln(2e0) + sum(0.5e0 * (x.p * ln(x.p / (x.p + y.p)) + y.p * ln(y.p / (x.p + y.p)))), 6) AS js FROM c x JOIN c y ON x.low = y.low AND x.high = y.high AND x.tile < y.tile WHERE x.tile < 30 AND y.tile < 30 GROUP BY x.tile, y.tile", t=_TILED, p=_PAIRS, c=_COVE))
+@query(twin(
+    "SELECT q.tile AS a, t.tile AS b, round(ln(2e0) + coalesce(s, 0e0), 6) AS js FROM (SELECT DISTINCT tile FROM c WHERE tile % 20 = 0) q JOIN (SELECT DISTINCT tile FROM c) t ON q.tile <> t.tile LEFT JOIN "
+    "(SELECT x.tile AS a, y.tile AS b, sum(0.5e0 * (x.p * ln(x.p / (x.p + y.p)) + y.p * ln(y.p / (x.p + y.p)))) AS s FROM c x JOIN c y ON x.low = y.low AND x.high = y.high AND x.tile <> y.tile WHERE x.tile % 20 = 0 GROUP BY x.tile, y.tile) k ON q.tile = k.a AND t.tile = k.b",
+    t=_TILED, p=_PAIRS, c=_COVE))
 def jensen_shannon_pairs(spark, sf_dir):
-    # The tiles of the first three tile rows are the stated set whose distances are wanted.
-    return _rounded(S.jensen_shannon(S.cove(_pairs(spark, sf_dir), "tile", "a", "b").filter("tile < 30"), "tile", ["low", "high"], "p"), "a", "b")
+    """Every twentieth tile, the stated query set, against all tiles."""
+    c = S.cove(_pairs(spark, sf_dir), "tile", "a", "b")
+    out = S.jensen_shannon(c.filter("tile % 20 = 0"), c, "tile", ["low", "high"], "p")
+    return out.select("a", "b", r6("js").alias("js"))
 
 
 @query(twin("SELECT segment_id, stratum, d FROM (SELECT segment_id, stratum, d_price AS d, row_number() OVER (PARTITION BY stratum ORDER BY d_price, segment_id) AS r FROM v_site WHERE d_price IS NOT NULL) WHERE r <= 5"))
@@ -202,8 +211,7 @@ def ntile_bins(spark, sf_dir):
 ))
 def quantile_bins(spark, sf_dir):
     rows = v_seg(spark, sf_dir).select("segment_id", "area")
-    cuts = F.array_sort(F.array_distinct(F.percentile("area", F.array(*[F.lit(round(i / 9, 15)) for i in range(10)]))))
-    return R.with_totals(rows, cuts=cuts).select("segment_id", bin_right_closed("area", "cuts").alias("bin"))
+    return R.quantile_bins(rows, "area", 9).select("segment_id", "bin")
 
 
 @query(twin(
@@ -231,7 +239,13 @@ def second_difference(spark, sf_dir):
     return raster.second_difference(v_grid(spark, sf_dir), ["row"], "col", "z").select("row", "col", F.round("second_difference", 4).alias("second_difference"))
 
 
-@query(twin("SELECT row, col, round(quantile_cont(z, 0.5) OVER (PARTITION BY row ORDER BY col ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS running_median FROM v_grid"))
+_SMOOTH = (
+    "SELECT row, col, list_sort(list_slice(near, pos - greatest(1, pos - 2) - least(2, pos - 1, n - pos) + 1, pos - greatest(1, pos - 2) + least(2, pos - 1, n - pos) + 1))[least(2, pos - 1, n - pos) + 1] AS y FROM "
+    "(SELECT row, col, list(z) OVER (PARTITION BY row ORDER BY col ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near, row_number() OVER (PARTITION BY row ORDER BY col) AS pos, count(*) OVER (PARTITION BY row) AS n FROM v_grid)"
+)
+
+
+@query(twin("SELECT row, col, round(CASE WHEN lag(y, 1) OVER w IS NULL AND n > 2 THEN list_sort([y, lead(y, 1) OVER w, 3 * lead(y, 1) OVER w - 2 * lead(y, 2) OVER w])[2] WHEN lead(y, 1) OVER w IS NULL AND n > 2 THEN list_sort([y, lag(y, 1) OVER w, 3 * lag(y, 1) OVER w - 2 * lag(y, 2) OVER w])[2] ELSE y END, 6) AS running_median FROM (SELECT *, count(*) OVER (PARTITION BY row) AS n FROM y) WINDOW w AS (PARTITION BY row ORDER BY col)", y=_SMOOTH))
 def running_median(spark, sf_dir):
     return raster.running_median(v_grid(spark, sf_dir), ["row"], "col", "z", 2).select("row", "col", r6("running_median").alias("running_median"))
 
