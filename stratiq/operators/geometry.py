@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratiq.sources.scratch import saved
+
+from .relational import small
+
 Ring = Sequence[tuple[float, float]]
 
 
@@ -37,63 +40,43 @@ def join_rectangles(points: DataFrame, rectangles: DataFrame, size: float, how:
     return at.join(tiles, hit, how).drop("_bx", "_by")
 
 
-def within_distance(points: DataFrame, key: str, d: float, x: str = "x", y: str = "y") -> DataFrame:
-    """Pairs a < b of points within d: each point meets the 3 by 3 buckets around it."""
-    at = points.select(F.col(key).alias("a"), F.col(x).alias("ax"), F.col(y).alias("ay"), F.floor(F.col(x) / d).alias("_bx"), F.floor(F.col(y) / d).alias("_by"))
+def within_distance(points: DataFrame, key: str, d: float, x: str = "x", y: str = "y", carry: str | None = None) -> DataFrame:
+    """Pairs a < b of points within d: each point meets the 3 by 3 buckets around it.  ``carry`` comes along for both, behind a and b."""
+    more = lambda side: [F.col(carry).alias(f"{side}{carry}")] if carry else []
+    at = points.select(F.col(key).alias("a"), F.col(x).alias("ax"), F.col(y).alias("ay"), F.floor(F.col(x) / d).alias("_bx"), F.floor(F.col(y) / d).alias("_by"), *more("a"))
     step = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    near = points.select(F.col(key).alias("b"), F.col(x).alias("bx"), F.col(y).alias("by"))
+    near = points.select(F.col(key).alias("b"), F.col(x).alias("bx"), F.col(y).alias("by"), *more("b"))
     near = near.withColumn("_sx", F.explode(step)).withColumn("_sy", F.explode(step))
-    near = near.select("b", "bx", "by", (F.floor(F.col("bx") / d) + F.col("_sx")).alias("_bx"), (F.floor(F.col("by") / d) + F.col("_sy")).alias("_by"))
+    kept = [f"b{carry}"] if carry else []
+    near = near.select("b", "bx", "by", *kept, (F.floor(F.col("bx") / d) + F.col("_sx")).alias("_bx"), (F.floor(F.col("by") / d) + F.col("_sy")).alias("_by"))
     gap = F.sqrt((F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2)
-    return at.join(near, ["_bx", "_by"]).filter("a < b").withColumn("distance", gap).filter(F.col("distance") <= d).select("a", "b", "distance")
-
-
-def _thinned(pdf: pd.DataFrame, d: float) -> pd.DataFrame:
-    """The sequential rule over one table in order; kept points are found by square of side d."""
-    squares: dict[tuple[int, int], list[tuple[float, float]]] = {}
-    stay = []
-    for x, y in zip(pdf["_x"], pdf["_y"], strict=True):
-        i, j = int(x // d), int(y // d)
-        near = (p for a in (i - 1, i, i + 1) for b in (j - 1, j, j + 1) for p in squares.get((a, b), ()))
-        free = all(math.hypot(x - px, y - py) > d for px, py in near)
-        stay.append(free)
-        if free:
-            squares.setdefault((i, j), []).append((x, y))
-    return pdf.loc[stay, ["_id"]]
+    return at.join(near, ["_bx", "_by"]).filter("a < b").withColumn("distance", gap).filter(F.col("distance") <= d).select("a", "b", "distance", *([f"a{carry}", f"b{carry}"] if carry else []))
 
 
-def thin(points: DataFrame, key: str, order: Sequence[str], d: float, x: str = "x", y: str = "y", few: int = 20_000) -> DataFrame:
+def thin(points: DataFrame, key: str, order: Sequence[str], d: float, x: str = "x", y: str = "y") -> DataFrame:
     """Greedy thinning: in order, a point stays if no point that stays before it is within d.
 
-    Up to ``few`` points, as a choice of sites has, go through the sequential
-    rule in one task.  More are decided in rounds over the pairs within d: a
-    point without an undecided earlier neighbour is decided; each round is
-    written out.  Both give the same result.
+    Decided in rounds over the pairs within d: a point without an undecided
+    earlier neighbour stays, and its later neighbours go; each round is written
+    out.  The result is that of the sequential rule.
     """
-    from stratiq.sources.scratch import saved
-
     points = saved(points, "thin-points")
-    if points.limit(few + 1).count() <= few:
-        rank = F.row_number().over(Window.partitionBy("_all").orderBy(*order, key))
-        rows = points.select(F.lit(0).alias("_all"), *{c: F.col(c) for c in [*order, key]}.values(), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
-        ranked = rows.select("_all", rank.alias("_rank"), F.col(key).alias("_id"), "_x", "_y")
-        kept = ranked.groupBy("_all").applyInPandas(lambda pdf: _thinned(pdf.sort_values("_rank"), d), f"_id {dict(points.dtypes)[key]}")
-        return points.join(kept, F.col(key) == F.col("_id"), "left_semi")
-    ranked = points.select(F.col(key).alias("id"), F.struct(*order, F.col(key).alias("_key")).alias("rank"))
-    pairs = within_distance(points, key, d, x, y)
-    both = pairs.select("a", "b").union(pairs.select("b", "a"))
-    r1, r2 = ranked.select(F.col("id").alias("a"), F.col("rank").alias("ra")), ranked.select(F.col("id").alias("b"), F.col("rank").alias("rb"))
-    earlier = saved(both.join(r1, "a").join(r2, "b").filter("ra < rb").select(F.col("a").alias("early"), F.col("b").alias("late")).distinct(), "thin-pairs")
-    open_ = saved(ranked.select("id"), "thin-open")
-    kept = None
+    rank = F.struct(*order, F.col(key).alias("_key"))
+    ranked = points.select(F.col(key).alias("id"), rank.alias("rank"), x, y)
+    pairs = within_distance(ranked.select("id", x, y, "rank"), "id", d, x, y, "rank")
+    first = F.col("arank") < F.col("brank")
+    earlier = saved(pairs.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("early"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("late")), "thin-pairs")
+    gone, left = None, earlier
     while True:
-        live = earlier.join(open_.withColumnRenamed("id", "early"), "early").join(open_.withColumnRenamed("id", "late"), "late")
-        stay = saved(open_.join(live.select(F.col("late").alias("id")), "id", "left_anti"), "thin-kept")
-        kept = stay if kept is None else kept.union(stay)
-        out = earlier.join(stay.withColumnRenamed("id", "early"), "early").select(F.col("late").alias("id"))
-        open_ = saved(open_.join(stay, "id", "left_anti").join(out, "id", "left_anti"), "thin-open")
-        if open_.isEmpty():
-            return points.join(kept.withColumnRenamed("id", key), key, "left_semi")
+        # A point is decided to stay when no pair is left in which it is the later one.
+        waits = left.select(F.col("late").alias("early")).distinct()
+        out = left.join(waits, "early", "left_anti").select(F.col("late").alias("id")).distinct()
+        out = saved(out, "thin-gone")
+        if out.isEmpty():
+            break
+        gone = out if gone is None else gone.union(out)
+        left = saved(left.join(out.withColumnRenamed("id", "late"), "late", "left_anti").join(out.withColumnRenamed("id", "early"), "early", "left_anti"), "thin-pairs")
+    return points if gone is None else points.join(gone.withColumnRenamed("id", key), key, "left_anti")
 
 
 def ring_area(ring: Column) -> Column:
@@ -154,7 +137,7 @@ def convex_hulls(points: DataFrame, by: str, x: str, y: str, directions: int = 6
         p, q = F.col(f"p{i}"), F.col(f"p{(i + 1) % directions}")
         same = (p["x"] == q["x"]) & (p["y"] == q["y"])
         inside = inside & (same | ((q["x"] - p["x"]) * (F.col("y") - p["y"]) - (q["y"] - p["y"]) * (F.col("x") - p["x"]) > 1e-9))
-    outer = rows.join(F.broadcast(tops), "grp").filter(~inside).select("grp", "x", "y")
+    outer = rows.join(small(tops, 10_000), "grp").filter(~inside).select("grp", "x", "y")
     return outer.groupBy("grp").applyInPandas(_hull, "grp string, i int, x double, y double")
 
 
@@ -174,10 +157,3 @@ def nearest_gap(points: DataFrame, key: str, d: float) -> DataFrame:
     pairs = within_distance(points, key, d)
     both = pairs.select(F.col("a").alias(key), "distance").union(pairs.select(F.col("b").alias(key), "distance"))
     return both.groupBy(key).agg(F.min("distance").alias("nearest"))
-
-
-def polygon_window(df: DataFrame, by: str, order: str) -> DataFrame:
-    """Vertices with their successor, closing the ring: for edge-wise measures on long rings."""
-    w = Window.partitionBy(by).orderBy(order)
-    first = F.first(F.struct("x", "y")).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return df.withColumn("next", F.coalesce(F.lead(F.struct("x", "y")).over(w), first))

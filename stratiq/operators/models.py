@@ -68,7 +68,6 @@ def evaluation_sample(df: DataFrame, key: str, least: int = 2000, share: float =
 def k_report(df: DataFrame, key: str, features: Sequence[str], ks: Sequence[int], boots: int = 2, seed: int = 1) -> DataFrame:
     """Indices for each k on an evaluation sample that the caller has drawn, their z-scores, and the composite score."""
     rows = saved(df.select(key, *features), "k-sample")
-    count = rows.count()
     found = []
     for k in ks:
         whole, cost = kmeans(rows, features, k, restarts=1, seed=seed)
@@ -80,7 +79,7 @@ def k_report(df: DataFrame, key: str, features: Sequence[str], ks: Sequence[int]
             both = again.select(key, "_again").join(whole.select(key, "stratum"), key)
             stable.append(cluster_jaccard(both, "stratum", "_again").agg(F.avg("jaccard")).first()[0])
         one = lambda t: float(t.first()[0] or 0.0)
-        found.append((int(k), one(silhouette(whole, key, "stratum", features, sample=count)), one(calinski_harabasz(whole, "stratum", features)), one(davies_bouldin(whole, "stratum", features)), float(cost), float(np.mean(stable))))
+        found.append((int(k), one(silhouette(whole, key, "stratum", features)), one(calinski_harabasz(whole, "stratum", features)), one(davies_bouldin(whole, "stratum", features)), float(cost), float(np.mean(stable))))
     table = pd.DataFrame(found, columns=["k", "silhouette", "ch", "db", "wss", "stability"])
     z = lambda c: (table[c] - table[c].mean()) / (table[c].std() or 1.0)
     table["score"] = z("silhouette") + z("ch") - z("db") - 0.5 * z("wss") + 2 * z("stability")
@@ -176,29 +175,40 @@ def mean_shift(grid: DataFrame, z: str, radius: int, reach: float, width: int, r
     return patches(modes.select("row", "col", "mode"), "mode", width).withColumnRenamed("component", "segment")
 
 
-def ward(tiles: DataFrame, key: str, features: Sequence[str], k: int, most: int = 2000) -> DataFrame:
-    """Ward's clusters of at most ``most`` tiles (quadratic in tiles; more raises ValueError)."""
-    pdf = tiles.select(key, *features).limit(most + 1).toPandas().sort_values(key)
-    if len(pdf) > most:
-        raise ValueError(f"more than {most} tiles")
-    x, size = pdf[list(features)].to_numpy(float), np.ones(len(pdf))
-    member, live = np.arange(len(pdf)), list(range(len(pdf)))
-    while len(live) > k:
-        best = (np.inf, 0, 0)
-        for i, a in enumerate(live):
-            rest = np.array(live[i + 1 :], int)
-            if len(rest):
-                cost = size[a] * size[rest] / (size[a] + size[rest]) * ((x[rest] - x[a]) ** 2).sum(axis=1)
-                j = int(cost.argmin())
-                if cost[j] < best[0]:
-                    best = (cost[j], a, int(rest[j]))
-        _, a, b = best
-        x[a] = (size[a] * x[a] + size[b] * x[b]) / (size[a] + size[b])
-        size[a] += size[b]
+def _ward(x: np.ndarray, size: np.ndarray, k: int) -> np.ndarray:
+    """Ward's clusters 1..k of weighted points, by the pair that adds least to the sum of squares."""
+    x, size, member, live = x.copy(), size.astype(float).copy(), np.arange(len(x)), np.ones(len(x), bool)
+    cost = size[:, None] * size / (size[:, None] + size) * ((x[:, None] - x) ** 2).sum(axis=2)
+    cost[np.tril_indices(len(x))] = np.inf
+    for _ in range(len(x) - k):
+        a, b = np.unravel_index(int(cost.argmin()), cost.shape)
+        x[a], size[a] = (size[a] * x[a] + size[b] * x[b]) / (size[a] + size[b]), size[a] + size[b]
         member[member == b] = a
-        live.remove(b)
-    number = {a: i + 1 for i, a in enumerate(sorted(live))}
-    return tiles.sparkSession.createDataFrame(pd.DataFrame({key: pdf[key].to_numpy(), "cluster": [number[m] for m in member]}))
+        live[b] = False
+        cost[b, :] = cost[:, b] = np.inf
+        new = np.where(live, size[a] * size / (size[a] + size) * ((x - x[a]) ** 2).sum(axis=1), np.inf)
+        cost[a, a + 1 :], cost[:a, a] = new[a + 1 :], new[:a]
+    return np.searchsorted(np.unique(member), member) + 1
+
+
+def ward(tiles: DataFrame, key: str, features: Sequence[str], k: int, centres: int = 300, seed: int = 1) -> DataFrame:
+    """key, cluster (1..k): Ward's clusters of micro-clusters.
+
+    k-means on Spark reduces the rows, however many, to at most ``centres``
+    weighted centres; Ward's merges run on these, and the labels go back to all
+    rows.  With no more rows than centres the result is that of Ward's method.
+    """
+    rows = saved(tiles.select(key, *features).na.drop(), "ward-rows")
+    if rows.count() <= centres:
+        micro = rows.withColumn("_micro", F.dense_rank().over(Window.orderBy(key)))  # at most ``centres`` rows
+    else:
+        micro, _ = kmeans(rows, features, centres, restarts=1, seed=seed, out="_micro")
+    micro = saved(micro, "ward-micro")
+    # One row for each centre.
+    found = micro.groupBy("_micro").agg(F.count(F.lit(1)).alias("n"), *[F.avg(f).alias(f) for f in features]).orderBy("_micro").collect()
+    member = _ward(np.array([[float(r[f]) for f in features] for r in found]), np.array([r["n"] for r in found]), min(k, len(found)))
+    labels = tiles.sparkSession.createDataFrame([(r["_micro"], int(m)) for r, m in zip(found, member, strict=True)], "_micro int, cluster int")
+    return micro.join(F.broadcast(labels), "_micro").select(key, "cluster")
 
 
 def scale_stability(base: DataFrame, others: Sequence[DataFrame], cell: str, label: str) -> DataFrame:
@@ -208,7 +218,3 @@ def scale_stability(base: DataFrame, others: Sequence[DataFrame], cell: str, lab
         one = adjusted_rand(base.select(cell, F.col(label).alias("_a")).join(o.select(cell, F.col(label).alias("_b")), cell), "_a", "_b")
         found = one if found is None else found.union(one)
     return found.agg(F.avg("ari").alias("ari_prev"), F.stddev_samp("ari").alias("ari_sd")).withColumn("score", F.col("ari_prev") - F.coalesce("ari_sd", F.lit(0.0)))
-
-
-def rank_by(df: DataFrame, by: str, order: str, key: str) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(order, key)))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stratiq.functions.numeric import div
 
-from .relational import with_totals
+from .relational import quantiles, small, with_totals
 
 
 def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -65,7 +65,7 @@ def distance(features: Sequence[str], prefix: str = "c_") -> Column:
 
 def to_centroid(df: DataFrame, cluster: str, features: Sequence[str]) -> DataFrame:
     """Rows with dist_to_center, the distance to their own cluster's mean."""
-    return df.join(F.broadcast(centroids(df, cluster, features)), cluster).withColumn("dist_to_center", distance(features))
+    return df.join(small(centroids(df, cluster, features), 100_000), cluster).withColumn("dist_to_center", distance(features))
 
 
 def calinski_harabasz(df: DataFrame, cluster: str, features: Sequence[str]) -> DataFrame:
@@ -79,26 +79,31 @@ def calinski_harabasz(df: DataFrame, cluster: str, features: Sequence[str]) -> D
 
 
 def davies_bouldin(df: DataFrame, cluster: str, features: Sequence[str]) -> DataFrame:
-    """One row, db: the mean over clusters of the worst (spread + spread) / separation.  Pairs are of clusters, never of rows."""
-    spread = to_centroid(df, cluster, features).groupBy(cluster).agg(F.avg("dist_to_center").alias("s"), *[F.first(f"c_{f}").alias(f"c_{f}") for f in features])
-    a, b = spread, spread.select(F.col(cluster).alias("_o"), F.col("s").alias("_s"), *[F.col(f"c_{f}").alias(f"o_{f}") for f in features])
-    gap = F.sqrt(sum(((F.col(f"c_{f}") - F.col(f"o_{f}")) ** 2 for f in features), F.lit(0.0)))
-    worst = a.join(F.broadcast(b), F.col(cluster) != F.col("_o")).groupBy(cluster).agg(F.max(div(F.col("s") + F.col("_s"), gap)).alias("r"))
+    """One row, db: the mean over clusters of the worst (spread + spread) / separation.
+
+    The measure compares all pairs of clusters, never of rows; clusters are few,
+    and one array of them is read by each.
+    """
+    spread = to_centroid(df, cluster, features).groupBy(cluster).agg(F.avg("dist_to_center").alias("s"), F.array(*[F.first(f"c_{f}") for f in features]).alias("c"))
+    rows = with_totals(spread, _all=F.collect_list(F.struct(F.col(cluster).alias("k"), "s", "c")))
+    others = F.filter("_all", lambda o: o["k"] != F.col(cluster))
+    gap = lambda o: F.sqrt(F.aggregate(F.zip_with("c", o["c"], lambda x, y: (x - y) ** 2), F.lit(0.0), lambda a, t: a + t))
+    worst = rows.select(F.array_max(F.transform(others, lambda o: (F.col("s") + o["s"]) / F.nullif(gap(o), F.lit(0.0)))).alias("r"))
     return worst.agg(F.avg("r").alias("db"))
 
 
-def silhouette(df: DataFrame, key: str, cluster: str, features: Sequence[str], sample: int = 500) -> DataFrame:
-    """One row, silhouette: the mean over ``sample`` rows (by key) of their Euclidean silhouette among themselves.
+def silhouette(df: DataFrame, key: str, cluster: str, features: Sequence[str], queries: Column | None = None) -> DataFrame:
+    """One row, silhouette: the mean Euclidean silhouette of the rows that meet ``queries`` (all by default) among all rows.
 
-    The measure is quadratic in its rows; the sample is part of its definition,
-    as in the evaluation that it serves.
+    Mean distances to each cluster are partial sums; the queries, a stated set of
+    a checked size, meet all rows by broadcast.
     """
-    few = df.select(key, cluster, *features).orderBy(key).limit(sample)
-    other = few.select(F.col(key).alias("_k"), F.col(cluster).alias("_c"), *[F.col(f).alias(f"o_{f}") for f in features])
-    near = few.join(F.broadcast(other), F.col(key) != F.col("_k")).groupBy(key, cluster, "_c").agg(F.avg(distance(features, "o_")).alias("d"))
+    rows = df.select(key, cluster, *features)
+    asked = (rows.filter(queries) if queries is not None else rows).select(F.col(key).alias("_k"), F.col(cluster).alias("_c"), *[F.col(f).alias(f"q_{f}") for f in features])
+    near = rows.join(small(asked), F.col(key) != F.col("_k")).groupBy("_k", "_c", cluster).agg(F.avg(distance(features, "q_")).alias("d"))
     own = F.max(F.when(F.col(cluster) == F.col("_c"), F.col("d")))
     out = F.min(F.when(F.col(cluster) != F.col("_c"), F.col("d")))
-    per = near.groupBy(key).agg(own.alias("a"), out.alias("b"))
+    per = near.groupBy("_k").agg(own.alias("a"), out.alias("b"))
     return per.agg(F.avg(F.when(F.col("a").isNull(), 0.0).otherwise(div(F.col("b") - F.col("a"), F.greatest("a", "b")))).alias("silhouette"))
 
 
@@ -128,37 +133,76 @@ def vote(ks: DataFrame, k: str, low: int, high: int) -> DataFrame:
 
 
 def near_zero_variance(df: DataFrame, columns: Sequence[str], ratio: float = 19.0, unique: float = 10.0) -> DataFrame:
-    """column, freq_ratio, pct_unique, nzv for each column: most common against second most common value, and distinct values a hundred rows."""
-    out = None
-    for c in columns:
-        n = df.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-        # The two highest counts, by partial aggregates.
-        first = n.agg(F.max("n").alias("n1"), F.count(F.lit(1)).alias("d"), F.sum("n").alias("all"))
-        second = n.crossJoin(F.broadcast(first)).agg(F.sum(F.when(F.col("n") == F.col("n1"), 1).otherwise(0)).alias("tops"), F.max(F.when(F.col("n") < F.col("n1"), F.col("n"))).alias("n2"))
-        row = first.crossJoin(second).select(
-            F.lit(c).alias("column"), F.when(F.col("tops") > 1, 1.0).when(F.col("n2").isNull(), 0.0).otherwise(F.col("n1") / F.col("n2")).alias("freq_ratio"), (100.0 * F.col("d") / F.col("all")).alias("pct_unique")
-        )
-        out = row if out is None else out.union(row)
-    return out.withColumn("nzv", (F.col("freq_ratio") > ratio) & (F.col("pct_unique") <= unique) | (F.col("pct_unique") * df.count() / 100 <= 1))
+    """column, freq_ratio, pct_unique, nzv for each column: most common against second most common value, and distinct values a hundred rows.
+
+    One scan: values of all columns are counted together, then the counts.
+    """
+    each = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])).alias("x")).select("x.*")
+    counts = each.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")).groupBy("column", "n").agg(F.count(F.lit(1)).alias("times"))
+    # Distinct counts of N rows number at most sqrt(2 N); the two highest decide.
+    rank = F.row_number().over(Window.partitionBy("column").orderBy(F.col("n").desc()))
+    both = counts.withColumn("_r", rank).groupBy("column").agg(
+        F.max("n").alias("n1"), F.max(F.when(F.col("_r") == 1, F.col("times"))).alias("tops"), F.max(F.when(F.col("_r") == 2, F.col("n"))).alias("n2"), F.sum("times").alias("d"), F.sum(F.col("times") * F.col("n")).alias("rows")
+    )
+    out = both.select("column", F.when(F.col("tops") > 1, 1.0).when(F.col("n2").isNull(), 0.0).otherwise(F.col("n1") / F.col("n2")).alias("freq_ratio"), (100.0 * F.col("d") / F.col("rows")).alias("pct_unique"), "d")
+    return out.withColumn("nzv", (F.col("freq_ratio") > ratio) & (F.col("pct_unique") <= unique) | (F.col("d") <= 1)).drop("d")
+
+
+def linear_combinations(df: DataFrame, columns: Sequence[str], least: float = 1e-7) -> list[str]:
+    """Columns to drop, in order, so that no kept one is a linear combination of those before it and a constant.
+
+    From one pass for the sums of products (centred and scaled); the elimination
+    runs on a matrix of columns by columns.
+    """
+    import numpy as np
+
+    t = with_totals(df.select(*columns).na.drop(), **{f"_m_{c}": F.avg(c) for c in columns})
+    z = [F.col(c) - F.col(f"_m_{c}") for c in columns]
+    n = len(columns)
+    row = t.agg(*[F.sum(z[i] * z[j]).alias(f"{i}_{j}") for i in range(n) for j in range(i, n)]).first()
+    gram = np.array([[row[f"{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(n)] for i in range(n)])
+    scale = np.sqrt(np.clip(np.diag(gram), 1e-300, None))
+    gram = gram / np.outer(scale, scale)
+    kept: list[int] = []
+    for i in range(n):
+        if kept:
+            known = gram[np.ix_(kept, kept)]
+            left = gram[i, i] - gram[i, kept] @ np.linalg.solve(known, gram[kept, i])
+        else:
+            left = gram[i, i]
+        if left > least:
+            kept.append(i)
+    return [c for i, c in enumerate(columns) if i not in kept]
 
 
 def knn_distance(queries: DataFrame, points: DataFrame, key: str, features: Sequence[str], k: int) -> DataFrame:
-    """The distance of each query row to its k-th nearest point.  Queries are a stated, bounded set; they are broadcast."""
+    """The distance of each query row to its k-th nearest point.
+
+    Queries are a stated set of a checked size.  Spark limits the ranks within
+    each task before the exchange (WindowGroupLimit), so that k rows a query and
+    task are shuffled, not all pairs.
+    """
     q = queries.select(F.col(key).alias("_k"), *[F.col(f).alias(f"q_{f}") for f in features])
-    pairs = points.select(key, *features).join(F.broadcast(q), F.col(key) != F.col("_k")).withColumn("_d", distance(features, "q_"))
+    pairs = points.select(key, *features).join(small(q), F.col(key) != F.col("_k")).select("_k", key, distance(features, "q_").alias("_d"))
     rank = F.row_number().over(Window.partitionBy("_k").orderBy("_d", key))
     return pairs.withColumn("_r", rank).filter(F.col("_r") == k).select(F.col("_k").alias(key), F.col("_d").alias("knn"))
 
 
 def dissimilarity(new: DataFrame, train: DataFrame, key: str, features: Sequence[str]) -> DataFrame:
-    """Area of applicability: distance to the nearest training row over the mean distance within training.  ``train`` is a bounded set."""
+    """Area of applicability: distance to the nearest training row over the mean distance within training.  ``train`` is a set of a checked size."""
     t = train.select(F.col(key).alias("_t"), *[F.col(f).alias(f"t_{f}") for f in features])
     u = train.select(F.col(key).alias("_u"), *features)
-    mean = u.join(F.broadcast(t), F.col("_u") < F.col("_t")).agg(F.avg(distance(features, "t_")).alias("_mean"))
-    near = new.select(key, *features).join(F.broadcast(t), F.col(key) != F.col("_t")).groupBy(key).agg(F.min(distance(features, "t_")).alias("_min"))
+    mean = u.join(small(t), F.col("_u") < F.col("_t")).agg(F.avg(distance(features, "t_")).alias("_mean"))
+    near = new.select(key, *features).join(small(t), F.col(key) != F.col("_t")).groupBy(key).agg(F.min(distance(features, "t_")).alias("_min"))
     return near.crossJoin(F.broadcast(mean)).select(key, div("_min", "_mean").alias("di"))
 
 
+def knn_bandwidths(queries: DataFrame, points: DataFrame, key: str, features: Sequence[str], k: int, probs: Sequence[float]) -> DataFrame:
+    """prob, bandwidth: quantiles of the k-th nearest distances of the queries."""
+    found = quantiles(knn_distance(queries, points, key, features, k), "knn", probs)
+    return queries.sparkSession.createDataFrame([(float(p), x) for p, x in zip(probs, found, strict=True)], "prob double, bandwidth double")
+
+
 def knee(sizes: DataFrame, n: str, floor: int, half: int) -> DataFrame:
     """One row, cutoff: the size at the sharpest bend of sorted log sizes, smoothed by a running median, not under ``floor``.
 
@@ -175,5 +219,5 @@ def knee(sizes: DataFrame, n: str, floor: int, half: int) -> DataFrame:
 
 def patch_scales(patches: DataFrame, area: str, probs: Sequence[float]) -> DataFrame:
     """Radii sqrt(A / pi) of patches at the probabilities given: scale_id, radius."""
-    q = patches.agg(F.percentile(F.sqrt(F.col(area) / F.lit(3.141592653589793)), F.array(*[F.lit(float(p)) for p in probs])).alias("q"))
-    return q.select(F.posexplode("q").alias("scale_id", "radius")).withColumn("scale_id", F.col("scale_id") + 1)
+    found = quantiles(patches.select(F.sqrt(F.col(area) / F.lit(3.141592653589793)).alias("r")), "r", probs)
+    return patches.sparkSession.createDataFrame([(i + 1, x) for i, x in enumerate(found)], "scale_id int, radius double")

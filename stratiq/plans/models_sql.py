@@ -84,10 +84,10 @@ _GAP = "sqrt(" + " + ".join(f"(x.{e} - y.{e}) ** 2" for e in VEC) + ")"
 
 
 @query(twin(
-    "SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / nullif(greatest(a, b), 0) END), 6) AS silhouette FROM (SELECT vec_id, max(CASE WHEN xl = yl THEN d END) AS a, min(CASE WHEN xl <> yl THEN d END) AS b FROM (SELECT x.vec_id, x.label AS xl, y.label AS yl, avg(" + _GAP + ") AS d FROM f x JOIN f y ON x.vec_id <> y.vec_id GROUP BY x.vec_id, x.label, y.label) GROUP BY vec_id)",
-    f="SELECT * FROM v_vec ORDER BY vec_id LIMIT 500"))
+    "SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / nullif(greatest(a, b), 0) END), 6) AS silhouette FROM (SELECT vec_id, max(CASE WHEN xl = yl THEN d END) AS a, min(CASE WHEN xl <> yl THEN d END) AS b FROM (SELECT x.vec_id, x.label AS xl, y.label AS yl, avg(" + _GAP + ") AS d FROM v_vec x JOIN v_vec y ON x.vec_id <> y.vec_id WHERE x.vec_id % 20 = 0 GROUP BY x.vec_id, x.label, y.label) GROUP BY vec_id)"))
 def silhouette_score(spark, sf_dir):
-    return stats.silhouette(v_vec(spark, sf_dir), "vec_id", "label", VEC).select(r6("silhouette").alias("silhouette"))
+    """Every twentieth row, the stated query set, among all rows."""
+    return stats.silhouette(v_vec(spark, sf_dir), "vec_id", "label", VEC, F.col("vec_id") % 20 == 0).select(r6("silhouette").alias("silhouette"))
 
 
 @query(twin("SELECT cls, round(max(n / (a + b - n)), 6) AS jaccard FROM (SELECT *, sum(n) OVER (PARTITION BY cls) AS a, sum(n) OVER (PARTITION BY lab) AS b FROM (SELECT cls, lab, CAST(count(*) AS DOUBLE) AS n FROM v_grid GROUP BY cls, lab)) GROUP BY cls"))
@@ -138,8 +138,37 @@ def patch_scale_table(spark, sf_dir):
     return stats.patch_scales(v_seg(spark, sf_dir), "area", (0.1, 0.5, 0.9)).select("scale_id", r6("radius").alias("radius"))
 
 
-@query(twin("SELECT name FROM (SELECT 'd_price' AS name UNION ALL SELECT 'd_disc' UNION ALL SELECT 'd_tax' UNION ALL SELECT 'd_w' WHERE (SELECT abs(corr(d_price, d_w)) FROM v_dist) <= 0.3 UNION ALL SELECT 'd_ord')"))
+def _greedy(names, cutoff):
+    """SQL of the rule itself: column i stays if it correlates beyond the cutoff with no column that stays before it."""
+    kept = {}
+    for i, c in enumerate(names):
+        kept[c] = " AND ".join(["TRUE", *[f"NOT (keep_{b} AND abs(coalesce(corr_{b}_{c}, 0)) > {cutoff})" for b in names[:i]]])
+    steps = "SELECT " + ", ".join(f"corr({a}, {b}) AS corr_{a}_{b}" for a, b in combinations(names, 2)) + " FROM v_dist"
+    for c in names:
+        steps = f"SELECT *, {kept[c]} AS keep_{c} FROM ({steps})"
+    return " UNION ALL ".join(f"SELECT '{c}' AS name FROM k WHERE keep_{c}" for c in names), steps
+
+
+_PRUNED, _KEPT = _greedy([f"d_{c}" for c in DOMAINS], 0.3)
+
+
+@query(twin(_PRUNED, k=_KEPT))
 def drop_correlated(spark, sf_dir):
     names = [f"d_{c}" for c in DOMAINS]
     kept = stats.drop_correlated(v_dist(spark, sf_dir), names, 0.3)
     return spark.createDataFrame([(k,) for k in kept], "name string")
+
+
+@query(twin("SELECT p AS prob, round(CASE p WHEN 0.1 THEN q[1] WHEN 0.5 THEN q[2] ELSE q[3] END, 6) AS bandwidth FROM (VALUES (0.1e0), (0.5e0), (0.9e0)) t(p), (SELECT quantile_cont(d, [0.1, 0.5, 0.9]) AS q FROM (SELECT x.vec_id, " + _GAP + " AS d, row_number() OVER (PARTITION BY x.vec_id ORDER BY " + _GAP + ", y.vec_id) AS r FROM (SELECT * FROM v_vec WHERE vec_id % 20 = 0) x JOIN v_vec y ON x.vec_id <> y.vec_id) WHERE r = 10)"))
+def knn_bandwidth(spark, sf_dir):
+    """Feature-space bandwidths: quantiles of 10-nearest-neighbour distances of every twentieth row."""
+    v = v_vec(spark, sf_dir)
+    return stats.knn_bandwidths(v.filter("vec_id % 20 = 0"), v, "vec_id", VEC, 10, (0.1, 0.5, 0.9)).select("prob", r6("bandwidth").alias("bandwidth"))
+
+
+@query("SELECT 'both' AS name UNION ALL SELECT 'flat'")
+def linear_combinations(spark, sf_dir):
+    """Of the domains, their sum and a constant, the columns that others make up."""
+    rows = v_feat(spark, sf_dir).withColumn("both", F.col("price") + 2 * F.col("w")).withColumn("flat", F.lit(3.0))
+    found = stats.linear_combinations(rows, [*DOMAINS, "both", "flat"])
+    return spark.createDataFrame([(c,) for c in found], "name string")
