@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -15,8 +16,9 @@ from pyspark.sql import functions as F
 
 from stratiq.sources.scratch import saved
 
+from .geometry import within_filter
 from .relational import complete_cases, top_n, zscores
-from .stats import adjusted_rand, calinski_harabasz, cluster_jaccard, davies_bouldin, silhouette, to_centroid
+from .stats import adjusted_rand, calinski_harabasz, cluster_jaccard, davies_bouldin, drop_correlated, kappa_by, linear_combinations, near_zero_variance, silhouette, to_centroid, vote
 
 
 def _vectors(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -116,6 +118,61 @@ def spatial_folds(df: DataFrame, x: str, y: str, folds: int, seed: int = 1) -> D
     return kmeans(df, [x, y], folds, restarts=1, seed=seed, out="fold")[0]
 
 
+def block_kappa(rows: DataFrame, key: str, label: str, features: Sequence[str], fold: str, folds: Sequence[int], **options) -> float:
+    """Mean kappa of forests that leave one spatial block out: each predicts the block that it has not seen."""
+    found = None
+    for i in folds:
+        one = forest(rows.filter(F.col(fold) != i), rows.filter(F.col(fold) == i), key, label, features, **options).select(key, "pred_class")
+        found = one if found is None else found.unionByName(one)
+    both = rows.select(key, fold, label).join(found, key)
+    return float(kappa_by(both, fold, label, "pred_class").agg(F.avg("kappa")).first()[0] or 0.0)
+
+
+def forward_selection(rows: DataFrame, key: str, label: str, features: Sequence[str], fold: str, folds: Sequence[int], **options) -> tuple[list[str], float]:
+    """The best pair of features by mean kappa over blocks, then one more at a time while it rises."""
+    measure = lambda names: block_kappa(rows, key, label, names, fold, folds, **(options | {"mtry": min(options.get("mtry", 2), len(names))}))
+    best, chosen = max((measure(list(p)), list(p)) for p in combinations(features, 2))
+    while len(chosen) < len(features):
+        score, more = max((measure([*chosen, f]), f) for f in features if f not in chosen)
+        if score <= best:
+            break
+        best, chosen = score, [*chosen, more]
+    return chosen, best
+
+
+def tune_forest(rows: DataFrame, key: str, label: str, features: Sequence[str], fold: str, folds: Sequence[int], trees: Sequence[int], mtry: Sequence[int], depth: int = 6) -> DataFrame:
+    """trees, mtry, kappa for each combination, the mean over spatial blocks that are left out in turn; best marks the highest."""
+    found = [(t, m, block_kappa(rows, key, label, features, fold, folds, trees=t, mtry=m, depth=depth)) for t in trees for m in mtry if m <= len(features)]
+    top = max(k for _, _, k in found)
+    first = next(i for i, (_, _, k) in enumerate(found) if k == top)
+    return rows.sparkSession.createDataFrame([(t, m, k, i == first) for i, (t, m, k) in enumerate(found)], "trees int, mtry int, kappa double, best boolean")
+
+
+def choose_k(report: DataFrame, low: int, high: int) -> int:
+    """The k that most indices of a report prefer (see :func:`stratiq.operators.stats.vote`)."""
+    ks = report.select(F.explode(F.array(*[F.struct(F.lit(sign).alias("s"), F.col("k"), (F.col(c) * sign).alias("v"), F.lit(c).alias("c")) for c, sign in (("silhouette", 1), ("ch", 1), ("db", -1), ("score", 1))])).alias("x"))
+    picks = ks.groupBy("x.c").agg(F.max_by("x.k", "x.v").alias("k"))
+    return int(vote(picks, "k", low, high).first()[0])
+
+
+def domain_strata(df: DataFrame, key: str, features: Sequence[str], hull: Sequence[tuple[float, float]], ks: Sequence[int], n: int, x: str = "x", y: str = "y", cutoff: float = 0.95) -> DataFrame:
+    """Strata of one domain, all steps: units in the hull, complete ones, predictors pruned, k chosen by vote on an evaluation sample, clusters, the n nearest of each.
+
+    Every unit of ``df`` is returned; stratum, dist_to_center and candidate are
+    null outside the hull and for incomplete units.
+    """
+    inside = saved(complete_cases(within_filter(df, hull, x, y), features).select(key, *features), "domain")
+    flat = {r["column"] for r in near_zero_variance(inside, features).filter("nzv").collect()}
+    kept = [f for f in features if f not in flat]
+    kept = drop_correlated(inside, kept, cutoff)
+    kept = [f for f in kept if f not in set(linear_combinations(inside, kept))]
+    z = [f"{f}_z" for f in kept]
+    rows = saved(zscores(inside, kept).na.drop(subset=z).select(key, *kept, *z), "domain-z")
+    k = choose_k(k_report(evaluation_sample(rows, key), key, z, ks), min(ks), max(ks))
+    found = strata(rows, key, kept, k, n)
+    return df.select(key).join(found, key, "left")
+
+
 #: Critical boundary of the monitoring OLS-MOSUM process (h = 0.25, period 10, by level).
 MOSUM_BOUNDARY = {0.1: 2.4, 0.05: 2.67, 0.01: 3.2}
 

@@ -204,6 +204,29 @@ def flow_accumulation(cells: DataFrame, edges: DataFrame, node: str = "id") -> D
     return total.select(F.col("id").alias(node), F.col("m").alias("accumulation"))
 
 
+def basins(edges: DataFrame, node: str = "id") -> DataFrame:
+    """node, basin (the outlet that it drains to): each node's pointer jumps to its target's pointer, in rounds that are written out.
+
+    On a cycle, which has no outlet, pointers never rest: ValueError.
+    """
+    nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    to = saved(nodes.join(edges, nodes["id"] == edges["src"], "left").select("id", F.coalesce("dst", "id").alias("to")), "basins")
+    for _ in range(64):  # more than the doublings of any path
+        ahead = to.select(F.col("id").alias("to"), F.col("to").alias("_to"))
+        after = saved(to.join(ahead, "to").select("id", F.col("_to").alias("to"), (F.col("_to") != F.col("to")).alias("moved")), "basins")
+        done = after.filter("moved").isEmpty()
+        dropped(to)
+        to = after.drop("moved")
+        if done:
+            return to.select(F.col("id").alias(node), F.col("to").alias("basin"))
+    raise ValueError("the network has a cycle")
+
+
+def channels(edges: DataFrame, accumulation: DataFrame, least: int) -> DataFrame:
+    """The edges that leave cells through which at least ``least`` cells drain.  ``accumulation``: id, accumulation."""
+    return edges.join(accumulation.filter(F.col("accumulation") >= least).select(F.col("id").alias("src")), "src", "left_semi")
+
+
 def steps_downstream(edges: DataFrame, outlets: DataFrame, node: str = "id") -> DataFrame:
     """Number of edges from each cell down to the first outlet on its way."""
     front = saved(outlets.select(F.col(node).alias("id"), F.lit(0).alias("steps")), "steps")

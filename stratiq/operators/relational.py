@@ -61,6 +61,23 @@ def attach_all(df: DataFrame, others: Sequence[DataFrame], key: str) -> DataFram
     return reduce(lambda a, b: attach(a, b, key), others, df)
 
 
+def contracted(df: DataFrame, columns: Sequence[str], key: Sequence[str] = (), some: bool = True) -> DataFrame:
+    """``df`` itself, if it has the columns, a row (with ``some``) and no key twice; ValueError otherwise."""
+    if missing := [c for c in columns if c not in df.columns]:
+        raise ValueError(f"columns are missing: {missing}")
+    if some and df.isEmpty():
+        raise ValueError("no rows")
+    if key and not df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").isEmpty():
+        raise ValueError(f"{list(key)} is not unique")
+    return df
+
+
+def unique_leaves(df: DataFrame, parent: str, leaf: str, out: str = "name") -> DataFrame:
+    """Folders' last names, with the parent's name in front where several folders share one."""
+    shared = F.count(F.lit(1)).over(Window.partitionBy(leaf)) > 1
+    return df.withColumn(out, F.when(shared, F.concat_ws("_", parent, leaf)).otherwise(F.col(leaf)))
+
+
 def top_n(df: DataFrame, n: int, by: Sequence[Column | str], order: Sequence[Column]) -> DataFrame:
     """The first n rows of each group, without ties: the order must be total."""
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
@@ -164,6 +181,14 @@ def stratified(df: DataFrame, by: str, n: int, draw: Column, key: str) -> DataFr
     return top_n(df, n, [by], [draw, F.col(key)])
 
 
+def stratified_spaced(df: DataFrame, by: str, n: int, draw: Column, key: str, d: float, x: str = "x", y: str = "y") -> DataFrame:
+    """n rows of each group by a deterministic draw, of the rows that stay when, in the draw's order, those within d of an earlier one go.  Rows without a place or group don't count."""
+    from .geometry import thin
+
+    rows = df.na.drop(subset=[by, x, y]).withColumn("_draw", draw)
+    return stratified(thin(rows, key, ["_draw"], d, x, y), by, n, F.col("_draw"), key).drop("_draw")
+
+
 def stratified_share(df: DataFrame, by: str, share: float, draw: Column, key: str) -> DataFrame:
     """About a share of each group (at least one row), by a deterministic draw."""
     w = Window.partitionBy(by)

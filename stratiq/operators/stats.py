@@ -55,6 +55,18 @@ def kappa(df: DataFrame, truth: str, found: str) -> DataFrame:
     return hit.crossJoin(chance).select(F.col("n").cast("long").alias("n"), po.alias("accuracy"), div(po - pe, 1 - pe).alias("kappa"))
 
 
+def kappa_by(df: DataFrame, by: str, truth: str, found: str) -> DataFrame:
+    """by, n, accuracy, kappa for each fold, and mean_kappa over the folds."""
+    cells = df.groupBy(by, truth, found).agg(F.count(F.lit(1)).cast("double").alias("c"))
+    hit = cells.groupBy(by).agg(F.sum("c").alias("n"), F.sum(F.when(F.col(truth) == F.col(found), F.col("c")).otherwise(0.0)).alias("hits"))
+    t = cells.groupBy(by, F.col(truth).alias("k")).agg(F.sum("c").alias("t"))
+    f = cells.groupBy(by, F.col(found).alias("k")).agg(F.sum("c").alias("f"))
+    chance = t.join(f, [by, "k"]).groupBy(by).agg(F.sum(F.col("t") * F.col("f")).alias("tf"))
+    po, pe = F.col("hits") / F.col("n"), F.coalesce("tf", F.lit(0.0)) / (F.col("n") * F.col("n"))
+    out = hit.join(chance, by, "left").select(by, F.col("n").cast("long").alias("n"), po.alias("accuracy"), div(po - pe, 1 - pe).alias("kappa"))
+    return with_totals(out, mean_kappa=F.avg("kappa"))
+
+
 def centroids(df: DataFrame, cluster: str, features: Sequence[str]) -> DataFrame:
     return df.groupBy(cluster).agg(*[F.avg(f).alias(f"c_{f}") for f in features], F.count(F.lit(1)).alias("size"))
 

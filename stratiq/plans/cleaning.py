@@ -218,3 +218,25 @@ def scene_assets(spark, sf_dir):
     link = lambda name: F.concat(F.lit("/scene/"), F.col("event_id").cast("string"), F.lit(f"/{name}"))
     items = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("datetime"), F.col("value").alias("cloud"), F.create_map(F.lit("red"), link("red"), F.lit("nir"), link("nir")).alias("assets"))
     return stations.scenes(items, 5.0).select("id", "cloud", "asset", "href")
+
+
+@query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts <= TIMESTAMP '2024-01-09 12:00:00'")
+def time_window_closed(spark, sf_dir):
+    """Both ends count, as radar composites are chosen."""
+    at = lambda t: F.lit(t).cast("timestamp_ntz")
+    return table(spark, sf_dir, "events").filter(F.col("ts").cast("timestamp_ntz").between(at("2024-01-05 00:00:00"), at("2024-01-09 12:00:00"))).select("event_id")
+
+
+@query("SELECT n_nationkey, CASE WHEN count(*) OVER (PARTITION BY leaf) > 1 THEN r_name || '_' || leaf ELSE leaf END AS name FROM (SELECT n_nationkey, r_name, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'data' END AS leaf FROM nation JOIN region ON n_regionkey = r_regionkey)")
+def folder_names(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    leaves = n.select("n_nationkey", "r_name", F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).otherwise("data").alias("leaf"))
+    return R.unique_leaves(leaves, "r_name", "leaf").select("n_nationkey", "name")
+
+
+@query("SELECT c_custkey AS key, c_name AS label, c_nationkey AS unit FROM customer")
+def rename_columns(spark, sf_dir):
+    """A table of new names, and a prefix stripped by pattern; columns chosen by pattern; a contract on the result."""
+    c = table(spark, sf_dir, "customer")
+    out = R.rename_by(c.select(*R.columns_like(c, "key$|name$")), {"c_name": "c_label", "c_nationkey": "c_unit", "c_custkey": "c_key"}, "^c_")
+    return R.contracted(out, ["key", "label", "unit"], ["key"])

@@ -200,6 +200,22 @@ def flow_accumulation(spark, sf_dir):
     return raster.flow_accumulation(e.select(F.col("src").alias("id")).union(e.select("dst")).distinct(), e)
 
 
+_DRAINS = dict(f=_FLOW, n="SELECT src AS id FROM f UNION SELECT dst FROM f", r="SELECT id, id AS origin FROM n UNION ALL SELECT f.dst, r.origin FROM r JOIN f ON r.id = f.src")
+
+
+@query(twin("SELECT origin AS id, id AS basin FROM r WHERE id NOT IN (SELECT src FROM f)", recursive=True, **_DRAINS))
+def drainage_basins(spark, sf_dir):
+    return raster.basins(_network(spark, sf_dir))
+
+
+@query(twin("SELECT src, dst FROM f WHERE src IN (SELECT id FROM r GROUP BY id HAVING count(*) >= 5)", recursive=True, **_DRAINS))
+def channel_network(spark, sf_dir):
+    """Edges from cells that five or more drain through."""
+    e = _network(spark, sf_dir)
+    cells = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
+    return raster.channels(e, raster.flow_accumulation(cells, e), 5).select("src", "dst")
+
+
 @query(twin("SELECT id, CAST(min(steps) AS INTEGER) AS steps FROM r GROUP BY id", recursive=True, f=_FLOW, r="SELECT DISTINCT dst AS id, 0 AS steps FROM f WHERE dst NOT IN (SELECT src FROM f) UNION ALL SELECT f.src, r.steps + 1 FROM r JOIN f ON r.id = f.dst"))
 def overland_steps(spark, sf_dir):
     e = _network(spark, sf_dir)

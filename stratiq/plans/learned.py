@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stratiq.operators import models as M
+from stratiq.sources.scratch import saved
 
 from .registry import query
 from .views import DOMAINS, VEC, table, v_cell, v_dist, v_feat, v_grid, v_seg, v_vec
@@ -64,3 +65,42 @@ def hopkins(spark, sf_dir):
 def ward_tiles(spark, sf_dir):
     tiles = v_grid(spark, sf_dir).groupBy((F.floor(F.col("row") / 10) * 10 + F.floor(F.col("col") / 10)).alias("tile")).agg(F.avg("z").alias("mean"), F.stddev_samp("z").alias("sd"))
     return M.ward(tiles, "tile", ["mean", "sd"], 6)
+
+
+def _classed(spark, sf_dir):
+    rows = v_feat(spark, sf_dir).join(v_cell(spark, sf_dir).groupBy("segment_id").agg(F.mode("cls", True).alias("cls")), "segment_id").join(v_seg(spark, sf_dir).select("segment_id", "x", "y"), "segment_id")
+    return saved(M.spatial_folds(rows, "x", "y", 3), "folds")
+
+
+@query()
+def rf_tuning(spark, sf_dir):
+    """Forests by trees and mtry, each judged on spatial blocks that it has not seen."""
+    return M.tune_forest(_classed(spark, sf_dir), "segment_id", "cls", list(DOMAINS), "fold", (1, 2, 3), (5, 10), (2, 3), depth=4)
+
+
+@query()
+def rf_feature_selection(spark, sf_dir):
+    """Predictors by forward selection on the same blocks."""
+    chosen, kappa = M.forward_selection(_classed(spark, sf_dir), "segment_id", "cls", ["price", "disc", "w"], "fold", (1, 2, 3), trees=5, depth=4)
+    return spark.createDataFrame([(i + 1, c, kappa) for i, c in enumerate(chosen)], "place int, feature string, kappa double")
+
+
+@query()
+def domain_strata(spark, sf_dir):
+    """Strata of the cells' domain within a hull, with pruning and the choice of k."""
+    units = v_seg(spark, sf_dir).select("segment_id", "x", "y").join(v_feat(spark, sf_dir), "segment_id", "left")
+    return M.domain_strata(units, "segment_id", list(DOMAINS), ((-1.0, -1.0), (4500.0, -1.0), (4500.0, 1e9), (-1.0, 1e9)), (3, 4, 5), 5)
+
+
+@query()
+def tile_typing(spark, sf_dir):
+    """Types of tiles by entropy, relative information, height and share of one class: eight clusters, five nearest each."""
+    from stratiq.operators import signatures as S
+
+    from .zones import _pairs, _tiled
+
+    t = _tiled(spark, sf_dir)
+    h = S.entropy(t.withColumn("one", F.lit(1.0)), "tile", "cls", "one").select("tile", "H")
+    info = S.relative_information(h, S.mutual_information(_pairs(spark, sf_dir), ["tile"], "a", "b"), "tile").select("tile", "H", "U")
+    more = t.groupBy("tile").agg(F.avg("z").alias("elevation"), F.avg(F.when(F.col("cls") == "1-URGENT", 1.0).otherwise(0.0)).alias("share"))
+    return M.strata(info.join(more, "tile"), "tile", ["H", "U", "elevation", "share"], k=8, n=5)

@@ -50,6 +50,14 @@ def cohen_kappa(spark, sf_dir):
     return stats.kappa(v, "label", "found").select("n", r6("accuracy").alias("accuracy"), r6("kappa").alias("kappa"))
 
 
+@query(twin(
+    "SELECT fold, CAST(n AS BIGINT) AS n, round(hits / n, 6) AS accuracy, round((hits / n - tf / (n * n)) / (1 - tf / (n * n)), 6) AS kappa, round(avg((hits / n - tf / (n * n)) / (1 - tf / (n * n))) OVER (), 6) AS mean_kappa FROM (SELECT fold, sum(n) AS n, sum(CASE WHEN truth = found THEN n ELSE 0 END) AS hits FROM c GROUP BY fold) JOIN (SELECT fold, sum(t * f) AS tf FROM (SELECT fold, truth AS k, sum(n) AS t FROM c GROUP BY 1, 2) JOIN (SELECT fold, found AS k, sum(n) AS f FROM c GROUP BY 1, 2) USING (fold, k) GROUP BY fold) USING (fold)",
+    c="SELECT vec_id % 4 AS fold, label AS truth, CASE WHEN vec_id % 5 = 0 THEN (label + 1) % 10 ELSE label END AS found, CAST(count(*) AS DOUBLE) AS n FROM embeddings GROUP BY 1, 2, 3"))
+def kappa_by_fold(spark, sf_dir):
+    v = v_vec(spark, sf_dir).withColumn("fold", F.col("vec_id") % 4).withColumn("found", F.when(F.col("vec_id") % 5 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return stats.kappa_by(v, "fold", "label", "found").select("fold", "n", *[r6(c).alias(c) for c in ("accuracy", "kappa", "mean_kappa")])
+
+
 _AVG = ", ".join(f"avg({e}) AS c_{e}" for e in VEC)
 
 
