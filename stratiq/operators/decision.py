@@ -71,7 +71,3 @@ def overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     x = a.select(key, F.lit(1).alias("_a")).join(b.select(key, F.lit(1).alias("_b")), key, "full")
     n = lambda c: F.count(F.when(c, 1))
     return x.agg(n(F.col("_a").isNotNull()).alias("first"), n(F.col("_b").isNotNull()).alias("second"), n(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("both"))
-
-
-def domain_distance(df: DataFrame, columns: Sequence[str]) -> list[Column]:
-    return [F.abs(F.col(c)).alias(c) for c in columns]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 from itertools import combinations
 
@@ -173,11 +174,28 @@ def domain_strata(df: DataFrame, key: str, features: Sequence[str], hull: Sequen
     return df.select(key).join(found, key, "left")
 
 
-#: Critical boundary of the monitoring OLS-MOSUM process (h = 0.25, period 10, by level).
-MOSUM_BOUNDARY = {0.1: 2.4, 0.05: 2.67, 0.01: 3.2}
+@functools.cache
+def mosum_boundary(level: float, h: float = 0.25, period: float = 10.0, steps: int = 100, paths: int = 4000, seed: int = 1) -> float:
+    """Critical value of the monitoring OLS-MOSUM process, by simulation.
 
-
-def _breaks(value: np.ndarray, month: np.ndarray, start: int, level: float, h: float = 0.25) -> tuple[float, float]:
+    Under no break the sums of residuals behave as a Brownian motion less its
+    value at the end of the history times t.  The value is the 1 - ``level``
+    quantile, over simulated paths, of the largest moving sum over a window of
+    ``h`` between the history's end (t = 1) and ``period``, each over
+    sqrt(2 log+ t), the shape of the boundary.
+    """
+    draw, width = np.random.default_rng(seed), max(1, int(h * steps))
+    t = np.arange(1, int(period * steps) + 1) / steps
+    shape = np.sqrt(2 * np.maximum(1.0, np.log(t)))[steps:]
+    tops = []
+    for _ in range(paths // 500):
+        path = np.cumsum(draw.normal(0, steps**-0.5, (500, len(t))), axis=1)
+        path -= path[:, steps - 1 : steps] * t
+        tops.append((np.abs(path[:, steps:] - path[:, steps - width : -width]) / shape).max(axis=1))
+    return float(np.quantile(np.concatenate(tops), 1 - level))
+
+
+def _breaks(value: np.ndarray, month: np.ndarray, start: int, boundary: float, h: float = 0.25) -> tuple[float, float]:
     """Month and magnitude of the first boundary crossing of the moving sums of residuals; NaN without one."""
     t = month.astype(float)
     year = 2 * np.pi * t / 12
@@ -197,7 +215,7 @@ def _breaks(value: np.ndarray, month: np.ndarray, start: int, level: float, h: f
     for i in range(n, len(value)):
         stat = abs(sums[i + 1] - sums[max(0, i + 1 - width)]) / (sigma * np.sqrt(n))
         ratio = (i + 1) / n
-        if stat > MOSUM_BOUNDARY[level] * np.sqrt(2 * max(1.0, np.log(max(ratio, 1e-9)) if ratio > np.e else 1.0)):
+        if stat > boundary * np.sqrt(2 * max(1.0, np.log(ratio))):
             return float(month[i]), magnitude
     return np.nan, magnitude
 
@@ -205,9 +223,11 @@ def _breaks(value: np.ndarray, month: np.ndarray, start: int, level: float, h: f
 def break_detection(series: DataFrame, by: str, month: str, value: str, start: int, level: float = 0.01) -> DataFrame:
     """by, break_month, magnitude: a season-trend model on the history before ``start``, monitored after it.  A series is one pixel's: small."""
 
+    boundary = mosum_boundary(level)
+
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.dropna(subset=["v"]).sort_values("m")
-        when, size = _breaks(pdf["v"].to_numpy(float), pdf["m"].to_numpy(int), start, level)
+        when, size = _breaks(pdf["v"].to_numpy(float), pdf["m"].to_numpy(int), start, boundary)
         return pd.DataFrame({"k": [pdf["k"].iloc[0] if len(pdf) else None], "break_month": [when], "magnitude": [size]})
 
     kind = dict(series.dtypes)[by]

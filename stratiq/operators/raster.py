@@ -209,9 +209,9 @@ def basins(edges: DataFrame, node: str = "id") -> DataFrame:
 
     On a cycle, which has no outlet, pointers never rest: ValueError.
     """
-    nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    nodes = saved(edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct(), "basin-nodes")
     to = saved(nodes.join(edges, nodes["id"] == edges["src"], "left").select("id", F.coalesce("dst", "id").alias("to")), "basins")
-    for _ in range(64):  # more than the doublings of any path
+    for _ in range(nodes.count().bit_length() + 1):  # doublings of the longest path
         ahead = to.select(F.col("id").alias("to"), F.col("to").alias("_to"))
         after = saved(to.join(ahead, "to").select("id", F.col("_to").alias("to"), (F.col("_to") != F.col("to")).alias("moved")), "basins")
         done = after.filter("moved").isEmpty()

@@ -240,3 +240,12 @@ def rename_columns(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     out = R.rename_by(c.select(*R.columns_like(c, "key$|name$")), {"c_name": "c_label", "c_nationkey": "c_unit", "c_custkey": "c_key"}, "^c_")
     return R.contracted(out, ["key", "label", "unit"], ["key"])
+
+
+@query("SELECT event_id, date_trunc('minute', ts) AS time FROM events WHERE date_trunc('minute', ts) >= TIMESTAMP '2024-01-05 00:00:00' AND date_trunc('minute', ts) <= TIMESTAMP '2024-01-09 12:00:00'")
+def radar_index(spark, sf_dir):
+    """Composites by the time in their file names, in a closed window."""
+    at = lambda t: F.lit(t).cast("timestamp_ntz")
+    files = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("rw_10000-"), F.date_format("ts", "yyMMddHHmm"), F.lit("-dwd.bin.gz")).alias("path"))
+    timed = files.select("event_id", stations.time_in_name(F.col("path"), r"-(\d{10})-").alias("time"))
+    return timed.filter(F.col("time").between(at("2024-01-05 00:00:00"), at("2024-01-09 12:00:00")))

@@ -42,13 +42,15 @@ def read_semicolon(spark: SparkSession, path: str, values: Sequence[str], keep_f
 
 
 def read_fixed_width(spark: SparkSession, path: str, widths: Sequence[int], names: Sequence[str], skip: int = 2, encoding: str = "ISO-8859-1") -> DataFrame:
-    """Fixed-width text: trimmed strings, the first ``skip`` lines of each file left out by their content."""
-    lines = spark.read.option("encoding", encoding).option("header", False).option("sep", "\u0001").csv(path).select(F.col("_c0").alias("value"))
-    rows = lines.filter(F.col("value").rlike(r"^\s*\d")) if skip else lines
-    at, out = 1, []
+    """Fixed-width text: trimmed strings of the lines behind the first ``skip`` of each file; blank lines go.
+
+    Files are read whole, one row each, as their encoding asks; they are lists of stations, small.
+    """
+    lines = spark.read.format("binaryFile").load(path).select(F.posexplode(F.split(F.decode("content", F.lit(encoding)), "\r?\n")).alias("at", "value"))
+    rows, place, out = lines.filter((F.col("at") >= skip) & (F.trim("value") != "")), 1, []
     for width, name in zip(widths, names, strict=True):
-        out.append(F.trim(F.substring("value", at, width)).alias(name))
-        at += width
+        out.append(F.trim(F.substring("value", place, width)).alias(name))
+        place += width
     return rows.select(*out)
 
 

@@ -18,12 +18,6 @@ def event_stream(spark: SparkSession, folder: str, glob: str = "events.parquet")
 def hourly(stream: DataFrame, late: str = "1 hour") -> DataFrame:
     return tumbling(stream.withWatermark("ts", late), "ts", "1 hour")
 
-
-def without_repeats(stream: DataFrame, late: str = "1 hour") -> DataFrame:
-    """One row per station and time within the watermark."""
-    return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(["station", "ts"])
-
-
 def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
     """Drive a stream over what there is now; the result as a table."""
     query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
