@@ -42,7 +42,6 @@ from pyspark.sql import types as T
 
 from .common import drawn
 
-
 BITS, FACTORS = 24, 8
 EDGES = b".,;:!?\"'()[]{}*#$%&|<>-_/\\"
 
@@ -138,6 +137,11 @@ def _paired(rows: list[np.ndarray], y: np.ndarray, count: int, least_rows: int,
     return out
 
 
+def _summed(rows: np.ndarray, at: np.ndarray, count: int) -> np.ndarray:
+    """Sums of the rows that share a place, a column at a time."""
+    return np.stack([np.bincount(at, rows[:, k], count) for k in range(rows.shape[1])], axis=1)
+
+
 def _train(rows: list[np.ndarray], y: np.ndarray, bits: int, least_rows: int, least_z: float, epochs: int, rate: float, decay: float, seed: int, spread=map) -> Machine:
     """Mini-batch AdaGrad on the logistic loss, the two classes weighted to the same total."""
     draw = np.random.default_rng(seed)
@@ -162,15 +166,12 @@ def _train(rows: list[np.ndarray], y: np.ndarray, bits: int, least_rows: int, le
             ids = np.concatenate([rows[i] for i in part])
             at = np.repeat(np.arange(len(part)), [len(rows[i]) for i in part])
             vi = v[ids]
-            sums = np.zeros((len(part), FACTORS))
-            np.add.at(sums, at, vi)
+            sums = _summed(vi, at, len(part))
             margin = bias + np.bincount(at, w[ids], len(part)) + 0.5 * ((sums**2).sum(1) - np.bincount(at, (vi * vi).sum(1), len(part)))
             error = cost[part] * (1 / (1 + np.exp(-np.clip(margin, -50, 50))) - y[part]) / len(part)
             used, back = np.unique(ids, return_inverse=True)
             dw = np.bincount(back, error[at], len(used)) + decay * w[used]
-            dv = np.zeros((len(used), FACTORS))
-            np.add.at(dv, back, error[at][:, None] * (sums[at] - vi))
-            dv += decay * v[used]
+            dv = _summed(error[at][:, None] * (sums[at] - vi), back, len(used)) + decay * v[used]
             gw[used] += dw * dw
             w[used] -= rate * dw / np.sqrt(gw[used])
             gv[used] += dv * dv
