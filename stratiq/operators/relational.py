@@ -141,7 +141,8 @@ def quantiles(df: DataFrame, column: str, probs: Sequence[float]) -> list[float
     held = counts.filter(F.col("part").isin(*{part for part, _ in wanted.values()})).withColumn("upto", upto)
     row = held.agg(*[F.min(F.when((F.col("part") == part) & (F.col("upto") > at), F.col("v"))).alias(str(rank)) for rank, (part, at) in wanted.items()]).first()
     dropped(counts)
-    return [(int(x) + 1 - x) * row[str(int(x))] + (x - int(x)) * row[str(min(total - 1, int(x) + 1))] for x in places]
+    low, high = ([row[str(min(total - 1, int(x) + k))] for x in places] for k in (0, 1))
+    return [a + (b - a) * (x - int(x)) for a, b, x in zip(low, high, places, strict=True)]
 
 
 def quantile_bins(df: DataFrame, column: str, bins: int, out: str = "bin") -> DataFrame:
