@@ -116,6 +116,32 @@ def clip(ring: Column, x0: float, y0: float, x1: float, y1: float) -> Column:
     return ring
 
 
+def clip_line(line: Column, x0: float, y0: float, x1: float, y1: float) -> Column:
+    """The parts of a line of points within a rectangle: segments, structs (a, b), of a length above 0."""
+    ends = F.zip_with(F.slice(line, F.lit(1), F.greatest(F.size(line) - 1, F.lit(0))), F.slice(line, F.lit(2), F.greatest(F.size(line) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    def cut(e: Column) -> Column:
+        # Shares of the segment at which it enters and leaves the two strips.
+        low, high = [F.lit(0.0)], [F.lit(1.0)]
+        for k, lo, hi in (("x", x0, x1), ("y", y0, y1)):
+            a, d = e["a"][k], F.nullif(e["b"][k] - e["a"][k], F.lit(0.0))
+            beside = F.when(a.between(lo, hi), F.lit(0.0)).otherwise(F.lit(2.0))
+            low.append(F.coalesce(F.least((lo - a) / d, (hi - a) / d), beside))
+            high.append(F.coalesce(F.greatest((lo - a) / d, (hi - a) / d), F.lit(1.0)))
+        return F.struct(e.alias("e"), F.greatest(*low).alias("s"), F.least(*high).alias("t"))
+
+    def at(c: Column, share: Column) -> Column:
+        a, b = c["e"]["a"], c["e"]["b"]
+        return point(a["x"] + (b["x"] - a["x"]) * share, a["y"] + (b["y"] - a["y"]) * share)
+
+    within_ = F.filter(F.transform(ends, cut), lambda c: (c["s"] < c["t"]) & (c["e"]["a"] != c["e"]["b"]))
+    return F.transform(within_, lambda c: F.struct(at(c, c["s"]).alias("a"), at(c, c["t"]).alias("b")))
+
+
+def length(segments: Column) -> Column:
+    return _sum(F.transform(segments, lambda e: F.sqrt((e["a"]["x"] - e["b"]["x"]) ** 2 + (e["a"]["y"] - e["b"]["y"]) ** 2)))
+
+
 def within(ring: Column, outer: Column) -> Column:
     """Whether a ring lies wholly within another: all vertices inside, no edges that cross."""
     return F.forall(ring, lambda p: contains(outer, p["x"], p["y"])) & ~F.exists(edges(ring), lambda e: F.exists(edges(outer), lambda f: _cross(e, f)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from stratiq.functions import projection
 from stratiq.functions.numeric import r6
 from stratiq.operators import polygons as P
+from stratiq.sources import features
 
 from .places import RING
 from .registry import query
@@ -105,3 +106,34 @@ def bbox_buffer(spark, sf_dir):
         lon, lat = projection.backward("_e", "_n", "32")
         at = at.withColumn(f"{n}_lon", F.expr(lon)).withColumn(f"{n}_lat", F.expr(lat)).drop("_e", "_n")
     return at.drop("lo_x", "lo_y", "hi_x", "hi_y")
+
+
+@query(twin("SELECT rect_id, 'polygon' AS kind, (x1 - x0) * (y1 - y0) * 0.75e0 AS area FROM v_rect"))
+def features_binary(spark, sf_dir):
+    """Polygons written as well-known binary and read again: the same rings."""
+    stored = _shapes(spark, sf_dir).select("rect_id", features.to_wkb(F.array("ring")).alias("geometry"))
+    return features.read_features(stored).select("rect_id", "kind", P.signed_area(F.col("ring")).alias("area"))
+
+
+_WIDE = "greatest(least(x1, 6200) - greatest(x0, 1500), 0)"
+_HIGH = "greatest(least(y1, 7300) - greatest(y0, 900), 0)"
+_WALK = f"CASE WHEN y0 BETWEEN 900 AND 7300 THEN {_WIDE} ELSE 0 END + CASE WHEN x1 BETWEEN 1500 AND 6200 THEN {_HIGH} ELSE 0 END"
+
+
+@query(twin(
+    "SELECT id, 'place' AS key, grp AS value, 'point' AS kind, 0e0 AS measure FROM v_pt WHERE x BETWEEN 1500 AND 6200 AND y BETWEEN 900 AND 7300 "
+    f"UNION ALL SELECT rect_id, 'landuse', 'r' || rect_id, 'polygon', {_WIDE} * {_HIGH} * 1e0 FROM v_rect WHERE {_WIDE} * {_HIGH} > 0 "
+    f"UNION ALL SELECT rect_id, 'highway', 'r' || rect_id, 'line', ({_WALK}) * 1e0 FROM v_rect WHERE {_WALK} > 0"))
+def features_by_key(spark, sf_dir):
+    """Points, polygons and lines of three keys clipped to a window, with areas and lengths."""
+    x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
+    tag = lambda k, v: F.create_map(F.lit(k), v, F.lit("name"), F.lit("-"))
+    row = lambda k, kind, tags, ring: [F.col(k).alias("id"), tags.alias("tags"), F.lit(kind).alias("kind"), ring.alias("ring")]
+    name = F.concat(F.lit("r"), F.col("rect_id").cast("string"))
+    rects = v_rect(spark, sf_dir)
+    found = v_pt(spark, sf_dir).select(*row("id", "point", tag("place", F.col("grp")), F.array(P.point(F.col("x"), F.col("y")))))
+    found = found.unionByName(rects.select(*row("rect_id", "polygon", tag("landuse", name), P.box(x0, y0, x1, y1))))
+    found = found.unionByName(rects.select(*row("rect_id", "line", tag("highway", name), F.array(P.point(x0, y0), P.point(x1, y0), P.point(x1, y1)))))
+    out = features.features_by_key(found, ("place", "landuse", "highway"), (1500.0, 900.0, 6200.0, 7300.0))
+    measure = F.when(F.col("kind") == "polygon", P.signed_area(F.col("ring"))).when(F.col("kind") == "line", P.length(F.col("segments"))).otherwise(0.0)
+    return out.withColumn("measure", measure).filter("kind = 'point' or measure > 0").select("id", "key", "value", "kind", "measure")
