@@ -63,8 +63,7 @@ def attach_all(df: DataFrame, others: Sequence[DataFrame], key: str) -> DataFram
 
 def contracted(df: DataFrame, columns: Sequence[str], key: Sequence[str] = (), some: bool = True) -> DataFrame:
     """``df`` itself, if it has the columns, a row (with ``some``) and no key twice; ValueError otherwise."""
-    if missing := [c for c in columns if c not in df.columns]:
-        raise ValueError(f"columns are missing: {missing}")
+    all_of(df, columns)
     if some and df.isEmpty():
         raise ValueError("no rows")
     if key and not df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").isEmpty():
@@ -237,3 +236,15 @@ def rename_by(df: DataFrame, table: dict[str, str], strip: str | None = None) ->
 
 def columns_like(df: DataFrame, pattern: str) -> list[str]:
     return [c for c in df.columns if re.search(pattern, c)]
+
+
+def any_of(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    """Of the names those that the table has, in the order given; to select or drop."""
+    return [c for c in dict.fromkeys(columns) if c in df.columns]
+
+
+def all_of(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    """The names, if the table has all of them; ValueError otherwise."""
+    if missing := [c for c in columns if c not in df.columns]:
+        raise ValueError(f"columns are missing: {missing}")
+    return list(columns)

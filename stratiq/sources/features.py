@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +18,7 @@ MANY = {4, 5, 6, 7}
 #: Bytes of the box in the header of a GeoPackage geometry, by its kind.
 BOX_BYTES = {0: 0, 1: 32, 2: 48, 3: 48, 4: 64}
 PARTS = f"array<struct<kind:string,rings:array<{POINT}>>>"
+ARROW_PARTS = pa.list_(pa.struct([("kind", pa.string()), ("rings", pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))]))
 
 
 def _points(data: bytes, at: int, order: str, n: int, dims: int) -> tuple[list[dict[str, float]], int]:
@@ -62,6 +63,14 @@ def _bare(data: bytes) -> bytes:
     return data[8 + BOX_BYTES[data[3] >> 1 & 7] :] if data[:2] == b"GP" else data
 
 
+def _polygon(rings: list[list[dict[str, float]]]) -> bytes:
+    out = [struct.pack("<BII", 1, 3, len(rings))]
+    for ring in rings:
+        values = [v for p in [*ring, *ring[:1]] for v in (p["x"], p["y"])]
+        out.append(struct.pack(f"<I{len(values)}d", len(values) // 2, *values))
+    return b"".join(out)
+
+
 def from_wkb(data: Column) -> Column:
     """The simple geometries of well-known binary (either byte order, further dimensions dropped, GeoPackage headers skipped).
 
@@ -70,10 +79,9 @@ def from_wkb(data: Column) -> Column:
     another kind raise ValueError: no feature is lost unseen.
     """
 
-    @F.pandas_udf(PARTS)
-    def read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield batch.map(lambda b: None if b is None else _parts(_bare(bytes(b)))[0])
+    @F.arrow_udf(PARTS)
+    def read(batch: pa.Array) -> pa.Array:
+        return pa.array([None if b is None else _parts(_bare(b))[0] for b in batch.to_pylist()], ARROW_PARTS)
 
     return read(data)
 
@@ -81,19 +89,9 @@ def from_wkb(data: Column) -> Column:
 def to_wkb(rings: Column) -> Column:
     """A polygon's rings (the outline first) as well-known binary, little-endian and closed; null stays null."""
 
-    @F.pandas_udf("binary")
-    def write(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def one(found) -> bytes | None:
-            if found is None:
-                return None
-            out = [struct.pack("<BII", 1, 3, len(found))]
-            for ring in found:
-                points = [v for p in [*ring, *ring[:1]] for v in (p["x"], p["y"])]
-                out.append(struct.pack(f"<I{len(points)}d", len(points) // 2, *points))
-            return b"".join(out)
-
-        for batch in batches:
-            yield batch.map(one)
+    @F.arrow_udf("binary")
+    def write(batch: pa.Array) -> pa.Array:
+        return pa.array([None if found is None else _polygon(found) for found in batch.to_pylist()], pa.binary())
 
     return write(rings)
 

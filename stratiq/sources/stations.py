@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import fnmatch
+import io
+import zipfile
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,3 +81,46 @@ def scenes(items: DataFrame, most_cloud: float) -> DataFrame:
 def time_in_name(path: Column, pattern: str = r"(\d{10})") -> Column:
     """A radar composite's time from its file name, yyMMddHHmm."""
     return F.try_to_timestamp(F.regexp_extract(path, pattern, 1), F.lit("yyMMddHHmm")).cast("timestamp_ntz")
+
+
+def files_of(ids: Sequence[str], before: str = "*", after: str = "*") -> str:
+    """A pattern of file names that hold one of the ids, for ``keep_files``: files of other stations are never opened."""
+    if not ids:
+        raise ValueError("no ids")
+    return f"{before}{{{','.join(ids)}}}{after}"
+
+
+def read_zip_members(spark: SparkSession, path: str, member: str, keep_files: str = "*.zip", encoding: str = "ISO-8859-1", lines_at_once: int = 10_000) -> DataFrame:
+    """archive, member, at (line number from 0), line: the text members of a name pattern in all archives below a folder.
+
+    Archives are read one at a time in the tasks, lines a batch at a time; an
+    archive without such a member gives no row, a damaged one fails the job.
+    """
+    archives = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", keep_files).load(path).select("path", "content")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                with zipfile.ZipFile(io.BytesIO(content.as_buffer())) as archive:
+                    for found in sorted(fnmatch.filter(archive.namelist(), member)):
+                        with archive.open(found) as raw:
+                            lines, at = io.TextIOWrapper(raw, encoding), 0
+                            while part := [line.rstrip("\r\n") for _, line in zip(range(lines_at_once), lines)]:
+                                yield pa.RecordBatch.from_pydict({"archive": [name] * len(part), "member": [found] * len(part), "at": pa.array(range(at, at + len(part)), pa.int64()), "line": part})
+                                at += len(part)
+
+    return archives.mapInArrow(read, "archive string, member string, at long, line string")
+
+
+def split_semicolon(lines: DataFrame, names: Sequence[str], line: str = "line") -> DataFrame:
+    """The fields of semicolon text behind each file's header: trimmed strings by position; codes for missing data are null."""
+    fields = F.split(line, ";")
+    value = lambda i: F.trim(F.get(fields, F.lit(i)))
+    kept = lines.filter((F.col("at") > 0) & (F.trim(line) != ""))
+    return kept.select("archive", "member", *[F.when(~value(i).isin("-999", "-9999", ""), value(i)).alias(n) for i, n in enumerate(names)])
+
+
+def composites(files: DataFrame, start: str, end: str, path: str = "path", pattern: str = r"(\d{10})") -> DataFrame:
+    """Files whose name's time lies in a closed range, with that time as ``ts``; names without a time go."""
+    timed = files.withColumn("ts", time_in_name(F.col(path), pattern))
+    return timed.filter(F.col("ts").between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")))
