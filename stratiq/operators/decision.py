@@ -71,3 +71,11 @@ def overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     x = a.select(key, F.lit(1).alias("_a")).join(b.select(key, F.lit(1).alias("_b")), key, "full")
     n = lambda c: F.count(F.when(c, 1))
     return x.agg(n(F.col("_a").isNotNull()).alias("first"), n(F.col("_b").isNotNull()).alias("second"), n(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("both"))
+
+
+def domain_summary(all_: DataFrame, picked: DataFrame, domain: str, features: Sequence[str]) -> DataFrame:
+    """How well a choice stands for each domain: units, picked, and for each feature the picked units' mean less that of all, in standard deviations of all (null without picked units or spread)."""
+    whole = all_.groupBy(domain).agg(F.count(F.lit(1)).alias("units"), *[f(c).alias(f"{n}_{c}") for c in features for n, f in (("_m", F.avg), ("_s", F.stddev_samp))])
+    part = picked.groupBy(domain).agg(F.count(F.lit(1)).alias("picked"), *[F.avg(c).alias(f"_p_{c}") for c in features])
+    gaps = [((F.col(f"_p_{c}") - F.col(f"_m_{c}")) / F.nullif(F.col(f"_s_{c}"), F.lit(0.0))).alias(f"{c}_gap") for c in features]
+    return whole.join(part, domain, "left").select(domain, "units", F.coalesce("picked", F.lit(0)).alias("picked"), *gaps)

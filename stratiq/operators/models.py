@@ -82,13 +82,23 @@ def k_report(df: DataFrame, key: str, features: Sequence[str], ks: Sequence[int]
             both = again.select(key, "_again").join(whole.select(key, "stratum"), key)
             stable.append(cluster_jaccard(both, "stratum", "_again").agg(F.avg("jaccard")).first()[0])
         one = lambda t: float(t.first()[0] or 0.0)
-        found.append((int(k), one(silhouette(whole, key, "stratum", features)), one(calinski_harabasz(whole, "stratum", features)), one(davies_bouldin(whole, "stratum", features)), float(cost), float(np.mean(stable))))
+        found.append((int(k), one(silhouette(whole, key, "stratum", features)), one(calinski_harabasz(whole, "stratum", features)), one(davies_bouldin(whole, "stratum", features)), float(cost), float(np.mean([s for s in stable if s is not None] or [np.nan]))))
     table = pd.DataFrame(found, columns=["k", "silhouette", "ch", "db", "wss", "stability"])
     z = lambda c: (table[c] - table[c].mean()) / (table[c].std() or 1.0)
     table["score"] = z("silhouette") + z("ch") - z("db") - 0.5 * z("wss") + 2 * z("stability")
     return df.sparkSession.createDataFrame(table)
 
 
+def best_k(report: DataFrame) -> int:
+    """The k of the highest score among those with a stability; if no k has one, by the score without it."""
+    table = report.toPandas().sort_values("k")  # one row for each k
+    sure = table[np.isfinite(table["stability"])]
+    if len(sure):
+        return int(sure["k"].iloc[int(np.argmax(sure["score"].fillna(-np.inf)))])
+    z = lambda c: (table[c] - table[c].mean()) / (table[c].std() or 1.0)
+    return int(table["k"].iloc[int(np.argmax(z("silhouette") + z("ch") - z("db") - 0.5 * z("wss")))])
+
+
 def hopkins(df: DataFrame, key: str, features: Sequence[str], n: int = 50, seed: int = 1) -> DataFrame:
     """One row, hopkins: n rows and n uniform points against the data, nearest distances of both."""
     lows = df.agg(*[F.min(f).alias(f"lo_{f}") for f in features], *[F.max(f).alias(f"hi_{f}") for f in features]).first()
@@ -236,20 +246,25 @@ def break_detection(series: DataFrame, by: str, month: str, value: str, start: i
     return out.withColumnRenamed("k", by).withColumn("break_month", F.nanvl("break_month", F.lit(None).cast("double"))).withColumn("magnitude", F.nanvl("magnitude", F.lit(None).cast("double")))
 
 
-def mean_shift(grid: DataFrame, z: str, radius: int, reach: float, width: int, rounds: int = 3) -> DataFrame:
+def mean_shift(grid: DataFrame, z: str, radius: int, reach: float, width: int, rounds: int = 3, minsize: int = 1) -> DataFrame:
     """Labels of a grid: values move to the mean of near neighbours of near value; equal rounded modes that touch form a segment.
 
     Each round is one neighbourhood join over the whole grid, so that no tile
-    edges show; segments are connected components.
+    edges show; segments are connected components, those of fewer cells than
+    ``minsize`` merged into the neighbour of the nearest mean.
     """
-    from .raster import halo, patches
+    from .raster import halo, merge_small, patches
 
     now = grid.select("row", "col", F.col(z).cast("double").alias("_m"))
     for _ in range(rounds):
         near = halo(now, ["_m"], radius).withColumnRenamed("_m", "_n")
         now = saved(now.join(near, ["row", "col"]).filter(F.abs(F.col("_n") - F.col("_m")) <= reach).groupBy("row", "col").agg(F.avg("_n").alias("_m")), "shift")
     modes = now.withColumn("mode", F.floor(F.col("_m") / reach))
-    return patches(modes.select("row", "col", "mode"), "mode", width).withColumnRenamed("component", "segment")
+    found = patches(modes.select("row", "col", "mode"), "mode", width).withColumnRenamed("component", "segment")
+    if minsize <= 1:
+        return found
+    merged = merge_small(found.select("row", "col", "segment").join(now, ["row", "col"]), "segment", "_m", minsize)
+    return merged.select("row", "col", "segment").join(found.select("row", "col", "mode"), ["row", "col"]).select("row", "col", "mode", "segment")
 
 
 def _ward(x: np.ndarray, size: np.ndarray, k: int) -> np.ndarray:

@@ -176,6 +176,29 @@ def patches(grid: DataFrame, cls: str, width: int) -> DataFrame:
     return cells.join(connected(edges, cells.select("id")), "id").select("row", "col", cls, "component")
 
 
+def merge_small(cells: DataFrame, label: str, z: str, least: int) -> DataFrame:
+    """row, col, label, z with segments of fewer cells than ``least`` merged into the neighbour (of four) of the nearest mean, ties to the smaller label.
+
+    Segments are merged in rounds until none that is small has a neighbour; a
+    merged segment takes the smallest label of its members.
+    """
+    now = saved(cells.select("row", "col", label, z), "merge")
+    while True:
+        stat = now.groupBy(label).agg(F.count(F.lit(1)).alias("_n"), F.avg(z).alias("_m"))
+        right = now.select("row", (F.col("col") - 1).alias("col"), F.col(label).alias("_o"))
+        below = now.select((F.col("row") - 1).alias("row"), "col", F.col(label).alias("_o"))
+        touching = now.select("row", "col", label).join(right.unionByName(below), ["row", "col"]).filter(F.col(label) != F.col("_o")).select(label, "_o").distinct()
+        both = touching.unionByName(touching.select(F.col("_o").alias(label), F.col(label).alias("_o"))).distinct()
+        small_ = both.join(stat.filter(F.col("_n") < least), label)
+        other = stat.select(F.col(label).alias("_o"), F.col("_m").alias("_om"))
+        pick = small_.join(other, "_o").groupBy(label).agg(F.min(F.struct(F.abs(F.col("_m") - F.col("_om")).alias("d"), "_o")).alias("_best"))
+        edges = saved(pick.select(F.col(label).alias("a"), F.col("_best._o").alias("b")), "merge-edges")
+        if edges.isEmpty():
+            return now
+        joined = connected(edges, stat.select(F.col(label).alias("id"))).withColumnsRenamed({"id": label, "component": "_to"})
+        now = saved(now.join(joined, label).select("row", "col", F.col("_to").alias(label), z), "merge")
+
+
 def flow_edges(grid: DataFrame, z: str, width: int) -> DataFrame:
     """For each cell the lowest of its 8 neighbours if lower than itself: src, dst (cell numbers)."""
     near = halo(grid.select("row", "col", z), [z], 1).filter("dr <> 0 or dc <> 0").withColumnRenamed(z, "_near")

@@ -103,6 +103,18 @@ def zscores(df: DataFrame, columns: Sequence[str], suffix: str = "_z", ddof: int
     return out.withColumns({f"{c}{suffix}": (F.col(c) - F.col(f"_m_{c}")) / F.nullif(F.col(f"_s_{c}"), F.lit(0.0)) for c in columns}).drop(*totals)
 
 
+def zscore_text(columns: Sequence[str]) -> str:
+    """Band mathematics for z-scores as text, an expression for each band: (b - b_mean) / sqrt(b_var)."""
+    return "; ".join(f"(`{c}` - `{c}_mean`) / nullif(sqrt(`{c}_var`), 0.0D)" for c in columns)
+
+
+def band_math(df: DataFrame, columns: Sequence[str], text: str, suffix: str = "_z") -> DataFrame:
+    """A column for each of the expressions of ``text``, which may use the bands and each one's _mean and _var (of the population)."""
+    totals = {f"{c}_mean": F.avg(c) for c in columns} | {f"{c}_var": F.var_pop(c) for c in columns}
+    parts = [e.strip() for e in text.split(";") if e.strip()]
+    return with_totals(df, **totals).withColumns({f"{c}{suffix}": F.expr(e) for c, e in zip(columns, parts, strict=True)}).drop(*totals)
+
+
 def unit_range(df: DataFrame, columns: Sequence[str], suffix: str = "_n") -> DataFrame:
     """Columns mapped to 0..1; null for the whole column if it is constant."""
     totals = {f"_lo_{c}": F.min(c) for c in columns} | {f"_hi_{c}": F.max(c) for c in columns}

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratiq.functions.numeric import div
 
-from .relational import quantiles, small, with_totals
+from .relational import product_without, quantile_bins, quantiles, small, with_totals
 
 
 def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -233,3 +233,52 @@ def patch_scales(patches: DataFrame, area: str, probs: Sequence[float]) -> DataF
     """Radii sqrt(A / pi) of patches at the probabilities given: scale_id, radius."""
     found = quantiles(patches.select(F.sqrt(F.col(area) / F.lit(3.141592653589793)).alias("r")), "r", probs)
     return patches.sparkSession.createDataFrame([(i + 1, x) for i, x in enumerate(found)], "scale_id int, radius double")
+
+
+def applicability(new: DataFrame, train: DataFrame, key: str, features: Sequence[str], weights: dict[str, float] | None = None, label: str | None = None) -> DataFrame:
+    """Area of applicability: key, di, lpd, inside, and near_label if training rows have a label.
+
+    di: distance to the nearest training row over the mean distance within
+    training, features times their weights.  The threshold is the largest such
+    index of a training row that is no outlier (over the upper quartile by more
+    than 1.5 quartile ranges).  lpd: training rows within the threshold; inside:
+    at least one is.  A row is not its own neighbour.  ``train`` is a set of a
+    checked size.
+    """
+    w = weights or {}
+    scaled = lambda df, name: df.select(F.col(key).alias(name), *[(F.col(f) * w.get(f, 1.0)).alias(f) for f in features], *([F.col(label).alias("_label")] if label and name == "_t" else []))
+    t = scaled(train, "_t").withColumnsRenamed({f: f"t_{f}" for f in features})
+    own = scaled(train, "_u").join(small(t), F.col("_u") != F.col("_t")).groupBy("_u").agg(F.min(distance(features, "t_")).alias("d"), F.sum(distance(features, "t_")).alias("s"), F.count(F.lit(1)).alias("n"))
+    mean = own.agg(F.sum("s") / F.sum("n")).first()[0]
+    index = lambda d: F.round(div(d, F.lit(mean)), 9)
+    at = own.select(index(F.col("d")).alias("di"))
+    low, high = quantiles(at, "di", (0.25, 0.75))
+    top = at.filter(F.col("di") <= F.lit(high + 1.5 * (high - low))).agg(F.max("di")).first()[0] if high is not None else None
+    d = distance(features, "t_")
+    found = scaled(new, key).join(small(t), F.col(key) != F.col("_t")).groupBy(key)
+    near = [F.min(F.struct(F.round(d, 9).alias("d"), "_t", "_label")).alias("_near")] if label else []
+    out = found.agg(F.min(d).alias("_d"), F.count(F.when(index(d) <= F.lit(top), 1)).alias("lpd"), *near)
+    return out.select(key, index(F.col("_d")).alias("di"), "lpd", (F.col("lpd") > 0).alias("inside"), *([F.col("_near._label").alias("near_label")] if label else []))
+
+
+def error_profile(df: DataFrame, di: str, wrong: str, bins: int) -> DataFrame:
+    """bin, n, di (mean), error: the share of wrong predictions in bins of equal numbers by dissimilarity."""
+    return quantile_bins(df, di, bins).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg(di).alias("di"), F.avg(F.col(wrong).cast("double")).alias("error"))
+
+
+def perturbations(spark: SparkSession, spatialr: int, ranger: float, minsize: int, most: int = 8, floor: float = 0.8) -> DataFrame:
+    """spatialr, ranger, minsize: up to ``most`` neighbours of a setting of the segmentation, chosen by a hash of their steps.
+
+    Steps are 1 for spatialr (0 for 3 or less), a tenth of ranger (0.005 at
+    least) and a fifth of minsize (5 at least).  Values stay positive and minsize
+    over ``floor`` of its own; the setting itself is left out.
+    """
+    far = 0 if spatialr <= 3 else 1
+    dr, dm = max(0.005, 0.1 * ranger), max(5, round(0.2 * minsize))
+    steps = lambda name, n: spark.createDataFrame([(i,) for i in range(-n, n + 1)], f"{name} int")
+    grid = product_without([steps("_i", far), steps("_j", 1), steps("_k", 1)], F.expr("_i = 0 AND _j = 0 AND _k = 0"))
+    kept = grid.orderBy(F.md5(F.concat_ws(",", "_i", "_j", "_k"))).limit(most)
+    return kept.select(
+        F.greatest(F.lit(1), F.col("_i") + spatialr).alias("spatialr"), F.round(F.greatest(F.lit(1e-6), F.col("_j") * dr + ranger), 9).alias("ranger"),
+        F.greatest(F.lit(1), F.lit(round(minsize * floor)), F.col("_k") * dm + minsize).alias("minsize"),
+    )

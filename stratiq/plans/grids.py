@@ -232,7 +232,7 @@ def flow_directions(spark, sf_dir):
 
 @query(twin("SELECT row, col, band, round((v - m) / s, 6) AS z FROM (SELECT row, col, 'z' AS band, z AS v FROM v_grid), (SELECT avg(z) AS m, stddev_pop(z) AS s FROM v_grid)"))
 def band_zscore(spark, sf_dir):
-    out = R.zscores(v_grid(spark, sf_dir).select("row", "col", "z"), ["z"], ddof=0)
+    out = R.band_math(v_grid(spark, sf_dir).select("row", "col", "z"), ["z"], R.zscore_text(["z"]))
     return out.select("row", "col", F.lit("z").alias("band"), r6("z_z").alias("z"))
 
 

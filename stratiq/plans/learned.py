@@ -48,7 +48,7 @@ def break_detection(spark, sf_dir):
 
 @query()
 def meanshift_labels(spark, sf_dir):
-    return M.mean_shift(v_grid(spark, sf_dir), "z", 1, 60000.0, 100).select("row", "col", "segment")
+    return M.mean_shift(v_grid(spark, sf_dir), "z", 1, 60000.0, 100, minsize=3).select("row", "col", "segment")
 
 
 @query()

@@ -180,3 +180,47 @@ def linear_combinations(spark, sf_dir):
     rows = v_feat(spark, sf_dir).withColumn("both", F.col("price") + 2 * F.col("w")).withColumn("flat", F.lit(3.0))
     found = stats.linear_combinations(rows, [*DOMAINS, "both", "flat"])
     return spark.createDataFrame([(c,) for c in found], "name string")
+
+
+_AOA = {
+    "t": "SELECT * FROM v_vec WHERE vec_id % 20 = 0",
+    "m": f"SELECT avg({_GAP}) AS m FROM t x JOIN t y ON x.vec_id <> y.vec_id",
+    "u": f"SELECT x.vec_id, round(min({_GAP}) / any_value(m), 9) AS di FROM t x JOIN t y ON x.vec_id <> y.vec_id, m GROUP BY x.vec_id",
+    "h": "SELECT max(di) AS h FROM u, (SELECT quantile_cont(di, 0.25) AS a, quantile_cont(di, 0.75) AS b FROM u) WHERE di <= b + 1.5e0 * (b - a)",
+    "p": f"SELECT x.vec_id, x.label, y.label AS other, y.vec_id AS t, {_GAP} AS d FROM v_vec x JOIN t y ON x.vec_id <> y.vec_id",
+    "o": "SELECT vec_id, round(min(d) / any_value(m), 9) AS di, count(*) FILTER (round(d / m, 9) <= h) AS lpd, any_value(label) <> arg_min(other, {'d': round(d, 9), 't': t}) AS wrong FROM p, m, h GROUP BY vec_id",
+}
+
+
+def _applied(spark, sf_dir):
+    v = v_vec(spark, sf_dir)
+    return stats.applicability(v, v.filter("vec_id % 20 = 0"), "vec_id", VEC, label="label").join(v.select("vec_id", "label"), "vec_id")
+
+
+@query(twin("SELECT vec_id, round(di, 6) AS di, lpd, lpd > 0 AS inside FROM o", **_AOA))
+def area_of_applicability(spark, sf_dir):
+    """Dissimilarity, local density of training rows, and whether a row is inside: every twentieth row is the training set."""
+    return _applied(spark, sf_dir).select("vec_id", r6("di").alias("di"), "lpd", "inside")
+
+
+@query(twin(
+    "SELECT bin, count(*) AS n, round(avg(di), 6) AS di, round(avg(CASE WHEN wrong THEN 1e0 ELSE 0e0 END), 6) AS error FROM "
+    "(SELECT *, CAST(greatest(1, len(list_filter(cuts, lambda c: c < di))) AS INTEGER) AS bin FROM o, (SELECT list_sort(list_distinct(quantile_cont(di, [0, 0.2, 0.4, 0.6, 0.8, 1]))) AS cuts FROM o)) GROUP BY bin", **_AOA))
+def error_profiles(spark, sf_dir):
+    """Errors of the nearest training row's label, by dissimilarity."""
+    rows = _applied(spark, sf_dir).withColumn("wrong", F.col("label") != F.col("near_label"))
+    return stats.error_profile(rows, "di", "wrong", 5).select("bin", "n", r6("di").alias("di"), r6("error").alias("error"))
+
+
+@query("SELECT 5 + i AS spatialr, round(0.1e0 + 0.01e0 * j, 9) AS ranger, greatest(30 + 6 * k, 24) AS minsize FROM (VALUES (-1), (0), (1)) a(i), (VALUES (-1), (0), (1)) b(j), (VALUES (-1), (0), (1)) c(k) WHERE NOT (i = 0 AND j = 0 AND k = 0) ORDER BY md5(i || ',' || j || ',' || k) LIMIT 8")
+def param_perturbations(spark, sf_dir):
+    return stats.perturbations(spark, 5, 0.1, 30)
+
+
+@query(twin("SELECT segment_id, round(sqrt(((price - mp) / sp) ** 2 + ((w - mw) / sw) ** 2), 6) AS origin_dist FROM v_feat, (SELECT avg(price) AS mp, stddev_samp(price) AS sp, avg(w) AS mw, stddev_samp(w) AS sw FROM v_feat) ORDER BY round(sqrt(((price - mp) / sp) ** 2 + ((w - mw) / sw) ** 2), 9), segment_id LIMIT 100"))
+def it_pca_global(spark, sf_dir):
+    """The hundred segments nearest to the origin of the components, without strata: with all components that is the origin of the z-scores."""
+    from stratiq.operators.models import pca_scores
+
+    scores = pca_scores(v_feat(spark, sf_dir), ["price", "w"], 2).select("segment_id", r6("origin_dist").alias("origin_dist"), F.round("origin_dist", 9).alias("_d"))
+    return scores.orderBy("_d", "segment_id").limit(100).drop("_d")

@@ -76,3 +76,14 @@ def validation_coverage(spark, sf_dir):
 def validation_overlap(spark, sf_dir):
     s = v_site(spark, sf_dir)
     return D.overlap(s.filter("d_price < 0.1").select("segment_id"), s.filter("d_w < 0.1").select("segment_id"), "segment_id")
+
+
+@query(twin(
+    "SELECT stratum, units, coalesce(picked, 0) AS picked, round((pw - mw) / nullif(sw, 0), 6) AS w_gap, round((pt - mt) / nullif(st, 0), 6) AS tax_gap FROM "
+    "(SELECT stratum, count(*) AS units, avg(d_w) AS mw, stddev_samp(d_w) AS sw, avg(d_tax) AS mt, stddev_samp(d_tax) AS st FROM v_site GROUP BY stratum) "
+    "LEFT JOIN (SELECT stratum, count(*) AS picked, avg(d_w) AS pw, avg(d_tax) AS pt FROM v_site WHERE d_price < 0.1e0 GROUP BY stratum) USING (stratum)"))
+def validation_domains(spark, sf_dir):
+    """How far the picked units of each stratum are from its average."""
+    s = v_site(spark, sf_dir)
+    out = D.domain_summary(s, s.filter("d_price < 0.1"), "stratum", ["d_w", "d_tax"])
+    return out.select("stratum", "units", "picked", r6("d_w_gap").alias("w_gap"), r6("d_tax_gap").alias("tax_gap"))

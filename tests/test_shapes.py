@@ -217,3 +217,37 @@ def test_linear_combinations(spark):
     draw = random.Random(8)
     rows = [(a := draw.random(), b := draw.random(), a - 2 * b + 1, draw.random(), 4.0) for _ in range(50)]
     assert stats.linear_combinations(spark.createDataFrame(rows, "a double, b double, c double, d double, e double"), list("abcde")) == ["c", "e"]
+
+
+def test_small_segments_merge(spark):
+    """0 and 9 are large; the 1s and 2s are small: 1 joins 0 with 2, 8 joins 9, and a lone island stays."""
+    z = [[0, 0, 1, 9, 9], [0, 0, 2, 9, 9], [0, 0, 8, 9, 9]]
+    names = {0: 0, 1: 10, 2: 20, 8: 30, 9: 40}
+    rows = [(i, j, names[v], float(v)) for i, line in enumerate(z) for j, v in enumerate(line)] + [(9, 9, 50, 5.0)]
+    got = raster.merge_small(spark.createDataFrame(rows, "row long, col long, s long, z double"), "s", "z", 3)
+    want = {(i, j): 40 if v in (8, 9) else 0 for i, line in enumerate(z) for j, v in enumerate(line)} | {(9, 9): 50}
+    # 8 is merged into 9 under the smaller of both labels.
+    assert {(r["row"], r["col"]): r["s"] for r in got.collect()} == {at: 30 if s == 40 else s for at, s in want.items()}
+
+
+def test_best_k_needs_a_stability(spark):
+    columns = "k int, silhouette double, ch double, db double, wss double, stability double, score double"
+    nan = float("nan")
+    rows = [(2, 0.9, 9.0, 0.1, 1.0, nan, nan), (3, 0.1, 1.0, 0.9, 1.0, 0.5, -1.0), (4, 0.2, 1.0, 0.9, 1.0, 0.6, 1.0)]
+    assert M.best_k(spark.createDataFrame(rows, columns)) == 4
+    assert M.best_k(spark.createDataFrame([(*r[:5], nan, nan) for r in rows], columns)) == 2
+
+
+def test_applicability_by_hand(spark):
+    train = spark.createDataFrame([(i, float(x), "a" if i < 3 else "b") for i, x in enumerate([0, 1, 2, 10, 11])], "id long, x double, y string")
+    new = spark.createDataFrame([(100, 1.5), (101, 30.0)], "id long, x double")
+    mean = np.mean([abs(a - b) for a in (0, 1, 2, 10, 11) for b in (0, 1, 2, 10, 11) if a != b])
+    for w in (1.0, 5.0):
+        near, far = stats.applicability(new, train, "id", ["x"], {"x": w}, label="y").orderBy("id").collect()
+        assert near["di"] == pytest.approx(0.5 / mean, abs=1e-8) and (near["lpd"], near["inside"], near["near_label"]) == (2, True, "a")
+        assert far["di"] == pytest.approx(19 / mean, abs=1e-8) and (far["lpd"], far["inside"], far["near_label"]) == (0, False, "b")
+
+
+def test_perturbations_keep_their_floors(spark):
+    got = [tuple(r) for r in stats.perturbations(spark, 2, 0.01, 4, most=99).collect()]
+    assert {s for s, _, _ in got} == {2} and len(got) == 8 and {r for _, r, _ in got} == {0.005, 0.01, 0.015} and {m for _, _, m in got} == {3, 4, 9}
