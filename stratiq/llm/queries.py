@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language, mixing, near_dedup, pieces, quality_rules, site_quality, suffix_dedup, token_counts, toxicity
+from . import conversations, exact_dedup, language, line_dedup, mixing, near_dedup, pieces, quality_rules, site_quality, suffix_dedup, token_counts, toxicity, twins, vector_codes
 from .common import documents, fold, labels
 
 #: The vocabulary of op 5; the file's place is a parameter of the operator.
@@ -66,6 +66,19 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(documents(spark, sf_dir))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversations.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return conversations.audit(turns, present=F.col("present"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(documents(spark, sf_dir))
+
+
 OP9_SQL = r"""
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS len,
@@ -93,8 +106,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_suffix_dedup": op10_suffix_dedup,
+        "op11_vector_codes": op11_vector_codes,
+        "op12_conversation_repair": op12_conversation_repair,
+        "op13_line_dedup": op13_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": OP9_SQL}
+    return {"op9_exact_dedup": OP9_SQL, "op11_vector_codes": twins.OP11, "op12_conversation_repair": twins.OP12, "op13_line_dedup": twins.OP13}
