@@ -32,9 +32,17 @@ def fold(id_col: Column | str, folds: int) -> Column:
     return F.crc32(F.encode(F.coalesce(col.cast("string"), F.lit("")), "UTF-8")) % folds
 
 
-def drawn(key: Column | str, seed: str, share: Column | float) -> Column:
+def own_place(id_col: Column, text: Column) -> list[Column]:
+    """What tells a row from others: id and text, and of a row without id also its place in the table.
+
+    Copies without id thus differ; reruns over the same files agree.
+    """
+    return [id_col, text, F.when(id_col.isNull(), F.monotonically_increasing_id())]
+
+
+def drawn(key: Column | str | list[Column], seed: str, share: Column | float) -> Column:
     """True for about ``share`` of the keys, chosen by a hash; shares down to 2^-52 count."""
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 52)) < F.lit(float(1 << 52)) * (F.lit(share) if isinstance(share, float) else share)
+    return F.pmod(F.xxhash64(*(key if isinstance(key, list) else [key]), F.lit(seed)), F.lit(1 << 52)) < F.lit(float(1 << 52)) * (F.lit(share) if isinstance(share, float) else share)
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -59,11 +67,18 @@ def saved(df: DataFrame, name: str, into: list[str] | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    at_exit(spark, path)
     if into is not None:
         into.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def at_exit(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table when the driver's JVM ends: results may be read until then."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def removed(spark: SparkSession, paths: list[str]) -> None:
     """Delete scratch tables that nothing reads any more."""
     for path in paths:

@@ -8,7 +8,7 @@ matrix of counts, whose product with the broadcast matrix is one sum for each
 run of n-grams in numpy.
 
 The sample holds about ``per_language`` rows of each language, chosen by a hash
-of the id: the only bound, and one on fitting alone.  Every text is scored
+of id and text (rows without id also by their place in the table): the only bound, and one on fitting alone.  Every text is scored
 whole.  The prior of a language is its share of all labelled rows.
 
 Defined results
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drawn
+from .common import drawn, own_place
 
 BITS = 16
 MULT = np.uint32(2654435761)
@@ -109,7 +109,7 @@ def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         return Model([], np.zeros((1 << bits, 0), np.float32), np.zeros(0))
     place = {x: i for i, x in enumerate(languages)}
     chosen = F.create_map(*[F.lit(x) for pair in counts.items() for x in (pair[0], per_language / pair[1])])
-    sample = labelled.filter(drawn("_id", "language", F.element_at(chosen, F.col("_lang")))).select("_lang", "_text")
+    sample = labelled.filter(drawn(own_place(F.col("_id"), F.col("_text")), "language", F.element_at(chosen, F.col("_lang")))).select("_lang", "_text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, seen = np.zeros((len(languages), 1 << bits), np.int64), False

@@ -1,6 +1,6 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree.
 
-A source's documents, ordered by a seeded hash of their id, form a permuted
+A source's documents, ordered by a seeded hash of id and text, form a permuted
 sequence that is cut into blocks of about ``block_docs`` documents by hash
 range.  A source's target in words gives an exact quota of blocks: whole passes
 over the sequence, then the leading blocks of one more pass, then a last block of
@@ -30,8 +30,9 @@ Defined results
 * Null text has size 0; such rows, and those of a source of size 0, are taken
   as often as their source's whole blocks say, at most ``max_repeats`` times,
   which adds no word.
-* Null source: a source of its own, last in order.  Null id: an id like another.
-* Rows with equal id and source are taken together, each equally often.
+* Null source: a source of its own, last in order.
+* Rows with equal id, text and source are taken together, each equally often.  Rows
+  without id have places of their own, by their place in the table.
 * An empty table gives an empty result.
 * Further columns are ignored by ``decide``, kept by ``mix``, whatever their names.
 * Reruns agree: every draw is seeded.
@@ -46,7 +47,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, hot_keys, saved
+from .common import WORD, hot_keys, own_place, saved
 
 MAX_BLOCKS = 65_536
 RANGE = 1 << 52
@@ -112,7 +113,7 @@ def targets(sources: DataFrame, weights: Iterable[int], max_repeats: int) -> Dat
 
 def _fill(pdf: pd.DataFrame) -> pd.DataFrame:
     """Of a source's last block: the documents, in permuted order, that come nearest to what is left to take."""
-    pdf = pdf.sort_values(["_h", "_id"], na_position="last")
+    pdf = pdf.sort_values("_h")
     left, sizes = float(pdf["_left"].iloc[0]), pdf["_size"].to_numpy()
     taken = np.zeros(len(pdf), bool)
     for i, n in enumerate(sizes):
@@ -122,15 +123,15 @@ def _fill(pdf: pd.DataFrame) -> pd.DataFrame:
     rest = np.where(taken, np.inf, np.abs(left - sizes))
     if len(rest) and rest.min() < left:
         taken[int(rest.argmin())] = True
-    return pdf.loc[taken, ["_s", "_id"]].assign(_chosen=True)
+    return pdf.loc[taken, ["_s", "_h"]].assign(_chosen=True)
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, keep: bool) -> DataFrame:
     key = F.col(f"`{id_col}`")
     kept = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if keep else []
-    return docs.select(
-        key.alias("_id"), F.col(f"`{source_col}`").alias("_source"), words(F.col(f"`{text_col}`")).alias("_size"), F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(RANGE)).alias("_h"), *kept
-    )
+    text = F.col(f"`{text_col}`")
+    place = F.pmod(F.xxhash64(*own_place(key, text), F.lit(seed)), F.lit(RANGE))
+    return docs.select(key.alias("_id"), F.col(f"`{source_col}`").alias("_source"), words(text).alias("_size"), place.alias("_h"), *kept)
 
 
 def _placed(rows: DataFrame, plan: DataFrame, names: list[str]) -> DataFrame:
@@ -191,13 +192,13 @@ def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, weigh
     plan = saved(plan.join(_cuts(plan.select("_s", "_group", "_quota"), shards, seed), "_s"), "mix-cuts")
 
     ends = _placed(slim, plan.filter("_last is not null"), ["_s", "_k", "_docs", "_last", "_left"]).filter(block == F.col("_last"))
-    chosen = ends.groupBy("_s", "_id", "_h", "_left").agg(F.sum("_size").alias("_size")).groupBy("_s").applyInPandas(_fill, f"_s long, _id {dict(slim.dtypes)['_id']}, _chosen boolean")
-    chosen = saved(chosen.withColumnsRenamed({"_s": "_cs", "_id": "_cid"}), "mix-chosen")
+    chosen = ends.groupBy("_s", "_h", "_left").agg(F.sum("_size").alias("_size")).groupBy("_s").applyInPandas(_fill, "_s long, _h long, _chosen boolean")
+    chosen = saved(chosen.withColumnsRenamed({"_s": "_cs", "_h": "_ch"}), "mix-chosen")
     few = chosen.limit(FEW_CHOSEN + 1).count() <= FEW_CHOSEN
 
     rows = _rows(docs, id_col, text_col, source_col, seed, True) if keep else slim
     rows = _placed(rows, plan.withColumnsRenamed({"_n": "_source_size"}), ["_s", "_k", "_docs", "_passes", "_last", "_cuts", "_source_size", "_target"]).withColumn("_block", block)
-    rows = rows.join(F.broadcast(chosen) if few else chosen, (F.col("_s") == F.col("_cs")) & F.col("_id").eqNullSafe(F.col("_cid")), "left")
+    rows = rows.join(F.broadcast(chosen) if few else chosen, (F.col("_s") == F.col("_cs")) & (F.col("_h") == F.col("_ch")), "left")
     # A row stands at its block's place in every pass; the shard is the first whose run ends behind that place.
     # Beyond the quota there is none, and of the last block only what is chosen counts.
     at = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_passes")), lambda t: t * F.col("_k") + F.col("_block"))
@@ -224,6 +225,6 @@ def mix(
 ) -> DataFrame:
     """The mixed rows, repeats included, with the columns of ``docs``: shard after shard, each shuffled."""
     rows = _planned(docs, id_col, text_col, source_col, tuple(weights), max_repeats, shards, seed, block_docs, True)
-    rows = rows.select("_row", "_id", F.posexplode("_shards").alias("_pass", "_shard"))
-    rows = rows.withColumn("_draw", F.xxhash64("_id", "_pass", F.lit(seed + 1)))
+    rows = rows.select("_row", "_h", F.posexplode("_shards").alias("_pass", "_shard"))
+    rows = rows.withColumn("_draw", F.xxhash64("_h", "_pass", F.lit(seed + 1)))
     return rows.repartitionByRange(shards, "_shard", "_draw").sortWithinPartitions("_shard", "_draw").select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

@@ -237,6 +237,14 @@ def test_mixing_shards_are_the_trees_runs(spark):
     assert max(sums) - min(sums) <= 1  # quotas are dealt evenly
 
 
+def test_mixing_without_ids(spark):
+    """Half of the rows without id, among them copies: every source comes within half a document of its target."""
+    rows = [(None if i % 2 else i, "word " * (10 if i % 4 else 30) if i % 3 else f"own {i} " * 9, "abc"[i % 3 and (i % 6 > 2) + 1]) for i in range(6000)]
+    found = mixing.decide(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4), block_docs=16)
+    for r in found.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("size").alias("size")).collect():
+        assert abs(r["taken"] - r["target"]) <= r["size"] / 2, r
+
+
 def test_mixing_edges(docs, empty):
     assert mixing.decide(empty).count() == 0 and mixing.mix(empty).count() == 0
     assert mixing.decide(docs).count() == docs.count() and mixing.mix(docs).columns == docs.columns
@@ -363,6 +371,17 @@ def test_language(spark, empty, docs):
             language.annotate(spark.createDataFrame([("x", 1.0)], f"text string, {clash} double"), model)
 
 
+def test_language_without_ids(spark):
+    """Rows without id are drawn one by one: no language is lost, and the sample stays bounded."""
+    rows = [(None, f"xa xb xc x{i}", "xx") for i in range(3000)] + [(None, "ya yb yc", "yy")] * 3000
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = language.fit(df, per_language=300)
+    assert [r["lang_pred"] for r in language.annotate(spark.createDataFrame([(1, "xa xb"), (2, "yc ya")], "doc_id long, text string"), model).orderBy("doc_id").collect()] == ["xx", "yy"]
+    key = common.own_place(F.col("doc_id"), F.col("text"))
+    drawn = df.filter(common.drawn(key, "language", 0.1)).groupBy("lang").count().collect()
+    assert len(drawn) == 2 and all(200 < r["count"] < 400 for r in drawn)
+
+
 def test_language_blocks_lose_no_gram(monkeypatch):
     draw = random.Random(5)
     texts = ["".join(draw.choice("abcdé日") for _ in range(n)) for n in (997, 1, 2, 0, 3, 50)]
