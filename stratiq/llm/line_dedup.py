@@ -28,7 +28,8 @@ Defined results
 ---------------
 * Null and empty texts are one empty line, which stays.
 * Rows that share an id are one document; each row has its own bitmap.
-* A null id is less than any other; such rows are one document for each text.
+* A null id is less than any other; such rows are one document for each text, in
+  the order of the texts' 64-bit hashes.
 * Repeated rows give equal results; an empty table gives an empty result.
 * Further columns are ignored by ``bitmaps`` and ``digest`` and returned unchanged
   by ``deduplicate``, whatever their names.
@@ -72,7 +73,9 @@ def _sorted(rows: DataFrame, least_chars: int) -> DataFrame:
     lines = lines.withColumn("_key", key_of(F.col("_line"))).filter(F.length("_key") >= least_chars)
     own = F.when(F.col("_id").isNull(), F.col("_t"))
     lines = lines.select(F.xxhash64("_key").alias("_a"), F.xxhash64(F.lit("line"), "_key").alias("_b"), "_id", own.alias("_own"), "_t", "_pos")
-    order = ["_a", "_b", F.col("_id").desc_nulls_last(), F.col("_own")]
+    order = ["_a", "_b", F.col("_id").desc_nulls_last(), F.col("_own").desc_nulls_last()]
+    # Written once: the sample of splitters and the sort read numbers, not texts.
+    lines = saved(lines, "line-hashes")
     return lines.repartitionByRange(shuffle_parts(rows.sparkSession), *order).sortWithinPartitions(*order, "_t", "_pos")
 
 
@@ -205,7 +208,8 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, least_chars: int, least
     bits = gone.mapInArrow(pack, T.StructType([T.StructField("_doc", kind), *T._parse_datatype_string("_t long, _dropped long, _keep binary").fields]))
     bits = saved(bits, "line-bits")
     rows = rows.withColumn("_hash", F.xxhash64("_text"))
-    return rows.join(bits, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_t")), "left").drop("_doc", "_t", "_hash")
+    # Bitmaps are the small side, but grow with the table: the same plan at every size.
+    return rows.join(bits.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_t")), "left").drop("_doc", "_t", "_hash")
 
 
 def bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 20, least_docs: int = 3) -> DataFrame:
