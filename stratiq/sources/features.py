@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratiq.operators.areas import clip_window
 from stratiq.operators.polygons import POINT, clip, clip_line
 
 #: Codes of well-known binary.
@@ -101,21 +102,22 @@ def read_features(df: DataFrame, geometry: str = "geometry") -> DataFrame:
     parts = df.withColumn("_parts", from_wkb(F.col(geometry))).drop(geometry)
     rows = parts.select(*[F.col(f"`{c}`") for c in parts.columns if c != "_parts"], F.posexplode_outer("_parts").alias("part", "_one"))
     rings = F.col("_one.rings")
-    return rows.withColumns({"kind": F.col("_one.kind"), "ring": F.get(rings, F.lit(0)), "holes": F.slice(rings, 2, 1_000_000)}).drop("_one")
+    return rows.withColumns({"kind": F.col("_one.kind"), "ring": F.get(rings, F.lit(0)), "holes": F.slice(rings, F.lit(2), F.greatest(F.size(rings) - 1, F.lit(0)))}).drop("_one")
 
 
 def features_by_key(df: DataFrame, keys: Sequence[str], window: tuple[float, float, float, float], id_col: str = "id") -> DataFrame:
     """Features (id, tags: map, kind, ring) that have a tag of one of the keys, clipped to a window (x0, y0, x1, y1).
 
     One row for each feature and key: id, key, value, kind, ring (points and
-    polygons), segments (lines).  Features of which the window leaves nothing go;
+    polygons), segments (lines), and holes if the input has them.  Features of which the window leaves nothing go;
     a null map of tags has no key.
     """
     x0, y0, x1, y1 = window
-    tags = df.select(id_col, "kind", "ring", F.explode(F.map_filter("tags", lambda k, _: k.isin(*keys))).alias("key", "value"))
+    held = ["holes"] if "holes" in df.columns else []
+    tags = df.select(id_col, "kind", "ring", *held, F.explode(F.map_filter("tags", lambda k, _: k.isin(*keys))).alias("key", "value"))
     first = F.get("ring", F.lit(0))
     inside = F.when(first["x"].between(x0, x1) & first["y"].between(y0, y1), F.col("ring"))
     area = F.when(F.col("kind") == "point", inside).when(F.col("kind") == "polygon", clip(F.col("ring"), x0, y0, x1, y1))
     lines = F.when(F.col("kind") == "line", clip_line(F.col("ring"), x0, y0, x1, y1))
-    out = tags.select(id_col, "key", "value", "kind", area.alias("ring"), lines.alias("segments"))
+    out = tags.select(id_col, "key", "value", "kind", area.alias("ring"), lines.alias("segments"), *[clip_window(F.col(c), x0, y0, x1, y1).alias(c) for c in held])
     return out.filter((F.coalesce(F.size("ring"), F.lit(0)) > 0) | (F.coalesce(F.size("segments"), F.lit(0)) > 0))

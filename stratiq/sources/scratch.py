@@ -21,6 +21,9 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written out and read back: lineage ends here and lost executors cost no earlier round."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # Results may be read until the driver's JVM ends; then the table goes.
+    at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(at)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

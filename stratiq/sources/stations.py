@@ -50,7 +50,7 @@ def read_fixed_width(spark: SparkSession, path: str, widths: Sequence[int], name
 
     Files are read whole, one row each, as their encoding asks; they are lists of stations, small.
     """
-    lines = spark.read.format("binaryFile").load(path).select(F.posexplode(F.split(F.decode("content", F.lit(encoding)), "\r?\n")).alias("at", "value"))
+    lines = spark.read.format("binaryFile").load(path).select(F.posexplode(F.split(F.decode("content", encoding), "\r?\n")).alias("at", "value"))
     rows, place, out = lines.filter((F.col("at") >= skip) & (F.trim("value") != "")), 1, []
     for width, name in zip(widths, names, strict=True):
         out.append(F.trim(F.substring("value", place, width)).alias(name))
