@@ -3,23 +3,26 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Sequence
+import itertools
+import math
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratiq.sources.scratch import saved
 
 from .geometry import within_filter
 from .relational import complete_cases, top_n, zscores
-from .stats import adjusted_rand, calinski_harabasz, cluster_jaccard, davies_bouldin, drop_correlated, kappa_by, linear_combinations, near_zero_variance, silhouette, to_centroid, vote
+from .stats import adjusted_rand, calinski_harabasz, davies_bouldin, drop_correlated, kappa_by, linear_combinations, near_zero_variance, silhouette, to_centroid, vote
 
 
 def _vectors(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -37,10 +40,17 @@ def kmeans(df: DataFrame, features: Sequence[str], k: int, restarts: int = 3, se
     return best.transform(rows).withColumn(out, F.col("_p") + 1).drop("_v", "_p"), best.summary.trainingCost
 
 
+def _unclustered(df: DataFrame, key: str) -> DataFrame:
+    """Every unit without a stratum: what remains where no unit is complete."""
+    return df.select(key, F.lit(None).cast("int").alias("stratum"), F.lit(None).cast("double").alias("dist_to_center"), F.lit(None).cast("boolean").alias("candidate"))
+
+
 def strata(df: DataFrame, key: str, features: Sequence[str], k: int, n: int, seed: int = 1) -> DataFrame:
     """Complete rows, standardised and clustered; every unit with its stratum, distance and whether it is among the n nearest (null outside)."""
     z = [f"{f}_z" for f in features]
-    rows = zscores(complete_cases(df.select(key, *features), features), features).na.drop(subset=z)
+    rows = saved(zscores(complete_cases(df.select(key, *features), features), features).na.drop(subset=z), "strata-rows")
+    if rows.isEmpty():
+        return _unclustered(df, key)
     clustered, _ = kmeans(rows, z, k, seed=seed)
     near = to_centroid(clustered, "stratum", z).select(key, "stratum", "dist_to_center")
     near = saved(near, "strata")
@@ -57,32 +67,132 @@ def pca_scores(df: DataFrame, features: Sequence[str], n: int) -> DataFrame:
     return out.withColumn("origin_dist", F.sqrt(sum((F.col(f"pc{i + 1}") ** 2 for i in range(n)), F.lit(0.0)))).drop("_v", "_pc", "_a", *z)
 
 
+def _below(key: str, salt: str, share: float) -> Column:
+    """True for about ``share`` of the keys, chosen by a hash."""
+    return F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(1 << 52)).cast("double") < share * float(1 << 52)
+
+
 def evaluation_sample(df: DataFrame, key: str, least: int = 2000, share: float = 0.2) -> DataFrame:
-    """max(least, share of the rows) rows, those of the smallest hashes of the key; all if there are no more."""
-    rows = df.withColumn("_h", F.pmod(F.xxhash64(key, F.lit("k-sample")), F.lit(1 << 52)).cast("double"))
-    count = rows.count()
+    """About max(least, share of the rows) rows, those whose key's hash is below that share of its range; all if there are no more."""
+    count = df.count()
     want = max(least, int(np.ceil(share * count)))
-    if count <= want:
-        return df
-    cut = rows.approxQuantile("_h", [want / count], 0.0)[0]
-    return rows.filter(F.col("_h") <= cut).drop("_h")
+    return df if count <= want else df.filter(_below(key, "k-sample", want / count))
+
+
+#: Shares of a Poisson distribution of mean 1 up to each value.
+POISSON = np.cumsum([np.exp(-1) / math.factorial(i) for i in range(19)])
+
+
+def _mixed(hashes: np.ndarray, salt: int) -> np.ndarray:
+    """64 further bits of each hash (Steele, Lea and Flood's finaliser)."""
+    with np.errstate(over="ignore"):
+        x = hashes.astype(np.uint64) + np.uint64(salt + 1) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def replicate_weights(hashes: np.ndarray, replicate: int, seed: int) -> np.ndarray:
+    """How often each row is drawn in a bootstrap replicate: Poisson of mean 1, by the row's hash."""
+    share = (_mixed(hashes, 2 * replicate + 1000 * seed) >> np.uint64(11)).astype(float) * 2.0**-53
+    return np.searchsorted(POISSON, share, side="right")
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return ((x[:, None, :] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+
+
+def _numbers(batch: pa.RecordBatch, columns: Sequence[str]) -> np.ndarray:
+    return np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in columns], axis=1)
 
 
-def k_report(df: DataFrame, key: str, features: Sequence[str], ks: Sequence[int], boots: int = 2, seed: int = 1) -> DataFrame:
-    """Indices for each k on an evaluation sample that the caller has drawn, their z-scores, and the composite score."""
+def bootstrap_jaccard(rows: DataFrame, key: str, cluster: str, features: Sequence[str], k: int, boots: int = 30, rounds: int = 20, seed: int = 1) -> DataFrame:
+    """replicate, cluster, jaccard: how well each cluster of ``rows`` returns in k-means of bootstrap replicates.
+
+    A replicate draws each row as often as :func:`replicate_weights` says.  All
+    replicates run in one pass for each round: tasks assign their rows to every
+    replicate's centres and send weighted sums, ``boots`` times k centres; these
+    alone come to the driver.  Centres start at the k drawn rows of the smallest
+    hashes.  Clusters are compared over the rows drawn, each once; a replicate that
+    draws no row of a cluster has no row for it.
+    """
+    features, width = list(features), len(features)
+    packed = saved(rows.select(F.xxhash64(key, F.lit("bootstrap")).alias("_h"), F.col(cluster).alias("_c"), *[F.col(f).cast("double") for f in features]).na.drop(), "bootstrap")
+    spark, named = rows.sparkSession, ", ".join(f"x{i} double" for i in range(width))
+
+    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, x = batch.column(0).to_numpy(), _numbers(batch, features)
+            for b in range(boots):
+                rank = _mixed(h, 2 * b + 1 + 1000 * seed).astype(np.int64)
+                rank[replicate_weights(h, b, seed) == 0] = np.iinfo(np.int64).max
+                first = np.argsort(rank, kind="stable")[:k]
+                first = first[rank[first] != np.iinfo(np.int64).max]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), b)), pa.array(rank[first]), *[pa.array(x[first, i]) for i in range(width)]], names=["b", "rank", *[f"x{i}" for i in range(width)]])
+
+    chosen = top_n(packed.mapInArrow(starts, f"b long, rank long, {named}"), k, ["b"], [F.col("rank")])
+    centres = np.full((boots, k, width), np.inf)
+    for b, found in itertools.groupby(sorted(tuple(r) for r in chosen.collect()), key=lambda r: r[0]):  # boots * k rows
+        for i, r in enumerate(found):
+            centres[b, i] = r[2:]
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((boots, k, width + 1))
+        for batch in batches:
+            h, x = batch.column(0).to_numpy(), _numbers(batch, features)
+            for b in range(boots):
+                w, at = replicate_weights(h, b, seed), _nearest(x, centres[b])
+                for i in range(width):
+                    total[b, :, i] += np.bincount(at, w * x[:, i], k)
+                total[b, :, width] += np.bincount(at, w, k)
+        used = np.flatnonzero(total.ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total.ravel()[used])], names=["cell", "v"])
+
+    for _ in range(rounds):
+        total = np.zeros(boots * k * (width + 1))
+        for r in packed.mapInArrow(summed, "cell long, v double").groupBy("cell").agg(F.sum("v").alias("v")).collect():  # a row for each number of a centre
+            total[r["cell"]] = r["v"]
+        total = total.reshape(boots, k, width + 1)
+        now = np.where(total[..., -1:] > 0, total[..., :-1] / np.maximum(total[..., -1:], 1), centres)
+        still, centres = np.array_equal(now, centres), now
+        if still:
+            break
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, x, c = batch.column(0).to_numpy(), _numbers(batch, features), batch.column(1)
+            for b in range(boots):
+                drawn = np.flatnonzero(replicate_weights(h, b, seed))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(drawn), b)), c.take(pa.array(drawn)), pa.array(_nearest(x[drawn], centres[b]))], names=["replicate", cluster, "_again"])
+
+    kind = dict(packed.dtypes)["_c"]
+    cells = packed.mapInArrow(counted, f"replicate long, `{cluster}` {kind}, _again long").groupBy("replicate", cluster, "_again").agg(F.count(F.lit(1)).alias("n"))
+    own, other = F.sum("n").over(Window.partitionBy("replicate", cluster)), F.sum("n").over(Window.partitionBy("replicate", "_again"))
+    cells = cells.withColumns({"_own": own, "_other": other})
+    return cells.groupBy("replicate", cluster).agg(F.max(F.col("n") / (F.col("_own") + F.col("_other") - F.col("n"))).alias("jaccard"))
+
+
+REPORT = "k long, silhouette double, ch double, db double, wss double, stability double, score double"
+
+
+def k_report(df: DataFrame, key: str, features: Sequence[str], ks: Sequence[int], boots: int = 30, seed: int = 1, restarts: int = 1, asked: int = 2000) -> DataFrame:
+    """Indices for each k on an evaluation sample that the caller has drawn, their z-scores, and the composite score; no row if the sample is empty.
+
+    The silhouette is that of about ``asked`` of its rows among all of them;
+    stability is the mean over clusters and ``boots`` bootstrap replicates.
+    """
     rows = saved(df.select(key, *features), "k-sample")
+    count = rows.count()
+    if not count:
+        return df.sparkSession.createDataFrame([], REPORT)
+    few = _below(key, "silhouette", asked / count) if count > asked else None
     found = []
     for k in ks:
-        whole, cost = kmeans(rows, features, k, restarts=1, seed=seed)
+        whole, cost = kmeans(rows, features, k, restarts=restarts, seed=seed)
         whole = saved(whole, "k-clusters")
-        stable = []
-        for b in range(boots):
-            part = rows.filter(F.pmod(F.xxhash64(key, F.lit(seed + b)), F.lit(3)) != 0)
-            again, _ = kmeans(part, features, k, restarts=1, seed=seed + b, out="_again")
-            both = again.select(key, "_again").join(whole.select(key, "stratum"), key)
-            stable.append(cluster_jaccard(both, "stratum", "_again").agg(F.avg("jaccard")).first()[0])
+        stable = bootstrap_jaccard(whole, key, "stratum", features, k, boots, seed=seed).agg(F.avg("jaccard")).first()[0]
         one = lambda t: float(t.first()[0] or 0.0)
-        found.append((int(k), one(silhouette(whole, key, "stratum", features)), one(calinski_harabasz(whole, "stratum", features)), one(davies_bouldin(whole, "stratum", features)), float(cost), float(np.mean([s for s in stable if s is not None] or [np.nan]))))
+        found.append((int(k), one(silhouette(whole, key, "stratum", features, few)), one(calinski_harabasz(whole, "stratum", features)), one(davies_bouldin(whole, "stratum", features)), float(cost), float(np.nan if stable is None else stable)))
     table = pd.DataFrame(found, columns=["k", "silhouette", "ch", "db", "wss", "stability"])
     z = lambda c: (table[c] - table[c].mean()) / (table[c].std() or 1.0)
     table["score"] = z("silhouette") + z("ch") - z("db") - 0.5 * z("wss") + 2 * z("stability")
@@ -159,11 +269,12 @@ def tune_forest(rows: DataFrame, key: str, label: str, features: Sequence[str],
     return rows.sparkSession.createDataFrame([(t, m, k, i == first) for i, (t, m, k) in enumerate(found)], "trees int, mtry int, kappa double, best boolean")
 
 
-def choose_k(report: DataFrame, low: int, high: int) -> int:
-    """The k that most indices of a report prefer (see :func:`stratiq.operators.stats.vote`)."""
+def choose_k(report: DataFrame, low: int, high: int) -> int | None:
+    """The k that most indices of a report prefer (see :func:`stratiq.operators.stats.vote`); None for an empty report."""
     ks = report.select(F.explode(F.array(*[F.struct(F.lit(sign).alias("s"), F.col("k"), (F.col(c) * sign).alias("v"), F.lit(c).alias("c")) for c, sign in (("silhouette", 1), ("ch", 1), ("db", -1), ("score", 1))])).alias("x"))
     picks = ks.groupBy("x.c").agg(F.max_by("x.k", "x.v").alias("k"))
-    return int(vote(picks, "k", low, high).first()[0])
+    found = vote(picks, "k", low, high).first()
+    return int(found[0]) if found is not None and found[0] is not None else None
 
 
 def domain_strata(df: DataFrame, key: str, features: Sequence[str], hull: Sequence[tuple[float, float]], ks: Sequence[int], n: int, x: str = "x", y: str = "y", cutoff: float = 0.95) -> DataFrame:
@@ -173,6 +284,8 @@ def domain_strata(df: DataFrame, key: str, features: Sequence[str], hull: Sequen
     null outside the hull and for incomplete units.
     """
     inside = saved(complete_cases(within_filter(df, hull, x, y), features).select(key, *features), "domain")
+    if inside.isEmpty():
+        return _unclustered(df, key)
     flat = {r["column"] for r in near_zero_variance(inside, features).filter("nzv").collect()}
     kept = [f for f in features if f not in flat]
     kept = drop_correlated(inside, kept, cutoff)
@@ -180,6 +293,8 @@ def domain_strata(df: DataFrame, key: str, features: Sequence[str], hull: Sequen
     z = [f"{f}_z" for f in kept]
     rows = saved(zscores(inside, kept).na.drop(subset=z).select(key, *kept, *z), "domain-z")
     k = choose_k(k_report(evaluation_sample(rows, key), key, z, ks), min(ks), max(ks))
+    if k is None:
+        return _unclustered(df, key)
     found = strata(rows, key, kept, k, n)
     return df.select(key).join(found, key, "left")
 
@@ -291,6 +406,8 @@ def ward(tiles: DataFrame, key: str, features: Sequence[str], k: int, centres: i
     rows.  With no more rows than centres the result is that of Ward's method.
     """
     rows = saved(tiles.select(key, *features).na.drop(), "ward-rows")
+    if rows.isEmpty():
+        return rows.select(key, F.lit(None).cast("int").alias("cluster"))
     if rows.count() <= centres:
         micro = rows.withColumn("_micro", F.dense_rank().over(Window.orderBy(key)))  # at most ``centres`` rows
     else:

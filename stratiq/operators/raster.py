@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from stratiq.sources.scratch import dropped, saved
 
-from .relational import quantiles, with_totals
+from .relational import looked_up, quantiles, with_totals
 
 
 def block(df: DataFrame, k: int, row: str = "row", col: str = "col") -> tuple[Column, Column]:
@@ -159,7 +159,7 @@ def connected(edges: DataFrame, nodes: DataFrame, node: str = "id") -> DataFrame
         heard = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("label").alias("_h"))
         near = labels.join(heard, labels["id"] == heard["a"], "left").select("id", F.col("label").alias("_old"), F.least("label", "_h").alias("_near"))
         jump = labels.select(F.col("id").alias("_near"), F.col("label").alias("_far"))
-        after = saved(near.join(jump, "_near").select("id", "_old", F.least("_near", "_far").alias("label")), "labels")
+        after = saved(looked_up(near, "_near", jump).select("id", "_old", F.least("_near", "_far").alias("label")), "labels")
         done = after.filter("label <> _old").isEmpty()
         dropped(labels)
         labels = after.select("id", "label")
@@ -201,86 +201,11 @@ def merge_small(cells: DataFrame, label: str, z: str, least: int) -> DataFrame:
 
 def flow_edges(grid: DataFrame, z: str, width: int) -> DataFrame:
     """For each cell the lowest of its 8 neighbours if lower than itself: src, dst (cell numbers)."""
-    near = halo(grid.select("row", "col", z), [z], 1).filter("dr <> 0 or dc <> 0").withColumnRenamed(z, "_near")
-    near = near.withColumn("dst", (F.col("row") + F.col("dr")) * width + F.col("col") + F.col("dc"))
-    low = near.groupBy("row", "col").agg(F.min(F.struct("_near", "dst")).alias("_low"))
-    at = grid.select("row", "col", z).join(low, ["row", "col"]).filter(F.col("_low._near") < F.col(z))
-    return at.select((F.col("row") * width + F.col("col")).alias("src"), F.col("_low.dst").alias("dst"))
-
-
-def flow_accumulation(cells: DataFrame, edges: DataFrame, node: str = "id") -> DataFrame:
-    """Cells that drain through each cell, itself included: mass moves along all edges, a round at a time.
-
-    On a network without cycles the mass is gone after as many rounds as there
-    are cells on the longest way; if it isn't, ValueError.
-    """
-    most = cells.count()
-    moving = saved(cells.select(F.col(node).alias("id"), F.lit(1).cast("long").alias("m")), "flow")
-    total = moving
-    while True:
-        after = saved(moving.join(edges, moving["id"] == edges["src"]).groupBy("dst").agg(F.sum("m").alias("m")).withColumnRenamed("dst", "id"), "flow")
-        if after.isEmpty():
-            break
-        if (most := most - 1) < 0:
-            raise ValueError("the network has a cycle")
-        total, moving = saved(total.union(after).groupBy("id").agg(F.sum("m").alias("m")), "flow-sum"), after
-    return total.select(F.col("id").alias(node), F.col("m").alias("accumulation"))
-
-
-def basins(edges: DataFrame, node: str = "id") -> DataFrame:
-    """node, basin (the outlet that it drains to): each node's pointer jumps to its target's pointer, in rounds that are written out.
-
-    On a cycle, which has no outlet, pointers never rest: ValueError.
-    """
-    nodes = saved(edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct(), "basin-nodes")
-    to = saved(nodes.join(edges, nodes["id"] == edges["src"], "left").select("id", F.coalesce("dst", "id").alias("to")), "basins")
-    for _ in range(nodes.count().bit_length() + 1):  # doublings of the longest path
-        ahead = to.select(F.col("id").alias("to"), F.col("to").alias("_to"))
-        after = saved(to.join(ahead, "to").select("id", F.col("_to").alias("to"), (F.col("_to") != F.col("to")).alias("moved")), "basins")
-        done = after.filter("moved").isEmpty()
-        dropped(to)
-        to = after.drop("moved")
-        if done:
-            return to.select(F.col("id").alias(node), F.col("to").alias("basin"))
-    raise ValueError("the network has a cycle")
-
-
-def channels(edges: DataFrame, accumulation: DataFrame, least: int) -> DataFrame:
-    """The edges that leave cells through which at least ``least`` cells drain.  ``accumulation``: id, accumulation."""
-    return edges.join(accumulation.filter(F.col("accumulation") >= least).select(F.col("id").alias("src")), "src", "left_semi")
-
-
-def steps_downstream(edges: DataFrame, outlets: DataFrame, node: str = "id") -> DataFrame:
-    """Number of edges from each cell down to the first outlet on its way."""
-    front = saved(outlets.select(F.col(node).alias("id"), F.lit(0).alias("steps")), "steps")
-    found = front
-    while True:
-        after = edges.join(front, edges["dst"] == front["id"]).select(F.col("src").alias("id"), (F.col("steps") + 1).alias("steps"))
-        front = saved(after.join(found.select("id"), "id", "left_anti"), "steps")
-        if front.isEmpty():
-            return found.select(F.col("id").alias(node), "steps")
-        found = saved(found.union(front), "steps-all")
-
-
-def strahler(edges: DataFrame) -> DataFrame:
-    """Stream order of an acyclic network (src flows to dst): a source is 1; the highest inflow, plus 1 if two share it.
-
-    Each round settles the nodes whose inflows are all settled.  Nodes on a cycle,
-    and those behind it, never settle: ValueError.
-    """
-    nodes = saved(edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct(), "order-nodes")
-    waits = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("need"))
-    done = saved(nodes.join(waits, nodes["id"] == waits["dst"], "left_anti").select("id", F.lit(1).alias("strahler")), "orders")
-    while True:
-        inflow = edges.join(done, edges["src"] == done["id"]).select("dst", "strahler")
-        top = inflow.groupBy("dst", "strahler").agg(F.count(F.lit(1)).alias("n")).groupBy("dst").agg(F.max(F.struct("strahler", "n")).alias("t"), F.sum("n").alias("have"))
-        ready = top.join(waits, "dst").filter("have = need").select(F.col("dst").alias("id"), (F.col("t.strahler") + F.when(F.col("t.n") >= 2, 1).otherwise(0)).alias("strahler"))
-        new = saved(ready.join(done.select("id"), "id", "left_anti"), "orders-new")
-        if new.isEmpty():
-            if done.count() < nodes.count():
-                raise ValueError("the network has a cycle")
-            return done
-        done = saved(done.union(new), "orders")
+    number = lambda r, c: (F.col("row") + r) * width + F.col("col") + c
+    around = [F.struct(F.col("near")[i].alias("v"), number(i // 3 - 1, i % 3 - 1).alias("id")) for i, k in enumerate(NINE) if k != "c"]
+    low = F.array_min(F.filter(F.array(*around), lambda x: x["v"].isNotNull()))
+    found = nine(grid.select("row", "col", z), z).select(number(0, 0).alias("src"), F.col("near")[NINE.index("c")].alias("_z"), low.alias("_low"))
+    return found.filter(F.col("_low.v") < F.col("_z")).select("src", F.col("_low.id").alias("dst"))
 
 
 def second_difference(df: DataFrame, by: Sequence[str], order: str, value: str) -> DataFrame:

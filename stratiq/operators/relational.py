@@ -25,6 +25,22 @@ def small(df: DataFrame, rows: int = FEW_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def looked_up(rows: DataFrame, key: str, table: DataFrame, share: int = 500, most: int = 100_000) -> DataFrame:
+    """``rows`` joined with ``table``, which has each ``key`` at most once.
+
+    Keys of more than ``most`` rows and more than 1/``share`` of them, at most
+    ``share`` in number, meet their row by broadcast, the others by shuffle: no
+    key has to fit one task.
+    """
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    counts = with_totals(counts, _all=F.sum("_n")).filter((F.col("_n") > most) & (F.col("_n") * share > F.col("_all")))
+    hot = [r[0] for r in counts.select(key).collect()]  # at most ``share`` keys
+    if not hot:
+        return rows.join(table, key)
+    is_hot = F.col(key).isin(hot)
+    return rows.filter(is_hot).join(F.broadcast(table.filter(is_hot)), key).unionByName(rows.filter(~is_hot).join(table, key))
+
+
 def with_totals(df: DataFrame, **totals: Column) -> DataFrame:
     """Every row with table-wide aggregates: one row, broadcast."""
     return df.crossJoin(F.broadcast(df.agg(*[c.alias(n) for n, c in totals.items()])))
@@ -72,9 +88,20 @@ def contracted(df: DataFrame, columns: Sequence[str], key: Sequence[str] = (), s
 
 
 def unique_leaves(df: DataFrame, parent: str, leaf: str, out: str = "name") -> DataFrame:
-    """Folders' last names, with the parent's name in front where several folders share one."""
-    shared = F.count(F.lit(1)).over(Window.partitionBy(leaf)) > 1
-    return df.withColumn(out, F.when(shared, F.concat_ws("_", parent, leaf)).otherwise(F.col(leaf)))
+    """Folders' last names, with as many parents' names in front as it takes until no two folders share a name.
+
+    ``parent`` is the path above the leaf; folders of equal paths stay equal.
+    """
+    at = Window.partitionBy(out)
+    df = df.withColumns({"_up": F.split(parent, "/"), out: F.col(leaf), "_open": F.lit(True)})
+    depth = df.agg(F.max(F.size("_up"))).first()[0] or 0
+    for _ in range(depth):
+        # A shared name takes one more name of its path; names that stand alone stay.
+        shared = (F.count(F.lit(1)).over(at) > 1) & (F.size("_up") > 0)
+        longer = F.concat_ws("_", F.element_at("_up", -1), F.col(out))
+        df = df.withColumn("_open", shared).withColumn(out, F.when(F.col("_open"), longer).otherwise(F.col(out)))
+        df = df.withColumn("_up", F.when(F.col("_open"), F.slice("_up", F.lit(1), F.size("_up") - 1)).otherwise(F.col("_up")))
+    return df.drop("_up", "_open")
 
 
 def top_n(df: DataFrame, n: int, by: Sequence[Column | str], order: Sequence[Column]) -> DataFrame:

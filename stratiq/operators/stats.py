@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratiq.functions.numeric import div
 
-from .relational import product_without, quantile_bins, quantiles, small, with_totals
+from .relational import quantile_bins, quantiles, small, top_n, with_totals
 
 
 def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -266,19 +266,19 @@ def error_profile(df: DataFrame, di: str, wrong: str, bins: int) -> DataFrame:
     return quantile_bins(df, di, bins).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg(di).alias("di"), F.avg(F.col(wrong).cast("double")).alias("error"))
 
 
-def perturbations(spark: SparkSession, spatialr: int, ranger: float, minsize: int, most: int = 8, floor: float = 0.8) -> DataFrame:
-    """spatialr, ranger, minsize: up to ``most`` neighbours of a setting of the segmentation, chosen by a hash of their steps.
+def perturbations(settings: DataFrame, key: str, most: int = 8, floor: float = 0.8) -> DataFrame:
+    """key, spatialr, ranger, minsize: for each setting of the segmentation up to ``most`` neighbours, chosen by a hash of their steps.
 
     Steps are 1 for spatialr (0 for 3 or less), a tenth of ranger (0.005 at
     least) and a fifth of minsize (5 at least).  Values stay positive and minsize
     over ``floor`` of its own; the setting itself is left out.
     """
-    far = 0 if spatialr <= 3 else 1
-    dr, dm = max(0.005, 0.1 * ranger), max(5, round(0.2 * minsize))
-    steps = lambda name, n: spark.createDataFrame([(i,) for i in range(-n, n + 1)], f"{name} int")
-    grid = product_without([steps("_i", far), steps("_j", 1), steps("_k", 1)], F.expr("_i = 0 AND _j = 0 AND _k = 0"))
-    kept = grid.orderBy(F.md5(F.concat_ws(",", "_i", "_j", "_k"))).limit(most)
-    return kept.select(
-        F.greatest(F.lit(1), F.col("_i") + spatialr).alias("spatialr"), F.round(F.greatest(F.lit(1e-6), F.col("_j") * dr + ranger), 9).alias("ranger"),
-        F.greatest(F.lit(1), F.lit(round(minsize * floor)), F.col("_k") * dm + minsize).alias("minsize"),
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if i or j or k])
+    rows = settings.withColumn("_s", F.explode(steps)).filter((F.col("spatialr") > 3) | (F.col("_s.i") == 0))
+    rows = top_n(rows, most, [key], [F.md5(F.concat_ws(",", "_s.i", "_s.j", "_s.k"))])
+    dr, dm = F.greatest(F.lit(0.005), F.col("ranger") * 0.1), F.greatest(F.lit(5), F.round(F.col("minsize") * 0.2)).cast("int")
+    least = F.greatest(F.lit(1), F.round(F.col("minsize") * floor).cast("int"))
+    return rows.select(
+        key, F.greatest(F.lit(1), F.col("_s.i") + F.col("spatialr")).alias("spatialr"), F.round(F.greatest(F.lit(1e-6), F.col("_s.j") * dr + F.col("ranger")), 9).alias("ranger"),
+        F.greatest(least, F.col("_s.k") * dm + F.col("minsize")).alias("minsize"),
     )

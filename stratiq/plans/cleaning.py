@@ -144,10 +144,11 @@ def attrstack_join(spark, sf_dir):
     return R.attach_all(v_seg(spark, sf_dir), [a, b], "segment_id").select("segment_id", "stratum", "price", "price__dup", "n")
 
 
-@query("SELECT a, b, c FROM (VALUES (1), (2), (3)) x(a), (VALUES (10), (20), (30)) y(b), (VALUES (5), (6)) z(c) WHERE NOT (a = 2 AND b = 20 AND c = 5)")
+@query("SELECT a, b, c FROM (SELECT DISTINCT l_returnflag AS a FROM lineitem), (SELECT DISTINCT o_orderpriority AS b FROM orders), (SELECT DISTINCT p_size AS c FROM part) WHERE NOT (a = 'A' AND b = '1-URGENT' AND c = 5)")
 def param_grid(spark, sf_dir):
-    one = lambda name, values: spark.createDataFrame([(v,) for v in values], f"{name} int")
-    return R.product_without([one("a", (1, 2, 3)), one("b", (10, 20, 30)), one("c", (5, 6))], F.expr("a = 2 AND b = 20 AND c = 5"))
+    """All combinations of the values that three tables hold, less the baseline."""
+    one = lambda name, of, to: table(spark, sf_dir, name).select(F.col(of).alias(to)).distinct()
+    return R.product_without([one("lineitem", "l_returnflag", "a"), one("orders", "o_orderpriority", "b"), one("part", "p_size", "c")], F.expr("a = 'A' AND b = '1-URGENT' AND c = 5"))
 
 
 @query("SELECT n_name AS name, n_nationkey AS nation, CAST(NULL AS DOUBLE) AS balance FROM nation UNION ALL SELECT s_name, NULL, s_acctbal FROM supplier")

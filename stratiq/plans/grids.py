@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
-from stratiq.functions import leaf_area, spectral
+from stratiq.functions import leaf_area, projection, spectral
 from stratiq.functions.numeric import r6
-from stratiq.operators import geometry as G, raster, relational as R, stats
+from stratiq.operators import geometry as G, hydrology, raster, relational as R, stats
+from stratiq.operators.reproject import Lattice, reproject
+from stratiq.sources.scratch import saved
 
 from .registry import query
 from .views import table, twin, v_cell, v_grid, whole
@@ -191,13 +195,13 @@ def _network(spark, sf_dir):
 @query()
 def strahler_order(spark, sf_dir):
     """Stream orders of a made network; a test holds them against a recursive definition."""
-    return raster.strahler(_network(spark, sf_dir)).select("id", "strahler")
+    return hydrology.strahler(_network(spark, sf_dir)).select("id", "strahler")
 
 
 @query(twin("SELECT id, count(*) AS accumulation FROM r GROUP BY id", recursive=True, f=_FLOW, n="SELECT src AS id FROM f UNION SELECT dst FROM f", r="SELECT id, id AS origin FROM n UNION ALL SELECT f.dst, r.origin FROM r JOIN f ON r.id = f.src"))
 def flow_accumulation(spark, sf_dir):
     e = _network(spark, sf_dir)
-    return raster.flow_accumulation(e.select(F.col("src").alias("id")).union(e.select("dst")).distinct(), e)
+    return hydrology.flow_accumulation(e.select(F.col("src").alias("id")).union(e.select("dst")).distinct(), e)
 
 
 _DRAINS = dict(f=_FLOW, n="SELECT src AS id FROM f UNION SELECT dst FROM f", r="SELECT id, id AS origin FROM n UNION ALL SELECT f.dst, r.origin FROM r JOIN f ON r.id = f.src")
@@ -205,7 +209,7 @@ _DRAINS = dict(f=_FLOW, n="SELECT src AS id FROM f UNION SELECT dst FROM f", r="
 
 @query(twin("SELECT origin AS id, id AS basin FROM r WHERE id NOT IN (SELECT src FROM f)", recursive=True, **_DRAINS))
 def drainage_basins(spark, sf_dir):
-    return raster.basins(_network(spark, sf_dir))
+    return hydrology.basins(_network(spark, sf_dir))
 
 
 @query(twin("SELECT src, dst FROM f WHERE src IN (SELECT id FROM r GROUP BY id HAVING count(*) >= 5)", recursive=True, **_DRAINS))
@@ -213,14 +217,13 @@ def channel_network(spark, sf_dir):
     """Edges from cells that five or more drain through."""
     e = _network(spark, sf_dir)
     cells = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
-    return raster.channels(e, raster.flow_accumulation(cells, e), 5).select("src", "dst")
+    return hydrology.channels(e, hydrology.flow_accumulation(cells, e), 5).select("src", "dst")
 
 
 @query(twin("SELECT id, CAST(min(steps) AS INTEGER) AS steps FROM r GROUP BY id", recursive=True, f=_FLOW, r="SELECT DISTINCT dst AS id, 0 AS steps FROM f WHERE dst NOT IN (SELECT src FROM f) UNION ALL SELECT f.src, r.steps + 1 FROM r JOIN f ON r.id = f.dst"))
 def overland_steps(spark, sf_dir):
     e = _network(spark, sf_dir)
-    outlets = e.select(F.col("dst").alias("id")).distinct().join(e.select(F.col("src").alias("id")), "id", "left_anti")
-    return raster.steps_downstream(e, outlets)
+    return hydrology.steps_downstream(e, hydrology.outlets(e))
 
 
 @query(twin(
@@ -230,6 +233,56 @@ def flow_directions(spark, sf_dir):
     return raster.flow_edges(v_grid(spark, sf_dir), "z", WIDTH)
 
 
+_LOWEST = "SELECT row * 100 + col AS src, dst FROM (SELECT a.row, a.col, a.z, b.id AS dst, b.z AS low, row_number() OVER (PARTITION BY a.row, a.col ORDER BY b.z, b.id) AS r FROM v_grid a JOIN (SELECT row + dr AS row, col + dc AS col, z, row * 100 + col AS id FROM v_grid, (VALUES (-1), (0), (1)) x(dr), (VALUES (-1), (0), (1)) y(dc) WHERE dr <> 0 OR dc <> 0) b ON a.row = b.row AND a.col = b.col) WHERE r = 1 AND low < z"
+
+
+@query(twin(
+    "SELECT id, round(min(d), 6) AS distance FROM r GROUP BY id", recursive=True, f=_LOWEST, n="SELECT src AS id FROM f UNION SELECT dst FROM f",
+    up="SELECT id, id AS origin FROM n UNION ALL SELECT f.dst, up.origin FROM up JOIN f ON up.id = f.src", c="SELECT id FROM up GROUP BY id HAVING count(*) >= 20",
+    r="SELECT id, 0e0 AS d FROM c UNION ALL SELECT f.src, r.d + CASE WHEN f.src % 100 <> f.dst % 100 AND f.src // 100 <> f.dst // 100 THEN 10 * sqrt(2e0) ELSE 10 END FROM r JOIN f ON r.id = f.dst WHERE f.src NOT IN (SELECT id FROM c)"))
+def overland_distance(spark, sf_dir):
+    """Metres of flow from each cell of the grid to the first channel cell, over cells of 10 metres."""
+    e = saved(raster.flow_edges(v_grid(spark, sf_dir), "z", WIDTH), "flow-edges")
+    cells = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
+    out = hydrology.overland_distance(e, hydrology.flow_accumulation(cells, e), 20, WIDTH, 10.0)
+    return out.select("id", r6("distance").alias("distance"))
+
+
+#: The grid as degrees around zone 32's meridian, rows running south, and cells of metres over it.
+_DEGREES = dict(x0=9.0, y0=51.0, dx=0.001, dy=-0.0006, cols=100)
+_METRES = dict(x0=500000.0, y0=5649700.0, dx=69.0, dy=-66.0, cols=100)
+_TO_DEGREES = functools.partial(projection.backward, zone="32")
+
+
+def _asked(shift: float) -> str:
+    """Row and column of the target, and the fractional place in the source."""
+    source, target = Lattice(rows=0, **_DEGREES), Lattice(rows=0, **_METRES)
+    x, y = target.middle()
+    u, v = _TO_DEGREES("x", "y")
+    row, col = source.place("u", "v")
+    return f"SELECT row, col, round({row} * 64) / 64 - {shift} AS r, round({col} * 64) / 64 - {shift} AS c FROM (SELECT row, col, {u} AS u, {v} AS v FROM (SELECT row, col, {x} AS x, {y} AS y FROM v_grid))"
+
+
+def _reprojected(spark, sf_dir, method):
+    grid = _cents(spark, sf_dir)
+    rows = grid.agg(F.max("row")).first()[0] + 1
+    return reproject(grid, "v", Lattice(rows=rows, **_DEGREES), Lattice(rows=rows, **_METRES), _TO_DEGREES, method, 64)
+
+
+@query(twin("SELECT a.row, a.col, g.v / 100 AS z FROM a LEFT JOIN g ON CAST(floor(r) AS BIGINT) = g.row AND CAST(floor(c) AS BIGINT) = g.col", a=_asked(0.0), g=_CENTS))
+def reproject_nearest(spark, sf_dir):
+    """A grid of degrees on cells of metres, the source cell that holds each middle."""
+    return _reprojected(spark, sf_dir, "nearest").select("row", "col", (F.col("v") / 100).alias("z"))
+
+
+@query(twin(
+    "SELECT row, col, CASE WHEN count(v) = 4 THEN sum(v * w) / 100 END AS z FROM (SELECT a.row, a.col, g.v, CASE WHEN i = 0 THEN 1 - (r - floor(r)) ELSE r - floor(r) END * CASE WHEN j = 0 THEN 1 - (c - floor(c)) ELSE c - floor(c) END AS w "
+    "FROM a CROSS JOIN (VALUES (0), (1)) s(i) CROSS JOIN (VALUES (0), (1)) t(j) LEFT JOIN g ON CAST(floor(r) AS BIGINT) + i = g.row AND CAST(floor(c) AS BIGINT) + j = g.col) GROUP BY row, col", a=_asked(0.5), g=_CENTS))
+def reproject_bilinear(spark, sf_dir):
+    """A grid of degrees on cells of metres, between the four cells around each middle."""
+    return _reprojected(spark, sf_dir, "bilinear").select("row", "col", (F.col("v") / 100).alias("z"))
+
+
 @query(twin("SELECT row, col, band, round((v - m) / s, 6) AS z FROM (SELECT row, col, 'z' AS band, z AS v FROM v_grid), (SELECT avg(z) AS m, stddev_pop(z) AS s FROM v_grid)"))
 def band_zscore(spark, sf_dir):
     out = R.band_math(v_grid(spark, sf_dir).select("row", "col", "z"), ["z"], R.zscore_text(["z"]))

@@ -212,9 +212,19 @@ def error_profiles(spark, sf_dir):
     return stats.error_profile(rows, "di", "wrong", 5).select("bin", "n", r6("di").alias("di"), r6("error").alias("error"))
 
 
-@query("SELECT 5 + i AS spatialr, round(0.1e0 + 0.01e0 * j, 9) AS ranger, greatest(30 + 6 * k, 24) AS minsize FROM (VALUES (-1), (0), (1)) a(i), (VALUES (-1), (0), (1)) b(j), (VALUES (-1), (0), (1)) c(k) WHERE NOT (i = 0 AND j = 0 AND k = 0) ORDER BY md5(i || ',' || j || ',' || k) LIMIT 8")
+_SETTINGS = "SELECT n_nationkey AS scale_id, 2 + n_nationkey % 5 AS spatialr, (2 + n_nationkey % 4 * 3) / 100e0 AS ranger, 10 + 7 * n_nationkey AS minsize FROM nation"
+
+
+@query(
+    f"SELECT scale_id, spatialr + i AS spatialr, round(ranger + greatest(0.005e0, ranger * 0.1e0) * j, 9) AS ranger, CAST(greatest(round(minsize * 0.8e0), minsize + greatest(5, round(minsize * 0.2e0)) * k) AS INTEGER) AS minsize FROM "
+    f"(SELECT *, row_number() OVER (PARTITION BY scale_id ORDER BY md5(i || ',' || j || ',' || k)) AS r FROM ({_SETTINGS}), (VALUES (-1), (0), (1)) a(i), (VALUES (-1), (0), (1)) b(j), (VALUES (-1), (0), (1)) c(k) WHERE NOT (i = 0 AND j = 0 AND k = 0) AND (i = 0 OR spatialr > 3)) WHERE r <= 8")
 def param_perturbations(spark, sf_dir):
-    return stats.perturbations(spark, 5, 0.1, 30)
+    """Neighbours of a table of settings, one for each scale."""
+    from .views import table
+
+    k = F.col("n_nationkey")
+    settings = table(spark, sf_dir, "nation").select(k.alias("scale_id"), (k % 5 + 2).alias("spatialr"), ((k % 4 * 3 + 2) / 100).alias("ranger"), (k * 7 + 10).alias("minsize"))
+    return stats.perturbations(settings, "scale_id")
 
 
 @query(twin("SELECT segment_id, round(sqrt(((price - mp) / sp) ** 2 + ((w - mw) / sw) ** 2), 6) AS origin_dist FROM v_feat, (SELECT avg(price) AS mp, stddev_samp(price) AS sp, avg(w) AS mw, stddev_samp(w) AS sw FROM v_feat) ORDER BY round(sqrt(((price - mp) / sp) ** 2 + ((w - mw) / sw) ** 2), 9), segment_id LIMIT 100"))

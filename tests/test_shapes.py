@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratiq.functions import projection
-from stratiq.operators import models as M, polygons as P, raster, relational as R, stats
+from stratiq.operators import hydrology, models as M, polygons as P, raster, relational as R, stats
 
 
 def grid(spark, values, gaps=()):
@@ -95,7 +95,7 @@ def test_components_equal_union_find(spark):
 
 def test_networks_with_cycles_are_refused(spark):
     loop = spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "src long, dst long")
-    for f in (raster.strahler, raster.basins, lambda e: raster.flow_accumulation(e.select(F.col("src").alias("id")), e)):
+    for f in (hydrology.strahler, hydrology.basins, lambda e: hydrology.flow_accumulation(e.select(F.col("src").alias("id")), e)):
         with pytest.raises(ValueError, match="cycle"):
             f(loop)
 
@@ -249,5 +249,5 @@ def test_applicability_by_hand(spark):
 
 
 def test_perturbations_keep_their_floors(spark):
-    got = [tuple(r) for r in stats.perturbations(spark, 2, 0.01, 4, most=99).collect()]
+    got = [tuple(r) for r in stats.perturbations(spark.createDataFrame([(1, 2, 0.01, 4)], 's int, spatialr int, ranger double, minsize int'), 's', most=99).drop('s').collect()]
     assert {s for s, _, _ in got} == {2} and len(got) == 8 and {r for _, r, _ in got} == {0.005, 0.01, 0.015} and {m for _, _, m in got} == {3, 4, 9}
