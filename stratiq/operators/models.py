@@ -361,27 +361,6 @@ def break_detection(series: DataFrame, by: str, month: str, value: str, start: i
     return out.withColumnRenamed("k", by).withColumn("break_month", F.nanvl("break_month", F.lit(None).cast("double"))).withColumn("magnitude", F.nanvl("magnitude", F.lit(None).cast("double")))
 
 
-def mean_shift(grid: DataFrame, z: str, radius: int, reach: float, width: int, rounds: int = 3, minsize: int = 1) -> DataFrame:
-    """Labels of a grid: values move to the mean of near neighbours of near value; equal rounded modes that touch form a segment.
-
-    Each round is one neighbourhood join over the whole grid, so that no tile
-    edges show; segments are connected components, those of fewer cells than
-    ``minsize`` merged into the neighbour of the nearest mean.
-    """
-    from .raster import halo, merge_small, patches
-
-    now = grid.select("row", "col", F.col(z).cast("double").alias("_m"))
-    for _ in range(rounds):
-        near = halo(now, ["_m"], radius).withColumnRenamed("_m", "_n")
-        now = saved(now.join(near, ["row", "col"]).filter(F.abs(F.col("_n") - F.col("_m")) <= reach).groupBy("row", "col").agg(F.avg("_n").alias("_m")), "shift")
-    modes = now.withColumn("mode", F.floor(F.col("_m") / reach))
-    found = patches(modes.select("row", "col", "mode"), "mode", width).withColumnRenamed("component", "segment")
-    if minsize <= 1:
-        return found
-    merged = merge_small(found.select("row", "col", "segment").join(now, ["row", "col"]), "segment", "_m", minsize)
-    return merged.select("row", "col", "segment").join(found.select("row", "col", "mode"), ["row", "col"]).select("row", "col", "mode", "segment")
-
-
 def _ward(x: np.ndarray, size: np.ndarray, k: int) -> np.ndarray:
     """Ward's clusters 1..k of weighted points, by the pair that adds least to the sum of squares."""
     x, size, member, live = x.copy(), size.astype(float).copy(), np.arange(len(x)), np.ones(len(x), bool)

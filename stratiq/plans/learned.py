@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stratiq.operators import models as M
+from stratiq.operators import models as M, segmentation
 from stratiq.sources.scratch import saved
 
 from .registry import query
@@ -48,7 +48,8 @@ def break_detection(spark, sf_dir):
 
 @query()
 def meanshift_labels(spark, sf_dir):
-    return M.mean_shift(v_grid(spark, sf_dir), "z", 1, 60000.0, 100, minsize=3).select("row", "col", "segment")
+    """Segments of the grid by mean shift to convergence; a test holds them against a plain one."""
+    return segmentation.mean_shift(v_grid(spark, sf_dir), "z", 2.0, 60000.0, 100, minsize=3).select("row", "col", "segment")
 
 
 @query()

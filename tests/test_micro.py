@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratiq.functions import circular, numeric, spectral
-from stratiq.operators import decision as D, geometry as G, hydrology, models as M, raster, relational as R, signatures as S, stats, temporal
+from stratiq.operators import decision as D, geometry as G, hydrology, models as M, raster, relational as R, segmentation, signatures as S, stats, temporal
 from stratiq.plans import queries
 from stratiq.sources import sinks, stations
 
@@ -148,7 +148,7 @@ def test_strata_attach_to_all(spark):
 
 def test_mean_shift_separates_levels(spark):
     cells = [(r, c, (100.0 if c < 5 else 10.0) + (r + c) % 2) for r in range(6) for c in range(10)]
-    out = M.mean_shift(spark.createDataFrame(cells, "row long, col long, z double"), "z", 1, 20.0, 10)
+    out = segmentation.mean_shift(spark.createDataFrame(cells, "row long, col long, z double"), "z", 1, 20.0, 10)
     assert out.select("segment").distinct().count() == 2
 
 

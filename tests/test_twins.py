@@ -47,7 +47,7 @@ def test_twin(spark, duck, name):
     assert table(df.collect(), df.columns) == table(con.fetchall(), columns)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(TWINS) - {"choose_k_report", "meanshift_labels"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(TWINS)))
 def test_rows(spark, name):
     df = QUERIES[name](spark, str(DATA))
     assert df.columns and df.limit(1).count() == 1
