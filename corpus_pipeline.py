@@ -3,6 +3,16 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 and read again before the next.  All stages but the last return the columns of
 ``documents``.
+
+Defined results
+---------------
+* Null and empty texts, and texts without a letter, leave in the first stage.
+* Null ids, languages and sources are values like others; rows without a language
+  do not train the first stage.  If no row has one, all documents leave.
+* An empty table gives an empty result with the same columns.
+* Further columns stay; one that is named like an output of the last stage (ids,
+  n_tokens, ids_sha256, decoded_sha256) raises ValueError there.
+* Ids are whole numbers, or texts that are numbers, as the third stage asks.
 """
 
 from __future__ import annotations

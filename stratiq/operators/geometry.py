@@ -121,10 +121,9 @@ def _hull(pdf: pd.DataFrame) -> pd.DataFrame:
 def convex_hulls(points: DataFrame, by: str, x: str, y: str, directions: int = 64) -> DataFrame:
     """Hull vertices of each group, counter-clockwise: grp, i, x, y.
 
-    First, by partial aggregates, each grid cell of a group keeps the extreme
-    points in ``directions`` directions; a hull vertex is extreme within its own
-    cell in some direction, and all cells' border points are kept, so that the
-    second step sees a small part of the rows.
+    First, by partial aggregates, each group gets its extreme points in
+    ``directions`` directions.  Points strictly inside the polygon of these can't be
+    vertices; one task for each group sees the others.
     """
     from math import cos, pi, sin
 

@@ -182,8 +182,8 @@ def polygonise(grid: DataFrame, label: str, width: int) -> DataFrame:
     go.  A side's successor is the one that turns left first, so that outer rings
     run counter-clockwise, holes clockwise, and cells that touch in a corner stay
     apart.  Rings are found by pointer doubling, a round for each doubling of the
-    longest ring, each written out; no ring has to fit one task.  ``width`` is at
-    least the number of columns; row and column are not negative.
+    longest ring, each written out; at the end the sides of one ring are put in
+    order in one task.  ``width`` is at least the number of columns; row and column are not negative.
     """
     cells = nine(grid.select("row", "col", F.struct(F.col(label).alias("v")).alias("_l")), "_l")
     own = F.col("near")[NINE.index("c")]["v"]
