@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections import Counter
 
@@ -57,3 +58,17 @@ def test_stages(stages):
     assert Counter(encoded.doc_id) == times
     for t, ids, sha in zip(encoded.text, encoded.ids, encoded.decoded_sha256, strict=True):
         assert list(ids) == model.encode(t, add_bos=True, add_eos=True) and sha == hashlib.sha256(model.decode(list(ids)).encode()).hexdigest()
+
+
+def test_odd_rows(spark):
+    """An empty table, null columns, a further column, and one that is named like an output."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, extra string"
+    step = lambda docs, stages: functools.reduce(lambda df, stage: stage[1](spark, df, DATA), stages, docs)
+    none = step(spark.createDataFrame([], schema), corpus_pipeline.STAGES)
+    assert none.count() == 0 and none.columns[:6] == ["doc_id", "text", "lang", "source", "n_chars", "extra"]
+    rows = [(i if i % 2 else None, f"the hand of word {i} and that of {i * i}" if i % 5 else [None, "", "12 34"][i % 3], "en" if i % 3 else None, "s" if i % 4 else None, None, "kept") for i in range(40)]
+    docs = step(spark.createDataFrame(rows, schema), corpus_pipeline.STAGES[:-1])
+    found = docs.collect()
+    assert docs.columns[-1] == "extra" and found and all(r["extra"] == "kept" and r["text"].startswith("the hand") for r in found)
+    with pytest.raises(ValueError, match="already"):
+        corpus_pipeline.STAGES[-1][1](spark, docs.withColumnRenamed("extra", "ids"), DATA)
