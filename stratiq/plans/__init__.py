@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cleaning, grids, learned, models_sql, places, selection, series, shapes, zones, zones_areas  # noqa: F401  each registers its queries
+from . import cleaning, files, grids, learned, models_sql, places, selection, series, shapes, zones, zones_areas  # noqa: F401  each registers its queries
 from .registry import QUERIES, TWINS, Query
 
 

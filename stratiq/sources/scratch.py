@@ -17,13 +17,22 @@ def scratch_dir(spark: SparkSession) -> str:
     return "/tmp/checkpoints/stratiq"
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, for files other than Spark's own."""
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def removed_at_end(spark: SparkSession, path: str) -> None:
+    """Results may be read until the driver's JVM ends; then what lies at ``path`` goes."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written out and read back: lineage ends here and lost executors cost no earlier round."""
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    # Results may be read until the driver's JVM ends; then the table goes.
-    at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(at)
+    removed_at_end(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
