@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stratiq.operators import models as M, segmentation
-from stratiq.sources.scratch import saved
+from stratiq.operators import medoids, models as M, prediction, segmentation
+from stratiq.sources.scratch import removed_at_end, saved, scratch_path
 
 from .registry import query
 from .views import DOMAINS, VEC, table, v_cell, v_dist, v_feat, v_grid, v_seg, v_vec
@@ -105,3 +105,50 @@ def tile_typing(spark, sf_dir):
     info = S.relative_information(h, S.mutual_information(_pairs(spark, sf_dir), ["tile"], "a", "b"), "tile").select("tile", "H", "U")
     more = t.groupBy("tile").agg(F.avg("z").alias("elevation"), F.avg(F.when(F.col("cls") == "1-URGENT", 1.0).otherwise(0.0)).alias("share"))
     return M.strata(info.join(more, "tile"), "tile", ["H", "U", "elevation", "share"], k=8, n=5)
+
+
+@query()
+def medoid_strata(spark, sf_dir):
+    """Strata of the segments around medoids in place of means; a test holds the method against a plain one."""
+    labelled, keys, _ = medoids.medoids(v_dist(spark, sf_dir), "segment_id", [f"d_{c}" for c in DOMAINS], 4, out="stratum")
+    return labelled.select("segment_id", "stratum", F.col("segment_id").isin(keys).alias("medoid"))
+
+
+@query()
+def k_suggestions(spark, sf_dir):
+    """Numbers of strata that medoids, k-means, Ward's merges and the bootstrap suggest, and their vote."""
+    return medoids.k_suggestions(v_dist(spark, sf_dir), "segment_id", [f"d_{c}" for c in DOMAINS], [3, 4, 5], restarts=2, boots=10)
+
+
+@query()
+def rf_grid(spark, sf_dir):
+    """Probabilities of classes for every cell of the grid, and its class, by a forest that was saved and loaded again.
+
+    Cells learn from the block of ten by ten cells that they lie in: its mean, spread and highest value, labelled by its commonest class.
+    """
+    grid = v_grid(spark, sf_dir)
+    block = [F.floor(F.col("row") / 10).alias("block_row"), F.floor(F.col("col") / 10).alias("block_col")]
+    blocks = saved(grid.groupBy(*block).agg(F.avg("z").alias("mean"), F.stddev_samp("z").alias("sd"), F.max("z").alias("top"), F.mode("cls", True).alias("class")), "blocks")
+    path = scratch_path(spark, "forest")
+    prediction.fit_forest(blocks, "class", ["mean", "sd", "top"], trees=10, depth=4).save(path)
+    removed_at_end(spark, path)
+    found = prediction.load_forest(path)
+    cells = grid.select("row", "col", *block).join(blocks.drop("class"), ["block_row", "block_col"]).select("row", "col", "mean", "sd", "top")
+    return prediction.hard_classes(prediction.probabilities(cells, found), found).drop("mean", "sd", "top")
+
+
+@query()
+def rf_refit(spark, sf_dir):
+    """The forest refitted with the predictors and settings that spatial blocks prefer, and what it says of every segment."""
+    rows = _classed(spark, sf_dir)
+    found, _ = prediction.tuned_forest(rows, "segment_id", "cls", ["price", "disc", "w"], "fold", (1, 2, 3), trees=(5, 10), most=3, depth=4)
+    return prediction.hard_classes(prediction.probabilities(rows.select("segment_id", *found.features), found), found).drop(*found.features)
+
+
+@query()
+def candidate_points(spark, sf_dir):
+    """The three nearest segments of each of six strata in two spaces of decision, at the middle of their orders' cells."""
+    units, place = v_feat(spark, sf_dir), v_seg(spark, sf_dir)
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("segment_id"), (F.col("l_orderkey") % 100).alias("x"), F.floor(F.col("l_orderkey") / 100).alias("y"))
+    spaces = {"price": (units, ["price", "w"]), "terms": (units, ["disc", "tax", "ord"])}
+    return prediction.candidates_as_points(place.select("segment_id"), "segment_id", lines, spaces, {"price": 6, "terms": 6}, 3)

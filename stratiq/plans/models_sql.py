@@ -174,11 +174,20 @@ def knn_bandwidth(spark, sf_dir):
     return stats.knn_bandwidths(v.filter("vec_id % 20 = 0"), v, "vec_id", VEC, 10, (0.1, 0.5, 0.9)).select("prob", r6("bandwidth").alias("bandwidth"))
 
 
-@query("SELECT 'both' AS name UNION ALL SELECT 'flat'")
+def _explained(name: str, one: str, two: str) -> str:
+    """The share of a column's variance that two others explain, from the three correlations."""
+    a, b, c = f"corr({name}, {one})", f"corr({name}, {two})", f"corr({one}, {two})"
+    return f"SELECT '{name}' AS name, ({a} * {a} + {b} * {b} - 2 * {a} * {b} * {c}) / (1 - {c} * {c}) AS share FROM lc"
+
+
+@query(twin(
+    "SELECT name FROM (" + " UNION ALL ".join([*(_explained(*t) for t in (("tax", "price", "disc"), ("w", "price", "tax"), ("ord", "price", "w"), ("total", "price", "w"))), "SELECT 'disc', corr(disc, price) ** 2 FROM lc", "SELECT 'flat', CASE WHEN var_samp(flat) = 0 THEN 1 ELSE 0 END FROM lc"]) + ") WHERE share > 1 - 1e-7",
+    lc="SELECT *, price + 2 * w AS total, 3e0 AS flat FROM v_feat",
+))
 def linear_combinations(spark, sf_dir):
     """Of the domains, their sum and a constant, the columns that others make up."""
-    rows = v_feat(spark, sf_dir).withColumn("both", F.col("price") + 2 * F.col("w")).withColumn("flat", F.lit(3.0))
-    found = stats.linear_combinations(rows, [*DOMAINS, "both", "flat"])
+    rows = v_feat(spark, sf_dir).withColumn("total", F.col("price") + 2 * F.col("w")).withColumn("flat", F.lit(3.0))
+    found = stats.linear_combinations(rows, [*DOMAINS, "total", "flat"])
     return spark.createDataFrame([(c,) for c in found], "name string")
 
 

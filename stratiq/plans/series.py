@@ -139,13 +139,13 @@ def dedup_overlap(spark, sf_dir):
     return T.dedup_overlap(old.union(recent), ["station", "ts"], "priority", "ws").withColumn("copies", F.col("copies").cast("int"))
 
 
-@query()
+@query("SELECT date_trunc('hour', ts) AS start, count(*) AS n, round(avg(value), 6) AS mean_ws FROM events GROUP BY 1")
 def hourly_stream(spark, sf_dir):
-    """The tumbling summary over a stream of the same files, driven to its end; equal to the batch (a test holds them together)."""
-    import uuid
-
+    """The tumbling summary over a stream of the same files, driven to its end."""
     from stratiq import streaming
-    from stratiq.sources.scratch import scratch_dir
+    from stratiq.sources.scratch import removed_at_end, scratch_path
 
-    name = f"hourly_{uuid.uuid4().hex[:8]}"
-    return streaming.run_once(streaming.hourly(streaming.event_stream(spark, sf_dir)), name, f"{scratch_dir(spark)}/{name}")
+    path = scratch_path(spark, "hourly")
+    removed_at_end(spark, path)
+    hours = streaming.run_once(streaming.hourly(streaming.event_stream(spark, sf_dir)), ["start"], path)
+    return hours.select(F.col("start").cast("timestamp_ntz").alias("start"), "n", r6("mean_ws").alias("mean_ws"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from stratiq.operators.temporal import tumbling
 
@@ -18,8 +21,22 @@ def event_stream(spark: SparkSession, folder: str, glob: str = "events.parquet")
 def hourly(stream: DataFrame, late: str = "1 hour") -> DataFrame:
     return tumbling(stream.withWatermark("ts", late), "ts", "1 hour")
 
-def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Drive a stream over what there is now; the result as a table."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+def run_once(stream: DataFrame, keys: Sequence[str], path: str) -> DataFrame:
+    """Drive a stream of summaries over what there is now; the last state of each key (columns of the stream) as a table.
+
+    Each batch writes the keys that it changed to a folder of its own below
+    ``path``, in the tasks, and a batch that runs again replaces its folder: the
+    result passes neither through the driver's memory nor in twice.  Run again
+    with the same ``path``, the stream goes on where it ended.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batches/batch_number={number}")
+
+    query = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    kind = StructType([*stream.schema.fields, StructField("batch_number", LongType())])
+    rows = stream.sparkSession.read.schema(kind).parquet(f"{path}/batches")
+    last = F.max_by(F.struct(*stream.columns), "batch_number").alias("_last")
+    return rows.groupBy(*[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)]).agg(last).select("_last.*")

@@ -7,6 +7,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from stratiq import streaming
 from stratiq.functions import circular, numeric, spectral
 from stratiq.operators import decision as D, geometry as G, hydrology, models as M, raster, relational as R, segmentation, signatures as S, stats, temporal
 from stratiq.plans import queries
@@ -161,10 +162,29 @@ def test_stream_equals_batch(spark):
     stream = queries()["hourly_stream"](spark, DATA)
     events = spark.read.parquet(f"{DATA}/events.parquet").select(F.col("user_id").alias("station"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("ws"))
     batch = temporal.tumbling(events, "ts", "1 hour")
-    key = lambda df: sorted((str(r["start"]), r["n"], round(r["mean_ws"], 9)) for r in df.collect())
+    key = lambda df: sorted((str(r["start"]), r["n"], round(r["mean_ws"], 6)) for r in df.collect())
     assert key(stream) == key(batch)
 
 
+def test_stream_goes_on_where_it_ended(spark, tmp_path):
+    """Two runs over a folder that grows: an hour that both touch has the rows of both, once each."""
+    kind = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    at = lambda hour, minute: f"2024-01-01 {hour:02d}:{minute:02d}:00"
+
+    def add(name, rows):
+        raw = spark.createDataFrame([(i, t, 1, "a", v, "") for i, (t, v) in enumerate(rows)], kind.replace("timestamp_ntz", "string"))
+        raw.withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.parquet(str(tmp_path / "in" / name))
+
+    def run():
+        found = streaming.run_once(streaming.hourly(streaming.event_stream(spark, str(tmp_path / "in" / "*"), "*.parquet")), ["start"], str(tmp_path / "run"))
+        return {r["start"].hour: (r["n"], r["mean_ws"]) for r in found.collect()}
+
+    add("a", [(at(0, 5), 1.0), (at(0, 50), 3.0), (at(1, 10), 5.0)])
+    assert run() == {0: (2, 2.0), 1: (1, 5.0)}
+    add("b", [(at(1, 40), 7.0), (at(2, 0), 9.0)])
+    assert run() == {0: (2, 2.0), 1: (2, 6.0), 2: (1, 9.0)} and run() == {0: (2, 2.0), 1: (2, 6.0), 2: (1, 9.0)}
+
+
 def test_station_files(spark, tmp_path):
     (tmp_path / "produkt_a.txt").write_text("STATIONS_ID;MESS_DATUM;F\n 91;2024010203; 1.5\n 91;202401020310;-999\n")
     (tmp_path / "other.txt").write_text("nothing\n")
