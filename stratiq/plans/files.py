@@ -34,7 +34,8 @@ def tiff_cells(spark, sf_dir):
     """The grid as GeoTIFF tiles of two bands, the second with gaps, and its cells from these files."""
     grid = v_grid(spark, sf_dir).withColumn("done", F.when(F.col("lab") == "F", F.col("z")))
     path = _place(spark, "tiffs")
-    gridfiles.write_tiffs(grid, ["z", "done"], path, _lattice(grid))
+    if not gridfiles.write_tiffs(grid, ["z", "done"], path, _lattice(grid)):
+        return grid.select("row", "col", "z", "done")
     cells = gridfiles.read_files(spark, "geotiff", path).filter("b1 IS NOT NULL")
     return cells.select(_cell("y").alias("row"), _cell("x").alias("col"), F.col("b1").alias("z"), F.col("b2").alias("done"))
 
@@ -45,6 +46,7 @@ def netcdf_cells(spark, sf_dir):
     user = F.col("user_id")
     hours = table(spark, sf_dir, "events").groupBy(F.floor(user / 10).alias("row"), (user % 10).alias("col"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts")).agg(F.max("value").alias("value"))
     path = _place(spark, "cubes")
-    gridfiles.write_cubes(hours, "value", path, _lattice(hours))
+    if not gridfiles.write_cubes(hours, "value", path, _lattice(hours)):
+        return hours
     cells = gridfiles.read_files(spark, "netcdf", path).filter("value IS NOT NULL")
     return cells.select(_cell("y").alias("row"), _cell("x").alias("col"), "ts", "value")

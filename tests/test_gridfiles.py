@@ -138,3 +138,12 @@ def test_cube_records_and_scaling(spark, tmp_path):
     (tmp_path / "r.nc").write_bytes(build(begin) + body)
     rows = G.read_files(spark, "netcdf", str(tmp_path / "r.nc")).orderBy("ts", "col").collect()
     assert [(r["ts"], r["v"]) for r in rows] == [(datetime(2001, 2, 3, 5), v) for v in (11.0, None, 12.0)] + [(datetime(2001, 2, 4, 5), v) for v in (13.0, 14.0, None)]
+
+
+def test_queries_of_empty_tables(spark, tmp_path):
+    from stratiq.plans import queries
+
+    spark.createDataFrame([], "o_orderkey long, o_totalprice double, o_orderpriority string, o_orderstatus string").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([], "user_id long, ts timestamp_ntz, value double").write.parquet(str(tmp_path / "events.parquet"))
+    for name in ("tiff_cells", "netcdf_cells"):
+        assert queries()[name](spark, str(tmp_path)).collect() == []
