@@ -12,10 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import polygons as P
+from .relational import spread
 
 AREA = f"array<{P.POINT}>"
 #: Shares of a cell's side below this are rounding.
 TINY = 1e-9
+#: Areas up to which one side of a join is broadcast.
+FEW_AREAS = 1_000
 
 
 def area_of(ring: Column, *holes: Column) -> Column:
@@ -111,13 +114,17 @@ def join_areas(left: DataFrame, right: DataFrame, left_area: str, right_area: st
 
     A pair meets in every bucket that both boxes meet, and is tested in one: that
     of the lower left corner of the boxes' overlap.  Column names differ between
-    the sides.  Rows without an area have no partner.
+    the sides.  Rows without an area have no partner.  Tests, and what follows
+    them, run in tasks of a bounded number of areas of ``left``.
     """
-    a, b = _buckets(left, left_area, size, "_a"), _buckets(right, right_area, size, "_b")
+    n = left.count()
+    few = right.limit(FEW_AREAS + 1).count() <= FEW_AREAS
+    a, b = _buckets(spread(left, 5_000, rows=n) if few else left, left_area, size, "_a"), _buckets(right, right_area, size, "_b")
     corner = lambda k: F.greatest(F.col(f"_amin{k}"), F.col(f"_bmin{k}"))
     apart = [F.col(f"_{one}min{k}") > F.col(f"_{other}max{k}") for k in "xy" for one, other in ("ab", "ba")]
-    pairs = a.join(b, ["_bx", "_by"]).filter((F.floor(corner("x") / size) == F.col("_bx")) & (F.floor(corner("y") / size) == F.col("_by")))
-    pairs = pairs.filter(~(apart[0] | apart[1] | apart[2] | apart[3])).filter(test(F.col(left_area), F.col(right_area)))
+    pairs = a.join(F.broadcast(b) if few else b.hint("merge"), ["_bx", "_by"]).filter((F.floor(corner("x") / size) == F.col("_bx")) & (F.floor(corner("y") / size) == F.col("_by")))
+    pairs = pairs.filter(~(apart[0] | apart[1] | apart[2] | apart[3]))
+    pairs = (pairs if few else spread(pairs, 5_000, rows=n)).filter(test(F.col(left_area), F.col(right_area)))
     return pairs.select(*[F.col(f"`{c}`") for c in (*left.columns, *right.columns)])
 
 
@@ -179,8 +186,13 @@ def coverage(areas: DataFrame, key: str, area: str, size: float, touches: bool =
     before it cover; between two cells with pieces the cover is constant, so
     that inner cells come as runs.  ``touches`` keeps cells that an edge meets
     without covering any of it (fraction 0).  ``key`` is unique.
+
+    Pieces meet by area and row of cells in tasks that see those of about 5,000
+    areas: sums and runs need no further exchange.
     """
-    cells = _pieces(areas, key, area, size).groupBy("_key", "row", "col").agg(F.sum("dy").alias("dy"), F.sum("part").alias("part"))
+    n = areas.count()
+    pieces = spread(_pieces(spread(areas.select(key, area), 20_000, rows=n), key, area, size), 5_000, "_key", "row", rows=n)
+    cells = pieces.groupBy("_key", "row", "col").agg(F.sum("dy").alias("dy"), F.sum("part").alias("part"))
     run = Window.partitionBy("_key", "row").orderBy("col")
     before = F.coalesce(F.sum("dy").over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     cells = cells.withColumns({"_own": -(before * size + F.col("part")) / (size * size), "_behind": -(before + F.col("dy")) / size, "_next": F.lead("col").over(run)})
@@ -193,7 +205,8 @@ def coverage(areas: DataFrame, key: str, area: str, size: float, touches: bool =
 
 def covered_values(areas: DataFrame, key: str, area: str, grid: DataFrame, size: float) -> DataFrame:
     """key, row, col, fraction and the grid's columns for each cell that an area covers and the grid has: the rows of a weighted zonal statistic."""
-    return coverage(areas, key, area, size).join(grid, ["row", "col"])
+    # Cells outnumber the areas that a plan is estimated from: never broadcast.
+    return coverage(areas, key, area, size).hint("merge").join(grid, ["row", "col"])
 
 
 def rasterise(areas: DataFrame, key: str, area: str, size: float, touches: bool = False) -> DataFrame:
