@@ -8,9 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratiq.sources.scratch import saved
+from stratiq.sources.scratch import dropped, saved
 
-from .relational import small
+from .relational import small, spread
 
 Ring = Sequence[tuple[float, float]]
 
@@ -40,43 +40,76 @@ def join_rectangles(points: DataFrame, rectangles: DataFrame, size: float, how:
     return at.join(tiles, hit, how).drop("_bx", "_by")
 
 
-def within_distance(points: DataFrame, key: str, d: float, x: str = "x", y: str = "y", carry: str | None = None) -> DataFrame:
-    """Pairs a < b of points within d: each point meets the 3 by 3 buckets around it.  ``carry`` comes along for both, behind a and b."""
-    more = lambda side: [F.col(carry).alias(f"{side}{carry}")] if carry else []
-    at = points.select(F.col(key).alias("a"), F.col(x).alias("ax"), F.col(y).alias("ay"), F.floor(F.col(x) / d).alias("_bx"), F.floor(F.col(y) / d).alias("_by"), *more("a"))
-    step = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    near = points.select(F.col(key).alias("b"), F.col(x).alias("bx"), F.col(y).alias("by"), *more("b"))
-    near = near.withColumn("_sx", F.explode(step)).withColumn("_sy", F.explode(step))
-    kept = [f"b{carry}"] if carry else []
-    near = near.select("b", "bx", "by", *kept, (F.floor(F.col("bx") / d) + F.col("_sx")).alias("_bx"), (F.floor(F.col("by") / d) + F.col("_sy")).alias("_by"))
+def _around(reach: int) -> Column:
+    """The steps (x, y) to a bucket and those around it."""
+    return F.array(*[F.struct(F.lit(i).alias("x"), F.lit(j).alias("y")) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)])
+
+
+def _placed(x: str, y: str) -> Column:
+    """Whether a row has a place: neither null nor nan nor infinite."""
+    return F.coalesce((F.abs(F.col(x).cast("double")) < float("inf")) & (F.abs(F.col(y).cast("double")) < float("inf")), F.lit(False))
+
+
+def within_distance(points: DataFrame, key: str, d: float, x: str = "x", y: str = "y") -> DataFrame:
+    """Pairs a < b of points within d.
+
+    A point meets its own bucket of side d and four of the eight around it, so
+    that two buckets meet once.  Tasks see the buckets of a bounded number of
+    points: their pairs outnumber them, and no side is broadcast.
+    """
+    n = points.count()
+    at = points.select(F.col(key).alias("_a"), F.col(x).alias("ax"), F.col(y).alias("ay"), F.floor(F.col(x) / d).alias("_bx"), F.floor(F.col(y) / d).alias("_by"))
+    ahead = F.explode(F.array(*[F.struct(F.lit(i).alias("x"), F.lit(j).alias("y")) for i, j in ((0, 0), (1, -1), (1, 0), (1, 1), (0, 1))]))
+    near = at.withColumnsRenamed({"_a": "_b", "ax": "bx", "ay": "by"}).withColumn("_s", ahead)
+    near = near.select("_b", "bx", "by", (F.col("_bx") + F.col("_s.x")).alias("_bx"), (F.col("_by") + F.col("_s.y")).alias("_by"), ((F.col("_s.x") == 0) & (F.col("_s.y") == 0)).alias("_same"))
     gap = F.sqrt((F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2)
-    return at.join(near, ["_bx", "_by"]).filter("a < b").withColumn("distance", gap).filter(F.col("distance") <= d).select("a", "b", "distance", *([f"a{carry}", f"b{carry}"] if carry else []))
+    pairs = spread(at, 2_000, "_bx", "_by", rows=n).join(spread(near, 2_000, "_bx", "_by", rows=n).hint("merge"), ["_bx", "_by"])
+    pairs = pairs.filter(F.when(F.col("_same"), F.col("_a") < F.col("_b")).otherwise(F.col("_a") != F.col("_b"))).withColumn("distance", gap).filter(F.col("distance") <= d)
+    first = F.col("_a") < F.col("_b")
+    return pairs.select(F.when(first, F.col("_a")).otherwise(F.col("_b")).alias("a"), F.when(first, F.col("_b")).otherwise(F.col("_a")).alias("b"), "distance")
 
 
 def thin(points: DataFrame, key: str, order: Sequence[str], d: float, x: str = "x", y: str = "y") -> DataFrame:
     """Greedy thinning: in order, a point stays if no point that stays before it is within d.
 
-    Decided in rounds over the pairs within d: a point without an undecided
-    earlier neighbour stays, and its later neighbours go; each round is written
-    out.  The result is that of the sequential rule.
+    Decided in rounds that are written out, without the pairs within d.  Two
+    points of a bucket whose diagonal is under d exclude each other, so that only
+    its earliest point can be next to stay: it does if no undecided earlier point
+    is within d, and all points within d of it are decided.  A point meets at most
+    25 such candidates a round.  The result is that of the sequential rule.  Rows
+    without a place stay.
     """
     points = saved(points, "thin-points")
+    side = d / 1.4143  # just over the root of 2
+    placed = _placed(x, y)
     rank = F.struct(*order, F.col(key).alias("_key"))
-    ranked = points.select(F.col(key).alias("id"), rank.alias("rank"), x, y)
-    pairs = within_distance(ranked.select("id", x, y, "rank"), "id", d, x, y, "rank")
-    first = F.col("arank") < F.col("brank")
-    earlier = saved(pairs.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("early"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("late")), "thin-pairs")
-    gone, left = None, earlier
-    while True:
-        # A point is decided to stay when no pair is left in which it is the later one.
-        waits = left.select(F.col("late").alias("early")).distinct()
-        out = left.join(waits, "early", "left_anti").select(F.col("late").alias("id")).distinct()
-        out = saved(out, "thin-gone")
-        if out.isEmpty():
-            break
-        gone = out if gone is None else gone.union(out)
-        left = saved(left.join(out.withColumnRenamed("id", "late"), "late", "left_anti").join(out.withColumnRenamed("id", "early"), "early", "left_anti"), "thin-pairs")
-    return points if gone is None else points.join(gone.withColumnRenamed("id", key), key, "left_anti")
+    bucket = lambda c: F.floor(F.col(c).cast("double") / side)
+    left = points.filter(placed).select(F.col(key).alias("id"), rank.alias("rank"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), bucket(x).alias("_bx"), bucket(y).alias("_by"))
+    left = saved(left, "thin-left")
+
+    def seen(found: DataFrame) -> DataFrame:
+        """For each bucket the candidates around it, at most 25."""
+        near = found.withColumn("_s", F.explode(_around(2))).groupBy((F.col("_bx") + F.col("_s.x")).alias("_bx"), (F.col("_by") + F.col("_s.y")).alias("_by"))
+        near = near.agg(F.collect_list(F.struct("id", "rank", "x", "y")).alias("_near"))
+        return F.broadcast(near) if found.limit(20_001).count() <= 20_000 else near.hint("merge")
+
+    gap = lambda c: F.sqrt((F.col("x") - c["x"]) ** 2 + (F.col("y") - c["y"]) ** 2)
+    kept = None
+    while not left.isEmpty():
+        first = left.groupBy("_bx", "_by").agg(F.min(F.struct("rank", "id", "x", "y")).alias("c")).select("_bx", "_by", "c.*")
+        first = saved(first, "thin-first")
+        beaten = left.join(seen(first), ["_bx", "_by"]).select(F.explode(F.filter("_near", lambda c: (F.col("rank") < c["rank"]) & (gap(c) <= d))).alias("c")).select("c.id").distinct()
+        stay = saved(first.join(beaten.hint("merge"), "id", "left_anti"), "thin-stay")
+        kept = stay.select("id") if kept is None else kept.union(stay.select("id"))
+        open_ = left.join(seen(stay), ["_bx", "_by"], "left").filter(F.col("_near").isNull() | ~F.exists("_near", lambda c: gap(c) <= d))
+        after = saved(open_.select(*left.columns), "thin-left")
+        dropped(left)
+        dropped(first)
+        left = after
+    if kept is None:
+        return points
+    own = points.filter(placed).join(kept.withColumnRenamed("id", key).hint("merge"), key, "left_semi")
+    return own.select(*points.columns).union(points.filter(~placed))
 
 
 def ring_area(ring: Column) -> Column:
@@ -151,8 +184,32 @@ def mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
     return F.radians(lon) * r, F.ln(F.tan(F.lit(0.7853981633974483) + F.radians(lat) / 2)) * r
 
 
-def nearest_gap(points: DataFrame, key: str, d: float) -> DataFrame:
-    """Each point's distance to its nearest neighbour within d."""
-    pairs = within_distance(points, key, d)
-    both = pairs.select(F.col("a").alias(key), "distance").union(pairs.select(F.col("b").alias(key), "distance"))
-    return both.groupBy(key).agg(F.min("distance").alias("nearest"))
+def nearest_gap(points: DataFrame, key: str, d: float, most: int = 64) -> DataFrame:
+    """Each point's distance to its nearest neighbour within d.
+
+    Points of one place are neighbours at 0.  The other places look around within
+    a radius at which no bucket holds more than ``most`` places; those that find
+    none within it look twice as far, up to d.  Places that still look are apart
+    by more than the last radius, so that a bucket holds few of them.
+    """
+    at = points.filter(_placed("x", "y")).select(F.col(key), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    places = saved(at.groupBy("x", "y").agg((F.min(key) < F.max(key)).alias("_shared")), "places")
+    bucket = lambda c, r: F.floor(F.col(c) / r)
+    r, n = d, places.count()
+    for _ in range(40):
+        if (places.groupBy(bucket("x", r).alias("_bx"), bucket("y", r).alias("_by")).count().agg(F.max("count")).first()[0] or 0) <= most:
+            break
+        r /= 2
+    found = places.filter("_shared").select("x", "y", F.lit(0.0).alias("nearest"))
+    open_ = places.filter("not _shared").select("x", "y")
+    while True:
+        asked = open_.withColumn("_s", F.explode(_around(1))).select("x", "y", (bucket("x", r) + F.col("_s.x")).alias("_bx"), (bucket("y", r) + F.col("_s.y")).alias("_by"))
+        other = places.select(F.col("x").alias("_x"), F.col("y").alias("_y"), bucket("x", r).alias("_bx"), bucket("y", r).alias("_by"))
+        pairs = spread(asked, 5_000, "_bx", "_by", rows=n).join(spread(other, 5_000, "_bx", "_by", rows=n).hint("merge"), ["_bx", "_by"]).filter((F.col("x") != F.col("_x")) | (F.col("y") != F.col("_y")))
+        gap = F.sqrt((F.col("x") - F.col("_x")) ** 2 + (F.col("y") - F.col("_y")) ** 2)
+        hits = saved(pairs.groupBy("x", "y").agg(F.min(gap).alias("nearest")).filter(F.col("nearest") <= r), "near")
+        found = found.unionByName(hits)
+        if r >= d:
+            return at.join(found.hint("merge"), ["x", "y"]).select(key, "nearest")
+        open_ = saved(open_.join(hits.hint("merge"), ["x", "y"], "left_anti"), "looking")
+        r *= 2
