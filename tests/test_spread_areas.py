@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from stratiq.operators import areas as A
+from stratiq.operators import overlay
 from stratiq.operators import polygons as P
 
 
@@ -29,3 +30,21 @@ def test_covered_cells_are_not_broadcast(spark):
     out = A.covered_values(some(spark, 500), "id", "area", grid, 1.0)
     plan = out._jdf.queryExecution().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and out.count() == 500
+
+
+def test_cases_are_traced_together(monkeypatch):
+    square = lambda x, y, w: [(x, y), (x + w, y), (x + w, y + w), (x, y + w)]
+    cases = [[[square(0.5 * k, 0.25 * k, 3.0)], [square(1.0, 1.0, 4.0), square(2.0, 2.0, 1.0)]] for k in range(30)] + [[[], [square(0.0, 0.0, 1.0)]], [[], []]]
+    both = lambda a, b: a & b
+    alone = [overlay.traced(c, both) for c in cases]
+    for room in (1, 500, 10**6):
+        monkeypatch.setattr(overlay, "AT_ONCE", room)
+        assert overlay.traced_all(cases, both) == alone
+    assert alone[-1] == alone[-2] == [] and alone[0] == [[(1.0, 1.0), (3.0, 1.0), (3.0, 2.0), (2.0, 2.0), (2.0, 3.0), (1.0, 3.0)]]
+
+
+def test_an_overlay_is_evaluated_once(spark):
+    two = some(spark, 300).withColumn("other", F.col("area"))
+    parts = two.select(overlay.intersection(F.col("area"), F.col("other")).alias("part"))
+    out = parts.select(A.measure(F.col("part")).alias("m")).filter("m > 0")
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1 and out.count() == 300
