@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stratiq.functions.numeric import r6
-from stratiq.operators import areas as A, overlay, polygons as P
+from stratiq.operators import areas as A, overlay, polygons as P, relational as R
 
 from .registry import query
 from .views import twin, v_grid, v_pt, v_rect, whole
@@ -92,7 +92,7 @@ def areas_repair(spark, sf_dir):
     """Bow-ties over every place: each becomes two triangles, half of its square in all."""
     x, y, w = F.col("x"), F.col("y"), 120 + 40 * (F.col("id") % 5)
     bow = F.array(P.point(x, y), P.point(x + w, y + w), P.point(x + w, y), P.point(x, y + w))
-    out = v_pt(spark, sf_dir).select("id", overlay.made_valid(A.area_of(bow)).alias("area"))
+    out = R.spread(v_pt(spark, sf_dir), 5_000).select("id", overlay.made_valid(A.area_of(bow)).alias("area"))
     return out.select("id", F.size("area").alias("rings"), A.measure(F.col("area")).alias("area"))
 
 
