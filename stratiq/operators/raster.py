@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from stratiq.sources.scratch import dropped, saved
 
-from .relational import looked_up, quantiles, with_totals
+from .relational import looked_up, quantiles, spread, with_totals
 
 
 def block(df: DataFrame, k: int, row: str = "row", col: str = "col") -> tuple[Column, Column]:
@@ -167,13 +167,55 @@ def connected(edges: DataFrame, nodes: DataFrame, node: str = "id") -> DataFrame
             return labels.select(F.col("id").alias(node), F.col("label").alias("component"))
 
 
-def patches(grid: DataFrame, cls: str, width: int) -> DataFrame:
-    """Patches of equal class over 8 neighbours: row, col, class, component (the smallest cell number)."""
+def _joined(codes: np.ndarray) -> np.ndarray:
+    """For each cell of a tile a cell of its patch, the same one for all of them; codes below 0 stand alone."""
+    label = np.arange(codes.size).reshape(codes.shape)
+    near = [(np.s_[:, :-1], np.s_[:, 1:]), (np.s_[:-1], np.s_[1:]), (np.s_[:-1, :-1], np.s_[1:, 1:]), (np.s_[:-1, 1:], np.s_[1:, :-1])]
+    same = [(codes[a] == codes[b]) & (codes[a] >= 0) for a, b in near]
+    one, other = (np.concatenate([label[s[k]][m] for s, m in zip(near, same, strict=True)]) for k in (0, 1))
+    label = label.ravel()
+    while len(one):
+        a, b = label[one], label[other]
+        apart = a != b
+        one, other, a, b = one[apart], other[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label = label[label]
+    return label.reshape(codes.shape)
+
+
+def patches(grid: DataFrame, cls: str, width: int, tile: int = 128) -> DataFrame:
+    """Patches of equal class over 8 neighbours: row, col, class, component (the smallest cell number).
+
+    Tiles of ``tile`` cells a side are joined on their own; of their patches only
+    those that meet across the tiles' borders are joined in rounds.
+    """
     cells = grid.select("row", "col", cls, (F.col("row") * width + F.col("col")).alias("id"))
+    # Whole numbers with nulls would lose digits on the way to pandas.
+    value = F.col(cls) if dict(cells.dtypes)[cls] in ("float", "double") else F.col(cls).cast("string")
+    kind = dict(cells.dtypes)
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = (pdf[c].to_numpy() % tile for c in ("row", "col"))
+        codes = np.full((tile, tile), -1)
+        codes[i, j] = np.where(pdf["_null"], -1, pd.factorize(pdf["_v"], use_na_sentinel=False)[0])
+        own = _joined(codes)[i, j]
+        least = np.full(tile * tile, np.iinfo(np.int64).max)
+        np.minimum.at(least, own, pdf["id"].to_numpy())
+        return pd.DataFrame({"row": pdf["row"], "col": pdf["col"], "_own": least[own]})
+
+    at = cells.select("row", "col", "id", value.alias("_v"), F.isnull(cls).alias("_null"), F.floor(F.col("row") / tile).alias("_ti"), F.floor(F.col("col") / tile).alias("_tj"))
+    found = spread(at, 200_000, "_ti", "_tj").groupBy("_ti", "_tj").applyInPandas(one, f"row {kind['row']}, col {kind['col']}, _own long")
+    local = saved(cells.join(found.hint("merge"), ["row", "col"]).select("row", "col", cls, "_own"), "patches")
+    edge = lambda c: F.pmod(F.col(c), F.lit(tile)).isin(0, tile - 1)
+    border = local.filter(edge("row") | edge("col"))
     ahead = F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r, c in ((0, 1), (1, -1), (1, 0), (1, 1))])
-    moved = cells.withColumn("_d", F.explode(ahead)).select((F.col("row") + F.col("_d.dr")).alias("row"), (F.col("col") + F.col("_d.dc")).alias("col"), F.col(cls), F.col("id").alias("a"))
-    edges = moved.join(cells.withColumnRenamed("id", "b"), ["row", "col", cls]).select("a", "b")
-    return cells.join(connected(edges, cells.select("id")), "id").select("row", "col", cls, "component")
+    moved = border.withColumn("_d", F.explode(ahead)).select((F.col("row") + F.col("_d.dr")).alias("row"), (F.col("col") + F.col("_d.dc")).alias("col"), F.col(cls), F.col("_own").alias("a"))
+    edges = saved(moved.join(border.withColumnRenamed("_own", "b").hint("merge"), ["row", "col", cls]).filter("a <> b").select("a", "b").distinct(), "patch-edges")
+    if edges.isEmpty():
+        return local.withColumnRenamed("_own", "component")
+    whole = connected(edges, edges.select(F.col("a").alias("_own")).union(edges.select("b")).distinct(), "_own")
+    return local.join(whole.hint("merge"), "_own", "left").select("row", "col", cls, F.coalesce("component", "_own").alias("component"))
 
 
 def merge_small(cells: DataFrame, label: str, z: str, least: int) -> DataFrame:
