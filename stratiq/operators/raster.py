@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from stratiq.sources.scratch import dropped, saved
 
-from .relational import looked_up, quantiles, spread, with_totals
+from .relational import MOST_TASKS, looked_up, quantiles, spread, with_totals
 
 
 def block(df: DataFrame, k: int, row: str = "row", col: str = "col") -> tuple[Column, Column]:
@@ -167,13 +167,9 @@ def connected(edges: DataFrame, nodes: DataFrame, node: str = "id") -> DataFrame
             return labels.select(F.col("id").alias(node), F.col("label").alias("component"))
 
 
-def _joined(codes: np.ndarray) -> np.ndarray:
-    """For each cell of a tile a cell of its patch, the same one for all of them; codes below 0 stand alone."""
-    label = np.arange(codes.size).reshape(codes.shape)
-    near = [(np.s_[:, :-1], np.s_[:, 1:]), (np.s_[:-1], np.s_[1:]), (np.s_[:-1, :-1], np.s_[1:, 1:]), (np.s_[:-1, 1:], np.s_[1:, :-1])]
-    same = [(codes[a] == codes[b]) & (codes[a] >= 0) for a, b in near]
-    one, other = (np.concatenate([label[s[k]][m] for s, m in zip(near, same, strict=True)]) for k in (0, 1))
-    label = label.ravel()
+def _united(size: int, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """For each of ``size`` places one place of its part, the same for all of them, where pairs of places hang together."""
+    label = np.arange(size)
     while len(one):
         a, b = label[one], label[other]
         apart = a != b
@@ -181,7 +177,16 @@ def _joined(codes: np.ndarray) -> np.ndarray:
         np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
         while (label[label] != label).any():
             label = label[label]
-    return label.reshape(codes.shape)
+    return label
+
+
+def _joined(codes: np.ndarray) -> np.ndarray:
+    """For each cell of a tile a cell of its patch, the same one for all of them; codes below 0 stand alone."""
+    label = np.arange(codes.size).reshape(codes.shape)
+    near = [(np.s_[:, :-1], np.s_[:, 1:]), (np.s_[:-1], np.s_[1:]), (np.s_[:-1, :-1], np.s_[1:, 1:]), (np.s_[:-1, 1:], np.s_[1:, :-1])]
+    same = [(codes[a] == codes[b]) & (codes[a] >= 0) for a, b in near]
+    one, other = (np.concatenate([label[s[k]][m] for s, m in zip(near, same, strict=True)]) for k in (0, 1))
+    return _united(codes.size, one, other).reshape(codes.shape)
 
 
 def patches(grid: DataFrame, cls: str, width: int, tile: int = 128) -> DataFrame:
@@ -222,23 +227,40 @@ def merge_small(cells: DataFrame, label: str, z: str, least: int) -> DataFrame:
     """row, col, label, z with segments of fewer cells than ``least`` merged into the neighbour (of four) of the nearest mean, ties to the smaller label.
 
     Segments are merged in rounds until none that is small has a neighbour; a
-    merged segment takes the smallest label of its members.
+    merged segment takes the smallest label of its members.  Rounds work on the
+    segments' sums and on what small segments touch: cells are read at the start
+    and named anew at the end.
     """
     now = saved(cells.select("row", "col", label, z), "merge")
+    value = F.col(z).cast("double")
+    stat = saved(now.groupBy(F.col(label).alias("_l")).agg(F.count(F.lit(1)).alias("_n"), F.count(value).alias("_k"), F.sum(value).alias("_s")), "merge-sizes")
+
+    def beside(by: str, at: str) -> DataFrame:
+        w = Window.partitionBy(by).orderBy(at)
+        pairs = now.select(F.col(label).alias("_l"), F.lead(label).over(w).alias("_o"), (F.lead(at).over(w) - F.col(at)).alias("_step"))
+        return pairs.filter("_step = 1 and _l <> _o").select("_l", "_o")
+
+    def of_small(pairs: DataFrame, stat: DataFrame) -> DataFrame:
+        return saved(pairs.join(stat.filter(F.col("_n") < least), "_l", "left_semi").distinct(), "merge-touching")
+
+    touching = beside("row", "col").unionByName(beside("col", "row"))
+    touching, named = of_small(touching.unionByName(touching.select(F.col("_o").alias("_l"), F.col("_l").alias("_o"))), stat), None
     while True:
-        stat = now.groupBy(label).agg(F.count(F.lit(1)).alias("_n"), F.avg(z).alias("_m"))
-        right = now.select("row", (F.col("col") - 1).alias("col"), F.col(label).alias("_o"))
-        below = now.select((F.col("row") - 1).alias("row"), "col", F.col(label).alias("_o"))
-        touching = now.select("row", "col", label).join(right.unionByName(below), ["row", "col"]).filter(F.col(label) != F.col("_o")).select(label, "_o").distinct()
-        both = touching.unionByName(touching.select(F.col("_o").alias(label), F.col(label).alias("_o"))).distinct()
-        small_ = both.join(stat.filter(F.col("_n") < least), label)
-        other = stat.select(F.col(label).alias("_o"), F.col("_m").alias("_om"))
-        pick = small_.join(other, "_o").groupBy(label).agg(F.min(F.struct(F.abs(F.col("_m") - F.col("_om")).alias("d"), "_o")).alias("_best"))
-        edges = saved(pick.select(F.col(label).alias("a"), F.col("_best._o").alias("b")), "merge-edges")
+        mean = lambda at, out: stat.select(F.col("_l").alias(at), (F.col("_s") / F.nullif(F.col("_k"), F.lit(0))).alias(out))  # noqa: E731, B023
+        both = touching.join(mean("_l", "_m"), "_l").join(mean("_o", "_om"), "_o")
+        pick = both.groupBy("_l").agg(F.min(F.struct(F.abs(F.col("_m") - F.col("_om")).alias("d"), "_o")).alias("_best"))
+        edges = saved(pick.select(F.col("_l").alias("a"), F.col("_best._o").alias("b")), "merge-edges")
         if edges.isEmpty():
-            return now
-        joined = connected(edges, stat.select(F.col(label).alias("id"))).withColumnsRenamed({"id": label, "component": "_to"})
-        now = saved(now.join(joined, label).select("row", "col", F.col("_to").alias(label), z), "merge")
+            break
+        to = connected(edges, edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()).filter("id <> component")
+        moved = lambda df, at: df.join(to.select(F.col("id").alias(at), "component"), at, "left").withColumn(at, F.coalesce("component", at)).drop("component")  # noqa: E731, B023
+        gone = to.select(F.col("id").alias("_l"), F.col("component").alias("_to"))
+        named = saved(gone if named is None else moved(named, "_to").select("_l", "_to").unionByName(gone), "merge-named")
+        stat = saved(moved(stat, "_l").groupBy("_l").agg(F.sum("_n").alias("_n"), F.sum("_k").alias("_k"), F.sum("_s").alias("_s")), "merge-sizes")
+        touching = of_small(moved(moved(touching, "_l"), "_o").filter("_l <> _o").select("_l", "_o"), stat)
+    if named is None:
+        return now
+    return now.join(named.withColumnRenamed("_l", label), label, "left").select("row", "col", F.coalesce("_to", label).alias(label), z)
 
 
 def flow_edges(grid: DataFrame, z: str, width: int) -> DataFrame:
@@ -311,22 +333,29 @@ def _flood(z: np.ndarray, level: np.ndarray, slope: float) -> np.ndarray:
     A cell's level is at least its height (nan: missing), and a cell that drains
     over a neighbour lies ``slope`` times their distance above that one's level.
     """
-    out = level.copy()
-    queue = [(out[i, j], i, j) for i, j in zip(*np.nonzero(np.isfinite(out)), strict=True)]
+    wide = z.shape[1] + 2
+    pad = lambda a: np.pad(a, 1, constant_values=np.inf).ravel().tolist()
+    # Numbers of plain lists, with a wall around them: no bounds, no single cells of arrays.
+    high, out = pad(np.where(np.isnan(z), np.inf, z)), pad(level)
+    steps = [(a * wide + b, slope * (1.4142135623730951 if a and b else 1.0)) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
+    queue = [(out[k], k) for k in np.flatnonzero(np.isfinite(np.pad(level, 1, constant_values=np.inf))).tolist()]
     heapq.heapify(queue)
+    push, pop = heapq.heappush, heapq.heappop
     while queue:
-        here, i, j = heapq.heappop(queue)
-        if here > out[i, j]:
+        here, k = pop(queue)
+        if here > out[k]:
             continue
-        for a in range(max(0, i - 1), min(len(z), i + 2)):
-            for b in range(max(0, j - 1), min(z.shape[1], j + 2)):
-                if np.isnan(z[a, b]):
-                    continue
-                up = max(z[a, b], here + slope * (1.4142135623730951 if a != i and b != j else 1.0)) if slope else max(z[a, b], here)
-                if up < out[a, b]:
-                    out[a, b] = up
-                    heapq.heappush(queue, (up, a, b))
-    return out
+        for by, rise in steps:
+            n = k + by
+            old = out[n]
+            if old > here:
+                up = high[n]
+                if up < here + rise:
+                    up = here + rise
+                if up < old:
+                    out[n] = up
+                    push(queue, (up, n))
+    return np.array(out).reshape(-1, wide)[1:-1, 1:-1]
 
 
 def fill_sinks(grid: DataFrame, z: str, slope: float = 0.0, tile: int = 128) -> DataFrame:
@@ -334,35 +363,68 @@ def fill_sinks(grid: DataFrame, z: str, slope: float = 0.0, tile: int = 128) ->
 
     ``slope`` is the least rise for a step of one cell on the way out.  Cells with
     a missing neighbour are the edge, at their own height.  Tiles of ``tile``
-    cells a side, each with its neighbours' border cells around it, are flooded
-    on their own, in rounds that are written out, until no level falls: as many
-    rounds as the ways out cross tiles, not cells.
+    cells a side, each packed with its neighbours' border cells around it, are
+    flooded on their own.  Rounds exchange and write the levels of border cells
+    alone, and flood only tiles beside which one fell: as many rounds as the ways
+    out cross tiles, not cells.  All cells are written out when no level falls.
     """
-    cells = grid.select("row", "col", F.col(z).cast("double").alias("_z"))
-    around = nine(cells, "_z")
-    edge, own = F.exists("near", lambda x: x.isNull()), F.col("near")[NINE.index("c")]
-    start = around.select("row", "col", own.alias("_z"), F.when(edge, own).otherwise(F.lit(float("inf"))).alias("level"))
-    level = saved(start, "fill")
+    kind, side = dict(grid.dtypes), tile + 2
     inside = lambda c: F.pmod(F.col(c), F.lit(tile))
     # A border cell goes to the tiles beside it as well.
     steps = lambda c: F.filter(F.array(F.lit(0), F.when(inside(c) == 0, -1), F.when(inside(c) == tile - 1, 1)), lambda x: x.isNotNull())
 
-    def flood(pdf: pd.DataFrame) -> pd.DataFrame:
-        i0, j0 = int(pdf["_ti"].iloc[0]) * tile - 1, int(pdf["_tj"].iloc[0]) * tile - 1
-        high, old = np.full((tile + 2, tile + 2), np.nan), np.full((tile + 2, tile + 2), np.inf)
-        i, j = pdf["row"].to_numpy() - i0, pdf["col"].to_numpy() - j0
-        high[i, j], old[i, j] = pdf["_z"], pdf["level"]
-        new = _flood(high, old, slope)
-        own = (pdf["_si"] == 0).to_numpy() & (pdf["_sj"] == 0).to_numpy()
-        return pd.DataFrame({"row": pdf["row"][own], "col": pdf["col"][own], "_z": pdf["_z"][own], "_old": pdf["level"][own], "level": new[i, j][own]})
-
-    kind = dict(level.dtypes)
+    def dealt(df: DataFrame) -> DataFrame:
+        """A row for each tile that sees a cell: _ti, _tj, _at (its place there)."""
+        both = df.withColumn("_si", F.explode(steps("row"))).withColumn("_sj", F.explode(steps("col")))
+        both = both.withColumns({"_ti": F.floor(F.col("row") / tile) + F.col("_si"), "_tj": F.floor(F.col("col") / tile) + F.col("_sj")})
+        return both.withColumn("_at", ((F.col("row") - F.col("_ti") * tile + 1) * side + F.col("col") - F.col("_tj") * tile + 1).cast("int"))
+
+    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
+        at, own = pdf["_at"].to_numpy(), ((pdf["_si"] == 0) & (pdf["_sj"] == 0)).to_numpy()
+        if not own.any():
+            return pd.DataFrame({"_ti": [], "_tj": [], "_high": [], "_state": []})
+        high, state = np.full(side * side, np.nan), np.zeros(side * side, np.uint8)
+        high[at], state[at] = pdf["_z"], np.where(pdf["_null"], 2, 1)
+        return pd.DataFrame({"_ti": pdf["_ti"].iloc[:1], "_tj": pdf["_tj"].iloc[:1], "_high": [high.tobytes()], "_state": [state.tobytes()]})
+
+    cells = dealt(grid.select("row", "col", F.col(z).cast("double").alias("_z"), F.isnull(F.col(z).cast("double")).alias("_null")))
+    tiles = saved(cells.groupBy("_ti", "_tj").applyInPandas(packed, "_ti long, _tj long, _high binary, _state binary"), "fill-tiles")
+    many = tiles.count()
+
+    def flooded(pdf: pd.DataFrame, whole: bool) -> pd.DataFrame:
+        own = pdf[pdf["_high"].notna()]
+        if not len(own):
+            return pd.DataFrame({"row": [], "col": [], "_z": [], "level": [], "moved": []})
+        high, state = (np.frombuffer(own[c].iloc[0], t).reshape(side, side) for c, t in (("_high", float), ("_state", np.uint8)))
+        gap = np.pad(state != 1, 1, constant_values=True)
+        edge = np.any([gap[1 + a : side + 1 + a, 1 + b : side + 1 + b] for a in (-1, 0, 1) for b in (-1, 0, 1)], axis=0)
+        middle = np.zeros((side, side), bool)
+        middle[1:-1, 1:-1] = state[1:-1, 1:-1] > 0
+        old = np.full((side, side), np.inf)
+        heard = pdf[pdf["_high"].isna()]
+        old.ravel()[heard["_at"].to_numpy(int)] = heard["level"]
+        start = np.where(edge & middle, high, old)
+        new = np.where(np.isnan(start), np.nan, _flood(high, np.where(np.isnan(start), np.inf, start), slope))
+        if not whole:
+            middle[2:-2, 2:-2] = False
+            middle &= np.isfinite(new)
+        i, j = np.nonzero(middle)
+        return pd.DataFrame({"row": i + int(own["_ti"].iloc[0]) * tile - 1, "col": j + int(own["_tj"].iloc[0]) * tile - 1, "_z": high[i, j], "level": new[i, j], "moved": new[i, j] < old[i, j]})
+
+    def run(tiles: DataFrame, heard: DataFrame | None, whole: bool) -> DataFrame:
+        told = tiles if heard is None else tiles.unionByName(dealt(heard).select("_ti", "_tj", "_at", "level"), allowMissingColumns=True)
+        told = told if heard is not None else told.withColumns({"_at": F.lit(None).cast("int"), "level": F.lit(None).cast("double")})
+        schema = f"row {kind['row']}, col {kind['col']}, _z double, level double, moved boolean"
+        return told.repartition(min(MOST_TASKS, -(-many // 4) or 1), "_ti", "_tj").groupBy("_ti", "_tj").applyInPandas(lambda pdf: flooded(pdf, whole), schema)
+
+    borders = saved(run(tiles, None, False).drop("_z"), "fill")
     while True:
-        spread = level.withColumn("_si", F.explode(steps("row"))).withColumn("_sj", F.explode(steps("col")))
-        spread = spread.withColumn("_ti", F.floor(F.col("row") / tile) + F.col("_si")).withColumn("_tj", F.floor(F.col("col") / tile) + F.col("_sj"))
-        after = saved(spread.groupBy("_ti", "_tj").applyInPandas(flood, f"row {kind['row']}, col {kind['col']}, _z double, _old double, level double"), "fill")
-        done = after.filter("_old <> level").isEmpty()
-        dropped(level)
-        level = after.drop("_old")
-        if done:
-            return level.withColumnRenamed("_z", z)
+        woken = dealt(borders.filter("moved")).filter("_si <> 0 or _sj <> 0").select("_ti", "_tj").distinct()
+        woken = saved(woken.join(tiles.select("_ti", "_tj"), ["_ti", "_tj"], "left_semi"), "fill-tiles")
+        if woken.isEmpty():
+            return run(tiles, borders, True).select("row", "col", F.col("_z").alias(z), "level")
+        now = run(tiles.join(woken, ["_ti", "_tj"], "left_semi"), borders.drop("moved"), False).drop("_z")
+        rest = borders.withColumns({"_ti": F.floor(F.col("row") / tile), "_tj": F.floor(F.col("col") / tile)}).join(woken, ["_ti", "_tj"], "left_anti").select("row", "col", "level")
+        after = saved(now.unionByName(rest.withColumn("moved", F.lit(False))), "fill")
+        dropped(borders)
+        borders = after

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from stratiq.sources.scratch import saved
 
-from .raster import connected, merge_small
+from .raster import _united, connected, merge_small
 
 
 def climb(z: np.ndarray, rows: np.ndarray, cols: np.ndarray, radius: float, reach: float, tolerance: float, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -95,13 +95,37 @@ def mean_shift(grid: DataFrame, z: str, radius: float, reach: float, width: int,
     A segment's name is its smallest cell number, row * width + col.  Segments of
     fewer cells than ``minsize`` are merged into the neighbour of the nearest mean mode.
     """
-    found = saved(modes(grid, z, radius, reach, tolerance, rounds, tile).withColumn("id", (F.col("row") * width + F.col("col")).cast("long")), "modes")
-    other = found.select(F.col("row").alias("_r"), F.col("col").alias("_c"), F.col("id").alias("b"), F.col("mode_row").alias("_y"), F.col("mode_col").alias("_x"), F.col("mode").alias("_v"))
+    found = modes(grid, z, radius, reach, tolerance, rounds, tile).withColumn("id", (F.col("row") * width + F.col("col")).cast("long"))
+    kind = dict(found.dtypes)
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = (pdf[c].to_numpy() % tile for c in ("row", "col"))
+        y, x, v = (np.full((tile, tile), np.nan) for _ in range(3))
+        y[i, j], x[i, j], v[i, j] = pdf["mode_row"], pdf["mode_col"], pdf["mode"]
+        label, one, other = np.arange(tile * tile).reshape(tile, tile), [], []
+        for a, b in ((np.s_[:, :-1], np.s_[:, 1:]), (np.s_[:-1], np.s_[1:])):
+            near = ((y[a] - y[b]) ** 2 + (x[a] - x[b]) ** 2 <= radius**2) & (np.abs(v[a] - v[b]) <= reach)
+            one.append(label[a][near])
+            other.append(label[b][near])
+        own = _united(tile * tile, np.concatenate(one), np.concatenate(other)).reshape(tile, tile)[i, j]
+        least = np.full(tile * tile, np.iinfo(np.int64).max)
+        np.minimum.at(least, own, pdf["id"].to_numpy())
+        edge = (i == 0) | (i == tile - 1) | (j == 0) | (j == tile - 1)
+        return pd.DataFrame({"row": pdf["row"], "col": pdf["col"], "mode": pdf["mode"], "_own": least[own], "_y": np.where(edge, pdf["mode_row"], np.nan), "_x": np.where(edge, pdf["mode_col"], np.nan)})
+
+    at = found.withColumn("_ti", F.floor(F.col("row") / tile)).withColumn("_tj", F.floor(F.col("col") / tile))
+    local = saved(at.groupBy("_ti", "_tj").applyInPandas(one, f"row {kind['row']}, col {kind['col']}, mode double, _own long, _y double, _x double"), "shift-parts")
+    # Segments that meet across the borders of tiles are joined in rounds.
+    border = local.filter("_y is not null")
+    other = border.select(F.col("row").alias("_r"), F.col("col").alias("_c"), F.col("_own").alias("b"), F.col("_y").alias("_oy"), F.col("_x").alias("_ox"), F.col("mode").alias("_ov"))
     ahead = F.explode(F.array(F.struct(F.lit(0).alias("r"), F.lit(1).alias("c")), F.struct(F.lit(1).alias("r"), F.lit(0).alias("c"))))
-    pairs = found.withColumn("_d", ahead).withColumns({"_r": F.col("row") + F.col("_d.r"), "_c": F.col("col") + F.col("_d.c")}).join(other, ["_r", "_c"])
-    apart = (F.col("mode_row") - F.col("_y")) ** 2 + (F.col("mode_col") - F.col("_x")) ** 2
-    edges = pairs.filter((apart <= radius**2) & (F.abs(F.col("mode") - F.col("_v")) <= reach)).select(F.col("id").alias("a"), "b")
-    named = found.join(connected(edges, found.select("id")), "id").select("row", "col", "mode", F.col("component").alias("segment"))
+    pairs = border.withColumn("_d", ahead).withColumns({"_r": F.col("row") + F.col("_d.r"), "_c": F.col("col") + F.col("_d.c")}).join(other, ["_r", "_c"])
+    apart = (F.col("_y") - F.col("_oy")) ** 2 + (F.col("_x") - F.col("_ox")) ** 2
+    edges = saved(pairs.filter((apart <= radius**2) & (F.abs(F.col("mode") - F.col("_ov")) <= reach) & (F.col("_own") != F.col("b"))).select(F.col("_own").alias("a"), "b").distinct(), "shift-edges")
+    named = local.select("row", "col", "mode", F.col("_own").alias("segment"))
+    if not edges.isEmpty():
+        whole = connected(edges, edges.select(F.col("a").alias("_own")).union(edges.select("b")).distinct(), "_own")
+        named = local.join(whole, "_own", "left").select("row", "col", "mode", F.coalesce("component", "_own").alias("segment"))
     if minsize <= 1:
         return named
     merged = merge_small(named, "segment", "mode", minsize)
