@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratiq.sources.scratch import saved
 
-from .raster import NINE, nine
+from .relational import spread
 
 POINT = "array<struct<x:double,y:double>>"
 
@@ -175,48 +177,105 @@ def rasterise(polygons: DataFrame, ring: str, size: float) -> DataFrame:
     return cells.filter(contains(F.col(ring), (F.col("col") + 0.5) * size, (F.col("row") + 0.5) * size)).drop(ring)
 
 
-def polygonise(grid: DataFrame, label: str, width: int) -> DataFrame:
+def polygonise(grid: DataFrame, label: str, width: int, tile: int = 128) -> DataFrame:
     """label, ring, seq, x, y: corners of the outlines of equal labels, in units of cells; areas of one label are dissolved.
 
     Each cell has its four sides, counter-clockwise; those towards the same label
     go.  A side's successor is the one that turns left first, so that outer rings
     run counter-clockwise, holes clockwise, and cells that touch in a corner stay
-    apart.  Rings are found by pointer doubling, a round for each doubling of the
-    longest ring, each written out; at the end the sides of one ring are put in
-    order in one task.  ``width`` is at least the number of columns; row and column are not negative.
+    apart.  Tiles of ``tile`` cells a side, each with its neighbours' border cells
+    around it, follow the sides on their own; what leaves a tile is a piece of a
+    ring.  Pieces alone are joined by pointer doubling, a round for each doubling of
+    the pieces of a ring, each written out.  ``width`` is at least the number of
+    columns; row and column are not negative.
     """
-    cells = nine(grid.select("row", "col", F.struct(F.col(label).alias("v")).alias("_l")), "_l")
-    own = F.col("near")[NINE.index("c")]["v"]
-    side = lambda k, dx, dy, d: F.when(~own.eqNullSafe(F.col("near")[NINE.index(k)]["v"]) | F.col("near")[NINE.index(k)].isNull(), F.struct((F.col("col") + dx).alias("x"), (F.col("row") + dy).alias("y"), F.lit(d).alias("d")))
-    # 0 to the right, 1 up (rising rows), 2 to the left, 3 down; the cell is on the left.
-    found = cells.select(own.alias("label"), F.explode(F.filter(F.array(side("n", 0, 0, 0), side("e", 1, 0, 1), side("s", 1, 1, 2), side("w", 0, 1, 3)), lambda e: e.isNotNull())).alias("e"))
-    step = lambda axis: F.element_at(F.array(*map(F.lit, (1, 0, -1, 0) if axis == "x" else (0, 1, 0, -1))), F.col("e.d") + 1)
-    number = lambda x, y, d: (y.cast("long") * (width + 1) + x) * 4 + d
-    sides = saved(found.select("label", F.col("e.x").alias("x"), F.col("e.y").alias("y"), F.col("e.d").alias("d"), (F.col("e.x") + step("x")).alias("x2"), (F.col("e.y") + step("y")).alias("y2")), "sides")
-    a = sides.select("label", F.col("x2").alias("x"), F.col("y2").alias("y"), "d", number(F.col("x"), F.col("y"), F.col("d")).alias("id"))
-    b = sides.select(F.col("label").alias("_m"), F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("d").alias("_d"), number(F.col("x"), F.col("y"), F.col("d")).alias("_id"))
-    meet = a.join(b, F.col("label").eqNullSafe(F.col("_m")) & (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y")))
-    turn = F.element_at(F.array(F.lit(1), F.lit(0), F.lit(9), F.lit(2)), F.pmod(F.col("_d") - F.col("d"), F.lit(4)) + 1)
-    after = meet.groupBy("id").agg(F.min(F.struct(turn.alias("t"), "_id")).alias("n")).select("id", F.col("n._id").alias("next"))
-    links = saved(after.withColumn("low", F.col("id")), "links")
-    first = links
+    kind = dict(grid.dtypes)
+    # The two zeros of floating numbers are one label.
+    value = F.col(label) + F.lit(0.0).cast(kind[label]) if kind[label] in ("float", "double") else F.col(label)
+    inside = lambda c: F.pmod(F.col(c), F.lit(tile))
+    # A border cell goes to the tiles beside it as well.
+    beside = lambda c: F.filter(F.array(F.lit(0), F.when(inside(c) == 0, -1), F.when(inside(c) == tile - 1, 1)), lambda x: x.isNotNull())
+    cells = grid.select(value.alias("label"), F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col")).withColumn("_si", F.explode(beside("row"))).withColumn("_sj", F.explode(beside("col")))
+    cells = cells.select("label", "row", "col", (F.floor(F.col("row") / tile) + F.col("_si")).alias("_ti"), (F.floor(F.col("col") / tile) + F.col("_sj")).alias("_tj"))
+    schema = f"label {kind[label]}, start long, next long, low long, at long, n long, x array<long>, y array<long>"
+    pieces = saved(spread(cells, 200_000, "_ti", "_tj").groupBy("_ti", "_tj").applyInArrow(lambda t: _outlined(t, width, tile), schema), "pieces")
+    # A piece that ends where it starts is a ring.
+    parts = pieces.filter("next <> start")
+    links = saved(parts.select("start", "next", F.struct("low", "start").alias("low")), "links")
     while True:
-        ahead = links.select(F.col("id").alias("next"), F.col("next").alias("_next"), F.col("low").alias("_low"))
-        now = saved(links.join(ahead, "next").select("id", F.col("_next").alias("next"), F.least("low", "_low").alias("low"), (F.col("_low") < F.col("low")).alias("moved")), "links")
+        ahead = links.select(F.col("start").alias("next"), F.col("next").alias("_next"), F.col("low").alias("_low"))
+        now = saved(links.join(ahead, "next").select("start", F.col("_next").alias("next"), F.least("low", "_low").alias("low"), (F.col("_low") < F.col("low")).alias("moved")), "links")
         links = now.drop("moved")
         if now.filter("moved").isEmpty():
             break
-    rings = links.select("id", F.col("low").alias("ring"))
-    # Steps to the ring's first side: 1 for its last, found by doubling again.
-    ranks = saved(first.select("id", "next").join(rings, "id").select("id", "ring", F.when(F.col("next") != F.col("ring"), F.col("next")).alias("next"), F.lit(1).cast("long").alias("steps")), "ranks")
+    # Corners from a piece's start to the end of its ring's last piece, found by doubling again; the first piece holds the ring's lowest side.
+    ends = links.select("start", F.col("low.low").alias("ring"), F.col("low.start").alias("first"))
+    own = parts.select("start", "next", F.col("n").alias("steps"))
+    ranks = saved(own.join(ends, "start").select("start", "ring", "first", F.when(F.col("next") != F.col("first"), F.col("next")).alias("next"), "steps"), "ranks")
     while not ranks.filter("next is not null").isEmpty():
-        ahead = ranks.select(F.col("id").alias("next"), F.col("next").alias("_next"), F.col("steps").alias("_steps"))
-        ranks = saved(ranks.join(ahead, "next", "left").select("id", "ring", F.col("_next").alias("next"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps")), "ranks")
-    placed = sides.withColumn("id", number(F.col("x"), F.col("y"), F.col("d"))).join(ranks.select("id", "ring", "steps"), "id")
-    order = Window.partitionBy("ring").orderBy(F.col("steps").desc())
-    last = F.last("d").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    corners = placed.withColumn("_before", F.coalesce(F.lag("d").over(order), last)).filter(F.col("_before") != F.col("d"))
-    return corners.withColumn("seq", F.row_number().over(order)).select("label", "ring", "seq", "x", "y")
+        ahead = ranks.select(F.col("start").alias("next"), F.col("next").alias("_next"), F.col("steps").alias("_steps"))
+        ranks = saved(ranks.join(ahead, "next", "left").select("start", "ring", "first", F.col("_next").alias("next"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps")), "ranks")
+    firsts = ranks.filter("start = first").select("ring", F.col("steps").alias("total")).join(parts.select(F.col("low").alias("ring"), F.col("at").alias("turned")), "ring")
+    placed = parts.join(ranks.join(firsts, "ring").select("start", "ring", (F.col("total") - F.col("steps") - F.col("turned")).alias("before"), "total"), "start")
+    closed = pieces.filter("next = start").withColumns({"ring": F.col("low"), "before": -F.col("at"), "total": F.col("n")})
+    corner = F.posexplode(F.arrays_zip("x", "y")).alias("_i", "_p")
+    out = closed.select("label", "ring", "before", "total", corner).unionByName(placed.select("label", "ring", "before", "total", corner))
+    seq = (F.pmod(F.col("before") + F.col("_i"), F.col("total")) + 1).cast("int")
+    return out.select("label", "ring", seq.alias("seq"), F.col("_p.x").cast(kind["col"]).alias("x"), F.col("_p.y").cast(kind["row"]).alias("y"))
+
+
+def _outlined(cells: pa.Table, width: int, tile: int) -> pa.Table:
+    """One tile's rings and pieces of rings: label, numbers of the first side and of the one that follows, the lowest, the corners before that, all corners.
+
+    Sides have directions: 0 to the right, 1 up (rising rows), 2 to the left, 3 down; the cell is on the left.
+    """
+    row, col, ti, tj = (cells.column(c).to_numpy() for c in ("row", "col", "_ti", "_tj"))
+    top, left, wide = int(ti[0]) * tile - 1, int(tj[0]) * tile - 1, tile + 2
+    cell = (row - top) * wide + col - left
+    at, code = np.full(wide * wide, -1), np.full(wide * wide, -1)
+    at[cell] = np.arange(len(cell))
+    code[cell] = cells.column("label").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+    own = np.sort(cell[(row // tile == ti) & (col // tile == tj)])
+    out = (-wide, 1, wide, -1)  # the cell across a side of each direction
+    follow, bend = np.full(wide * wide * 4, -1), np.zeros(wide * wide * 4, bool)
+    for d in range(4):
+        k = own[code[own + out[d]] != code[own]]
+        ahead, behind = k + out[(d + 1) % 4], k - out[(d + 1) % 4]
+        other = lambda x, k=k: code[x] != code[k]
+        follow[k * 4 + d] = np.where(other(ahead), k * 4 + (d + 1) % 4, np.where(other(ahead + out[d]), ahead * 4 + d, (ahead + out[d]) * 4 + (d + 3) % 4))
+        bend[k * 4 + d] = other(behind) | ~other(behind + out[d])
+    sides = np.flatnonzero(follow >= 0)
+    entered = np.zeros(len(follow), bool)
+    entered[follow[sides]] = True
+    after, order, begins, following = follow.tolist(), [], [], []
+    # What comes from outside first: the sides left over then are rings.
+    for s in [*sides[~entered[sides]].tolist(), *sides[entered[sides]].tolist()]:
+        if after[s] >= 0:
+            begins.append(len(order))
+            while after[s] >= 0:
+                order.append(s)
+                after[s], s = -1, after[s]
+            following.append(s)
+    order, begins = np.array(order, int), np.array(begins, int)
+
+    def corner(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        d = side % 4
+        return side // 4 % wide + left + ((d == 1) | (d == 2)), side // 4 // wide + top + (d >= 2)
+
+    def number(side: np.ndarray) -> np.ndarray:
+        x, y = corner(side)
+        return (y * (width + 1) + x) * 4 + side % 4
+
+    numbers, turns = number(order), bend[order]
+    piece = np.repeat(np.arange(len(begins)), np.diff([*begins, len(order)]))
+    low = np.minimum.reduceat(numbers, begins) if len(begins) else numbers
+    passed = np.cumsum(turns) - turns
+    lowest = np.flatnonzero(numbers == low[piece]) if len(begins) else order
+    n = np.bincount(piece[turns], minlength=len(begins))
+    offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+    x, y = (pa.ListArray.from_arrays(offsets, pa.array(v.astype(np.int64))) for v in corner(order[turns]))
+    columns = [cells.column("label").combine_chunks().take(pa.array(at[order[begins] // 4])), *map(pa.array, (numbers[begins], number(np.array(following, int)), low, passed[lowest] - passed[begins], n)), x, y]
+    return pa.Table.from_arrays(columns, names=["label", "start", "next", "low", "at", "n", "x", "y"])
 
 
 def collected(corners: DataFrame) -> DataFrame:

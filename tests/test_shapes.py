@@ -251,3 +251,22 @@ def test_applicability_by_hand(spark):
 def test_perturbations_keep_their_floors(spark):
     got = [tuple(r) for r in stats.perturbations(spark.createDataFrame([(1, 2, 0.01, 4)], 's int, spatialr int, ranger double, minsize int'), 's', most=99).drop('s').collect()]
     assert {s for s, _, _ in got} == {2} and len(got) == 8 and {r for _, r, _ in got} == {0.005, 0.01, 0.015} and {m for _, _, m in got} == {3, 4, 9}
+
+
+def test_outlines_across_tiles(spark, monkeypatch):
+    """Rings that cross tiles of any size are the same, null is a label of its own, and rounds see pieces of rings, not sides."""
+    draw = np.random.default_rng(11)
+    rows = [(i, j, [None, "a", "b"][int(k)]) for (i, j), k in np.ndenumerate(draw.choice(3, (23, 17), p=[0.2, 0.5, 0.3])) if (i * 17 + j) % 29]
+    grid = spark.createDataFrame(rows, "row int, col long, lab string")
+    seen, saved = [], P.saved
+    monkeypatch.setattr(P, "saved", lambda df, name: seen.append((name, saved(df, name))) or seen[-1][1])
+    outlines = lambda tile: sorted(((str(r["label"]), r["ring"], r["seq"], r["x"], r["y"]) for r in P.polygonise(grid, "lab", 17, tile).collect()))
+    whole = outlines(128)
+    assert all(df.isEmpty() for name, df in seen if name in ("links", "ranks"))
+    for tile in (4, 7):
+        assert outlines(tile) == whole
+    # All sides towards another label or a missing cell, each once.
+    at = {(i, j): k for i, j, k in rows}
+    sides = sum((i + a, j + b) not in at or at[i + a, j + b] != k for (i, j), k in at.items() for a, b in ((0, 1), (0, -1), (1, 0), (-1, 0)))
+    rings = [[(p["x"], p["y"]) for p in r["points"]] for r in P.collected(P.polygonise(grid, "lab", 17, 4)).collect()]
+    assert sum(abs(a - c) + abs(b - d) for ring in rings for (a, b), (c, d) in zip(ring, [*ring[1:], ring[0]], strict=True)) == sides
