@@ -9,6 +9,8 @@ with more than one way down.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -114,20 +116,54 @@ def overland_distance(edges: DataFrame, accumulation: DataFrame, least: int, wid
 def strahler(edges: DataFrame) -> DataFrame:
     """id, strahler: a source is 1; the highest inflow, plus 1 if two share it.
 
-    Orders above k are where two inflows of k or more meet, and all below such a
-    place: each order is one accumulation over the part of the network that has
-    reached it, and there are at most as many orders as the logarithm of the
-    sources.
+    In each round, written out, a cell whose inflows are all known becomes known.
+    A cell that waits for one inflow alone depends on that one's order x as lo
+    (x < t), hi (t <= x < hi) or x; such rules are chained, doubling the way that
+    each covers.  So rounds grow with the logarithm of the cells, whatever the
+    network's shape, and hold the cells that are not known yet.
     """
-    live = saved(edges.select("src", "dst"), "streams")
-    orders = saved(_nodes(live).withColumn("strahler", F.lit(1)), "orders")
-    order = 1
+    way = _checked(edges).select(F.col("src").alias("id"), F.col("dst").alias("to"))
+    sources = edges.select(F.col("src").alias("id")).distinct().join(edges.select(F.col("dst").alias("id")), "id", "left_anti").withColumn("v", F.lit(1))
+    kind = dict(edges.dtypes)["src"]
+    none = lambda *names: {n: F.lit(None).cast("int") for n in names}
+    state = _nodes(edges).join(way, "id", "left").join(sources, "id", "left")
+    state = saved(state.withColumns({"m": F.lit(0), "dup": F.lit(False), "from": F.lit(None).cast(kind), **none("lo", "t", "hi")}), "orders")
+    known = []
     while True:
-        meet = live.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select(F.col("dst").alias("id"), F.lit(1).alias("m"))
-        found = flow_accumulation(meet, live, mass=F.col("m"))
-        above = saved(found.filter("accumulation > 0").select("id"), "above")
-        if above.isEmpty():
-            return orders
-        order += 1
-        orders = saved(orders.join(above.withColumn("_up", F.lit(order)), "id", "left").select("id", F.coalesce("_up", "strahler").alias("strahler")), "orders")
-        live = saved(live.join(above.withColumnRenamed("id", "src"), "src", "left_semi"), "streams")
+        done, rest = state.filter("v is not null").select("id", "to", "v"), state.filter("v is null").drop("v")
+        found, every = state.agg(F.count("v"), F.count(F.lit(1))).first()
+        known.append(done.select("id", F.col("v").alias("strahler")))
+        if found == every:
+            return reduce(DataFrame.unionByName, known)
+        if not found:
+            raise ValueError("the network has a cycle")
+        told = done.filter("to is not null").groupBy("to", "v").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("to").alias("id")).agg(F.max(F.struct("v", "n")).alias("_told"))
+        waits = rest.filter("to is not null").groupBy(F.col("to").alias("id")).agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("_one"))
+        near = rest.join(told, "id", "left").join(waits, "id", "left")
+        top = F.col("_told.v")
+        near = near.withColumn("dup", F.when(top > F.col("m"), F.col("_told.n") > 1).otherwise(F.col("dup") | F.coalesce(top == F.col("m"), F.lit(False)))).withColumn("m", F.greatest("m", top))
+        fresh, up = F.col("from").isNull() & (F.col("_n") == 1), F.col("m") + F.col("dup").cast("int")
+        rule = {"lo": up, "t": up, "hi": F.col("m") + 1}
+        near = near.withColumn("v", F.when(F.col("_n").isNull(), up)).withColumns({"from": F.when(fresh, F.col("_one")).otherwise(F.col("from")), **{n: F.when(fresh, c).otherwise(F.col(n)) for n, c in rule.items()}})
+        near = near.select("id", "to", "v", "m", "dup", "from", "lo", "t", "hi")
+        waiting = F.col("v").isNull() & F.col("from").isNotNull()
+        heard = done.select(F.col("id").alias("from"), F.col("v").alias("_v"))
+        sure = near.filter(waiting).select("id", "from", "lo", "t", "hi")
+        sure = looked_up(sure, "from", heard).select("id", _ruled(F.col("_v")).alias("_v"))
+        near = saved(near.join(sure, "id", "left").withColumn("v", F.coalesce("v", "_v")).drop("_v"), "orders-near")
+        ahead = near.select(F.col("id").alias("from"), F.col("v").alias("_v"), F.col("from").alias("_from"), *[F.col(n).alias(f"_{n}") for n in ("lo", "t", "hi")])
+        jump = looked_up(near.filter(waiting), "from", ahead.filter("_v is not null or _from is not null"))
+        # What this cell's rule makes of the results of the one that it waits for.
+        low, over = _ruled(F.col("_lo")), F.col("hi") <= F.col("_hi")
+        chained = {"lo": low, "t": F.when(F.col("_hi") < F.col("t"), F.col("t")).otherwise(F.col("_t")), "hi": F.when(over, F.col("_hi")).otherwise(F.col("hi"))}
+        chained = [F.when(F.col("_v").isNull(), c).alias(f"_{n}") for n, c in chained.items()]
+        jump = jump.select("id", _ruled(F.col("_v")).alias("_v"), F.when(F.col("_v").isNull(), F.col("_from")).alias("_from"), *chained)
+        after = near.join(jump, "id", "left")
+        after = saved(after.select("id", "to", F.coalesce("v", "_v").alias("v"), "m", "dup", *[F.coalesce(f"_{n}", n).alias(n) for n in ("from", "lo", "t", "hi")]), "orders")
+        dropped(near)
+        state = after
+
+
+def _ruled(x: Column) -> Column:
+    """A cell's order by its rule (lo, t, hi), if the inflow that it waits for has the order x; null for null."""
+    return F.when(x < F.col("t"), F.col("lo")).when(x < F.col("hi"), F.col("hi")).when(x.isNotNull(), x)

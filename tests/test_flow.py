@@ -70,6 +70,26 @@ def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
     assert H.strahler(e).filter("strahler = 1").count() == n and len(rounds) < 40
 
 
+def test_orders_take_few_rounds_in_any_shape(spark, monkeypatch):
+    """Chains between meetings, combs and a balanced tree: what waits for one inflow is chained, cycles are told."""
+    rounds = []
+    monkeypatch.setattr(H, "saved", lambda df, name, f=H.saved: rounds.append(name) or f(df, name))
+    tree = {i: (i - 1) // 2 for i in range(1, 255)}
+    comb = {1000 + i: 1000 + i + 1 for i in range(120)} | {2000 + i: 1000 + i + 1 for i in range(0, 120, 7)} | {3000 + i: 2000 + 7 * i for i in range(5)}
+    stretched = {5000 + 4 * i + k: 5000 + 4 * i + k + 1 for i in range(40) for k in range(3)} | {5003 + 4 * i: 5000 + 4 * ((i - 1) // 2) for i in range(1, 40)}
+    to = tree | comb | stretched
+    e = spark.createDataFrame(list(to.items()), "src long, dst long")
+
+    def order(i):
+        above = sorted(order(j) for j, down in to.items() if down == i)
+        return (above[-1] + (above[-2:-1] == above[-1:])) if above else 1
+
+    assert {r["id"]: r["strahler"] for r in H.strahler(e).collect()} == {i: order(i) for i in {*to, *to.values()}}
+    assert len(rounds) < 40
+    with pytest.raises(ValueError, match="cycle"):
+        H.strahler(spark.createDataFrame([(1, 2), (2, 3), (3, 2), (4, 1)], "src long, dst long"))
+
+
 def test_one_way_down(spark):
     with pytest.raises(ValueError, match="more than one"):
         H.basins(spark.createDataFrame([(1, 2), (1, 3)], "src long, dst long"))
