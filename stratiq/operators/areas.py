@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import polygons as P
-from .relational import spread
+from .relational import dealt, spread
 
 AREA = f"array<{P.POINT}>"
 #: Shares of a cell's side below this are rounding.
@@ -191,7 +191,7 @@ def coverage(areas: DataFrame, key: str, area: str, size: float, touches: bool =
     areas: sums and runs need no further exchange.
     """
     n = areas.count()
-    pieces = spread(_pieces(spread(areas.select(key, area), 20_000, rows=n), key, area, size), 5_000, "_key", "row", rows=n)
+    pieces = spread(_pieces(dealt(areas.select(key, area), 20_000, key, rows=n), key, area, size), 5_000, "_key", "row", rows=n)
     cells = pieces.groupBy("_key", "row", "col").agg(F.sum("dy").alias("dy"), F.sum("part").alias("part"))
     run = Window.partitionBy("_key", "row").orderBy("col")
     before = F.coalesce(F.sum("dy").over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))

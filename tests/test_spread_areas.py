@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from stratiq.operators import areas as A
 from stratiq.operators import overlay
 from stratiq.operators import polygons as P
+from stratiq.operators import relational as R
 
 
 def some(spark, n):
@@ -25,6 +26,17 @@ def test_coverage_of_one_file_is_summed_in_many_tasks(spark):
     assert out.filter("fraction = 0.25").count() == 30_000
 
 
+def test_areas_of_one_file_are_passed_on_unsorted(spark, monkeypatch):
+    """A round-robin exchange sorts all that a task reads: areas are dealt by their key instead."""
+    plan = A.coverage(some(spark, 60_000), "id", "area", 1.0)._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning" not in plan and plan.count("hashpartitioning(id") == 1
+    monkeypatch.setattr(R, "PASSED_ON", 2)
+    out = R.dealt(some(spark, 500), 100, "id")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert out.rdd.getNumPartitions() == 5 and plan.count("REPARTITION_BY_NUM") == 2
+    assert sorted(r[0] for r in out.select("id").collect()) == list(range(500))
+
+
 def test_covered_cells_are_not_broadcast(spark):
     grid = spark.range(100).select(F.lit(0).cast("long").alias("row"), F.col("id").alias("col"), F.lit(1.0).alias("z"))
     out = A.covered_values(some(spark, 500), "id", "area", grid, 1.0)
