@@ -12,6 +12,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratiq.sources.scratch import saved
+
+from . import relational as R
 from .models import forward_selection, tune_forest
 from .relational import small
 
@@ -110,10 +113,14 @@ def candidates_as_points(units: DataFrame, key: str, cells: DataFrame, spaces: d
     """
     from .models import strata
 
+    # Broadcast up to a checked number of rows; by the size of a packed file alone, millions of keys would be.
+    keys = units.select(key)
+    keys = F.broadcast(keys) if keys.limit(R.FEW_ROWS + 1).count() <= R.FEW_ROWS else keys.hint("merge")
     found = None
     for name, (table, features) in spaces.items():
-        own = strata(units.select(key).join(table, key), key, features, ks[name], n).filter("candidate")
+        own = strata(keys.join(table, key), key, features, ks[name], n).filter("candidate")
         one = own.select(F.lit(name).alias("candidate_type"), key, "stratum", "dist_to_center")
         found = one if found is None else found.unionByName(one)
-    middles = cells.join(found.select(key).distinct(), key, "left_semi").groupBy(key).agg(F.avg(x).alias("x"), F.avg(y).alias("y"))
+    found = saved(found, "candidates")
+    middles = cells.join(small(found.select(key).distinct()), key, "left_semi").groupBy(key).agg(F.avg(x).alias("x"), F.avg(y).alias("y"))
     return found.join(middles, key, "left")

@@ -7,6 +7,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from stratiq.operators import models
 from stratiq.operators import prediction as P
 from stratiq.operators.models import forest
 from stratiq.operators.reproject import Lattice
@@ -86,3 +87,18 @@ def test_candidates_at_their_places(spark):
     kinds = {(r["candidate_type"], r["stratum"]): 0 for r in rows}
     assert len(kinds) == 4 and len(rows) == 8
     assert all(r["x"] == 10 * r["id"] + 1 and r["y"] == 2.0 for r in rows) and ("first", 11) not in {(r["candidate_type"], r["id"]) for r in rows}
+
+
+def test_candidates_without_a_broadcast_of_units(spark, monkeypatch):
+    """Beyond a checked number of units no join by their key is a broadcast, however small their files; cells meet the few candidates by one."""
+    plans, kept = [], P.saved
+    monkeypatch.setattr(P.R, "FEW_ROWS", 30)
+    for module in (P, models):
+        monkeypatch.setattr(module, "saved", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or kept(df, name))
+    units = spark.range(40).selectExpr("id", "cast(id * id % 17 as double) as u")
+    cells = units.selectExpr("id", "cast(id as double) as x", "1.0D as y")
+    out = P.candidates_as_points(units.select("id"), "id", cells, {"one": (units, ["u"])}, {"one": 2}, 2)
+    plans = dict(plans)
+    assert "SortMergeJoin" in plans["strata-rows"] and "BroadcastHashJoin" not in plans["strata-rows"] and "SortMergeJoin" in plans["candidates"]
+    last = [line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "LeftSemi" in line]
+    assert out.count() == 4 and last and all("BroadcastHashJoin" in line for line in last)
