@@ -178,7 +178,8 @@ def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, weigh
         .withColumn("_rest", F.when(F.col("_passes") < max_repeats, F.greatest(F.lit(0.0), F.col("_target") - F.col("_passes") * F.col("_n"))).otherwise(0.0))
     )
     plan = saved(plan, "mix-plan")
-    block = F.least(F.floor(F.col("_h") * F.col("_k") / F.lit(float(RANGE))), F.col("_k") - 1)
+    # A product of whole numbers would leave the 64 bits from 2,048 blocks of a source on.
+    block = F.least(F.floor(F.col("_h").cast("double") * F.col("_k") / F.lit(float(RANGE))), F.col("_k") - 1)
 
     # One row for each source and block, at most MAX_BLOCKS of a source.
     run = Window.partitionBy("_s").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
