@@ -21,3 +21,11 @@ def test_mix_of_many_blocks(spark):
         size = {i: 1 + i % 7 for i in range(5_200) if low <= i % 13 < high}
         want = sum(1 + i % 7 for i in range(5_200)) * {"a": 1, "b": 2}[source] / 3
         assert abs(sum(size[i] * got[i] for i in size) - want) <= 3.5 and max(got[i] for i in size) <= 3
+
+
+def test_decide_of_many_blocks(spark):
+    got = mixing.decide(many(spark), block_docs=1).collect()
+    assert len(got) == 5_200 and all(r["taken"] == r["size"] * len(r["shards"]) and len(r["shards"]) <= 3 for r in got)
+    for source in ("a", "b"):
+        own = [r for r in got if r["source"] == source]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 3.5
