@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -50,22 +50,42 @@ def _placed(x: str, y: str) -> Column:
     return F.coalesce((F.abs(F.col(x).cast("double")) < float("inf")) & (F.abs(F.col(y).cast("double")) < float("inf")), F.lit(False))
 
 
-def within_distance(points: DataFrame, key: str, d: float, x: str = "x", y: str = "y") -> DataFrame:
+#: Points of one place that are packed together, and points of a bucket whose pairs one task makes.
+PACKED, MET = 32, 2_000
+
+
+def within_distance(points: DataFrame, key: str, d: float, x: str = "x", y: str = "y", shown: Callable[[Column], Column] = lambda gap: gap) -> DataFrame:
     """Pairs a < b of points within d.
 
-    A point meets its own bucket of side d and four of the eight around it, so
-    that two buckets meet once.  Tasks see the buckets of a bounded number of
-    points: their pairs outnumber them, and no side is broadcast.
+    Points of one place are packed, at most about ``PACKED`` together.  Packs meet,
+    not points: a distance, and what ``shown`` makes of it, is worked out once for
+    two of them, and only then their points are paired.  A pack meets its own
+    bucket of side d and four of the eight around it, so that two buckets meet
+    once.  Tasks see the buckets of a bounded number of points, or a part of one
+    that holds more: their pairs outnumber them, and no side is broadcast.
     """
-    n = points.count()
-    at = points.select(F.col(key).alias("_a"), F.col(x).alias("ax"), F.col(y).alias("ay"), F.floor(F.col(x) / d).alias("_bx"), F.floor(F.col(y) / d).alias("_by"))
+    at = points.select(F.col(key).alias("_id"), F.col(x).alias("ax"), F.col(y).alias("ay")).filter(_placed("ax", "ay"))
+    full = at.groupBy("ax", "ay").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > PACKED)
+    parted = at.join(small(saved(full, "full-places")), ["ax", "ay"], "left").withColumn("_pa", F.pmod(F.xxhash64("_id"), F.coalesce(F.ceil(F.col("_n") / PACKED), F.lit(1))))
+    packs = saved(parted.groupBy("ax", "ay", "_pa").agg(F.collect_list("_id").alias("_ia")), "packs")
+    packs = packs.withColumn("_bx", F.floor(F.col("ax") / d)).withColumn("_by", F.floor(F.col("ay") / d))
+    n = packs.agg(F.sum(F.size("_ia"))).first()[0] or 0
+    full = packs.groupBy("_bx", "_by").agg(F.sum(F.size("_ia")).alias("_n")).filter(F.col("_n") > MET)
+    full = small(saved(full.select("_bx", "_by", F.ceil(F.col("_n") / MET).cast("int").alias("_parts")), "full-buckets"))
+    one = packs.join(full, ["_bx", "_by"], "left").withColumn("_part", F.pmod(F.xxhash64("ax", "ay", "_pa"), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
     ahead = F.explode(F.array(*[F.struct(F.lit(i).alias("x"), F.lit(j).alias("y")) for i, j in ((0, 0), (1, -1), (1, 0), (1, 1), (0, 1))]))
-    near = at.withColumnsRenamed({"_a": "_b", "ax": "bx", "ay": "by"}).withColumn("_s", ahead)
-    near = near.select("_b", "bx", "by", (F.col("_bx") + F.col("_s.x")).alias("_bx"), (F.col("_by") + F.col("_s.y")).alias("_by"), ((F.col("_s.x") == 0) & (F.col("_s.y") == 0)).alias("_same"))
+    near = packs.withColumnsRenamed({"_ia": "_ib", "ax": "bx", "ay": "by", "_pa": "_pb"}).withColumn("_s", ahead)
+    near = near.select("_ib", "bx", "by", "_pb", (F.col("_bx") + F.col("_s.x")).alias("_bx"), (F.col("_by") + F.col("_s.y")).alias("_by"), ((F.col("_s.x") == 0) & (F.col("_s.y") == 0)).alias("_same"))
+    near = near.join(full, ["_bx", "_by"], "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
     gap = F.sqrt((F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2)
-    pairs = spread(at, 2_000, "_bx", "_by", rows=n).join(spread(near, 2_000, "_bx", "_by", rows=n).hint("merge"), ["_bx", "_by"])
-    pairs = pairs.filter(F.when(F.col("_same"), F.col("_a") < F.col("_b")).otherwise(F.col("_a") != F.col("_b"))).withColumn("distance", gap).filter(F.col("distance") <= d)
+    met = ["_bx", "_by", "_part"]
+    pairs = spread(one, MET, *met, rows=n).join(spread(near, MET, *met, rows=n).hint("merge"), met)
+    # Two packs of a bucket meet twice, and each meets itself.
+    mine, other = F.struct("ax", "ay", "_pa"), F.struct(F.col("bx").alias("ax"), F.col("by").alias("ay"), F.col("_pb").alias("_pa"))
+    pairs = pairs.filter(~F.col("_same") | (mine <= other)).filter(gap <= d)
+    pairs = pairs.select(F.explode("_ia").alias("_a"), "_ib", shown(gap).alias("distance"), (mine == other).alias("_own")).select("_a", F.explode("_ib").alias("_b"), "distance", "_own")
     first = F.col("_a") < F.col("_b")
+    pairs = pairs.filter(first | ((F.col("_a") > F.col("_b")) & ~F.col("_own")))
     return pairs.select(F.when(first, F.col("_a")).otherwise(F.col("_b")).alias("a"), F.when(first, F.col("_b")).otherwise(F.col("_a")).alias("b"), "distance")
 
 
